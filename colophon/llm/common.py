@@ -110,7 +110,12 @@ def word_hashes(column, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     stops[edges - 1] = inside[edges - 1]
     first = np.flatnonzero(begin)
     last = np.flatnonzero(stops) + 1
-    values, hashes = _values(), np.empty(len(first), np.uint64)
+    return span_hashes(data, first, last, _values()), np.searchsorted(first, offsets)
+
+
+def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans first[i]:last[i], which follow one another; values: a number for each byte."""
+    hashes = np.empty(len(first), np.uint64)
     i = 0
     while i < len(first):
         start = int(first[i])
@@ -122,7 +127,7 @@ def word_hashes(column, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = first[i:j] - start, last[i:j] - start
         hashes[i:j] = (total[b] - total[a]) * down[a]
         i = j
-    return mix(hashes), np.searchsorted(first, offsets)
+    return mix(hashes)
 
 
 def batches(it, max_bytes: int = 8 << 20, column: str = "text"):

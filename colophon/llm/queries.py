@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, rules, sharding, urls
+from . import decontamination, licenses, packing, rules, sharding, urls
 from .common import read_table as _t
 
 
@@ -26,5 +26,9 @@ def op8_decontamination(spark, sf_dir):
     return decontamination.digest(decontamination.scan(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")))
 
 
+def op10_retrieval_packing(spark, sf_dir):
+    return packing.pack(_t(spark, sf_dir, "documents"))
+
+
 QUERIES = {k: v for k, v in globals().items() if k.startswith("op")}
 ORACLES: dict[str, str] = {}
