@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, packing, rules, sharding, urls
+from . import decontamination, jaccard, licenses, packing, rules, sharding, urls
 from .common import read_table as _t
 
 
@@ -14,6 +14,10 @@ def op2_feistel_sharding(spark, sf_dir):
     return sharding.assign(_t(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark, sf_dir):
+    return jaccard.classes(_t(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark, sf_dir):
     return urls.judge(_t(spark, sf_dir, "pages"))
 
