@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, licenses, packing, rules, sharding, urls
+from . import classifier, decontamination, jaccard, licenses, packing, rules, sharding, urls
 from .common import read_table as _t
 
 
@@ -14,6 +14,11 @@ def op2_feistel_sharding(spark, sf_dir):
     return sharding.assign(_t(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    return classifier.score(docs, classifier.train(docs, _t(spark, sf_dir, "labels")))
+
+
 def op4_ngram_jaccard(spark, sf_dir):
     return jaccard.classes(_t(spark, sf_dir, "documents"))
 
