@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, decontamination, jaccard, licenses, packing, rules, sharding, urls
+from . import classifier, decontamination, html, jaccard, licenses, packing, rules, sharding, urls
 from .common import read_table as _t
 
 
@@ -31,6 +31,10 @@ def op6_quality_rules(spark, sf_dir):
     return rules.evaluate(_t(spark, sf_dir, "documents"))
 
 
+def op7_html_consensus(spark, sf_dir):
+    return html.extract(_t(spark, sf_dir, "pages"))
+
+
 def op8_decontamination(spark, sf_dir):
     return decontamination.digest(decontamination.scan(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")))
 
