@@ -171,9 +171,13 @@ def fill(sizes: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], i
     tf = np.concatenate(counts).astype(np.float32) if n else np.zeros(0, np.float32)
     lengths = np.bincount(owner, tf, n)
     weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (lengths / max(1e-9, lengths.mean() if n else 1))[owner]))
-    order = np.argsort(term, kind="stable")
-    term, docs, weight = term[order], owner[order], weight[order].astype(np.float32)
-    begins = np.searchsorted(term, np.arange(BUCKETS + 1))
+    # Each term's postings are in order of size, so a seed reads only those that still fit.
+    growing = np.argsort(sizes, kind="stable")
+    small, ordered = np.empty(n, np.int64), sizes[growing]
+    small[growing] = np.arange(n)
+    posting = term.astype(np.int64) * (n + 1) + small[owner]
+    order = np.argsort(posting)
+    posting, docs, weight = posting[order], owner[order], weight[order].astype(np.float32)
     by_size = np.argsort(-sizes, kind="stable")
     rank = np.empty(n, np.int64)
     rank[by_size] = np.arange(n)
@@ -194,19 +198,21 @@ def fill(sizes: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], i
         unused[seed] = False
         free[top] = top + 1
         if room > 0 and len(terms[seed]):
-            t = terms[seed].astype(np.int64)
-            spans = [np.arange(begins[x], begins[x + 1]) for x in t if begins[x + 1] - begins[x] > 1]
-            if spans:
-                at = np.concatenate(spans)
-                score = np.bincount(docs[at], weight[at], n)
-                score[~unused | (sizes > room)] = 0
-                near = np.flatnonzero(score > 0)
-                for d in near[np.lexsort((near, -score[near]))]:
-                    if sizes[d] <= room:
-                        window.append(int(d))
-                        room -= int(sizes[d])
-                        unused[d] = False
-                        free[rank[d]] = rank[d] + 1
+            t = terms[seed].astype(np.int64) * (n + 1)
+            low = np.searchsorted(posting, t)
+            count = np.searchsorted(posting, t + np.searchsorted(ordered, room, "right")) - low
+            ends = np.cumsum(count)
+            at = np.arange(ends[-1]) + np.repeat(low - ends + count, count)
+            score = np.bincount(docs[at], weight[at], n) if len(at) else np.zeros(n)
+            near = np.flatnonzero((score > 0) & unused)
+            near = near[np.lexsort((near, -score[near]))]
+            while len(near):
+                d = int(near[0])
+                window.append(d)
+                room -= int(sizes[d])
+                unused[d] = False
+                free[rank[d]] = rank[d] + 1
+                near = near[1:][sizes[near[1:]] <= room]
         while room > 0:
             i = seek(int(np.searchsorted(ascending, -room, "left")))
             if i >= n:
