@@ -1,2 +1,284 @@
+"""Queries over the driver's tables, one or more per operator, each with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..config import CATEGORIES, STATUSES
+from ..functions import arrays, hashing, text
+from ..operators import classify, dedup, naming, registry, report
+from ..sources import sinks
+
+_CATS = ", ".join(f"'{c}'" for c in CATEGORIES)
+
+
+def _t(spark, sf_dir, name) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Assets made from documents and labels by rules both engines share.
+_ASSETS_SQL = f"""
+a0 AS (SELECT d.doc_id, d.source, d.text, d.n_chars, l.quality, l.toxic,
+  row_number() OVER (PARTITION BY sha256(d.text) ORDER BY d.doc_id) AS dup_rank,
+  first(d.doc_id) OVER (PARTITION BY sha256(d.text) ORDER BY d.doc_id) AS head
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+a1 AS (SELECT *, CAST(doc_id * 37 % 101 AS INTEGER) AS score,
+  CASE doc_id % 5 WHEN 0 THEN 'Medium' WHEN 1 THEN 'High' ELSE 'Low' END AS risk,
+  doc_id % 7 = 0 AS people, doc_id % 11 = 0 AS prop, coalesce(toxic, 0) = 1 AS mark,
+  'doc' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.PNG' ELSE '.jpg' END AS name FROM a0),
+a2 AS (SELECT *, CASE WHEN dup_rank > 1 THEN 'DUPLICATE' WHEN n_chars < 300 THEN 'LOW_RESOLUTION' WHEN mark OR score < 60 THEN 'LOW_QUALITY'
+  WHEN people OR prop THEN 'NEEDS_RELEASE' WHEN risk IN ('Medium', 'High') THEN 'REVIEW' ELSE 'READY' END AS status FROM a1),
+a3 AS (SELECT *, CASE WHEN status = 'DUPLICATE' THEN 'same text as doc' || head WHEN status = 'LOW_RESOLUTION' THEN 'too small'
+  WHEN mark THEN 'carries a visible overlay' WHEN status = 'READY' THEN 'accepted with score ' || score || ' and risk ' || risk
+  WHEN status = 'LOW_QUALITY' THEN 'score ' || score || ' under 60' WHEN status = 'NEEDS_RELEASE' THEN 'shows people or property without a release'
+  ELSE 'needs a look: risk ' || risk END AS reason,
+  CASE status WHEN 'READY' THEN '01_READY_UPLOAD' WHEN 'LOW_RESOLUTION' THEN '02_SKIPPED_LOWRES' WHEN 'LOW_QUALITY' THEN '03_SKIPPED_LOWQUALITY'
+  WHEN 'DUPLICATE' THEN '04_DUPLICATES' WHEN 'NEEDS_RELEASE' THEN '05_NEEDS_RELEASE' ELSE '06_REVIEW' END AS destination,
+  'doc' || doc_id || CASE WHEN status IN ('READY', 'REVIEW', 'NEEDS_RELEASE', 'LOW_QUALITY') OR doc_id % 3 <> 0 THEN '.jpg' ELSE '.png' END AS final_name,
+  list_distinct(['k' || doc_id % 10, 'k' || doc_id % 4, source]) AS kw FROM a2)"""
+
+
+def _assets(spark, sf_dir) -> DataFrame:
+    labels = _t(spark, sf_dir, "labels")
+    d = _t(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", hashing.sha256(F.col("text").cast("binary")).alias("sha256"))
+    d = dedup.exact(d, "sha256", "doc_id", "doc_id").join(labels, "doc_id", "left")
+    i = F.col("doc_id")
+    d = d.withColumns({
+        "score": (i * 37 % 101).cast("int"), "risk": F.when(i % 5 == 0, "Medium").when(i % 5 == 1, "High").otherwise("Low"), "people": i % 7 == 0, "prop": i % 11 == 0,
+        "mark": F.coalesce("toxic", F.lit(0)) == 1, "name": F.concat(F.lit("doc"), i.cast("string"), F.when(i % 3 == 0, ".PNG").otherwise(".jpg")),
+    })
+    chosen = classify.choose_status(F.col("score"), F.col("risk"), F.col("people"), F.col("prop"), F.col("mark"))
+    d = d.withColumn("status", F.when(F.col("dup_rank") > 1, "DUPLICATE").when(F.col("n_chars") < 300, "LOW_RESOLUTION").otherwise(chosen))
+    why = classify.explain_status(F.col("status"), F.col("score"), F.col("risk"), F.lit(""), F.col("mark"))
+    own = F.when(F.col("status") == "DUPLICATE", F.concat(F.lit("same text as doc"), F.col("duplicate_of").cast("string"))).when(F.col("status") == "LOW_RESOLUTION", "too small")
+    words = F.array_distinct(F.array(F.concat(F.lit("k"), (i % 10).cast("string")), F.concat(F.lit("k"), (i % 4).cast("string")), F.col("source")))
+    return d.withColumns({
+        "reason": F.coalesce(own, why), "destination": classify.destination(F.col("status")),
+        "final_name": text.final_name(F.lit(""), F.col("name"), F.col("status")), "keywords": words, "keyword_count": F.size(words),
+    })
+
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, CAST(row_number() OVER w AS INTEGER) AS dup_rank, CASE WHEN row_number() OVER w > 1 THEN first(doc_id) OVER w END AS duplicate_of FROM documents WINDOW w AS (PARTITION BY sha256(text) ORDER BY doc_id)")
+def exact_duplicates(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", hashing.sha256(F.col("text").cast("binary")).alias("sha256"))
+    return dedup.exact(d, "sha256", "doc_id", "doc_id")
+
+
+@query("""WITH f AS (SELECT doc_id, CAST(hash_bits AS BIGINT) AS bits FROM (SELECT doc_id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(16), lambda i: (strpos('0123456789abcdef', substr(h, CAST(i + 1 AS BIGINT), 1)) - 1) % 4 << CAST(2 * i AS INTEGER))), lambda a, b: a + b) AS hash_bits
+  FROM (SELECT doc_id, md5(left(text, 2)) AS h FROM documents)))
+SELECT a.doc_id, arg_min(b.doc_id, b.doc_id) AS near_duplicate_of FROM f a LEFT JOIN f b ON b.doc_id < a.doc_id AND bit_count(xor(a.bits, b.bits)) <= 6 GROUP BY a.doc_id""")
+def near_duplicates(spark, sf_dir):
+    """32-bit fingerprints of the texts' first letters, compared within six bits."""
+    h = F.md5(F.left("text", F.lit(2)).cast("binary"))
+    bits = F.lit(0).cast("long")
+    for i in range(16):
+        digit = F.conv(F.substring(h, i + 1, 1), 16, 10).cast("long")
+        bits = bits + F.shiftleft(digit % 4, 2 * i)
+    d = _t(spark, sf_dir, "documents").select("doc_id", bits.alias("bits"))
+    return dedup.near(d, "bits", "doc_id", "doc_id")
+
+
+@query("SELECT vec_id, array_to_string(list_transform(embedding, lambda v: CASE WHEN v > (list_sort(embedding)[32] + list_sort(embedding)[33]) / CAST(2.0 AS DOUBLE) THEN '1' ELSE '0' END), '') AS bits FROM embeddings")
+def fingerprint_embeddings(spark, sf_dir):
+    values = F.transform("embedding", lambda v: v.cast("double"))
+    return _t(spark, sf_dir, "embeddings").select("vec_id", hashing.median_bits(values).alias("bits"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(string_split(text, ' '), lambda w: [w])), lambda acc, t: CASE WHEN length(t[1]) < 2 OR list_contains(list_transform(acc, lambda k: lower(k)), lower(t[1]))
+  OR (lower(t[1])[-1:] = 's' AND length(t[1]) > 3 AND list_contains(list_transform(acc, lambda k: lower(k)), left(lower(t[1]), length(t[1]) - 1))) OR list_contains(list_transform(acc, lambda k: lower(k)), lower(t[1]) || 's') THEN acc ELSE list_concat(acc, t) END)[1:50], ',') AS keywords
+FROM (SELECT doc_id, source || ' ' || lang || ' trees tree Tree ' || source || 's cats Cat gas ga a box boxes' AS text FROM documents)""")
+def clean_keywords(spark, sf_dir):
+    words = F.split(F.concat("source", F.lit(" "), "lang", F.lit(" trees tree Tree "), "source", F.lit("s cats Cat gas ga a box boxes")), " ")
+    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(arrays.clean_keywords(words), ",").alias("keywords"))
+
+
+@query(r"""WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages),
+s AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(title), '[^\p{L}\p{N}_\s\p{Z}\x0b\x1c-\x1f\x85-]', '', 'g'), '[\s\p{Z}\x0b\x1c-\x1f\x85_]+', '-', 'g'), '-{2,}', '-', 'g'), '-') AS a FROM t)
+SELECT page_id, coalesce(nullif(trim(left(coalesce(nullif(a, ''), 'image'), 80), '-'), ''), 'image') AS slug FROM s""")
+def slugify_titles(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", text.slugify(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("slug"))
+
+
+@query(f"WITH {_ASSETS_SQL} SELECT doc_id, score, risk, status, reason FROM a3")
+def classify_assets(spark, sf_dir):
+    return _assets(spark, sf_dir).select("doc_id", "score", "risk", "status", "reason")
+
+
+@query(f"WITH {_ASSETS_SQL} SELECT s.status, count(a3.doc_id) AS n FROM (VALUES {', '.join(f"('{s}')" for s in STATUSES)}) s(status) LEFT JOIN a3 ON a3.status = s.status GROUP BY s.status")
+def status_summary(spark, sf_dir):
+    return report.status_counts(_assets(spark, sf_dir))
+
+
+@query(f"""WITH {_ASSETS_SQL} SELECT count(*) AS processed, count(*) FILTER (status = 'READY') AS ready, count(*) FILTER (status = 'LOW_QUALITY') AS low_quality, count(*) FILTER (status = 'DUPLICATE') AS duplicates,
+count(*) FILTER (status = 'LOW_RESOLUTION') AS low_res, count(*) FILTER (status = 'NEEDS_RELEASE') AS needs_release, count(*) FILTER (status = 'REVIEW') AS review, count(*) FILTER (status LIKE 'ERROR%') AS errors,
+round_even(avg(score) FILTER (status IN ('READY', 'LOW_QUALITY', 'NEEDS_RELEASE', 'REVIEW')), 1) AS average_score, round_even(avg(len(kw)) FILTER (status = 'READY'), 1) AS average_keywords,
+round_even(100.0 * count(*) FILTER (status = 'READY' AND risk = 'Low') / nullif(count(*) FILTER (status = 'READY'), 0), 1) AS low_risk_percent FROM a3""")
+def run_summary(spark, sf_dir):
+    return report.summary(_assets(spark, sf_dir))
+
+
+@query(f"WITH {_ASSETS_SQL} SELECT source AS category, count(*) AS n FROM a3 WHERE status = 'READY' AND source <> '' GROUP BY source")
+def category_distribution(spark, sf_dir):
+    return report.category_distribution(_assets(spark, sf_dir).withColumn("category", F.col("source")))
+
+
+@query(f"""SELECT p_partkey, CASE WHEN a IN ({_CATS}) THEN a ELSE 'Miscellaneous' END AS category,
+CASE WHEN b IN ({_CATS}) AND b <> CASE WHEN a IN ({_CATS}) THEN a ELSE 'Miscellaneous' END THEN b ELSE '' END AS category2
+FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Nature' ELSE p_type END AS a, CASE p_partkey % 3 WHEN 0 THEN 'Nature' WHEN 1 THEN 'Miscellaneous' ELSE 'Bogus' END AS b FROM part)""")
+def repair_categories(spark, sf_dir):
+    i = F.col("p_partkey")
+    p = _t(spark, sf_dir, "part").select(i, F.when(i % 2 == 0, "Nature").otherwise(F.col("p_type")).alias("a"), F.when(i % 3 == 0, "Nature").when(i % 3 == 1, "Miscellaneous").otherwise("Bogus").alias("b"))
+    p = p.withColumn("category", classify.repair_category(F.col("a")))
+    return p.select("p_partkey", "category", classify.repair_second(F.col("b"), F.col("category")).alias("category2"))
+
+
+_REGISTRY_SQL = """r AS (SELECT 'doc' || doc_id AS name, CASE doc_id % 6 WHEN 0 THEN 'READY' WHEN 1 THEN 'ERROR' WHEN 2 THEN 'error' ELSE 'REVIEW' END AS status, CAST(doc_id % 4 AS INTEGER) AS attempts FROM documents WHERE doc_id % 2 = 0 OR doc_id % 6 = 1)"""
+
+
+def _registry(docs: DataFrame) -> DataFrame:
+    i = F.col("doc_id")
+    status = F.when(i % 6 == 0, "READY").when(i % 6 == 1, "ERROR").when(i % 6 == 2, "error").otherwise("REVIEW")
+    return docs.where((i % 2 == 0) | (i % 6 == 1)).select(F.concat(F.lit("doc"), i.cast("string")).alias("name"), status.alias("status"), (i % 4).cast("int").alias("attempts"))
+
+
+@query(f"""WITH {_REGISTRY_SQL} SELECT name, coalesce(r.attempts, 0) AS attempts_prev, CAST(row_number() OVER (ORDER BY name) AS INTEGER) AS ord FROM (SELECT 'doc' || doc_id AS name FROM documents) d LEFT JOIN r USING (name)
+WHERE r.status IS NULL OR r.status = 'error' OR (r.status = 'ERROR' AND r.attempts < 3) ORDER BY name LIMIT 50""")
+def pending_batch(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id")
+    names = docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"))
+    return registry.batch(registry.pending(names, _registry(docs)))
+
+
+@query(f"""WITH {_REGISTRY_SQL} SELECT count(*) AS remaining FROM (SELECT 'doc' || doc_id AS name FROM documents) d LEFT JOIN r USING (name) WHERE r.status IS NULL OR r.status = 'error' OR (r.status = 'ERROR' AND r.attempts < 3)""")
+def remaining_items(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id")
+    names = docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"))
+    return registry.pending(names, _registry(docs)).agg(F.count("*").alias("remaining"))
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
+def registry_latest(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("user_id", "event_type", "value", F.struct("ts", "event_id").alias("seq"))
+    return registry.upsert(e.where("false"), e, "user_id", "seq").select("user_id", "event_type", "value")
+
+
+@query("""WITH e AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS isle FROM events)
+SELECT event_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, isle ORDER BY ts, event_id) AS BIGINT) AS attempts,
+CASE WHEN event_type = 'error' THEN CASE WHEN sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, isle ORDER BY ts, event_id) >= 3 THEN 'ERROR_PERMANENT' ELSE 'ERROR' END ELSE 'OK' END AS status FROM e""")
+def registry_attempts(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    e = registry.consecutive_failures(e, "user_id", ["ts", "event_id"], F.col("event_type") == "error")
+    status = F.when(F.col("event_type") == "error", registry.promote(F.col("attempts") - 1)[0]).otherwise("OK")
+    return e.select("event_id", "attempts", status.alias("status"))
+
+
+@query("""WITH c AS (SELECT user_id, min((ts, event_id)) FILTER (event_type = 'purchase') AS cut FROM events GROUP BY user_id)
+SELECT event_id, user_id FROM events JOIN c USING (user_id) WHERE cut IS NULL OR (ts, event_id) < cut""")
+def quota_prefix(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    return registry.before_first(e, ["ts", "event_id"], F.col("event_type") == "purchase", "user_id").select("event_id", "user_id")
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, array_to_string(list_filter(['k', 'other'], lambda x: NOT list_contains(json_keys(props), x)), ',') AS missing FROM events")
+def json_props(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    missing = F.array_except(F.array(F.lit("k"), F.lit("other")), F.json_object_keys("props"))
+    return e.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "int").alias("k"), F.array_join(missing, ",").alias("missing"))
+
+
+_MESSAGES = ["RESOURCE_EXHAUSTED: retry in 12.5 s", "RESOURCE_EXHAUSTED 'retryDelay': '7s'", "RESOURCE_EXHAUSTED: Requests Per Day", "503 UNAVAILABLE", "RESOURCE_EXHAUSTED retry in 0s", "bad json", "model overloaded, retry in 2 s"]
+_M = ", ".join("('" + m.replace("'", "''") + "')" for m in _MESSAGES)
+
+
+@query(rf"""WITH m AS (SELECT item_id, m, CAST(item_id % 4 + 1 AS INTEGER) AS attempt FROM benchmark, (VALUES {_M}) v(m)),
+h AS (SELECT *, nullif(coalesce(TRY_CAST(nullif(regexp_extract(m, '(?i)retry in ([\d.]+)\s*s', 1), '') AS DOUBLE), TRY_CAST(nullif(regexp_extract(m, '(?i)retryDelay[''"]?:\s*[''"]?([\d.]+)s', 1), '') AS DOUBLE)), 0) AS hint,
+CASE WHEN contains(lower(m), 'resource_exhausted') AND contains(replace(lower(m), ' ', ''), 'perday') THEN 'quota' WHEN contains(lower(m), 'resource_exhausted') THEN 'rate_limit' WHEN contains(lower(m), '503') OR contains(lower(m), 'unavailable') OR contains(lower(m), 'overloaded') THEN 'overload' ELSE 'generic' END AS kind FROM m)
+SELECT item_id, m AS message, kind, CASE kind WHEN 'rate_limit' THEN coalesce(hint, 15.0 * attempt) WHEN 'overload' THEN coalesce(hint, least(10.0 * pow(2.0, attempt - 1), 90.0)) WHEN 'generic' THEN CAST(3.0 * attempt AS DOUBLE) END AS wait FROM h""")
+def retry_parse(spark, sf_dir):
+    m = F.explode(F.array(*[F.lit(x) for x in _MESSAGES])).alias("message")
+    b = _t(spark, sf_dir, "benchmark").select("item_id", m).withColumn("attempt", (F.col("item_id") % 4 + 1).cast("int"))
+    b = b.withColumn("kind", text.error_kind(F.col("message")))
+    return b.select("item_id", "message", "kind", text.backoff(F.col("kind"), text.retry_hint(F.col("message")), F.col("attempt").cast("double")).alias("wait"))
+
+
+@query("""SELECT doc_id, CASE WHEN n = 1 THEN b || '.jpg' ELSE b || '-' || n || '.jpg' END AS unique_name FROM (SELECT doc_id, source AS b, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n FROM documents)""")
+def unique_names(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", "lang", F.concat("source", F.lit(".jpg")).alias("name"))
+    return naming.unique_fast(d, "lang", "name", "doc_id").select("doc_id", "unique_name")
+
+
+@query("""SELECT doc_id, CASE WHEN n = 1 THEN b || '.jpg' ELSE b || '-' || n || '.jpg' END AS unique_name FROM (SELECT doc_id, source AS b, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n FROM documents)""")
+def unique_names_exact(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", "lang", F.concat("source", F.lit(".jpg")).alias("name"))
+    return naming.unique_exact(d, "lang", "name", "doc_id").select("doc_id", "unique_name")
+
+
+@query(f"""WITH {_ASSETS_SQL}, l AS (SELECT doc_id, list_filter([CASE WHEN status <> 'READY' THEN status || ' | ' || name || ' | ' || reason END, CASE WHEN status = 'NEEDS_RELEASE' AND people THEN 'FLAG | ' || name || ' | people' END,
+CASE WHEN status = 'NEEDS_RELEASE' AND prop THEN 'FLAG | ' || name || ' | property' END, CASE WHEN mark THEN 'FLAG | ' || name || ' | overlay' END], lambda x: x IS NOT NULL) AS lines FROM a3)
+SELECT doc_id, CAST(unnest(range(len(lines))) AS INTEGER) AS seq, unnest(lines) AS line FROM l""")
+def review_log(spark, sf_dir):
+    lines = classify.review_lines(F.col("name"), F.col("status"), F.col("reason"), F.col("people"), F.col("prop"), F.col("mark"))
+    return _assets(spark, sf_dir).select("doc_id", F.posexplode(lines).alias("seq", "line"))
+
+
+@query(f"""WITH {_ASSETS_SQL} SELECT final_name AS "Filename", name AS "Description", CASE WHEN doc_id % 4 < 10 THEN array_to_string(list_filter(['k' || doc_id % 10, CASE WHEN doc_id % 10 <> doc_id % 4 THEN 'k' || doc_id % 4 END, source], lambda x: x IS NOT NULL), ', ') END AS "Keywords", source AS "Categories" FROM a3 WHERE status = 'READY'""")
+def upload_rows(spark, sf_dir):
+    return sinks.upload_rows(_assets(spark, sf_dir).withColumns({"title": F.col("name"), "category": F.col("source"), "category2": F.lit("")}))
+
+
+_PY = lambda c: f"CASE WHEN {c} THEN 'True' ELSE 'False' END"
+
+
+@query(f"""WITH {_ASSETS_SQL} SELECT name AS original_name, final_name, status, CAST(score AS VARCHAR) AS score, risk, source AS category, '' AS category2, '' AS title, destination, reason, {_PY('people')} AS people_visible, {_PY('prop')} AS property_or_trademark_visible, {_PY('mark')} AS watermark_or_overlay_visible, CAST(len(kw) AS VARCHAR) AS keyword_count FROM a3""")
+def report_rows(spark, sf_dir):
+    a = _assets(spark, sf_dir).withColumns({
+        "original_name": F.col("name"), "category": F.col("source"), "category2": F.lit(None).cast("string"), "title": F.lit(None).cast("string"),
+        "people_visible": F.col("people"), "property_or_trademark_visible": F.col("prop"), "watermark_or_overlay_visible": F.col("mark"),
+    })
+    return sinks.report_rows(a)
+
+
+@query("SELECT doc_id, CAST(n_chars AS DOUBLE) * 2000 / 1e6 AS megapixels, CAST(n_chars AS DOUBLE) * 2000 / 1e6 < 4.0 AS low_res, doc_id % 3 = 0 OR n_chars > 50 * 100 AS needs_convert FROM documents")
+def low_res_gate(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    mp = hashing.megapixels(F.col("n_chars").cast("double"), F.lit(2000))
+    return d.select("doc_id", mp.alias("megapixels"), (mp < 4.0).alias("low_res"), ((F.col("doc_id") % 3 == 0) | (F.col("n_chars") > 5000)).alias("needs_convert"))
+
+
+@query(f"WITH {_ASSETS_SQL} SELECT name, destination, final_name FROM a3")
+def naming_plan(spark, sf_dir):
+    return _assets(spark, sf_dir).select("name", "destination", "final_name")
+
+
+@query(f"""WITH {_ASSETS_SQL} SELECT final_name AS name, unnest(['Title', 'Description', 'Caption-Abstract', 'XMP-dc:Title', 'XMP-dc:Description']) AS tag, unnest([name, source, source, name, source]) AS value FROM a3 WHERE status IN ('READY', 'NEEDS_RELEASE', 'REVIEW')
+UNION ALL SELECT final_name, t.tag, k FROM (SELECT final_name, unnest(kw) AS k FROM a3 WHERE status IN ('READY', 'NEEDS_RELEASE', 'REVIEW')), (VALUES ('Keywords'), ('XMP-dc:Subject')) t(tag)""")
+def keyword_tags(spark, sf_dir):
+    return sinks.tags(_assets(spark, sf_dir).withColumns({"title": F.col("name"), "description": F.col("source")}))
+
+
+@query(f"""WITH {_ASSETS_SQL} SELECT name AS original_name, destination, final_name FROM a3 UNION ALL SELECT name, '00_SOURCE_ORIGINALS', name FROM a3 WHERE doc_id % 3 = 0""")
+def move_plan(spark, sf_dir):
+    a = _assets(spark, sf_dir).withColumns({"original_name": F.col("name"), "needs_convert": F.col("doc_id") % 3 == 0})
+    return sinks.moves(a)
+
+
+@query(r"""SELECT item_id, CASE WHEN item_id % 2 = 0 THEN '{"n": ' || item_id || '}' ELSE 'n ' || item_id END AS body FROM benchmark""")
+def unfence_responses(spark, sf_dir):
+    b, i = _t(spark, sf_dir, "benchmark"), F.col("item_id").cast("string")
+    raw = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit(' ```json\n{"n": '), i, F.lit("}\n``` "))).otherwise(F.concat(F.lit("\t n "), i, F.lit("\n")))
+    return b.select("item_id", text.unfence(raw).alias("body"))
