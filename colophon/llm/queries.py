@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, decontamination, html, jaccard, licenses, packing, rules, sharding, urls
+from . import classifier, decontamination, html, jaccard, licenses, likelihood, packing, rules, sharding, urls
 from .common import read_table as _t
 
 
@@ -39,6 +39,10 @@ def op8_decontamination(spark, sf_dir):
     return decontamination.digest(decontamination.scan(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")))
 
 
+def op9_pseudo_likelihood(spark, sf_dir):
+    return likelihood.score(_t(spark, sf_dir, "documents"))
+
+
 def op10_retrieval_packing(spark, sf_dir):
     return packing.pack(_t(spark, sf_dir, "documents"))
 
