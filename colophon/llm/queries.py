@@ -48,4 +48,41 @@ def op10_retrieval_packing(spark, sf_dir):
 
 
 QUERIES = {k: v for k, v in globals().items() if k.startswith("op")}
-ORACLES: dict[str, str] = {}
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_SPACED = r"[^\x20\x09-\x0D]+"
+_RULES = ", ".join(f"('{r}', '{v}')" for r, v in urls.RULES)
+_SPAM = " OR ".join(f"host = '{h}' OR host LIKE '%.{h}'" for h in urls.SPAM_HOSTS)
+_less = lambda chars: f"(length(x) - length(translate(x, '{chars}', '')))"
+_FURNITURE = " OR ".join(f"contains(lower(x), '{p}')" for p in rules.BOILERPLATE)
+
+ORACLES: dict[str, str] = {
+    "op5_url_filter": rf"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT rule, v, split_part(rule, '/', 1) AS h, substr(rule, strpos(rule, '/')) AS p FROM (VALUES {_RULES}) t(rule, v)),
+m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT u.page_id, host, path, rule, coalesce(v, CASE WHEN {_SPAM} THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN m ON u.page_id = m.page_id""",
+    "op6_quality_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+g AS (SELECT doc_id, i, w[i:i+2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS times FROM g) WHERE times > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d),
+k AS (SELECT doc_id, count(*) - count(DISTINCT x) AS dup, sum(CASE WHEN ({_less("|>»")} >= 2 AND {_less("|>»")} * 4 > {_less(" ")}) OR ({_less("!?")} >= 4 AND {_less("!?")} * 3 > {_less(" ")})
+  OR (length(x) < 200 AND ({_FURNITURE})) THEN 0 ELSE length(regexp_replace(x, '[ 	-]+', '', 'g')) END) AS clean FROM l WHERE regexp_matches(x, '[^ 	-]') GROUP BY doc_id),
+o AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, coalesce(clean, 0) AS clean FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND clean >= {rules.MIN_KEPT} * word_chars AS kept FROM o""",
+    "op8_decontamination": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') AS w FROM documents),
+b AS (SELECT item_id, w, least(10, len(w)) AS k FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') AS w FROM benchmark)),
+v AS (SELECT DISTINCT item_id, k, w[i:i+k-1] AS g FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b WHERE k > 0)),
+s AS (SELECT DISTINCT k FROM v),
+p AS (SELECT doc_id, i, k, w[i:i+k-1] AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, s)),
+h AS (SELECT doc_id, i, p.k, item_id FROM p JOIN v ON p.k = v.k AND p.g = v.g),
+n AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS place FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
+}
