@@ -301,5 +301,10 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id."""
     found = classes(docs, k, percent)
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(heads.withColumnRenamed("doc_id", "_head"), F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi").dropDuplicates(["doc_id"])
+    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_head")).agg((F.count("*") > 1).alias("_again"))
+    heads = materialize(heads, "heads")
+    few = heads.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(heads) if few else heads, F.col("doc_id").eqNullSafe(F.col("_head")))
+    once, again = kept.where("not _again").select(*docs.columns), kept.where("_again").select(*docs.columns)
+    # Only rows whose doc_id repeats are gathered by it.
+    return once if heads.where("_again").isEmpty() else once.union(again.dropDuplicates(["doc_id"]))
