@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from .common import SPACE_WORDS, batches, materialize, mix, word_hashes
 
 #: Classes that share a block and are paired at once; members of a chunk of larger ones.
-SMALL, CHUNK = 24, 384
+SMALL, CHUNK = 6, 384
 #: Packed keys that a task of the exchange handles, about.
 PART = 1_500_000
 #: Ids of candidates that may be broadcast (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 FOLD = 16  # 64-bit words of a folded sketch
 
 
@@ -208,31 +208,33 @@ def _hot_pairs(shared: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
     return rows.withColumns({"low": low, "high": high}).groupBy("block", "low", "high").applyInPandas(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, heads: DataFrame, k: int) -> DataFrame:
-    """class, n, folded sketch and set of the candidate classes; heads: class, doc_id."""
+def _sets(docs: DataFrame, heads: DataFrame, k: int, whole: bool) -> DataFrame:
+    """class, n, and the folded sketch or (whole) the set of the classes in heads: class, doc_id."""
     few = heads.count() <= BROADCAST_IDS
     ids = heads.select(F.col("doc_id").alias("head")).distinct()
+    name = "set" if whole else "fold"
     own = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
 
     def run(it):
         for batch in batches(it):
             shingles, begins = shingle_sets(batch.column("text"), k)
-            ids, sets, folds = set_ids(shingles, begins), [], []
+            ids, out = set_ids(shingles, begins), []
             for i in range(batch.num_rows):
                 s = shingles[begins[i] : begins[i + 1]]
+                if whole:
+                    out.append(s.astype("<u8").tobytes())
+                    continue
                 fold = np.zeros(FOLD, np.uint64)
                 np.bitwise_xor.at(fold, (s >> np.uint64(40)) % np.uint64(FOLD), np.uint64(1) << ((s >> np.uint64(32)) & np.uint64(63)))
-                sets.append(s.astype("<u8").tobytes())
-                folds.append(fold.astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(begins), pa.int64()), pa.array(folds, pa.binary()), pa.array(sets, pa.binary())], ["class", "n", "fold", "set"])
+                out.append(fold.astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(begins), pa.int64()), pa.array(out, pa.binary())], ["class", "n", name])
 
-    found = own.mapInArrow(run, "class long, n long, fold binary, set binary")
+    found = own.mapInArrow(run, f"class long, n long, {name} binary")
     return found.join(heads.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link."""
-    folds = sets.select("class", "n", "fold")
+def _near(pairs: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and folded sketches leave possible."""
     a = folds.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("fold").alias("fold_a"))
     b = folds.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("fold").alias("fold_b"))
 
@@ -241,7 +243,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         x, y = (np.frombuffer(b"".join(f), "<u8").reshape(-1, FOLD) for f in (fold_a, fold_b))
         return pd.Series(_close(n_a.to_numpy(), n_b.to_numpy(), x, y, percent))
 
-    near = pairs.join(a, "a").join(b, "b").where(close("n_a", "n_b", "fold_a", "fold_b")).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(close("n_a", "n_b", "fold_a", "fold_b")).select("a", "b")
+
+
+def _verify(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link."""
 
     @F.pandas_udf("boolean")
     def links(set_a: pd.Series, set_b: pd.Series) -> pd.Series:
@@ -282,9 +288,13 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     sets_of = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     shared = materialize(_shared(read.where("part is not null").select("part", "keys", "classes")), "shared")
     candidates = shared.select("class").distinct()
-    sets = materialize(_sets(docs, sets_of.join(candidates, "class", "left_semi"), k), "sets")
-    pairs = _small_pairs(shared).union(_hot_pairs(shared, sets.select("class", "n", "fold"), percent)).distinct()
-    links = materialize(_verify(pairs, sets, percent), "links")
+    heads = lambda some: sets_of.join(some, "class", "left_semi").select("class", "doc_id")
+    folds = materialize(_sets(docs, heads(candidates), k, whole=False), "folds")
+    pairs = _small_pairs(shared).union(_hot_pairs(shared, folds, percent)).distinct()
+    near = materialize(_near(pairs, folds, percent), "near")
+    # Sets are read again for the few classes that are near another, not kept for all candidates.
+    ends = near.select(F.col("a").alias("class")).union(near.select("b")).distinct()
+    links = materialize(_verify(near, materialize(_sets(docs, heads(ends), k, whole=True), "sets"), percent), "links")
     roots = components(links)
     copies = sets_of.select("class", "copies")
     ends = links.select(F.col("a").alias("class"), F.col("b").alias("other")).union(links.select("b", "a"))
