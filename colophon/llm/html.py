@@ -22,6 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
+#: Hosts whose winning paths may be broadcast; with more, pages and winners are joined by a shuffle.
+BROADCAST_HOSTS = 200_000
 #: Fixed sets of HTML tag names.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp", "noembed", "noframes"}
@@ -184,7 +188,8 @@ def winners(voted: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
-    won = winners(votes(pages)).withColumnRenamed("host", "_host")
+    won = materialize(winners(votes(pages)).withColumnRenamed("host", "_host"), "winners")
+    won = F.broadcast(won) if won.count() <= BROADCAST_HOSTS else won
     own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     own = own.join(won, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "path")
 
