@@ -9,8 +9,10 @@ Hamming test on folded sketches and are then verified on their sets.  Components
 links, in Spark.
 
 Skew: equal texts collapse to a class within each task; blocks shared by more than SMALL classes are cut into chunks
-whose pairs are compared in separate tasks, and a pair is given only in the first block that both share.  Shared
-passages don't gather documents: a block mixes shingles of the whole text.
+whose near pairs are found in separate tasks, each in the first large block that both share.  Where they outnumber
+their classes they stay packed in a bundle: its sets are gathered once, all intersections come from one matrix product,
+and it gives a spanning forest of its links with each class's number of links, not a row per pair.  Shared passages
+don't gather documents: a block mixes shingles of the whole text.
 
 Edge cases: null and empty texts have no shingles and link with nothing; fewer words than a shingle are one shingle;
 null doc_ids keep rows (with a null component unless an equal or linked document has an id); repeated rows are equal
@@ -29,6 +31,8 @@ from .common import SPACE_WORDS, batches, materialize, mix, word_hashes
 
 #: Classes that share a block and are paired at once; members of a chunk of larger ones.
 SMALL, CHUNK = 6, 384
+#: Shingles of the sets that a bundle of pairs gathers (beyond a single pair), and columns of an incidence matrix.
+BUNDLE, WIDE = 4_000_000, 4096
 #: Packed keys that a task of the exchange handles, about.
 PART = 1_500_000
 #: Ids of candidates that may be broadcast (8 bytes each); more are joined by a shuffle.
@@ -169,15 +173,20 @@ def _close(n_a, n_b, fold_a, fold_b, percent: int) -> np.ndarray:
 
 
 def _small_pairs(shared: DataFrame) -> DataFrame:
-    """Pairs of classes that share a small block, in the block's own row."""
+    """Pairs of classes that share a small block, with the first such block."""
     sets = shared.where(F.col("members") <= SMALL).groupBy("block").agg(F.array_sort(F.collect_list("class")).alias("c"))
-    sets = sets.groupBy("c").agg(F.count("*").alias("blocks"))
-    first = sets.select("c", F.posexplode("c").alias("i", "a"))
-    return first.select("a", F.explode(F.slice("c", F.col("i") + 2, SMALL)).alias("b")).distinct()
+    sets = sets.groupBy("c").agg(F.min("block").alias("block"))
+    first = sets.select("c", "block", F.posexplode("c").alias("i", "a"))
+    pairs = first.select("a", F.explode(F.slice("c", F.col("i") + 2, SMALL)).alias("b"), "block")
+    return pairs.groupBy("a", "b").agg(F.min("block").alias("block"))
 
 
-def _hot_pairs(shared: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in large blocks, chunk against chunk."""
+def _hot_near(shared: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
+    """Near pairs of classes in large blocks, chunk against chunk: block, low, high, part, class, other, pairs.
+
+    A row with a null part is a pair (class, other).  Where pairs outnumber their classes, they are one row of packed
+    pairs with a null class, and each of their classes has a row of the same part.
+    """
     hot = shared.where(F.col("members") > SMALL)
     own = hot.groupBy("class").agg(F.array_sort(F.collect_list("block")).alias("blocks"))
     n = F.ceil(F.col("members") / CHUNK).cast("int")
@@ -187,25 +196,43 @@ def _hot_pairs(shared: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
     rows = rows.select("block", "class", "n", "fold", F.when(F.size("blocks") <= 256, F.col("blocks")).alias("blocks"), "chunk", other)
     low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        block, low, high = (int(x) for x in key)
-        ids, n = pdf["class"].to_numpy(np.int64), pdf.n.to_numpy(np.int64)
-        fold = np.frombuffer(b"".join(pdf.fold), "<u8").reshape(-1, FOLD)
-        chunk = pdf.chunk.to_numpy()
-        blocks = [None if x is None else frozenset(x.tolist()) for x in pdf.blocks]
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        block, low, high = (x.as_py() for x in key)
+        ids, n, chunk = (rows.column(c).to_numpy() for c in ("class", "n", "chunk"))
+        fold = np.frombuffer(b"".join(rows.column("fold").to_pylist()), "<u8").reshape(-1, FOLD)
+        blocks = [None if x is None else frozenset(x) for x in rows.column("blocks").to_pylist()]
         left = np.flatnonzero(chunk == low)
         right = np.flatnonzero(chunk == high)
-        out = []
-        for i in left:
+        parts: list[tuple[list, set]] = [([], set())]
+        total = 0
+        for i in left.tolist():
             js = right[ids[right] > ids[i]] if low == high else right
             js = js[_close(np.full(len(js), n[i]), n[js], fold[i], fold[js], percent)]
-            for j in js:
+            for j in js.tolist():
                 x, y = blocks[i], blocks[j]
                 if x is None or y is None or min(x & y) == block:
-                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+                    pairs, held = parts[-1]
+                    total += sum(int(n[c]) for c in {i, j} - held)
+                    if pairs and total > BUNDLE:
+                        parts.append(([], set()))
+                        pairs, held = parts[-1]
+                        total = int(n[i] + n[j])
+                    pairs.append((i, j))
+                    held.update((i, j))
+        out = []
+        for part, (pairs, held) in enumerate(parts):
+            ends = np.sort(ids[np.array(pairs, np.int64).reshape(-1, 2)], axis=1)
+            if len(pairs) <= len(held):
+                out += [(None, a, b, None) for a, b in ends.tolist()]
+            else:
+                out += [(part, c, None, None) for c in ids[sorted(held)].tolist()] + [(part, None, None, ends.astype("<i8").tobytes())]
+        of = list(zip(*out, strict=True)) or [[]] * 4
+        same = [pa.array([x] * len(out), t) for x, t in ((block, pa.int64()), (low, pa.int32()), (high, pa.int32()))]
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table([*same, *(pa.array(x, t) for x, t in zip(of, types, strict=True))], ["block", "low", "high", "part", "class", "other", "pairs"])
 
-    return rows.withColumns({"low": low, "high": high}).groupBy("block", "low", "high").applyInPandas(run, "a long, b long")
+    found = rows.withColumns({"low": low, "high": high}).groupBy("block", "low", "high")
+    return found.applyInArrow(run, "block long, low int, high int, part int, class long, other long, pairs binary")
 
 
 def _sets(docs: DataFrame, heads: DataFrame, k: int, whole: bool) -> DataFrame:
@@ -243,25 +270,99 @@ def _near(pairs: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
         x, y = (np.frombuffer(b"".join(f), "<u8").reshape(-1, FOLD) for f in (fold_a, fold_b))
         return pd.Series(_close(n_a.to_numpy(), n_b.to_numpy(), x, y, percent))
 
-    return pairs.join(a, "a").join(b, "b").where(close("n_a", "n_b", "fold_a", "fold_b")).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(close("n_a", "n_b", "fold_a", "fold_b")).select("a", "b", "block")
 
 
-def _verify(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link."""
+def own_blocks(own: np.ndarray, percent: int, parts: int) -> np.ndarray:
+    """The blocks of a set, as the exchange names them."""
+    keys = block_keys(own, percent, bands(percent, len(own)))
+    part = (keys >> np.uint64(33)) % np.uint64(parts)
+    return np.unique((part.astype(np.int64) << 32) | keys.astype(np.uint32).astype(np.int64))
 
-    @F.pandas_udf("boolean")
-    def links(set_a: pd.Series, set_b: pd.Series) -> pd.Series:
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of different sets, from products of incidence matrices of bounded width."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[code] > 1
+    found, code = np.unique(code[shared], return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[shared][order]
+    total = np.zeros((m, m), np.float32)
+    for a in range(0, len(found), WIDE):
+        low, high = np.searchsorted(code, [a, a + WIDE])
+        held = np.zeros((m, min(WIDE, len(found) - a)), np.float32)
+        held[owner[low:high], code[low:high] - a] = 1
+        total += held @ held.T
+    return total.astype(np.int64)
+
+
+def _verify(near: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """a, b, first of the pairs that link; first: their block is the first of all that both share."""
+
+    @F.pandas_udf("int")
+    def links(set_a: pd.Series, set_b: pd.Series, block: pd.Series) -> pd.Series:
         out = []
-        for x, y in zip(set_a, set_b, strict=True):
+        for x, y, own in zip(set_a, set_b, block, strict=True):
             x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
             both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
+            link = 100 * both >= percent * (len(x) + len(y) - both)
+            out.append(link and 1 + int(np.intersect1d(own_blocks(x, percent, parts), own_blocks(y, percent, parts))[0] == own))
+        return pd.Series(out, dtype="int32")
 
     whole = sets.select("class", "set")
     near = near.join(whole.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
     near = near.join(whole.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
-    return near.where(links("set_a", "set_b")).select("a", "b")
+    return near.select("a", "b", links("set_a", "set_b", "block").alias("link")).where("link > 0").select("a", "b", (F.col("link") == 2).alias("first"))
+
+
+def _verify_bundles(hot: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Two kinds of rows: links a, b of a spanning forest of each bundle, and class, others.
+
+    others counts the documents that a class links with, over the links whose first shared block is the bundle's: so each
+    link counts once among all bundles and single pairs.
+    """
+    name = ["block", "low", "high", "part"]
+    packed = hot.where("part is not null")
+    members = packed.where("class is not null").select(*name, "class").join(sets.select("class", "set", "copies"), "class")
+    pairs = packed.where("class is null").select(*name, "class", F.col("pairs").alias("set"), F.lit(0).cast("long").alias("copies"))
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        given = sorted((c, s, k) for c, s, k in zip(*(rows.column(x).to_pylist() for x in ("class", "set", "copies")), strict=True) if c is not None)
+        ids = np.array([c for c, _, _ in given], np.int64)
+        own = [np.frombuffer(s, "<u8") for _, s, _ in given]
+        copies = np.array([k for _, _, k in given], np.int64)
+        pairs = np.frombuffer(b"".join(s for c, s in zip(rows.column("class").to_pylist(), rows.column("set").to_pylist(), strict=True) if c is None), "<i8")
+        x, y = np.searchsorted(ids, pairs.reshape(-1, 2)).T
+        size, both = np.array([len(s) for s in own]), overlaps(own)[x, y]
+        link = 100 * both >= percent * (size[x] + size[y] - both)
+        x, y = x[link], y[link]
+        block = key[0].as_py()
+        before = overlaps([b[b < block] for b in (own_blocks(s, percent, parts) for s in own)])
+        p, q = x[before[x, y] == 0], y[before[x, y] == 0]
+        others = np.zeros(len(ids), np.int64)
+        np.add.at(others, p, copies[q])
+        np.add.at(others, q, copies[p])
+        root, forest = list(range(len(ids))), []
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            a, b = i, j
+            while root[a] != a:
+                root[a] = a = root[root[a]]
+            while root[b] != b:
+                root[b] = b = root[root[b]]
+            if a != b:
+                root[a] = b
+                forest.append((i, j))
+        ends = ids[np.array(forest, np.int64).reshape(-1, 2)]
+        linked = others > 0
+        void = lambda n: pa.nulls(int(n), pa.int64())
+        join = lambda u, v: pa.chunked_array([u, v])
+        a, b = (pa.array(ends[:, i]) for i in (0, 1))
+        k, f = int(linked.sum()), len(forest)
+        return pa.table({"a": join(a, void(k)), "b": join(b, void(k)), "class": join(void(f), pa.array(ids[linked])), "others": join(void(f), pa.array(others[linked]))})
+
+    return members.select(*name, "class", "set", "copies").union(pairs).groupBy(*name).applyInArrow(run, "a long, b long, class long, others long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -290,15 +391,21 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     candidates = shared.select("class").distinct()
     heads = lambda some: sets_of.join(some, "class", "left_semi").select("class", "doc_id")
     folds = materialize(_sets(docs, heads(candidates), k, whole=False), "folds")
-    pairs = _small_pairs(shared).union(_hot_pairs(shared, folds, percent)).distinct()
-    near = materialize(_near(pairs, folds, percent), "near")
-    # Sets are read again for the few classes that are near another, not kept for all candidates.
-    ends = near.select(F.col("a").alias("class")).union(near.select("b")).distinct()
-    links = materialize(_verify(near, materialize(_sets(docs, heads(ends), k, whole=True), "sets"), percent), "links")
-    roots = components(links)
     copies = sets_of.select("class", "copies")
-    ends = links.select(F.col("a").alias("class"), F.col("b").alias("other")).union(links.select("b", "a"))
-    degree = ends.join(copies.withColumnRenamed("class", "other"), "other").groupBy("class").agg(F.sum("copies").alias("others"))
+    hot = materialize(_hot_near(shared, folds, percent), "hot")
+    single = hot.where("part is null").select(F.col("class").alias("a"), F.col("other").alias("b"), "block")
+    near = _near(_small_pairs(shared), folds, percent).union(single)
+    near = materialize(near.groupBy("a", "b").agg(F.min("block").alias("block")), "near")
+    # Sets are read again for the few classes that are near another, not kept for all candidates.
+    ends = near.select(F.col("a").alias("class")).union(near.select("b")).union(hot.where("part is not null and class is not null").select("class")).distinct()
+    sets = materialize(_sets(docs, heads(ends), k, whole=True).join(copies, "class"), "sets")
+    pairs = materialize(_verify(near, sets, percent, parts), "links")
+    bundles = materialize(_verify_bundles(hot, sets, percent, parts), "bundles")
+    roots = components(pairs.select("a", "b").union(bundles.where("a is not null").select("a", "b")))
+    once = pairs.where("first")
+    ends = once.select(F.col("a").alias("class"), F.col("b").alias("other")).union(once.select("b", "a"))
+    degree = ends.join(copies.withColumnRenamed("class", "other"), "other").select("class", F.col("copies").alias("others"))
+    degree = degree.union(bundles.where("class is not null").select("class", "others")).groupBy("class").agg(F.sum("others").alias("others"))
     of = sets_of.join(roots, "class", "left").join(degree, "class", "left")
     of = of.select("class", "doc_id", F.coalesce("root", "class").alias("root"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     least = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))

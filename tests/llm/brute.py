@@ -113,3 +113,10 @@ def components(texts, k, percent):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i)) for i in texts}
+
+
+def n_links(texts, k, percent):
+    """Other documents that each one links with."""
+    sets = {i: shingles(t, k) for i, t in texts.items()}
+    close = lambda x, y: bool(x) and 100 * len(x & y) >= percent * len(x | y)
+    return {i: sum(close(s, t) for j, t in sets.items() if j != i) for i, s in sets.items()}

@@ -113,8 +113,26 @@ def variants(n, length, seed, edits):
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
 def test_jaccard_groups(spark, k, percent):
     texts = dict(enumerate(variants(70, 120, 1, 9) + variants(30, 40, 2, 4) + variants(20, 7, 3, 2) + variants(12, 900, 4, 60)))
-    got = jaccard.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), k, percent)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute.components(texts, k, percent)
+    got = jaccard.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), k, percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components(texts, k, percent)
+    assert {r.doc_id: r.n_links for r in got} == brute.n_links(texts, k, percent)
+
+
+def test_jaccard_chunks_and_bundles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 16)
+    monkeypatch.setattr(jaccard, "BUNDLE", 1500)
+    texts = dict(enumerate(variants(90, 120, 5, 7) + variants(40, 30, 6, 3)))
+    got = jaccard.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components(texts, 3, 90)
+    assert {r.doc_id: r.n_links for r in got} == brute.n_links(texts, 3, 90)
+
+
+def test_overlaps(monkeypatch):
+    monkeypatch.setattr(jaccard, "WIDE", 7)
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 60, r.integers(0, 40))).astype(np.uint64) for _ in range(12)]
+    got = jaccard.overlaps(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(12) for j in range(12) if i != j)
 
 
 def test_urls(spark):
