@@ -2,17 +2,17 @@
 
 A document is the set of its distinct word shingles (64-bit hashes).  Documents with equal sets are one class; links are
 sought between classes.  Sizes fall into bands; a pair that links has both sizes in a band's reach, and its symmetric
-difference is at most the band's D.  Each shingle flips one bit of a sketch of D + 1 blocks of 64 bits, so sketches'
-Hamming distance is a lower bound of the symmetric difference, and by the pigeonhole principle a pair that links has at
-least one equal block.  Blocks are exchanged as packed keys; classes that share one are candidates; candidates pass a
-Hamming test on folded sketches and are then verified on their sets.  Components come from min-label passes over the
-links, in Spark.
+difference is at most the band's D.  Each shingle flips one bit of a sketch of D + 1 + slack blocks, so sketches' Hamming
+distance is a lower bound of the symmetric difference, and by the pigeonhole principle a pair that links has more than
+slack equal blocks.  A block has 2**64 bits and is kept as the XOR of random words, one for each bit that is set.  Blocks
+without shingles are equal by chance only; a class leaves them out unless it has more than slack of them, so one equal
+block with shingles is left to find each link.  Blocks are exchanged as packed keys; classes that share one and pass a
+Hamming test on folded sketches are candidates.  Components of the candidates gather each set once, and all intersections
+within a component are computed there.  Components come from min-label passes, in Spark.
 
 Skew: equal texts collapse to a class within each task; blocks shared by more than SMALL classes are cut into chunks
-whose near pairs are found in separate tasks, each in the first large block that both share.  Where they outnumber
-their classes they stay packed in a bundle: its sets are gathered once, all intersections come from one matrix product,
-and it gives a spanning forest of its links with each class's number of links, not a row per pair.  Shared passages
-don't gather documents: a block mixes shingles of the whole text.
+that are compared in separate tasks, each of which gives a spanning forest of its near pairs and not the pairs.  A large
+component is cut into chunks likewise: a task gives a forest of its links and each class's number of links.
 
 Edge cases: null and empty texts have no shingles and link with nothing; fewer words than a shingle are one shingle;
 null doc_ids keep rows (with a null component unless an equal or linked document has an id); repeated rows are equal
@@ -21,6 +21,8 @@ documents; an empty table gives an empty result; extra columns are ignored by `c
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -31,8 +33,8 @@ from .common import SPACE_WORDS, batches, materialize, mix, word_hashes
 
 #: Classes that share a block and are paired at once; members of a chunk of larger ones.
 SMALL, CHUNK = 6, 384
-#: Shingles of the sets that a bundle of pairs gathers (beyond a single pair), and columns of an incidence matrix.
-BUNDLE, WIDE = 4_000_000, 4096
+#: Shingles of the sets in a chunk of a component, those of the components that share a task, and columns of an incidence matrix.
+BUNDLE, PACK, WIDE = 4_000_000, 250_000, 4096
 #: Packed keys that a task of the exchange handles, about.
 PART = 1_500_000
 #: Ids of candidates that may be broadcast (8 bytes each); more are joined by a shuffle.
@@ -40,13 +42,15 @@ BROADCAST_IDS = 500_000
 FOLD = 16  # 64-bit words of a folded sketch
 
 
-def bands(percent: int, largest: int) -> list[tuple[int, int]]:
-    """(smallest size, blocks) of each band up to a size."""
+def bands(percent: int, largest: int) -> list[tuple[int, int, int]]:
+    """(smallest size, blocks, slack) of each band up to a size; slack is above the number of empty blocks to expect."""
     out, low = [], 1
     while low <= largest:
         high = max(low + 1, -(-4 * low // 3))
         most = high - 1
-        out.append((low, (most + 100 * most // percent) * (100 - percent) // (100 + percent) + 1))
+        least = (most + 100 * most // percent) * (100 - percent) // (100 + percent) + 1
+        slack = 1 + math.ceil(1.3 * least * math.exp(-low * percent / 100 / least))
+        out.append((low, least + slack, slack))
         low = high
     return out
 
@@ -81,23 +85,23 @@ def set_ids(shingles: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return mix(total[begins[1:]] - total[begins[:-1]] + n * np.uint64(0xAF251AF3B0F025B5)).view(np.int64)
 
 
-def block_keys(own: np.ndarray, percent: int, scheme: list[tuple[int, int]]) -> np.ndarray:
+def block_keys(own: np.ndarray, percent: int, scheme: list[tuple[int, int, int]]) -> np.ndarray:
     """A 64-bit key of each block of a set's sketches, in the bands that it takes part in."""
     n = len(own)
-    k = int(np.searchsorted([low for low, _ in scheme], n, "right")) - 1
-    out = []
+    k = int(np.searchsorted([low for low, _, _ in scheme], n, "right")) - 1
+    bits, out = mix(own + np.uint64(0x9E3779B97F4A7C15)), []
     for band in (k, k - 1):
         if band < 0 or band < k and n * percent > 100 * (scheme[k][0] - 1):
             continue
-        blocks = scheme[band][1]
-        block = (own >> np.uint64(8)) % np.uint64(blocks)
+        _, blocks, slack = scheme[band]
+        block = ((own >> np.uint64(8)) % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
-        bits = np.uint64(1) << (own[order] & np.uint64(63))
-        value = np.zeros(blocks, np.uint64)
-        at = np.searchsorted(block[order], np.arange(blocks))
-        held = np.append(at[1:], n) > at
-        value[held] = np.bitwise_xor.reduceat(bits, at[held]) if n else 0
-        out.append(mix(mix(value + np.uint64(band + 1)) + np.arange(blocks, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)))
+        held, at = np.unique(block[order], return_index=True)
+        value = np.bitwise_xor.reduceat(bits[order], at)
+        if blocks - len(held) > slack:
+            empty = np.setdiff1d(np.arange(blocks), held, assume_unique=True)
+            held, value = np.append(held, empty), np.append(value, np.zeros(len(empty), np.uint64))
+        out.append(mix(mix(value + np.uint64(band + 1)) + held.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)))
     return np.concatenate(out)
 
 
@@ -173,66 +177,44 @@ def _close(n_a, n_b, fold_a, fold_b, percent: int) -> np.ndarray:
 
 
 def _small_pairs(shared: DataFrame) -> DataFrame:
-    """Pairs of classes that share a small block, with the first such block."""
+    """Pairs of classes that share a small block."""
     sets = shared.where(F.col("members") <= SMALL).groupBy("block").agg(F.array_sort(F.collect_list("class")).alias("c"))
-    sets = sets.groupBy("c").agg(F.min("block").alias("block"))
-    first = sets.select("c", "block", F.posexplode("c").alias("i", "a"))
-    pairs = first.select("a", F.explode(F.slice("c", F.col("i") + 2, SMALL)).alias("b"), "block")
-    return pairs.groupBy("a", "b").agg(F.min("block").alias("block"))
+    first = sets.select("c").distinct().select("c", F.posexplode("c").alias("i", "a"))
+    return first.select("a", F.explode(F.slice("c", F.col("i") + 2, SMALL)).alias("b")).distinct()
 
 
-def _hot_near(shared: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
-    """Near pairs of classes in large blocks, chunk against chunk: block, low, high, part, class, other, pairs.
+def _find(root: list[int], i: int) -> int:
+    while root[i] != i:
+        root[i] = i = root[root[i]]
+    return i
 
-    A row with a null part is a pair (class, other).  Where pairs outnumber their classes, they are one row of packed
-    pairs with a null class, and each of their classes has a row of the same part.
-    """
-    hot = shared.where(F.col("members") > SMALL)
-    own = hot.groupBy("class").agg(F.array_sort(F.collect_list("block")).alias("blocks"))
+
+def _hot_near(shared: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
+    """a, b: a spanning forest of the near pairs of classes in each large block, chunk against chunk."""
     n = F.ceil(F.col("members") / CHUNK).cast("int")
-    chunk = F.pmod(F.xxhash64("class"), n).cast("int")
-    rows = hot.withColumn("chunks", n).withColumn("chunk", chunk).join(own, "class").join(folds, "class")
+    rows = shared.where(F.col("members") > SMALL).withColumns({"chunks": n, "chunk": F.pmod(F.xxhash64("class"), n).cast("int")}).join(folds, "class")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    rows = rows.select("block", "class", "n", "fold", F.when(F.size("blocks") <= 256, F.col("blocks")).alias("blocks"), "chunk", other)
-    low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
+    rows = rows.select("block", "class", "n", "fold", "chunk", other)
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        block, low, high = (x.as_py() for x in key)
+        low, high = key[1].as_py(), key[2].as_py()
         ids, n, chunk = (rows.column(c).to_numpy() for c in ("class", "n", "chunk"))
         fold = np.frombuffer(b"".join(rows.column("fold").to_pylist()), "<u8").reshape(-1, FOLD)
-        blocks = [None if x is None else frozenset(x) for x in rows.column("blocks").to_pylist()]
-        left = np.flatnonzero(chunk == low)
-        right = np.flatnonzero(chunk == high)
-        parts: list[tuple[list, set]] = [([], set())]
-        total = 0
-        for i in left.tolist():
-            js = right[ids[right] > ids[i]] if low == high else right
-            js = js[_close(np.full(len(js), n[i]), n[js], fold[i], fold[js], percent)]
-            for j in js.tolist():
-                x, y = blocks[i], blocks[j]
-                if x is None or y is None or min(x & y) == block:
-                    pairs, held = parts[-1]
-                    total += sum(int(n[c]) for c in {i, j} - held)
-                    if pairs and total > BUNDLE:
-                        parts.append(([], set()))
-                        pairs, held = parts[-1]
-                        total = int(n[i] + n[j])
-                    pairs.append((i, j))
-                    held.update((i, j))
-        out = []
-        for part, (pairs, held) in enumerate(parts):
-            ends = np.sort(ids[np.array(pairs, np.int64).reshape(-1, 2)], axis=1)
-            if len(pairs) <= len(held):
-                out += [(None, a, b, None) for a, b in ends.tolist()]
-            else:
-                out += [(part, c, None, None) for c in ids[sorted(held)].tolist()] + [(part, None, None, ends.astype("<i8").tobytes())]
-        of = list(zip(*out, strict=True)) or [[]] * 4
-        same = [pa.array([x] * len(out), t) for x, t in ((block, pa.int64()), (low, pa.int32()), (high, pa.int32()))]
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        return pa.table([*same, *(pa.array(x, t) for x, t in zip(of, types, strict=True))], ["block", "low", "high", "part", "class", "other", "pairs"])
+        left, right = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
+        label, forest = np.arange(len(ids)), []
+        for at, i in enumerate(left.tolist()):
+            # Classes that are already in i's tree need no test.
+            js = right[at + 1 :] if low == high else right
+            js = js[label[js] != label[i]]
+            for j in js[_close(np.full(len(js), n[i]), n[js], fold[i], fold[js], percent)].tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    forest.append((i, j))
+        ends = ids[np.array(forest, np.int64).reshape(-1, 2)]
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
-    found = rows.withColumns({"low": low, "high": high}).groupBy("block", "low", "high")
-    return found.applyInArrow(run, "block long, low int, high int, part int, class long, other long, pairs binary")
+    pair = {"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")}
+    return rows.withColumns(pair).groupBy("block", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, heads: DataFrame, k: int, whole: bool) -> DataFrame:
@@ -270,14 +252,7 @@ def _near(pairs: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
         x, y = (np.frombuffer(b"".join(f), "<u8").reshape(-1, FOLD) for f in (fold_a, fold_b))
         return pd.Series(_close(n_a.to_numpy(), n_b.to_numpy(), x, y, percent))
 
-    return pairs.join(a, "a").join(b, "b").where(close("n_a", "n_b", "fold_a", "fold_b")).select("a", "b", "block")
-
-
-def own_blocks(own: np.ndarray, percent: int, parts: int) -> np.ndarray:
-    """The blocks of a set, as the exchange names them."""
-    keys = block_keys(own, percent, bands(percent, len(own)))
-    part = (keys >> np.uint64(33)) % np.uint64(parts)
-    return np.unique((part.astype(np.int64) << 32) | keys.astype(np.uint32).astype(np.int64))
+    return pairs.join(a, "a").join(b, "b").where(close("n_a", "n_b", "fold_a", "fold_b")).select("a", "b")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -298,71 +273,56 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _verify(near: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
-    """a, b, first of the pairs that link; first: their block is the first of all that both share."""
+def _verify(roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links within each component of candidates, as rows of class, root, others, a, b.
 
-    @F.pandas_udf("int")
-    def links(set_a: pd.Series, set_b: pd.Series, block: pd.Series) -> pd.Series:
-        out = []
-        for x, y, own in zip(set_a, set_b, block, strict=True):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            link = 100 * both >= percent * (len(x) + len(y) - both)
-            out.append(link and 1 + int(np.intersect1d(own_blocks(x, percent, parts), own_blocks(y, percent, parts))[0] == own))
-        return pd.Series(out, dtype="int32")
-
-    whole = sets.select("class", "set")
-    near = near.join(whole.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
-    near = near.join(whole.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
-    return near.select("a", "b", links("set_a", "set_b", "block").alias("link")).where("link > 0").select("a", "b", (F.col("link") == 2).alias("first"))
-
-
-def _verify_bundles(hot: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Two kinds of rows: links a, b of a spanning forest of each bundle, and class, others.
-
-    others counts the documents that a class links with, over the links whose first shared block is the bundle's: so each
-    link counts once among all bundles and single pairs.
+    others counts the documents that a class links with.  A component that fits a task gives each linked class's root;
+    of one that is cut into chunks, a task gives (a, b), a spanning forest of its links.
     """
-    name = ["block", "low", "high", "part"]
-    packed = hot.where("part is not null")
-    members = packed.where("class is not null").select(*name, "class").join(sets.select("class", "set", "copies"), "class")
-    pairs = packed.where("class is null").select(*name, "class", F.col("pairs").alias("set"), F.lit(0).cast("long").alias("copies"))
+    members = roots.join(sets.select("class", "n", "set", "copies"), "class")
+    sizes = members.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
+    chunks = F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("total") / BUNDLE)).cast("int")
+    sizes = materialize(sizes.select(F.col("root").alias("own"), "total", chunks.alias("chunks")), "sizes")
+    bins = int((sizes.agg(F.sum("total")).first()[0] or 0) // PACK) + 1
+    chunk = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
+    rows = members.join(sizes, F.col("root") == F.col("own")).withColumn("chunk", chunk)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    whole = F.col("chunks") == 1
+    rows = rows.withColumns({
+        "place": F.when(whole, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")),
+        "low": F.when(whole, -1).otherwise(F.least("chunk", "other")), "high": F.when(whole, -1).otherwise(F.greatest("chunk", "other")),
+    })
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        given = sorted((c, s, k) for c, s, k in zip(*(rows.column(x).to_pylist() for x in ("class", "set", "copies")), strict=True) if c is not None)
-        ids = np.array([c for c, _, _ in given], np.int64)
-        own = [np.frombuffer(s, "<u8") for _, s, _ in given]
-        copies = np.array([k for _, _, k in given], np.int64)
-        pairs = np.frombuffer(b"".join(s for c, s in zip(rows.column("class").to_pylist(), rows.column("set").to_pylist(), strict=True) if c is None), "<i8")
-        x, y = np.searchsorted(ids, pairs.reshape(-1, 2)).T
-        size, both = np.array([len(s) for s in own]), overlaps(own)[x, y]
-        link = 100 * both >= percent * (size[x] + size[y] - both)
-        x, y = x[link], y[link]
-        block = key[0].as_py()
-        before = overlaps([b[b < block] for b in (own_blocks(s, percent, parts) for s in own)])
-        p, q = x[before[x, y] == 0], y[before[x, y] == 0]
-        others = np.zeros(len(ids), np.int64)
-        np.add.at(others, p, copies[q])
-        np.add.at(others, q, copies[p])
-        root, forest = list(range(len(ids))), []
-        for i, j in zip(x.tolist(), y.tolist(), strict=True):
-            a, b = i, j
-            while root[a] != a:
-                root[a] = a = root[root[a]]
-            while root[b] != b:
-                root[b] = b = root[root[b]]
-            if a != b:
-                root[a] = b
-                forest.append((i, j))
-        ends = ids[np.array(forest, np.int64).reshape(-1, 2)]
-        linked = others > 0
-        void = lambda n: pa.nulls(int(n), pa.int64())
-        join = lambda u, v: pa.chunked_array([u, v])
-        a, b = (pa.array(ends[:, i]) for i in (0, 1))
-        k, f = int(linked.sum()), len(forest)
-        return pa.table({"a": join(a, void(k)), "b": join(b, void(k)), "class": join(void(f), pa.array(ids[linked])), "others": join(void(f), pa.array(others[linked]))})
-
-    return members.select(*name, "class", "set", "copies").union(pairs).groupBy(*name).applyInArrow(run, "a long, b long, class long, others long")
+        low, high = key[1].as_py(), key[2].as_py()
+        ids, roots, copies, chunk = (rows.column(c).to_numpy() for c in ("class", "root", "copies", "chunk"))
+        own = [np.frombuffer(x, "<u8") for x in rows.column("set").to_pylist()]
+        order = np.lexsort((ids, roots))
+        parts = np.split(order, np.flatnonzero(np.diff(roots[order])) + 1) if len(order) else []
+        out = []
+        for part in parts:
+            both, size = overlaps([own[i] for i in part]), np.array([len(own[i]) for i in part])
+            link = np.triu(100 * both >= percent * (size[:, None] + size - both), 1)
+            if low != high:
+                link &= chunk[part][:, None] != chunk[part]
+            x, y = np.nonzero(link)
+            others = np.zeros(len(part), np.int64)
+            np.add.at(others, x, copies[part[y]])
+            np.add.at(others, y, copies[part[x]])
+            tree = list(range(len(part)))
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                a, b = _find(tree, i), _find(tree, j)
+                if a != b:
+                    tree[max(a, b)] = min(a, b)
+                    if low >= 0:
+                        out.append((None, None, None, int(ids[part[i]]), int(ids[part[j]])))
+            for i in np.flatnonzero(others).tolist():
+                out.append((int(ids[part[i]]), int(ids[part[_find(tree, i)]]) if low < 0 else None, int(others[i]), None, None))
+        of = list(zip(*out, strict=True)) or [[]] * 5
+        return pa.table([pa.array(x, pa.int64()) for x in of], ["class", "root", "others", "a", "b"])
+
+    rows = rows.select("place", "low", "high", "root", "class", "set", "copies", "chunk")
+    return rows.groupBy("place", "low", "high").applyInArrow(run, "class long, root long, others long, a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -392,20 +352,13 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     heads = lambda some: sets_of.join(some, "class", "left_semi").select("class", "doc_id")
     folds = materialize(_sets(docs, heads(candidates), k, whole=False), "folds")
     copies = sets_of.select("class", "copies")
-    hot = materialize(_hot_near(shared, folds, percent), "hot")
-    single = hot.where("part is null").select(F.col("class").alias("a"), F.col("other").alias("b"), "block")
-    near = _near(_small_pairs(shared), folds, percent).union(single)
-    near = materialize(near.groupBy("a", "b").agg(F.min("block").alias("block")), "near")
+    near = _near(_small_pairs(shared), folds, percent).union(_hot_near(shared, folds, percent))
+    groups = components(materialize(near, "near"))
     # Sets are read again for the few classes that are near another, not kept for all candidates.
-    ends = near.select(F.col("a").alias("class")).union(near.select("b")).union(hot.where("part is not null and class is not null").select("class")).distinct()
-    sets = materialize(_sets(docs, heads(ends), k, whole=True).join(copies, "class"), "sets")
-    pairs = materialize(_verify(near, sets, percent, parts), "links")
-    bundles = materialize(_verify_bundles(hot, sets, percent, parts), "bundles")
-    roots = components(pairs.select("a", "b").union(bundles.where("a is not null").select("a", "b")))
-    once = pairs.where("first")
-    ends = once.select(F.col("a").alias("class"), F.col("b").alias("other")).union(once.select("b", "a"))
-    degree = ends.join(copies.withColumnRenamed("class", "other"), "other").select("class", F.col("copies").alias("others"))
-    degree = degree.union(bundles.where("class is not null").select("class", "others")).groupBy("class").agg(F.sum("others").alias("others"))
+    sets = materialize(_sets(docs, heads(groups.select("class")), k, whole=True).join(copies, "class"), "sets")
+    found = materialize(_verify(groups, sets, percent), "links")
+    roots = found.where("root is not null").select("class", "root").union(components(found.where("a is not null").select("a", "b")))
+    degree = found.where("class is not null").groupBy("class").agg(F.sum("others").alias("others"))
     of = sets_of.join(roots, "class", "left").join(degree, "class", "left")
     of = of.select("class", "doc_id", F.coalesce("root", "class").alias("root"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     least = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))

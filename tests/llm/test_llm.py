@@ -120,7 +120,7 @@ def test_jaccard_groups(spark, k, percent):
 
 def test_jaccard_chunks_and_bundles(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK", 16)
-    monkeypatch.setattr(jaccard, "BUNDLE", 1500)
+    monkeypatch.setattr(jaccard, "PACK", 1500)
     texts = dict(enumerate(variants(90, 120, 5, 7) + variants(40, 30, 6, 3)))
     got = jaccard.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components(texts, 3, 90)
