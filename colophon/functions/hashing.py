@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,3 +42,22 @@ def phash(pixels: np.ndarray) -> str:
     corner = (basis @ np.asarray(pixels, float) @ basis.T)[:8, :8]
     bits = (corner > np.median(corner)).ravel()
     return f"{int(''.join('1' if b else '0' for b in bits), 2):016x}"
+
+
+def simhash(words: pa.ListArray, rows: int = 1 << 18) -> pa.Array:
+    """64-bit SimHash of each list of words: each bit is the sign of the votes of the words' md5; null without words."""
+    found = words.flatten().dictionary_encode()
+    heads = b"".join(hashlib.md5((w or "").encode()).digest()[:8] for w in found.dictionary.to_pylist())
+    votes = np.unpackbits(np.frombuffer(heads, np.uint8).reshape(-1, 8), axis=1).astype(np.int8) * np.int8(2) - np.int8(1)
+    code = found.indices.to_numpy(zero_copy_only=False)
+    ends = np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    total = np.zeros((len(words), 64), np.int64)
+    for a in range(0, len(code), rows):
+        b = min(a + rows, len(code))
+        first = int(np.searchsorted(ends, a, "right"))
+        last = int(np.searchsorted(ends, b, "left"))
+        own = np.flatnonzero(np.diff(ends[first : last + 1], prepend=ends[first - 1] if first else 0)) + first
+        begin = np.maximum(np.where(own > 0, ends[own - 1], 0), a) - a
+        total[own] += np.add.reduceat(votes[code[a:b]], begin, axis=0, dtype=np.int64)
+    bits = np.packbits(total > 0, axis=1).view(">i8").ravel().astype(np.int64)
+    return pa.array(bits, pa.int64(), mask=np.diff(ends, prepend=0) == 0)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hamming64
+from ..functions.hashing import hamming64, simhash
 
 
 def exact(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
@@ -41,3 +42,16 @@ def near(df: DataFrame, bits: str, order: str, name: str, threshold: int = 6, ne
     best = found.groupBy("bits").agg(F.min("earlier").alias("earlier"))
     out = own.join(best, "bits", "left")
     return out.select(F.col("ord").alias(order), F.when(F.col("earlier.ord") < F.col("ord"), F.col("earlier.name")).alias("near_duplicate_of"))
+
+
+def fingerprints(df: DataFrame, text: str, name: str) -> DataFrame:
+    """name, bits: the 64-bit SimHash of each whole text, over its distinct lower-case words; null without words."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)")))
+    own = df.select(F.col(name).alias("name"), words.alias("words"))
+
+    def run(it):
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([batch.column("name"), simhash(batch.column("words"))], ["name", "bits"])
+
+    kind = own.schema["name"].dataType.simpleString()
+    return own.mapInArrow(run, f"name {kind}, bits long").withColumnRenamed("name", name)

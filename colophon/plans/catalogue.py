@@ -93,6 +93,21 @@ def near_duplicates(spark, sf_dir):
     return dedup.near(d, "bits", "doc_id", "doc_id")
 
 
+_SIGNS = lambda half: " + ".join(f"CASE WHEN sum(({half} >> {i}) % 2 * 2 - 1) > 0 THEN CAST({1 << i} AS BIGINT) ELSE 0 END" for i in range(32))
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS w FROM documents),
+h AS (SELECT doc_id, CAST('0x' || left(md5(w), 8) AS BIGINT) AS a, CAST('0x' || substr(md5(w), 9, 8) AS BIGINT) AS b FROM t),
+f AS (SELECT doc_id, {_SIGNS('a')} AS a, {_SIGNS('b')} AS b FROM h GROUP BY doc_id)
+SELECT d.doc_id, min(y.doc_id) AS near_duplicate_of FROM documents d LEFT JOIN f x ON x.doc_id = d.doc_id
+LEFT JOIN f y ON y.doc_id < x.doc_id AND bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)) <= 6 GROUP BY d.doc_id""")
+def near_duplicates_simhash(spark, sf_dir):
+    """64-bit SimHash of the whole texts, compared within six bits."""
+    f = dedup.fingerprints(_t(spark, sf_dir, "documents"), "text", "doc_id").persist()
+    wordless = f.where("bits IS NULL").select("doc_id", F.lit(None).cast("long").alias("near_duplicate_of"))
+    return dedup.near(f, "bits", "doc_id", "doc_id").union(wordless)
+
+
 @query("SELECT vec_id, array_to_string(list_transform(embedding, lambda v: CASE WHEN v > (list_sort(embedding)[32] + list_sort(embedding)[33]) / CAST(2.0 AS DOUBLE) THEN '1' ELSE '0' END), '') AS bits FROM embeddings")
 def fingerprint_embeddings(spark, sf_dir):
     values = F.transform("embedding", lambda v: v.cast("double"))
