@@ -28,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SPACE_WORDS, batches, materialize, mix, word_hashes
 
@@ -340,8 +341,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links per row of docs."""
+def _resolve(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n, class of each row; class, component_id, n_links, head of each class with shingles.
+
+    head: whether the class has its component's smallest doc_id; one class of each component has it.
+    """
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, int(chars * (100 - percent) / (100 + percent) / 3 / PART))
     read = materialize(_read(docs, k, percent, parts), "read")
@@ -361,20 +365,46 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     degree = found.where("class is not null").groupBy("class").agg(F.sum("others").alias("others"))
     of = sets_of.join(roots, "class", "left").join(degree, "class", "left")
     of = of.select("class", "doc_id", F.coalesce("root", "class").alias("root"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    least = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of = materialize(of.join(least, "root").select("class", "component_id", "n_links"), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("first")
+    least = of.groupBy("root").agg(first).select("root", F.col("first.doc_id").alias("component_id"), F.col("first.class").alias("_first"))
+    of = of.join(least, "root").select("class", "component_id", "n_links", (F.col("class") == F.col("_first")).alias("head"))
+    return rows, materialize(of, "classes")
+
+
+def classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links per row of docs."""
+    rows, of = _resolve(docs, k, percent)
     linked = rows.where("n > 0").join(of, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.union(alone)
 
 
+def _with_class(docs: DataFrame, k: int) -> DataFrame:
+    """docs and the class of each row in _class."""
+
+    def run(it):
+        for batch in batches(it):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(set_ids(*shingle_sets(batch.column("text"), k)))], [*batch.schema.names, "_class"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_class", T.LongType())]))
+
+
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id."""
-    found = classes(docs, k, percent)
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_head")).agg((F.count("*") > 1).alias("_again"))
-    heads = materialize(heads, "heads")
+    """docs with one row of each component, one of the smallest doc_id; rows without words all stay."""
+    rows, of = _resolve(docs, k, percent)
+    # A doc_id that one row has names that row; of others, and of null, a row is told by its class too.
+    repeats = rows.groupBy("doc_id").agg((F.col("doc_id").isNull() | (F.count("*") > 1)).alias("_again"))
+    heads = of.where("head").select(F.col("component_id").alias("_head"), F.col("class").alias("_own"))
+    heads = materialize(heads.join(repeats, F.col("_head").eqNullSafe(F.col("doc_id"))).drop("doc_id"), "heads")
     few = heads.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(heads) if few else heads, F.col("doc_id").eqNullSafe(F.col("_head")))
-    once, again = kept.where("not _again").select(*docs.columns), kept.where("_again").select(*docs.columns)
-    # Only rows whose doc_id repeats are gathered by it.
-    return once if heads.where("_again").isEmpty() else once.union(again.dropDuplicates(["doc_id"]))
+    small = lambda df: F.broadcast(df) if few else df
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    bare, docs = docs.where(~worded), docs.where(worded)
+    kept = docs.join(small(heads.where("not _again").select("_head")), F.col("doc_id") == F.col("_head"), "left_semi").union(bare)
+    again = heads.where("_again")
+    if again.isEmpty():
+        return kept
+    # Only rows whose doc_id repeats are gathered, by their class.
+    own = docs.join(small(again.select("_head").distinct()), F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
+    own = _with_class(own, k).join(small(again), (F.col("_class") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
+    return kept.union(own.dropDuplicates(["_class"]).drop("_class"))
