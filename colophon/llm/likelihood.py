@@ -1,14 +1,16 @@
 """Masked pseudo-likelihood: a bidirectional window network in numpy predicts every token from both sides.
 
-Tokens are lower-cased words.  Their counts over all documents give the vocabulary's classes: the CLASSES / 2
-most frequent words have a class each, all others share the remaining classes by hash, and a class's probability is
-shared evenly by its words, so every word of every text has a probability.  The network sees the embeddings of the
-SIDE words before and after a place and gives a distribution over the classes of the masked word.  Each partition
-trains a copy on its own texts, from the same start; the copies' weights are averaged in Spark, weighted by their
-tokens.  A document's score is the sum of its tokens' conditional log-probabilities, and the mean per token.
-
-What is gathered grows with the corpus: word counts and one set of weights per partition.  The table of words that goes
-to the executors has CLASSES rows, whatever the input.
+Tokens are lower-cased words.  Their counts over all documents give the vocabulary: words with a count of at least
+sqrt(all tokens) / OWN are named, so their number grows with the corpus.  The CLASSES / 2 most frequent words have a class
+each; the other named words are leaves of the remaining classes, by hash, and every class has one leaf for its words
+without a name, which share the leaf's probability by their counts.  The network sees the embeddings of the SIDE words
+before and after a place and gives a distribution over the classes, and one over the leaves of the masked word's class,
+so a place's probabilities of all words of the corpus sum to 1.  Each partition trains a copy on its own texts, from the
+same start; the copies' weights are averaged in Spark, weighted by their tokens.  A document's score is the sum of its
+tokens' conditional log-probabilities, and the mean per token.
+
+What is gathered grows with the corpus: word counts, the named words and one set of weights per partition.  The named
+words go to the executors; counts of the others are joined to the places that hold them.
 
 Edge cases: null and empty texts have no tokens, a sum of 0 and a null mean; repeated rows and null doc_ids keep their
 rows; an empty table gives an empty result; extra columns are ignored.
@@ -16,6 +18,8 @@ rows; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,11 +29,20 @@ from .common import SPACE_WORDS, batches, materialize, word_hashes
 
 CLASSES, WIDTH, SIDE, STEP, RATE = 96, 16, 2, 4096, 0.5
 SLICE = 2 << 20
+#: The square root of all tokens over this is the least count of a named word.
+OWN = 8
+#: Weights that travel in one row.
+BLOCK = 4096
 
 
-def initial(seed: int = 11) -> dict[str, np.ndarray]:
+def initial(vocabulary: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
-    return {"in": r.normal(0, 0.1, (2 * SIDE, CLASSES + 1, WIDTH)).astype(np.float32), "out": np.zeros((WIDTH, CLASSES), np.float32), "base": np.zeros(CLASSES, np.float32)}
+    base, lean = np.log(vocabulary.total + 1.0), np.log(np.maximum(vocabulary.count, 1e-9))
+    return {
+        "in": r.normal(0, 0.1, (2 * SIDE, vocabulary.leaves + 1, WIDTH)).astype(np.float32),
+        "out": np.zeros((WIDTH, vocabulary.n), np.float32), "base": (base - base.mean()).astype(np.float32),
+        "leaf": np.zeros((vocabulary.leaves, WIDTH), np.float32), "lean": lean.astype(np.float32),
+    }
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -44,41 +57,60 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Classes of words, and each class's total count."""
+    """Leaves of words, classes of leaves, and the counts of both.
+
+    Leaves first[c] to first[c + 1] are of class c; the first one of a class with many is for its words without a name.
+    """
 
     def __init__(self, counts: DataFrame):
-        heads = [(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(CLASSES // 2).collect()]
-        self.words = np.array(sorted(w for w, _ in heads), np.int64)
-        rest = F.pmod(F.col("word"), F.lit(CLASSES - len(heads))).alias("c")
-        other = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(w,) for w, _ in heads], "word long")), "word", "left_anti")
-        shares = {r.c: (r.words, r.n) for r in other.groupBy(rest).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()}
-        self.size, self.total = np.ones(CLASSES), np.zeros(CLASSES)
-        n = dict(heads)
-        for k, w in enumerate(self.words):
-            self.total[k] = n[int(w)]
-        for c, (words, count) in shares.items():
-            self.size[len(heads) + c], self.total[len(heads) + c] = words, count
-
-    def classes(self, words: np.ndarray) -> np.ndarray:
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        floor = max(2, math.ceil(math.sqrt(total) / OWN))
+        found = {r.word: r.n for r in counts.where(F.col("n") >= floor).collect()} | {r.word: r.n for r in counts.orderBy(F.desc("n"), "word").limit(CLASSES // 2).collect()}
+        ranked = sorted(found, key=lambda w: (-found[w], w))
+        heads, others = ranked[: CLASSES // 2], np.array(ranked[CLASSES // 2 :], np.int64)
+        self.heads = len(heads)
+        self.buckets = max(CLASSES - self.heads, math.ceil(math.sqrt(len(others))))
+        self.n = self.heads + self.buckets
+        named = counts.sparkSession.createDataFrame([(w,) for w in found], "word long")
+        rest = counts.join(F.broadcast(named), "word", "left_anti").groupBy(F.pmod("word", F.lit(self.buckets)).alias("c")).agg(F.sum("n").alias("n"))
+        own = others % self.buckets
+        others = others[order := np.argsort(own, kind="stable")]
+        width = np.append(np.ones(self.heads, np.int64), 1 + np.bincount(own, minlength=self.buckets))
+        self.first = np.append(0, np.cumsum(width))
+        self.leaves = int(self.first[-1])
+        self.of = np.repeat(np.arange(self.n), width)
+        spare = self.first[self.heads : -1]
+        leaf = np.append(np.arange(self.heads), np.setdiff1d(np.arange(self.heads, self.leaves), spare))
+        words = np.append(np.array(heads, np.int64), others)
+        self.count = np.zeros(self.leaves)
+        self.count[leaf] = [found[int(w)] for w in words]
+        for r in rest.collect():
+            self.count[spare[r.c]] = r.n
+        self.total = np.add.reduceat(self.count, self.first[:-1])
+        self.spare = np.zeros(self.leaves, bool)
+        self.spare[spare] = True
+        self.words, self.leaf = words[order := np.argsort(words)], leaf[order]
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """The leaf of each word."""
         words = words.view(np.int64)
-        k = len(self.words)
-        out = k + words % (CLASSES - k)
-        if k:
-            at = np.minimum(np.searchsorted(self.words, words), k - 1)
-            out = np.where(self.words[at] == words, at, out)
+        out = self.first[self.heads + words % self.buckets]
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            out = np.where(self.words[at] == words, self.leaf[at], out)
         return out
 
 
-def contexts(classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The classes around each place, CLASSES beyond a text's ends."""
-    n = len(classes)
+def contexts(leaves: np.ndarray, starts: np.ndarray, beyond: int) -> np.ndarray:
+    """The leaves around each place, and a number for what is beyond a text's ends."""
+    n = len(leaves)
     owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    out = np.full((n, 2 * SIDE), CLASSES)
+    out = np.full((n, 2 * SIDE), beyond)
     for column, shift in enumerate([d for d in range(-SIDE, SIDE + 1) if d]):
         at = np.arange(n) + shift
         at = np.clip(at, 0, max(0, n - 1))
         same = (np.arange(n) + shift == at) & (owner[at] == owner) if n else np.zeros(0, bool)
-        out[same, column] = classes[at[same]]
+        out[same, column] = leaves[at[same]]
     return out
 
 
@@ -92,44 +124,80 @@ def forward(w: dict, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hidden, logits
 
 
-def learn(w: dict, around: np.ndarray, target: np.ndarray) -> None:
+def split(w: dict, hidden: np.ndarray, y: np.ndarray, vocabulary: Vocabulary):
+    """For each class of many leaves among the leaves y: its places, leaves from and to, and logits over these."""
+    own = vocabulary.of[y]
+    order = np.argsort(own, kind="stable")
+    found, at = np.unique(own[order], return_index=True)
+    for c, rows in zip(found.tolist(), np.split(order, at[1:]), strict=True):
+        a, b = int(vocabulary.first[c]), int(vocabulary.first[c + 1])
+        if b - a > 1:
+            logits = hidden[rows] @ w["leaf"][a:b].T + w["lean"][a:b]
+            logits -= logits.max(1, keepdims=True)
+            yield rows, a, b, logits
+
+
+def log_probabilities(w: dict, around: np.ndarray, y: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    """Of the leaf at each place."""
+    hidden, logits = forward(w, around)
+    out = (logits[np.arange(len(y)), vocabulary.of[y]] - np.log(np.exp(logits).sum(1))).astype(np.float64)
+    for rows, a, _, logits in split(w, hidden, y, vocabulary):
+        out[rows] += logits[np.arange(len(rows)), y[rows] - a] - np.log(np.exp(logits).sum(1))
+    return out
+
+
+def learn(w: dict, around: np.ndarray, target: np.ndarray, vocabulary: Vocabulary) -> None:
     """One pass of gradient steps over the places."""
     for a in range(0, len(target), STEP):
-        own, y = around[a : a + STEP], target[a : a + STEP]
-        hidden, p = forward(w, own)
+        near, y = around[a : a + STEP], target[a : a + STEP]
+        hidden, p = forward(w, near)
         np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
-        p[np.arange(len(y)), y] -= 1
+        p[np.arange(len(y)), vocabulary.of[y]] -= 1
         p *= RATE / len(y)
-        d = (p @ w["out"].T) * (1 - hidden**2)
+        d = p @ w["out"].T
+        for rows, low, high, q in split(w, hidden, y, vocabulary):
+            np.exp(q, out=q)
+            q /= q.sum(1, keepdims=True)
+            q[np.arange(len(rows)), y[rows] - low] -= 1
+            q *= RATE / len(y)
+            d[rows] += q @ w["leaf"][low:high]
+            w["leaf"][low:high] -= q.T @ hidden[rows]
+            w["lean"][low:high] -= q.sum(0)
+        d *= 1 - hidden**2
         w["out"] -= hidden.T @ p
         w["base"] -= p.sum(0)
         for j in range(2 * SIDE):
-            cell = own[:, j, None] * WIDTH + np.arange(WIDTH)
-            w["in"][j] -= np.bincount(cell.ravel(), d.ravel(), (CLASSES + 1) * WIDTH).reshape(CLASSES + 1, WIDTH).astype(np.float32)
+            order = np.argsort(near[:, j], kind="stable")
+            found, at = np.unique(near[order, j], return_index=True)
+            w["in"][j][found] -= np.add.reduceat(d[order], at, axis=0)
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     """Copies trained on each partition's texts, averaged by their tokens."""
-    start = initial()
-    start["base"] = np.log(vocabulary.total + 1.0).astype(np.float32)
-    start["base"] -= start["base"].mean()
+    start = initial(vocabulary)
 
     def run(it):
         w, seen = {k: v.copy() for k, v in start.items()}, 0
         for batch in batches(it, SLICE):
             words, starts = word_hashes(batch.column("text"), SPACE_WORDS)
-            y = vocabulary.classes(words)
-            learn(w, contexts(y, starts), y)
+            y = vocabulary.find(words)
+            learn(w, contexts(y, starts, vocabulary.leaves), y, vocabulary)
             seen += len(y)
         if seen:
-            flat = np.concatenate([v.ravel() for v in w.values()]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen))], ["i", "x", "n"])
+            flat = np.concatenate([v.ravel() for v in w.values()])
+            for a in range(0, len(flat), BLOCK):
+                yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([flat[a : a + BLOCK].tobytes()]), pa.array([seen])], ["at", "x", "n"])
+
+    def mean(key: tuple, rows: pa.Table) -> pa.Table:
+        n = rows.column("n").to_numpy().astype(np.float64)
+        x = sum(np.frombuffer(x, np.float32) * k for x, k in zip(rows.column("x").to_pylist(), n, strict=True)) / n.sum()
+        return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "x": pa.array([x.astype(np.float32).tobytes()], pa.binary())})
 
-    mean = docs.select("text").mapInArrow(run, "i long, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x"))
     out = np.concatenate([v.ravel() for v in start.values()])
-    for r in mean.collect():  # as many rows as weights
-        out[r.i] = r.x
+    for r in docs.select("text").mapInArrow(run, "at long, x binary, n long").groupBy("at").applyInArrow(mean, "at long, x binary").collect():
+        own = np.frombuffer(r.x, np.float32)
+        out[r.at : r.at + len(own)] = own
     parts, at = {}, 0
     for k, v in start.items():
         parts[k] = out[at : at + v.size].reshape(v.shape)
@@ -139,22 +207,31 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (natural), mean_log_likelihood."""
-    vocabulary = Vocabulary(materialize(word_counts(docs), "words"))
+    counts = materialize(word_counts(docs), "words")
+    vocabulary = Vocabulary(counts)
     weights = train(docs, vocabulary)
-    spread = np.log(np.maximum(vocabulary.size, 1)).astype(np.float32)
+    spread = np.where(vocabulary.spare, np.log(np.maximum(vocabulary.count, 1)), 0)
 
     def run(it):
         for batch in batches(it, SLICE):
             words, starts = word_hashes(batch.column("text"), SPACE_WORDS)
-            y = vocabulary.classes(words)
-            around, value = contexts(y, starts), np.zeros(len(y) + 1)
-            for a in range(0, len(y), STEP):
-                _, logits = forward(weights, around[a : a + STEP])
-                own = y[a : a + STEP]
-                value[a + 1 : a + 1 + len(own)] = logits[np.arange(len(own)), own] - np.log(np.exp(logits).sum(1)) - spread[own]
-            total = np.cumsum(value)
-            n = np.diff(starts)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(total[starts[1:]] - total[starts[:-1]])], ["doc_id", "n_tokens", "log_likelihood"])
-
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double")
-    return scored.withColumn("mean_log_likelihood", F.col("log_likelihood") / F.nullif(F.col("n_tokens"), F.lit(0)))
+            y = vocabulary.find(words)
+            around, value = contexts(y, starts, vocabulary.leaves), np.zeros(len(y) + 1)
+            for a in range(0, len(y), 8 * STEP):
+                own = y[a : a + 8 * STEP]
+                value[a + 1 : a + 1 + len(own)] = log_probabilities(weights, around[a : a + 8 * STEP], own, vocabulary) - spread[own]
+            total, n = np.cumsum(value), np.diff(starts)
+            spare = vocabulary.spare[y]
+            ends = np.append(0, np.cumsum(spare))[starts]
+            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words[spare].view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(total[starts[1:]] - total[starts[:-1]]), rest],
+                ["doc_id", "n_tokens", "value", "rest"],
+            )
+
+    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, value double, rest array<long>")
+    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    # A word without a name has its count's share of its leaf.
+    more = scored.select("row", F.explode("rest").alias("word")).join(counts, "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+    out = scored.drop("rest").join(more, "row", "left").select("doc_id", "n_tokens", (F.col("value") + F.coalesce("more", F.lit(0.0))).alias("log_likelihood"))
+    return out.withColumn("mean_log_likelihood", F.col("log_likelihood") / F.nullif(F.col("n_tokens"), F.lit(0)))

@@ -3,12 +3,15 @@
 import os
 import sys
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute
 
-from colophon.llm import jaccard
+from colophon.llm import jaccard, likelihood
+from colophon.llm.common import SPACE_WORDS, word_hashes
 
 
 def kept_rows(spark, rows, k=5, percent=80):
@@ -47,3 +50,50 @@ def test_deduplicate_edge_table(spark):
         rows = [(i, t, r) for r, (i, t) in enumerate(zip(ids, texts, strict=True))]
         got = set(kept_rows(spark, rows))
         assert len(got) == 7 and {0, 1, 2, 3, 5, 6} <= got
+
+
+def zipf_texts():
+    r = np.random.default_rng(4)
+    return [" ".join(f"w{min(int(x), 40_000)}" for x in r.zipf(1.3, 400)) for _ in range(60)]
+
+
+def brute_log_probability(w, v, entry, near):
+    """Of one leaf, place by place."""
+    hidden = np.tanh(sum(w["in"][j][e].astype(float) for j, e in enumerate(near)))
+    part = lambda z, i: z[i] - np.log(np.exp(z).sum())
+    c = int(v.of[entry])
+    a, b = v.first[c], v.first[c + 1]
+    return part(hidden @ w["out"] + w["base"], c) + part(w["leaf"][a:b] @ hidden + w["lean"][a:b], entry - a)
+
+
+def test_likelihood_names_words_and_sums_to_one(spark):
+    texts = zipf_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2).persist()
+    counts = likelihood.word_counts(docs).persist()
+    v = likelihood.Vocabulary(counts)
+    w = likelihood.train(docs, v)
+    n = {r.word: r.n for r in counts.collect()}
+    assert len(v.words) > likelihood.CLASSES // 2 and set(v.words) >= {k for k, c in n.items() if c >= 20}
+    words = np.array(list(n), np.int64)
+    leaf = v.find(words.view(np.uint64))
+    share = np.where(v.spare[leaf], np.array([n[int(x)] for x in words]) / v.count[leaf], 1.0)
+    for near in ([v.leaves] * 4, [0, 3, int(leaf[7]), v.leaves]):
+        p = np.exp([brute_log_probability(w, v, e, near) for e in range(v.leaves)])
+        assert abs((p[leaf] * share).sum() - 1) < 1e-4
+    # Every sum against a forward pass place by place.
+    got = {r.doc_id: r for r in likelihood.score(docs).collect()}
+    for i in (0, 17, 59):
+        h, _ = word_hashes(pa.array([texts[i]]), SPACE_WORDS)
+        own = v.find(h).tolist()
+        padded = [v.leaves] * 2 + own + [v.leaves] * 2
+        want = 0.0
+        for k, e in enumerate(own):
+            want += brute_log_probability(w, v, e, padded[k : k + 2] + padded[k + 3 : k + 5])
+            want += np.log(n[int(h.view(np.int64)[k])] / v.count[e]) if v.spare[e] else 0
+        assert got[i].n_tokens == len(own) == 400 and abs(got[i].log_likelihood - want) < 1e-3 * abs(want)
+
+
+def test_likelihood_tells_common_words_from_rare_ones(spark):
+    texts = [" ".join(f"h{i % 60}" for i in range(3000)) + " often" * k for k in (9, 1)] + ["x often y", "x seldom y"]
+    got = {r.doc_id: r.log_likelihood for r in likelihood.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[2] > got[3] + 1
