@@ -1,8 +1,9 @@
 """Quality rules, line first, in DataFrame expressions.
 
 Each line is judged on its own: navigation (many bars or links for its words), shouting and heaped punctuation,
-boilerplate phrases, one word said over and over.  Failing lines go; a document that loses too much of its text, or
-that fails the base rules over the whole text, is rejected.  Everything is computed within the row: no shuffle.
+boilerplate phrases; `apply` also takes out lines that say one word over and over, which `evaluate` and its SQL leave.
+Failing lines go from the texts that `apply` gives; a document that loses too much of its text, or that fails the base
+rules over the whole text, is rejected.  Everything is computed within the row: no shuffle.
 
 Words repeated in windows: the 64-bit hashes of a text's word windows are sorted with their positions, so equal windows
 are neighbours; a position counts once for all repeated windows over it.
@@ -25,6 +26,10 @@ MIN_KEPT = 0.5
 BOILERPLATE = ["all rights reserved", "cookie policy", "privacy policy", "terms of service", "click here", "sign in", "subscribe now", "javascript is disabled", "share this"]
 
 
+#: A line of this many words or more of which one makes up half or more says it over and over.
+MIN_SAID = 6
+
+
 def _count(text: Column, others: str) -> Column:
     return F.length(F.regexp_replace(text, others, ""))
 
@@ -44,6 +49,21 @@ def line_fails(line: Column) -> Column:
     return navigation | heaped | (short & furniture)
 
 
+def says_over(line: Column) -> Column:
+    """Whether one word is said over and over: it makes up half of a line of MIN_SAID words or more."""
+    words = F.array_sort(F.filter(F.split(F.lower(line), SPACES), lambda w: w != ""))
+    # Equal words are neighbours: one that makes up half of the line is also half a line further on.
+    half = F.floor((F.size(words) + 1) / 2).cast("int")
+    apart = F.zip_with(words, F.slice(words, half, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.coalesce(a == b, F.lit(False)))
+    return F.when(F.length(line) - F.length(F.regexp_replace(line, SPACES, "")) < MIN_SAID - 1, False).otherwise((F.size(words) >= MIN_SAID) & F.exists(apart, lambda x: x))
+
+
+def cleaned(text: Column) -> Column:
+    """The text without its failing lines; lines without words stay."""
+    goes = lambda x: x.rlike(r"[^\x20\x09-\x0D]") & (line_fails(x) | says_over(x))
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~goes(x)), "\n")
+
+
 def measure(docs: DataFrame, *keep: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     lines = F.split(text, "\n", -1)
@@ -86,9 +106,17 @@ def evaluate(docs: DataFrame) -> DataFrame:
 
 
 def apply(docs: DataFrame) -> DataFrame:
-    """The documents that pass, whole and unchanged.
+    """The documents that pass, without their failing lines; n_chars, where there is one, counts what is left.
 
+    A document is judged as in `evaluate`, and goes too if its cleaned text has less than MIN_KEPT of its letters.
     The row number is a fence: without it the optimizer moves the filter down and expands every expression in it.
     """
     judged = verdicts(measure(docs, *docs.columns)).withColumn("_row", F.monotonically_increasing_id())
-    return judged.where("kept and _row >= 0").select(*docs.columns)
+    kept = judged.where("kept and _row >= 0").select(*docs.columns, "word_chars", cleaned(F.col("text")).alias("_clean"))
+    kept = kept.withColumn("_row", F.monotonically_increasing_id())
+    left = F.length(F.regexp_replace("_clean", SPACES, ""))
+    kept = kept.where((F.col("_row") >= 0) & (left >= MIN_KEPT * F.col("word_chars")))
+    new = {"text": F.col("_clean").alias("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("_clean").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return kept.select(*[new.get(c, F.col(c)) for c in docs.columns])

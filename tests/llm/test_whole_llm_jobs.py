@@ -6,11 +6,12 @@ import sys
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute
 
-from colophon.llm import jaccard, likelihood
+from colophon.llm import jaccard, likelihood, rules
 from colophon.llm.common import SPACE_WORDS, word_hashes
 
 
@@ -97,3 +98,29 @@ def test_likelihood_tells_common_words_from_rare_ones(spark):
     texts = [" ".join(f"h{i % 60}" for i in range(3000)) + " often" * k for k in (9, 1)] + ["x often y", "x seldom y"]
     got = {r.doc_id: r.log_likelihood for r in likelihood.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got[2] > got[3] + 1
+
+
+def said_over(line):
+    words = brute.SPACED.findall(line.lower())
+    return len(words) >= 6 and max(words.count(w) for w in words) * 2 >= len(words)
+
+
+def test_rules_take_failing_lines_out(spark):
+    good = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    bad = ["Home | News | Sport | Mail", "BUY NOW !!!!!! ok", "All rights reserved by us", "buy buy Buy cheap buy  buy", "x y a a a b"]
+    plain = ["a a a b c", "to be or not to be", ""]
+    texts = ["\n".join([good[0], bad[0], good[1], *bad[1:], "", good[2], *plain]), "\n".join(good), good[0] + "\n" + bad[1], None, "spam " * 80]
+    texts.append("\n".join([good[0] + " " + good[1], "", bad[3]]))
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    got = rules.apply(docs)
+    assert got.schema == docs.schema or got.columns == docs.columns
+    want = {0: "\n".join([good[0], good[1], "", good[2], *plain]), 1: texts[1], 5: good[0] + " " + good[1] + "\n"}
+    assert {r.doc_id: (r.text, r.n_chars) for r in got.collect()} == {i: (t, len(t)) for i, t in want.items()}
+
+
+def test_rules_find_words_said_over_and_over(spark):
+    r = np.random.default_rng(2)
+    lines = ["", " ", "a", *[" ".join(r.choice(["a", "B", "b", "c", "d"], size=int(r.integers(1, 14)), p=[0.4, 0.1, 0.2, 0.2, 0.1])) for _ in range(200)]]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = [row.x for row in df.select(rules.says_over(F.col("line")).alias("x")).collect()]
+    assert got == [said_over(x) for x in lines] and len(set(got)) == 2
