@@ -4,8 +4,8 @@ Every Arrow slice of documents becomes one shard: its words are hashed, and a sp
 lexicographic order of their next words, the positions at which some test suffix can start at all (those whose first
 words start a test window).  Each test suffix is binary-searched in each shard, which gives the range of training
 suffixes that share at least a window with it; matches are extended to their longest verbatim length.  One pass, no
-shuffle: the test suffixes travel to the shards.  Their size is
-checked against MAX_CHARS.
+shuffle: the test suffixes travel to the shards.  A benchmark of more than MAX_CHARS is cut into parts, each with a pass of
+its own: `scan` merges the parts' hits of each row, `remove` hands the rows that are left to the next part.
 
 Edge cases: a null or empty text has no words and no hits; an item without words is never found; an item of fewer than
 `window` words is one window; repeated rows and repeated doc_ids each keep a row of their own; columns of the input
@@ -14,18 +14,19 @@ other than doc_id and text are ignored by `scan` and kept by `remove`.
 
 from __future__ import annotations
 
-import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, batches, word_hashes
+from .common import ALNUM_WORDS, batches, materialize, word_hashes
 
-#: The most characters of test items that one pass sends to the executors.
+#: The most characters of test items that one pass sends to the executors (one item that is longer has a pass alone).
 MAX_CHARS = 20_000_000
-_SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, longest long"
+_MATCHES = "array<struct<start:long,item_id:string,item_start:long,length:long>>"
+_SCHEMA = f"doc_id long, n_words long, n_hit long, items array<string>, longest long, matches {_MATCHES}"
 
 
 class TestSuffixes:
@@ -43,7 +44,7 @@ class TestSuffixes:
             size = min(window, n)
             if size:
                 groups.setdefault(size, []).extend((k, int(starts[k]) + j) for j in range(n - size + 1))
-        self.tokens, self.ends = hashes, starts[1:]
+        self.tokens, self.begins, self.ends = hashes, starts[:-1], starts[1:]
         self.groups = []
         for size, found in sorted(groups.items()):
             item = np.array([k for k, _ in found])
@@ -61,10 +62,14 @@ def chain(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def search(h: np.ndarray, starts: np.ndarray, suffixes: TestSuffixes) -> tuple[np.ndarray, list[set], np.ndarray]:
-    """Hit words, items and the longest match of each document of a shard."""
+def search(h: np.ndarray, starts: np.ndarray, suffixes: TestSuffixes, places_too: bool = False):
+    """Hit words, items and the longest match of each document of a shard; (document, word, item, item's word, length) of its matches.
+
+    A match is as long as it can be, to the right and to the left; matches are left out unless places_too.
+    """
     n_docs = len(starts) - 1
     hit = np.zeros(len(h) + 1, np.int64)
+    matches = []
     items: list[set] = [set() for _ in range(n_docs)]
     longest = np.zeros(n_docs, np.int64)
     doc_of = np.repeat(np.arange(n_docs), np.diff(starts))
@@ -100,9 +105,17 @@ def search(h: np.ndarray, starts: np.ndarray, suffixes: TestSuffixes) -> tuple[n
                     break
                 most[live] = j + 1
             np.maximum.at(longest, doc_of[places], most)
+            if places_too:
+                own, first = int(item[i]), int(at[i] - suffixes.begins[item[i]])
+                # A match that could begin a word earlier is part of that one.
+                late = np.zeros(len(places), bool)
+                if first and size == suffixes.window:
+                    before = np.maximum(places - 1, 0)
+                    late = (places > starts[:-1][doc_of[places]]) & (h[before] == suffixes.tokens[at[i] - 1])
+                matches.extend((int(doc_of[p]), int(p - starts[doc_of[p]]), own, first, int(n)) for p, n in zip(places[~late], most[~late], strict=True))
     covered = np.cumsum(hit[:-1]) > 0
     total = np.concatenate([[0], np.cumsum(covered)])
-    return total[starts[1:]] - total[starts[:-1]], items, longest
+    return total[starts[1:]] - total[starts[:-1]], items, longest, matches
 
 
 def _bytes(rows: np.ndarray) -> np.ndarray:
@@ -110,29 +123,63 @@ def _bytes(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows.astype(">u8")).view(f"S{8 * rows.shape[1]}").ravel()
 
 
-def _suffixes(benchmark: DataFrame, window: int) -> TestSuffixes:
-    """The test suffixes, after a check of their size: they are what every task holds."""
-    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > MAX_CHARS:
-        raise ValueError(f"the benchmark has {size} characters; scan it in parts of at most {MAX_CHARS}")
-    return TestSuffixes([(r[0], r[1]) for r in benchmark.select("item_id", "text").toLocalIterator()], window)
+def _parts(benchmark: DataFrame, window: int):
+    """The test suffixes, in parts of items with at most MAX_CHARS together: one part is what every task holds."""
+    items, size = [], 0
+    for r in benchmark.select("item_id", "text").toLocalIterator():
+        n = len(r[1] or "")
+        if items and size + n > MAX_CHARS:
+            yield TestSuffixes(items, window)
+            items, size = [], 0
+        items.append((r[0], r[1]))
+        size += n
+    yield TestSuffixes(items, window)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted), longest (words of the longest verbatim match) per row of docs."""
-    suffixes = _suffixes(benchmark, window)
-
-    def shard(it):
-        for batch in batches(it):
-            h, starts = word_hashes(batch.column("text"), ALNUM_WORDS)
-            n_hit, found, longest = search(h, starts, suffixes)
-            names = [sorted({suffixes.names[k] for k in x}) for x in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(starts)), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(longest, pa.int64())],
-                ["doc_id", "n_words", "n_hit", "items", "longest"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(shard, _SCHEMA)
+    """doc_id, n_words, n_hit, items (sorted), longest (words of the longest verbatim match), matches per row of docs.
+
+    matches: start (word of the document), item_id, item_start (word of the item), length (words), sorted.
+    """
+
+    def part(suffixes: TestSuffixes):
+        def shard(it):
+            for batch in batches(it):
+                h, starts = word_hashes(batch.column("text"), ALNUM_WORDS)
+                n_hit, found, longest, places = search(h, starts, suffixes, places_too=True)
+                names = [sorted({suffixes.names[k] for k in x}) for x in found]
+                own: list[list] = [[] for _ in names]
+                for d, start, item, first, n in places:
+                    own[d].append({"start": start, "item_id": suffixes.names[item], "item_start": first, "length": n})
+                own = [sorted(x, key=lambda m: (m["start"], m["item_id"], m["item_start"])) for x in own]
+                kind = pa.list_(pa.struct([("start", pa.int64()), ("item_id", pa.string()), ("item_start", pa.int64()), ("length", pa.int64())]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(starts)), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(longest, pa.int64()), pa.array(own, kind)],
+                    ["doc_id", "n_words", "n_hit", "items", "longest", "matches"],
+                )
+
+        return shard
+
+    docs, parts = docs.select("doc_id", "text"), _parts(benchmark, window)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return docs.mapInArrow(part(first), _SCHEMA)
+    # Each part's pass ends before the next part is made; a row has the same number in all of them.
+    docs, found = materialize(docs, "docs"), []
+    while first:
+        hits = docs.mapInArrow(part(first), _SCHEMA).withColumn("_row", F.monotonically_increasing_id())
+        found.append(materialize(hits if not found else hits.where("n_hit > 0"), "hits"))
+        first, second = second, next(parts, None)
+    rows = found[0].select("_row", "doc_id", "n_words")
+    both = reduce(DataFrame.union, [x.where("n_hit > 0").select("_row", "matches") for x in found])
+    # A row's matches cover its hit words, and no others.
+    both = both.groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
+    rows = rows.join(both, "_row", "left").withColumn("matches", F.coalesce("matches", F.array().cast(_MATCHES)))
+    step = lambda x, m: F.struct((x["n"] + F.greatest(m["start"] + m["length"] - F.greatest(m["start"], x["end"]), F.lit(0))).alias("n"), F.greatest(x["end"], m["start"] + m["length"]).alias("end"))
+    zero = F.lit(0).cast("long")
+    n_hit = F.aggregate("matches", F.struct(zero.alias("n"), zero.alias("end")), step, lambda x: x["n"])
+    names, longest = F.transform("matches", lambda m: m["item_id"]), F.array_max(F.transform("matches", lambda m: m["length"]))
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.array_sort(F.array_distinct(names)).alias("items"), F.coalesce(longest, zero).alias("longest"), "matches")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -144,12 +191,21 @@ def digest(found: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs without the rows that hold a window of the benchmark; the flag is made in the same pass as the rows."""
-    suffixes = _suffixes(benchmark, window)
-
-    def keep(it):
-        for batch in batches(it):
-            h, starts = word_hashes(batch.column("text"), ALNUM_WORDS)
-            bad = search(h, starts, suffixes)[0] > 0
-            yield batch.filter(pa.array(~bad))
 
-    return docs.mapInArrow(keep, docs.schema)
+    def part(suffixes: TestSuffixes):
+        def keep(it):
+            for batch in batches(it):
+                h, starts = word_hashes(batch.column("text"), ALNUM_WORDS)
+                bad = search(h, starts, suffixes)[0] > 0
+                yield batch.filter(pa.array(~bad))
+
+        return keep
+
+    schema, parts = docs.schema, _parts(benchmark, window)
+    suffixes, more = next(parts), next(parts, None)
+    while suffixes:
+        docs = docs.mapInArrow(part(suffixes), schema)
+        if more:
+            docs = materialize(docs, "left")
+        suffixes, more = more, next(parts, None)
+    return docs

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import brute
 
-from colophon.llm import jaccard, likelihood, rules
+from colophon.llm import decontamination, jaccard, likelihood, rules
 from colophon.llm.common import SPACE_WORDS, word_hashes
 
 
@@ -124,3 +124,36 @@ def test_rules_find_words_said_over_and_over(spark):
     df = spark.createDataFrame([(x,) for x in lines], "line string")
     got = [row.x for row in df.select(rules.says_over(F.col("line")).alias("x")).collect()]
     assert got == [said_over(x) for x in lines] and len(set(got)) == 2
+
+
+def brute_matches(text, items, window):
+    """(start, item, item's start, length) of the longest matches."""
+    words, out = brute.alnum(text), []
+    for item_id, item in items:
+        own = brute.alnum(item)
+        for i in range(len(words)):
+            for j in range(len(own)):
+                if words[i] == own[j] and not (i and j and words[i - 1] == own[j - 1]):
+                    n = 0
+                    while i + n < len(words) and j + n < len(own) and words[i + n] == own[j + n]:
+                        n += 1
+                    if n >= min(window, len(own)):
+                        out.append((i, str(item_id), j, n))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("limit", [10**6, 60])
+def test_decontamination_places_and_parts(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontamination, "MAX_CHARS", limit)
+    items = [(1, "a b c d a b c d a b c d"), (2, "one two"), (3, None), (4, ""), (5, " ".join(f"w{i}" for i in range(30))), (6, " ".join(f"w{i}" for i in range(14, 40))), (7, "z " * 5)]
+    texts = ["a b c d " * 6, "x " + " ".join(f"w{i}" for i in range(5, 38)) + " y one TWO w1 w2", None, "", "z z z z z z one", "nothing here", "a b c d " * 6]
+    docs = spark.createDataFrame([(i if i != 5 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(decontamination.scan(docs, bench, 4).collect(), key=lambda r: 5 if r.doc_id is None else r.doc_id)
+    assert len(got) == len(texts)
+    for r, text in zip(got, texts, strict=True):
+        want = brute_matches(text, items, 4)
+        assert [tuple(m) for m in r.matches] == want and r.longest == max((m[3] for m in want), default=0)
+        n_words, n_hit, n_items, _ = brute.hits(text, items, 4)
+        assert (r.n_words, r.n_hit, len(r["items"])) == (n_words, n_hit, n_items)
+    assert {r.doc_id for r in decontamination.remove(docs, bench, 4).collect()} == {2, 3, None}
