@@ -91,9 +91,9 @@ def block_keys(own: np.ndarray, percent: int, scheme: list[tuple[int, int, int]]
     n = len(own)
     k = int(np.searchsorted([low for low, _, _ in scheme], n, "right")) - 1
     bits, out = mix(own + np.uint64(0x9E3779B97F4A7C15)), []
-    for band in (k, k - 1):
-        if band < 0 or band < k and n * percent > 100 * (scheme[k][0] - 1):
-            continue
+    for band in range(k, -1, -1):
+        if band < k and n * percent > 100 * (scheme[band + 1][0] - 1):
+            break
         _, blocks, slack = scheme[band]
         block = ((own >> np.uint64(8)) % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")

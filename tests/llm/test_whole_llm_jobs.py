@@ -157,3 +157,15 @@ def test_decontamination_places_and_parts(spark, monkeypatch, limit):
         n_words, n_hit, n_items, _ = brute.hits(text, items, 4)
         assert (r.n_words, r.n_hit, len(r["items"])) == (n_words, n_hit, n_items)
     assert {r.doc_id for r in decontamination.remove(docs, bench, 4).collect()} == {2, 3, None}
+
+
+@pytest.mark.parametrize("percent", [70, 50])
+def test_jaccard_reaches_every_lower_band(spark, percent):
+    texts = {}
+    for n in range(8, 60):
+        for m in {-(-n * percent // 100), -(-n * percent // 100) + 1}:
+            texts[len(texts)] = " ".join(f"{n}v{m}x{i}" for i in range(n))
+            texts[len(texts)] = " ".join(f"{n}v{m}x{i}" for i in range(m))
+    got = jaccard.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 1, percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components(texts, 1, percent)
+    assert {r.doc_id: r.n_links for r in got} == brute.n_links(texts, 1, percent)
