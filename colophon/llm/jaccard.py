@@ -4,19 +4,27 @@ A document is the set of its distinct word shingles (64-bit hashes).  Documents
 sought between classes.  Sizes fall into bands; a pair that links has both sizes in a band's reach, and its symmetric
 difference is at most the band's D.  Each shingle flips one bit of a sketch of D + 1 + slack blocks, so sketches' Hamming
 distance is a lower bound of the symmetric difference, and by the pigeonhole principle a pair that links has more than
-slack equal blocks.  A block has 2**64 bits and is kept as the XOR of random words, one for each bit that is set.  Blocks
-without shingles are equal by chance only; a class leaves them out unless it has more than slack of them, so one equal
-block with shingles is left to find each link.  Blocks are exchanged as packed keys; classes that share one and pass a
-Hamming test on folded sketches are candidates.  Components of the candidates gather each set once, and all intersections
-within a component are computed there.  Components come from min-label passes, in Spark.
-
-Skew: equal texts collapse to a class within each task; blocks shared by more than SMALL classes are cut into chunks
+slack equal blocks.  A block has 2**64 bits and is kept as the XOR of random words, one for each bit that is set: the
+join's key is that word, and a second sketch of 1,024 bits tests the pairs that it gives.  Blocks without shingles are
+equal by chance only; a class leaves them out unless it has more than slack of them, so one equal block with shingles is
+left to find each link.
+
+Candidates come in two rounds.  First each block's classes are paired with the block's least class alone, pairs that pass
+the Hamming test are joined to components, and blocks whose classes are all of one component are done with.  What is left
+are blocks that hold several components; there all pairs of different components are tested.  Components of the candidates
+gather each set once, and all intersections within a component are computed there.  Components come from min-label passes,
+in Spark.
+
+Skew: equal texts collapse to a class within each task.  A block that many classes of a task share sends one of them to
+the exchange, and the others go around it.  Blocks of several components with more than SMALL classes are cut into chunks
 that are compared in separate tasks, each of which gives a spanning forest of its near pairs and not the pairs.  A large
-component is cut into chunks likewise: a task gives a forest of its links and each class's number of links.
+component is cut into chunks likewise: a task gives a forest of its links and each class's number of links.  That last
+step is quadratic in the number of different texts of one component.
 
 Edge cases: null and empty texts have no shingles and link with nothing; fewer words than a shingle are one shingle;
-null doc_ids keep rows (with a null component unless an equal or linked document has an id); repeated rows are equal
-documents; an empty table gives an empty result; extra columns are ignored by `classes` and kept by `deduplicate`.
+very long texts are read whole, one at a time; null doc_ids keep rows (with a null component unless an equal or linked
+document has an id); repeated rows are equal documents; an empty table gives an empty result; extra columns are ignored
+by `classes` and kept by `deduplicate`, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,15 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_WORDS, batches, materialize, mix, word_hashes
+from .common import SPACE_WORDS, batches, discard, materialize, mix, word_hashes
 
-#: Classes that share a block and are paired at once; members of a chunk of larger ones.
-SMALL, CHUNK = 6, 384
+#: Classes of a block that are paired at once, members of a chunk of larger blocks, and of a large component.
+SMALL, CHUNK, TILE = 6, 384, 1024
 #: Shingles of the sets in a chunk of a component, those of the components that share a task, and columns of an incidence matrix.
 BUNDLE, PACK, WIDE = 4_000_000, 250_000, 4096
-#: Packed keys that a task of the exchange handles, about.
-PART = 1_500_000
-#: Ids of candidates that may be broadcast (8 bytes each); more are joined by a shuffle.
+#: Keys that a task of the exchange handles, those that a task gathers before it sends them, and classes of one block there that go around.
+PART, GATHER, HOT = 1_500_000, 2_000_000, 64
+#: Ids of candidates that may be broadcast (32 bytes each at most); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 FOLD = 16  # 64-bit words of a folded sketch
 
@@ -106,68 +114,118 @@ def block_keys(own: np.ndarray, percent: int, scheme: list[tuple[int, int, int]]
     return np.concatenate(out)
 
 
-def _read(docs: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
-    """Rows of two kinds: one per document (part null), and packed keys with their classes for each part."""
+def folded(shingles: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The sketch of 64 * FOLD bits of each set."""
+    out = np.zeros((len(begins) - 1) * FOLD, np.uint64)
+    owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    word = owner * FOLD + ((shingles >> np.uint64(40)) % np.uint64(FOLD)).astype(np.int64)
+    np.bitwise_xor.at(out, word, np.uint64(1) << ((shingles >> np.uint64(32)) & np.uint64(63)))
+    return out.reshape(-1, FOLD)
+
+
+class Seen:
+    """The classes that a task has met of late."""
+
+    def __init__(self):
+        self.ids: set[int] = set()
+
+    def fresh(self, ids: np.ndarray, sizes: np.ndarray) -> list[int]:
+        """Numbers of the sets, not empty, that are the first of their class."""
+        if len(self.ids) > 500_000:
+            self.ids.clear()
+        out = []
+        for i in np.flatnonzero(sizes).tolist():
+            if (c := int(ids[i])) not in self.ids:
+                self.ids.add(c)
+                out.append(i)
+        return out
+
+
+def _read(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n, class of each row; the folded sketch in the first row of a class in each task."""
+
+    def run(it):
+        seen = Seen()
+        for batch in batches(it):
+            shingles, begins = shingle_sets(batch.column("text"), k)
+            sizes, ids = np.diff(begins), set_ids(shingles, begins)
+            sketch, fold = folded(shingles, begins).astype("<u8"), [None] * batch.num_rows
+            for i in seen.fresh(ids, sizes):
+                fold[i] = sketch[i].tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids), pa.array(fold, pa.binary())], ["doc_id", "n", "class", "fold"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, class long, fold binary")
+
+
+def _runs(block: np.ndarray, owners: np.ndarray):
+    """Distinct (block, owner) in order, the number of each block's owners, and its least owner."""
+    order = np.lexsort((owners, block))
+    block, owners = block[order], owners[order]
+    fresh = np.ones(len(block), bool)
+    fresh[1:] = (block[1:] != block[:-1]) | (owners[1:] != owners[:-1])
+    block, owners = block[fresh], owners[fresh]
+    head = np.ones(len(block), bool)
+    head[1:] = block[1:] != block[:-1]
+    first = np.flatnonzero(head)
+    size = np.diff(np.append(first, len(block)))
+    return block, owners, np.repeat(size, size), np.repeat(owners[first], size)
+
+
+def _packed(docs: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
+    """Blocks and their classes, packed by part; those of blocks that are hot in a task with a number of their own in sub."""
+
+    def send(keys: list, owners: list, number: int):
+        keys, owners = np.concatenate(keys), np.concatenate(owners)
+        block = ((keys >> np.uint64(33)) % np.uint64(parts)).astype(np.int64) << 32 | (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        block, owners, size, least = _runs(block, owners)
+        hot = size > HOT
+        some = ~hot | (owners == least)
+        part = block[some] >> 32
+        found, at = np.unique(part, return_index=True)
+        ends = np.append(at[1:], len(part))
+        low, own = (block[some] & 0xFFFFFFFF).astype("<u4"), owners[some].astype("<i8")
+        out = [(int(p), 0, low[a:b].tobytes(), own[a:b].tobytes()) for p, a, b in zip(found, at, ends, strict=True)]
+        if hot.any():
+            out.append((-1, number, block[hot].astype("<i8").tobytes(), owners[hot].astype("<i8").tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "sub", "keys", "classes"])
 
     def run(it):
-        seen: set[int] = set()
-        scheme = bands(percent, 1 << 10)
+        from pyspark import TaskContext
+
+        seen, scheme, keys, owners, held = Seen(), bands(percent, 1 << 10), [], [], 0
+        number = TaskContext.get().partitionId() << 20
         for batch in batches(it):
             shingles, begins = shingle_sets(batch.column("text"), k)
             sizes, ids = np.diff(begins), set_ids(shingles, begins)
-            none = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary())],
-                ["doc_id", "n", "class", "part", "keys", "classes"],
-            )
-            keys, owners = [], []
-            if len(seen) > 500_000:
-                seen.clear()
-            for i in np.flatnonzero(sizes):
-                if (c := int(ids[i])) not in seen:
-                    seen.add(c)
-                    while scheme[-1][0] <= sizes[i]:
-                        scheme = bands(percent, 2 * int(sizes[i]))
-                    own = block_keys(shingles[begins[i] : begins[i + 1]], percent, scheme)
-                    keys.append(own)
-                    owners.append(np.full(len(own), c))
-            if not keys:
-                continue
-            keys, owners = np.concatenate(keys), np.concatenate(owners)
-            part = (keys >> np.uint64(33)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            low, owners = keys[order].astype("<u4"), owners[order].astype("<i8")
-            found, at = np.unique(part[order], return_index=True)
-            ends = np.append(at[1:], len(order))
-            void = pa.nulls(len(found), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [void, void, void, pa.array(found.astype(np.int32)), pa.array([low[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()), pa.array([owners[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())],
-                ["doc_id", "n", "class", "part", "keys", "classes"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, class long, part int, keys binary, classes binary")
+            for i in seen.fresh(ids, sizes):
+                while scheme[-1][0] <= sizes[i]:
+                    scheme = bands(percent, 2 * int(sizes[i]))
+                own = block_keys(shingles[begins[i] : begins[i + 1]], percent, scheme)
+                keys.append(own)
+                owners.append(np.full(len(own), ids[i]))
+                held += len(own)
+                if held >= GATHER:
+                    number += 1
+                    yield send(keys, owners, number)
+                    keys, owners, held = [], [], 0
+        if held:
+            yield send(keys, owners, number + 1)
+
+    return docs.select("text").mapInArrow(run, "part int, sub long, keys binary, classes binary")
 
 
 def _shared(packed: DataFrame) -> DataFrame:
-    """(block, class, members) of blocks that two classes or more share."""
+    """block, class, center (the block's least class, or that of a task) of blocks that two classes or more share."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), "<u4")
+        part = key[0].as_py()
+        keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), "<i8" if part < 0 else "<u4").astype(np.int64)
         owners = np.frombuffer(b"".join(rows.column("classes").to_pylist()), "<i8")
-        order = np.lexsort((owners, keys))
-        keys, owners = keys[order], owners[order]
-        fresh = np.ones(len(keys), bool)
-        fresh[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
-        keys, owners = keys[fresh], owners[fresh]
-        head = np.ones(len(keys), bool)
-        head[1:] = keys[1:] != keys[:-1]
-        size = np.diff(np.append(np.flatnonzero(head), len(keys)))
-        members = np.repeat(size, size)
-        many = members > 1
-        block = (np.int64(key[0].as_py()) << 32) | keys[many].astype(np.int64)
-        return pa.table({"block": block, "class": owners[many], "members": members[many]})
-
-    return packed.groupBy("part").applyInArrow(run, "block long, class long, members long")
+        block, owners, size, least = _runs(keys if part < 0 else part << 32 | keys, owners)
+        many = size > 1
+        return pa.table({"block": block[many], "class": owners[many], "center": least[many]})
+
+    return packed.groupBy("part", "sub").applyInArrow(run, "block long, class long, center long")
 
 
 def _close(n_a, n_b, fold_a, fold_b, percent: int) -> np.ndarray:
@@ -177,11 +235,22 @@ def _close(n_a, n_b, fold_a, fold_b, percent: int) -> np.ndarray:
     return fits & (apart * (100 + percent) <= (n_a + n_b) * (100 - percent))
 
 
-def _small_pairs(shared: DataFrame) -> DataFrame:
-    """Pairs of classes that share a small block."""
-    sets = shared.where(F.col("members") <= SMALL).groupBy("block").agg(F.array_sort(F.collect_list("class")).alias("c"))
-    first = sets.select("c").distinct().select("c", F.posexplode("c").alias("i", "a"))
-    return first.select("a", F.explode(F.slice("c", F.col("i") + 2, SMALL)).alias("b")).distinct()
+def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """block, class, root, members of the blocks that hold classes of several components."""
+    root = labels.select(F.col("class").alias("_class"), "root")
+    rows = shared.select("block", "class").join(root, F.col("class") == F.col("_class"), "left").select("block", "class", F.coalesce("root", "class").alias("root"))
+    several = rows.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("block").alias("_block"))
+    rows = materialize(rows.join(several, F.col("block") == F.col("_block")).select("block", "class", "root").distinct(), "open")
+    members = rows.groupBy("block").agg(F.count("*").alias("members")).withColumnRenamed("block", "_block")
+    return rows.join(members, F.col("block") == F.col("_block")).drop("_block")
+
+
+def _small_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of classes of different components that share a small block."""
+    sets = rows.where(F.col("members") <= SMALL).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("class", "root"))).alias("c"))
+    first = sets.select("c").distinct().select("c", F.posexplode("c").alias("i", "x"))
+    pairs = first.select("x", F.explode(F.slice("c", F.col("i") + 2, SMALL)).alias("y")).where("x.root <> y.root")
+    return pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
 
 def _find(root: list[int], i: int) -> int:
@@ -190,19 +259,19 @@ def _find(root: list[int], i: int) -> int:
     return i
 
 
-def _hot_near(shared: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
-    """a, b: a spanning forest of the near pairs of classes in each large block, chunk against chunk."""
+def _hot_near(rows: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
+    """a, b: a spanning forest of the near pairs of different components in each large block, chunk against chunk."""
     n = F.ceil(F.col("members") / CHUNK).cast("int")
-    rows = shared.where(F.col("members") > SMALL).withColumns({"chunks": n, "chunk": F.pmod(F.xxhash64("class"), n).cast("int")}).join(folds, "class")
+    rows = rows.where(F.col("members") > SMALL).withColumns({"chunks": n, "chunk": F.pmod(F.xxhash64("class"), n).cast("int")}).join(folds, "class")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    rows = rows.select("block", "class", "n", "fold", "chunk", other)
+    rows = rows.select("block", "class", "root", "n", "fold", "chunk", other)
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         low, high = key[1].as_py(), key[2].as_py()
-        ids, n, chunk = (rows.column(c).to_numpy() for c in ("class", "n", "chunk"))
+        ids, n, chunk, root = (rows.column(c).to_numpy() for c in ("class", "n", "chunk", "root"))
         fold = np.frombuffer(b"".join(rows.column("fold").to_pylist()), "<u8").reshape(-1, FOLD)
         left, right = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
-        label, forest = np.arange(len(ids)), []
+        label, forest = np.unique(root, return_inverse=True)[1], []
         for at, i in enumerate(left.tolist()):
             # Classes that are already in i's tree need no test.
             js = right[at + 1 :] if low == high else right
@@ -218,31 +287,6 @@ def _hot_near(shared: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
     return rows.withColumns(pair).groupBy("block", "low", "high").applyInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, heads: DataFrame, k: int, whole: bool) -> DataFrame:
-    """class, n, and the folded sketch or (whole) the set of the classes in heads: class, doc_id."""
-    few = heads.count() <= BROADCAST_IDS
-    ids = heads.select(F.col("doc_id").alias("head")).distinct()
-    name = "set" if whole else "fold"
-    own = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
-
-    def run(it):
-        for batch in batches(it):
-            shingles, begins = shingle_sets(batch.column("text"), k)
-            ids, out = set_ids(shingles, begins), []
-            for i in range(batch.num_rows):
-                s = shingles[begins[i] : begins[i + 1]]
-                if whole:
-                    out.append(s.astype("<u8").tobytes())
-                    continue
-                fold = np.zeros(FOLD, np.uint64)
-                np.bitwise_xor.at(fold, (s >> np.uint64(40)) % np.uint64(FOLD), np.uint64(1) << ((s >> np.uint64(32)) & np.uint64(63)))
-                out.append(fold.astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(begins), pa.int64()), pa.array(out, pa.binary())], ["class", "n", name])
-
-    found = own.mapInArrow(run, f"class long, n long, {name} binary")
-    return found.join(heads.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
-
-
 def _near(pairs: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
     """The pairs that sizes and folded sketches leave possible."""
     a = folds.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("fold").alias("fold_a"))
@@ -274,19 +318,43 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _verify(roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _members(groups: DataFrame, of: DataFrame) -> DataFrame:
+    """class, root, doc_id, copies, chunks (of the class's component), total (shingles of the component)."""
+    rows = groups.join(of.select("class", "doc_id", "n", "copies"), "class")
+    chunks = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / BUNDLE)).cast("int")
+    sizes = rows.groupBy("root").agg(chunks.alias("chunks"), F.sum("n").alias("total")).withColumnRenamed("root", "_root")
+    return rows.join(sizes, F.col("root") == F.col("_root")).select("class", "root", "doc_id", "copies", "n", "chunks", "total")
+
+
+def _sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """The rows of members with their sets, read again from the documents that have the classes' doc_ids."""
+    few = members.count() <= BROADCAST_IDS
+    small = lambda df: F.broadcast(df) if few else df
+    ids = members.select(F.col("doc_id").alias("head")).distinct()
+    own = docs.select("doc_id", "text").join(small(ids), F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
+
+    def run(it):
+        seen = Seen()
+        for batch in batches(it):
+            shingles, begins = shingle_sets(batch.column("text"), k)
+            ids = set_ids(shingles, begins)
+            rows = seen.fresh(ids, np.diff(begins))
+            sets = [shingles[begins[i] : begins[i + 1]].astype("<u8").tobytes() for i in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(sets, pa.binary())], ["_class", "set"])
+
+    found = own.mapInArrow(run, "_class long, set binary")
+    return found.join(small(members.drop("doc_id")), F.col("_class") == F.col("class")).drop("_class")
+
+
+def _verify(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The links within each component of candidates, as rows of class, root, others, a, b.
 
     others counts the documents that a class links with.  A component that fits a task gives each linked class's root;
     of one that is cut into chunks, a task gives (a, b), a spanning forest of its links.
     """
-    members = roots.join(sets.select("class", "n", "set", "copies"), "class")
-    sizes = members.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
-    chunks = F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("total") / BUNDLE)).cast("int")
-    sizes = materialize(sizes.select(F.col("root").alias("own"), "total", chunks.alias("chunks")), "sizes")
-    bins = int((sizes.agg(F.sum("total")).first()[0] or 0) // PACK) + 1
+    bins = int((members.where("chunks = 1").agg(F.sum("n")).first()[0] or 0) // PACK) + 1
     chunk = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
-    rows = members.join(sizes, F.col("root") == F.col("own")).withColumn("chunk", chunk)
+    rows = _sets(docs, members, k).withColumn("chunk", chunk)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     whole = F.col("chunks") == 1
     rows = rows.withColumns({
@@ -296,6 +364,9 @@ def _verify(roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         low, high = key[1].as_py(), key[2].as_py()
+        # Rows of one class that two tasks have read are one.
+        _, once = np.unique(rows.column("class").to_numpy(), return_index=True)
+        rows = rows.take(pa.array(once))
         ids, roots, copies, chunk = (rows.column(c).to_numpy() for c in ("class", "root", "copies", "chunk"))
         own = [np.frombuffer(x, "<u8") for x in rows.column("set").to_pylist()]
         order = np.lexsort((ids, roots))
@@ -326,41 +397,80 @@ def _verify(roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("place", "low", "high").applyInArrow(run, "class long, root long, others long, a long, b long")
 
 
+def forest(links: DataFrame) -> DataFrame:
+    """a, b: a spanning forest of each task's links, which joins the same classes."""
+
+    def run(it):
+        root: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while (j := root.setdefault(i, i)) != i:
+                root[i] = i = root[j]
+            return i
+
+        for batch in it:
+            kept = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = find(a), find(b)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    kept.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return links.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """class, root for every class with a link: min-label passes with jumps, each written to the shared folder."""
-    both = materialize(links.select("a", "b").union(links.select("b", "a")), "edges")
+    once = materialize(forest(links), "links")
+    both = materialize(once.union(once.select("b", "a")), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("class")).agg(F.least(F.col("class"), F.min("b")).alias("root")), "labels")
+    discard(once)
     while True:
         root = labels.select(F.col("class").alias("b"), F.col("root").alias("near"))
         lower = both.join(root, "b").groupBy(F.col("a").alias("class")).agg(F.min("near").alias("near"))
         stepped = labels.join(lower, "class").select("class", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = stepped.select(F.col("class").alias("root"), F.col("root").alias("next"))
         moved = materialize(stepped.join(jump, "root", "left").select("class", "old", F.least("root", F.coalesce("next", "root")).alias("root")), "labels")
+        discard(labels)
         labels = moved.select("class", "root")
+        labels.table = moved.table
         if moved.where("old <> root").isEmpty():
+            discard(both)
             return labels
 
 
+def _candidates(shared: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
+    """class, root: components of near classes, in two rounds."""
+    star = shared.where("class <> center").select(F.col("center").alias("a"), F.col("class").alias("b")).distinct()
+    near = materialize(_near(star, folds, percent), "near")
+    labels = components(near)
+    rest = _open(shared, labels)
+    more = materialize(_near(_small_pairs(rest), folds, percent).union(_hot_near(rest, folds, percent)), "near")
+    discard(near)
+    if more.isEmpty():
+        return labels
+    groups = components(labels.select(F.col("class").alias("a"), F.col("root").alias("b")).where("a <> b").union(more))
+    discard(labels, more)
+    return groups
+
+
 def _resolve(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, n, class of each row; class, component_id, n_links, head of each class with shingles.
 
     head: whether the class has its component's smallest doc_id; one class of each component has it.
     """
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, int(chars * (100 - percent) / (100 + percent) / 3 / PART))
-    read = materialize(_read(docs, k, percent, parts), "read")
-    rows = read.where("part is null").select("doc_id", "n", "class")
-    sets_of = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    shared = materialize(_shared(read.where("part is not null").select("part", "keys", "classes")), "shared")
-    candidates = shared.select("class").distinct()
-    heads = lambda some: sets_of.join(some, "class", "left_semi").select("class", "doc_id")
-    folds = materialize(_sets(docs, heads(candidates), k, whole=False), "folds")
-    copies = sets_of.select("class", "copies")
-    near = _near(_small_pairs(shared), folds, percent).union(_hot_near(shared, folds, percent))
-    groups = components(materialize(near, "near"))
-    # Sets are read again for the few classes that are near another, not kept for all candidates.
-    sets = materialize(_sets(docs, heads(groups.select("class")), k, whole=True).join(copies, "class"), "sets")
-    found = materialize(_verify(groups, sets, percent), "links")
+    read = materialize(_read(docs, k), "read")
+    rows = read.select("doc_id", "n", "class")
+    sets_of = read.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("fold").alias("fold"))
+    sets_of = materialize(sets_of, "sets")
+    keys = (sets_of.agg(F.sum("n")).first()[0] or 0) * 4 * (100 - percent) / (100 + percent)
+    shared = materialize(_shared(_packed(docs, k, percent, max(1, int(keys / PART)))), "shared")
+    groups = _candidates(shared, sets_of.select("class", "n", "fold"), percent)
+    members = materialize(_members(groups, sets_of), "members")
+    discard(shared, groups)
+    found = materialize(_verify(members, docs, k, percent), "links")
+    discard(members)
     roots = found.where("root is not null").select("class", "root").union(components(found.where("a is not null").select("a", "b")))
     degree = found.where("class is not null").groupBy("class").agg(F.sum("others").alias("others"))
     of = sets_of.join(roots, "class", "left").join(degree, "class", "left")
