@@ -5,15 +5,19 @@ sqrt(all tokens) / OWN are named, so their number grows with the corpus.  The CL
 each; the other named words are leaves of the remaining classes, by hash, and every class has one leaf for its words
 without a name, which share the leaf's probability by their counts.  The network sees the embeddings of the SIDE words
 before and after a place and gives a distribution over the classes, and one over the leaves of the masked word's class,
-so a place's probabilities of all words of the corpus sum to 1.  Each partition trains a copy on its own texts, from the
-same start; the copies' weights are averaged in Spark, weighted by their tokens.  A document's score is the sum of its
-tokens' conditional log-probabilities, and the mean per token.
+so a place's probabilities of all words of the corpus sum to 1.  A document's score is the sum of its tokens' conditional
+log-probabilities, and the mean per token.
 
-What is gathered grows with the corpus: word counts, the named words and one set of weights per partition.  The named
-words go to the executors; counts of the others are joined to the places that hold them.
+Training: the texts' leaves are dealt by a hash of their words to copies of the network, one for each COPY tokens of the
+corpus.  A copy takes its texts in order of that hash, equal texts once with their number as weight, in one pass of Adam
+steps from the same start; the copies' weights are averaged in Spark, weighted by their tokens.  All of it depends on the
+texts alone, not on the files or tasks that hold them.
 
-Edge cases: null and empty texts have no tokens, a sum of 0 and a null mean; repeated rows and null doc_ids keep their
-rows; an empty table gives an empty result; extra columns are ignored.
+What is gathered grows with the corpus: word counts, the named words and one set of weights per copy.  The named words go
+to the executors; counts of the others are joined to the places that hold them.
+
+Edge cases: null and empty texts have no tokens, a sum of 0 and a null mean; very long texts are read whole; repeated
+rows and null doc_ids keep their rows; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, batches, materialize, word_hashes
+from .common import SPACE_WORDS, batches, materialize, mix, word_hashes
 
-CLASSES, WIDTH, SIDE, STEP, RATE = 96, 16, 2, 4096, 0.5
+CLASSES, WIDTH, SIDE, STEP, RATE = 96, 16, 2, 8192, 0.02
+#: Tokens of the corpus for each copy that is trained.
+COPY = 4_000_000
 SLICE = 2 << 20
 #: The square root of all tokens over this is the least count of a named word.
 OWN = 8
@@ -102,24 +108,21 @@ class Vocabulary:
 
 
 def contexts(leaves: np.ndarray, starts: np.ndarray, beyond: int) -> np.ndarray:
-    """The leaves around each place, and a number for what is beyond a text's ends."""
-    n = len(leaves)
+    """The leaves around each place, one row for each side and distance, and a number for what is beyond a text's ends."""
     owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    out = np.full((n, 2 * SIDE), beyond)
-    for column, shift in enumerate([d for d in range(-SIDE, SIDE + 1) if d]):
-        at = np.arange(n) + shift
-        at = np.clip(at, 0, max(0, n - 1))
-        same = (np.arange(n) + shift == at) & (owner[at] == owner) if n else np.zeros(0, bool)
-        out[same, column] = leaves[at[same]]
-    return out
+    at = np.arange(len(leaves)) + SIDE * (owner + 1)
+    padded = np.full(len(leaves) + SIDE * len(starts), beyond, np.int64)
+    padded[at] = leaves
+    return np.stack([padded[at + d] for d in range(-SIDE, SIDE + 1) if d])
 
 
 def forward(w: dict, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hidden = w["in"][0][around[:, 0]]
+    hidden = w["in"][0].take(around[0], 0)
     for j in range(1, 2 * SIDE):
-        hidden = hidden + w["in"][j][around[:, j]]
-    hidden = np.tanh(hidden)
-    logits = hidden @ w["out"] + w["base"]
+        hidden += w["in"][j].take(around[j], 0)
+    np.tanh(hidden, out=hidden)
+    logits = hidden @ w["out"]
+    logits += w["base"]
     logits -= logits.max(1, keepdims=True)
     return hidden, logits
 
@@ -127,75 +130,145 @@ def forward(w: dict, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def split(w: dict, hidden: np.ndarray, y: np.ndarray, vocabulary: Vocabulary):
     """For each class of many leaves among the leaves y: its places, leaves from and to, and logits over these."""
     own = vocabulary.of[y]
-    order = np.argsort(own, kind="stable")
+    order = np.argsort(own.astype(np.uint16) if vocabulary.n < 1 << 16 else own, kind="stable")
     found, at = np.unique(own[order], return_index=True)
-    for c, rows in zip(found.tolist(), np.split(order, at[1:]), strict=True):
+    sorted_hidden = hidden[order]
+    for c, low, high in zip(found.tolist(), at.tolist(), [*at[1:].tolist(), len(y)], strict=True):
         a, b = int(vocabulary.first[c]), int(vocabulary.first[c + 1])
         if b - a > 1:
-            logits = hidden[rows] @ w["leaf"][a:b].T + w["lean"][a:b]
+            logits = sorted_hidden[low:high] @ w["leaf"][a:b].T
+            logits += w["lean"][a:b]
             logits -= logits.max(1, keepdims=True)
-            yield rows, a, b, logits
+            yield order[low:high], a, b, logits, sorted_hidden[low:high]
 
 
 def log_probabilities(w: dict, around: np.ndarray, y: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     """Of the leaf at each place."""
     hidden, logits = forward(w, around)
-    out = (logits[np.arange(len(y)), vocabulary.of[y]] - np.log(np.exp(logits).sum(1))).astype(np.float64)
-    for rows, a, _, logits in split(w, hidden, y, vocabulary):
-        out[rows] += logits[np.arange(len(rows)), y[rows] - a] - np.log(np.exp(logits).sum(1))
+    out = logits[np.arange(len(y)), vocabulary.of[y]].astype(np.float64)
+    out -= np.log(np.exp(logits, out=logits).sum(1))
+    for rows, a, _, logits, _ in split(w, hidden, y, vocabulary):
+        own = logits[np.arange(len(rows)), y[rows] - a]
+        out[rows] += own - np.log(np.exp(logits, out=logits).sum(1))
     return out
 
 
-def learn(w: dict, around: np.ndarray, target: np.ndarray, vocabulary: Vocabulary) -> None:
-    """One pass of gradient steps over the places."""
-    for a in range(0, len(target), STEP):
-        near, y = around[a : a + STEP], target[a : a + STEP]
-        hidden, p = forward(w, near)
-        np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(y)), vocabulary.of[y]] -= 1
-        p *= RATE / len(y)
-        d = p @ w["out"].T
-        for rows, low, high, q in split(w, hidden, y, vocabulary):
-            np.exp(q, out=q)
-            q /= q.sum(1, keepdims=True)
-            q[np.arange(len(rows)), y[rows] - low] -= 1
-            q *= RATE / len(y)
-            d[rows] += q @ w["leaf"][low:high]
-            w["leaf"][low:high] -= q.T @ hidden[rows]
-            w["lean"][low:high] -= q.sum(0)
-        d *= 1 - hidden**2
-        w["out"] -= hidden.T @ p
-        w["base"] -= p.sum(0)
-        for j in range(2 * SIDE):
-            order = np.argsort(near[:, j], kind="stable")
-            found, at = np.unique(near[order, j], return_index=True)
-            w["in"][j][found] -= np.add.reduceat(d[order], at, axis=0)
+def gradient(w: dict, around: np.ndarray, y: np.ndarray, weight: np.ndarray, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
+    """Of the weighted mean of minus log_probabilities."""
+    g = {k: np.zeros_like(v) for k, v in w.items()}
+    hidden, p = forward(w, around)
+    share = (weight / weight.sum()).astype(np.float32)[:, None]
+    np.exp(p, out=p)
+    p *= share / p.sum(1, keepdims=True)
+    p[np.arange(len(y)), vocabulary.of[y]] -= share[:, 0]
+    d = p @ w["out"].T
+    for rows, low, high, q, own in split(w, hidden, y, vocabulary):
+        np.exp(q, out=q)
+        q *= share[rows] / q.sum(1, keepdims=True)
+        q[np.arange(len(rows)), y[rows] - low] -= share[rows, 0]
+        d[rows] += q @ w["leaf"][low:high]
+        g["leaf"][low:high] = q.T @ own
+        g["lean"][low:high] = q.sum(0)
+    d *= 1 - hidden**2
+    g["out"], g["base"] = hidden.T @ p, p.sum(0)
+    for j in range(2 * SIDE):
+        order = np.argsort(around[j].astype(np.uint16) if vocabulary.leaves < 1 << 16 else around[j], kind="stable")
+        found, at = np.unique(around[j][order], return_index=True)
+        g["in"][j][found] = np.add.reduceat(d[order], at, axis=0)
+    return g
+
+
+class Trainer:
+    """One pass of Adam steps of STEP places each."""
+
+    def __init__(self, start: dict, vocabulary: Vocabulary):
+        self.w, self.vocabulary, self.steps = {k: v.copy() for k, v in start.items()}, vocabulary, 0
+        self.mean, self.square = ({k: np.zeros_like(v) for k, v in start.items()} for _ in range(2))
+
+    def learn(self, around: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        for a in range(0, len(y), STEP):
+            g = gradient(self.w, around[:, a : a + STEP], y[a : a + STEP], weight[a : a + STEP], self.vocabulary)
+            self.steps += 1
+            rate = RATE * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps) / (1 + self.steps / 200)
+            for k, x in g.items():
+                m, v = self.mean[k], self.square[k]
+                m *= 0.9
+                m += 0.1 * x
+                v *= 0.99
+                x *= x
+                v += 0.01 * x
+                self.w[k] -= (rate * m / (np.sqrt(v) + 1e-6)).astype(np.float32)
+
+
+def text_keys(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of each text's words."""
+    place = np.arange(len(words), dtype=np.uint64) - np.repeat(starts[:-1].astype(np.uint64), np.diff(starts))
+    total = np.append(np.uint64(0), np.cumsum(mix(words + (place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))))
+    return mix(total[starts[1:]] - total[starts[:-1]] + np.diff(starts).astype(np.uint64))
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
-    """Copies trained on each partition's texts, averaged by their tokens."""
+    """Copies trained on the texts that are dealt to them, averaged by their tokens."""
     start = initial(vocabulary)
+    copies = max(1, math.ceil(vocabulary.total.sum() / COPY))
+    kind = "<u2" if vocabulary.leaves < 1 << 16 else "<u4"
+
+    def deal(it):
+        more: dict[int, int] = {}
+
+        def rest():
+            again = [k for k, n in more.items() if n]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([k % copies for k in again], pa.int64()), pa.array(np.array(again, np.uint64).view(np.int64)), pa.array([more[k] for k in again], pa.int64()), pa.nulls(len(again), pa.binary())],
+                ["copy", "key", "times", "leaves"],
+            )
 
-    def run(it):
-        w, seen = {k: v.copy() for k, v in start.items()}, 0
         for batch in batches(it, SLICE):
             words, starts = word_hashes(batch.column("text"), SPACE_WORDS)
-            y = vocabulary.find(words)
-            learn(w, contexts(y, starts, vocabulary.leaves), y, vocabulary)
-            seen += len(y)
-        if seen:
-            flat = np.concatenate([v.ravel() for v in w.values()])
-            for a in range(0, len(flat), BLOCK):
-                yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([flat[a : a + BLOCK].tobytes()]), pa.array([seen])], ["at", "x", "n"])
+            y, keys = vocabulary.find(words).astype(kind), text_keys(words, starts).tolist()
+            out = []
+            for i in np.flatnonzero(np.diff(starts)).tolist():
+                if (key := keys[i]) in more:
+                    more[key] += 1
+                else:
+                    more[key] = 0
+                    out.append((key % copies, key, 1, y[starts[i] : starts[i + 1]].tobytes()))
+            own = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(own[0], pa.int64()), pa.array(np.array(own[1], np.uint64).view(np.int64)), pa.array(own[2], pa.int64()), pa.array(own[3], pa.binary())], ["copy", "key", "times", "leaves"])
+            if len(more) > 200_000:
+                yield rest()
+                more.clear()
+        yield rest()
+
+    def fit(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("key", "ascending"), ("leaves", "ascending")])  # nulls come last
+        keys, times, found = rows.column("key").to_numpy(), rows.column("times").to_numpy(), rows.column("leaves").combine_chunks()
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        times = np.add.reduceat(times, first)
+        trainer = Trainer(start, vocabulary)
+        sizes = np.array([len(found[i].as_buffer()) for i in first.tolist()]) // np.dtype(kind).itemsize
+        part = (np.cumsum(sizes) - sizes) // (16 * STEP)
+        for p in np.unique(part):
+            own = np.flatnonzero(part == p)
+            y = np.concatenate([np.frombuffer(found[i].as_buffer(), kind) for i in first[own].tolist()]).astype(np.int64)
+            starts = np.append(0, np.cumsum(sizes[own]))
+            trainer.learn(contexts(y, starts, vocabulary.leaves), y, np.repeat(times[own], sizes[own]).astype(np.float64))
+        flat = np.concatenate([v.ravel() for v in trainer.w.values()])
+        at = list(range(0, len(flat), BLOCK))
+        n = [float((times * sizes).sum())] * len(at)
+        return pa.table({"at": pa.array(at, pa.int64()), "copy": pa.array([key[0].as_py()] * len(at), pa.int64()), "x": pa.array([flat[a : a + BLOCK].tobytes() for a in at], pa.binary()), "n": pa.array(n)})
 
     def mean(key: tuple, rows: pa.Table) -> pa.Table:
-        n = rows.column("n").to_numpy().astype(np.float64)
+        rows = rows.sort_by("copy")
+        n = rows.column("n").to_numpy()
         x = sum(np.frombuffer(x, np.float32) * k for x, k in zip(rows.column("x").to_pylist(), n, strict=True)) / n.sum()
         return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "x": pa.array([x.astype(np.float32).tobytes()], pa.binary())})
 
     out = np.concatenate([v.ravel() for v in start.values()])
-    for r in docs.select("text").mapInArrow(run, "at long, x binary, n long").groupBy("at").applyInArrow(mean, "at long, x binary").collect():
+    dealt = docs.select("text").mapInArrow(deal, "copy long, key long, times long, leaves binary")
+    # One task for each copy: its training takes longer than its bytes tell.
+    trained = dealt.repartition(copies, "copy").groupBy("copy").applyInArrow(fit, "at long, copy long, x binary, n double")
+    for r in trained.groupBy("at").applyInArrow(mean, "at long, x binary").collect():
         own = np.frombuffer(r.x, np.float32)
         out[r.at : r.at + len(own)] = own
     parts, at = {}, 0
@@ -217,9 +290,9 @@ def score(docs: DataFrame) -> DataFrame:
             words, starts = word_hashes(batch.column("text"), SPACE_WORDS)
             y = vocabulary.find(words)
             around, value = contexts(y, starts, vocabulary.leaves), np.zeros(len(y) + 1)
-            for a in range(0, len(y), 8 * STEP):
-                own = y[a : a + 8 * STEP]
-                value[a + 1 : a + 1 + len(own)] = log_probabilities(weights, around[a : a + 8 * STEP], own, vocabulary) - spread[own]
+            for a in range(0, len(y), 4 * STEP):
+                own = y[a : a + 4 * STEP]
+                value[a + 1 : a + 1 + len(own)] = log_probabilities(weights, around[:, a : a + 4 * STEP], own, vocabulary) - spread[own]
             total, n = np.cumsum(value), np.diff(starts)
             spare = vocabulary.spare[y]
             ends = np.append(0, np.cumsum(spare))[starts]

@@ -94,6 +94,47 @@ def test_likelihood_names_words_and_sums_to_one(spark):
         assert got[i].n_tokens == len(own) == 400 and abs(got[i].log_likelihood - want) < 1e-3 * abs(want)
 
 
+def test_likelihood_gradient(spark):
+    docs = spark.createDataFrame(list(enumerate(zipf_texts()[:20])), "doc_id long, text string")
+    v = likelihood.Vocabulary(likelihood.word_counts(docs).persist())
+    r = np.random.default_rng(1)
+    w = {k: x.astype(np.float64) + r.normal(0, 0.3, x.shape) for k, x in likelihood.initial(v).items()}
+    words, starts = word_hashes(pa.array(zipf_texts()[:3]), SPACE_WORDS)
+    y, weight = v.find(words), r.integers(1, 5, len(words)).astype(float)
+    around = likelihood.contexts(y, starts, v.leaves)
+    g = likelihood.gradient(w, around, y, weight, v)
+    loss = lambda: -(likelihood.log_probabilities(w, around, y, v) * weight).sum() / weight.sum()
+    for k in w:
+        at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        w[k][at] += 1e-4
+        up = loss()
+        w[k][at] -= 2e-4
+        down = loss()
+        w[k][at] += 1e-4
+        assert abs((up - down) / 2e-4 - g[k][at]) < 0.01 * abs(g[k][at]) + 1e-6
+
+
+def test_likelihood_rests_on_texts_and_not_on_their_layout(spark, monkeypatch):
+    monkeypatch.setattr(likelihood, "COPY", 5000)
+    texts = [*zipf_texts(), *zipf_texts()[:9], zipf_texts()[0], None, ""]
+    docs = spark.createDataFrame([(i if i != 5 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    one, many = ({r.doc_id: r for r in likelihood.score(d).collect()} for d in (docs.coalesce(1), docs.orderBy(F.desc("text")).repartition(7)))
+    assert one.keys() == many.keys() and len(one) == len(texts)
+    for i, r in one.items():
+        assert r.n_tokens == many[i].n_tokens and abs(r.log_likelihood - many[i].log_likelihood) < 1e-4 * max(1, r.n_tokens)
+    assert one[60].log_likelihood == pytest.approx(one[0].log_likelihood, rel=1e-5)
+
+
+def test_likelihood_learns_from_both_sides(spark):
+    """A word that follows from its neighbours gets likelier than its share of all words."""
+    r = np.random.default_rng(3)
+    pairs = [f"left{i} mid{i} right{i}" for i in range(12)]
+    texts = [" ".join(pairs[int(i)] for i in r.integers(0, 12, 3000)) for _ in range(40)]
+    mixed = " ".join(r.permutation([w for p in pairs for w in p.split()] * 20))
+    got = {x.doc_id: x.mean_log_likelihood for x in likelihood.score(spark.createDataFrame([*enumerate(texts), (40, mixed)], "doc_id long, text string")).collect()}
+    assert got[0] > -1.0 and got[40] < -3
+
+
 def test_likelihood_tells_common_words_from_rare_ones(spark):
     texts = [" ".join(f"h{i % 60}" for i in range(3000)) + " often" * k for k in (9, 1)] + ["x often y", "x seldom y"]
     got = {r.doc_id: r.log_likelihood for r in likelihood.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
