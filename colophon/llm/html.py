@@ -1,48 +1,62 @@
 """Main text of web pages by host consensus.
 
-Each page's containers are scored by the text of their own blocks, less their link text.  The best container's
-generalised path of tags and classes is the page's vote; Spark counts the votes per host, and pages are extracted again
-from the containers on their host's winning path.  A page without such a container uses its own best one.
+Each page is parsed once into blocks and containers.  A container's score is the text of the blocks in it, less their link
+text, half as much again for an article or main element; among equal scores the innermost one is the page's choice, so it
+holds all of the page's running text.  Its generalised path of tags and classes is the page's vote; Spark counts the votes
+per host, and pages are extracted again from their parsed blocks by their host's winning path.  A page whose containers on
+that path hold less than half the text of its own choice keeps its own.
 
 A block is a run of text between block-level tags; character references are decoded, white space in it becomes one
 space, and blocks are joined by two line ends.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments are known by their tags, roles, classes and ids, and never give text.
 
+Tags are read as HTML5 reads them: end tags of head, p, li and table cells may be left out, quotes count only where a
+value begins, and a quote that nothing closes ends with its word.
+
 Edge cases: null and empty pages have an empty text and no vote; unclosed and stray tags are tolerated; a null url
-votes with the empty host; repeated rows keep their rows; an empty table gives an empty result; extra columns are
-ignored.  A hot host's votes are summed within each task first, and its pages are joined to one row of winners.
+votes with the empty host; very long pages are read whole, one at a time, and blocks below DEEPEST nested containers
+belong to the last of those; repeated rows and null page_ids keep their rows; an empty table gives an empty result; extra
+columns are ignored.  A hot host's votes are summed within each task first, and its pages are joined to one row.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import batches, materialize
 
-#: Hosts whose winning paths may be broadcast; with more, pages and winners are joined by a shuffle.
-BROADCAST_HOSTS = 200_000
+#: Bytes of winning paths that may be broadcast; with more, pages and winners are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Nested containers that are told apart, and characters of a path that is written out.
+DEEPEST, LONGEST = 256, 1000
 #: Fixed sets of HTML tag names.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp", "noembed", "noframes"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 BOILER = {"nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "head"} | RAW
 CONTAINERS = {"article", "main", "section", "div", "td", "body"}
+#: Tags that a head may hold; any other one ends it.
+IN_HEAD = {"head", "html", "title", "meta", "link", "base", "basefont", "bgsound", "script", "style", "noscript", "template"}
 #: Tags that end an open paragraph.
 ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 #: Words in a class, id or role that mark page furniture.
 FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|header|masthead|footer|comments?|commentlist|disqus|replies|reply|respond|"
+    r"(?:^|[\s_-])(?<!\bno-)(?<!\bhas-)(?<!\bwith-)(?<!\bwithout-)(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|header|masthead|footer|comments?|commentlist|disqus|replies|reply|respond|"
     r"cookies?|consent|gdpr|notice|notices|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|search|pagination|pager|widget|toolbar|hidden|complementary|contentinfo|navigation)(?:$|[\s_-])",
     re.I,
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
+_VALUE = r"""(?:"[^"]*"|'[^']*'|(?!["'])[^\s>]*+|["'][^\s>]*+)"""
+_NAME = r"[^\s/>][^\s/>=]*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:\s*+=\s*+{_VALUE})?+)*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(rf"({_NAME})(?:\s*+=\s*+({_VALUE}))?+", re.S)
 _SPACE = re.compile(r"\s+")
+_PARSED = "page_id long, url string, host string, best string, score long, own int, paths array<string>, blocks array<struct<text:string,inside:array<int>>>"
 
 
 def generalise(tag: str, attrs: dict) -> str:
@@ -51,151 +65,174 @@ def generalise(tag: str, attrs: dict) -> str:
     return tag + ("." + re.sub(r"\d+", "0", names[0].lower()) if names else "")
 
 
+def attributes(rest: str) -> dict:
+    found: dict = {}
+    for name, value in _ATTR.findall(rest):
+        if value[:1] in ("'", '"'):
+            value = value[1:-1] if len(value) > 1 and value[-1] == value[0] else value[1:]
+        found.setdefault(name.lower(), html.unescape(value))
+    return found
+
+
 class Page:
-    """Blocks of a page: (text, link text length, numbers of the containers around, boilerplate or not)."""
+    """Blocks of a page: (text, link text length, numbers of the containers around); container 0 is the page itself.
+
+    Blocks of furniture are left out.  stack: (tag, step, container, furniture) of the open elements.
+    """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.paths: list[str] = []
+        self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
+        self.paths: list[str] = [""]
+        self.stack: list[tuple[str, str, int | None, bool]] = []
         self._run: list[str] = []
         self._links = 0
-        stack: list[tuple[str, str, int | None, bool]] = []  # tag, step, container, boilerplate
         at, n = 0, len(source)
         while at < n:
             found = _TOKEN.search(source, at)
             if not found:
-                self._text(source[at:], stack)
+                self._text(source[at:])
                 break
             if found.start() > at:
-                self._text(source[at : found.start()], stack)
+                self._text(source[at : found.start()])
             at = found.end()
             tag = (found[2] or "").lower()
             if not tag:
                 continue
             if found[1]:
-                self._close(tag, stack)
+                self._close(tag)
                 continue
-            if tag in RAW and not found[3].endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
+            if tag in RAW and not (found[3].endswith("/") and tag == "svg"):
+                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
                 at = end.end() if end else n
                 continue
-            self._open(tag, found[3], stack)
-        self._flush(stack)
+            self._open(tag, found[3])
+        self._flush()
 
-    def _text(self, raw: str, stack: list) -> None:
+    def _text(self, raw: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and raw.strip():
+            self.stack.pop()
         self._run.append(raw)
-        if any(x[0] == "a" for x in stack[-4:]):
+        if any(x[0] == "a" for x in self.stack[-4:]):
             self._links += len(raw)
 
-    def _flush(self, stack: list) -> None:
+    def _flush(self) -> None:
         text = _SPACE.sub(" ", html.unescape("".join(self._run))).strip() if self._run else ""
-        if text:
-            self.blocks.append((text, min(self._links, len(text)), tuple(x[2] for x in stack if x[2] is not None), any(x[3] for x in stack)))
+        if text and not any(x[3] for x in self.stack):
+            self.blocks.append((text, min(self._links, len(text)), (0, *(x[2] for x in self.stack if x[2] is not None))))
         self._run, self._links = [], 0
 
-    def _open(self, tag: str, rest: str, stack: list) -> None:
+    def _open(self, tag: str, rest: str) -> None:
+        if tag not in IN_HEAD:
+            for i, x in enumerate(self.stack):
+                if x[0] == "head":
+                    self._flush()
+                    del self.stack[i:]
+                    break
         if tag == "br":
             self._run.append("\n")
             return
         if tag in VOID:
             if tag not in INLINE:
-                self._flush(stack)
+                self._flush()
             return
-        attrs = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTR.findall(rest)} if rest else {}
+        attrs = attributes(rest) if rest else {}
         if tag not in INLINE:
-            self._flush(stack)
+            self._flush()
             if tag in ENDS_P:
-                self._pop("p", stack, {"article", "main", "section", "div", "td", "body", "blockquote", "li"})
+                self._pop("p", {"article", "main", "section", "div", "td", "body", "blockquote", "li"})
             elif tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
-                self._pop(tag, stack, {"ul", "ol", "table", "dl", "div", "article"})
+                self._pop(tag, {"ul", "ol", "table", "dl", "div", "article"})
         marks = " ".join(attrs.get(k) or "" for k in ("class", "id", "role"))
         boiler = tag in BOILER or "hidden" in attrs or (tag not in ("body", "html", "article", "main") and bool(FURNITURE.search(marks)))
-        step = generalise(tag, attrs)
-        number = None
-        if tag in CONTAINERS:
+        step, number = generalise(tag, attrs), None
+        held = [x[2] for x in self.stack if x[2] is not None]
+        if tag in CONTAINERS and len(held) < DEEPEST:
             number = len(self.paths)
-            self.paths.append(">".join([*(x[1] for x in stack if x[0] not in INLINE and x[0] != "p"), step]))
-        stack.append((tag, step, number, boiler))
-        if tag not in INLINE and rest.endswith("/") and tag not in CONTAINERS:
-            stack.pop()
-
-    def _pop(self, tag: str, stack: list, stops: set) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                del stack[i:]
+            above = self.paths[held[-1]] if held else ""
+            if len(above) > LONGEST:
+                above = "#" + hashlib.sha256(above.encode("utf-8", "replace")).hexdigest()
+            between = [x[1] for x in self.stack[1 + max((i for i, x in enumerate(self.stack) if x[2] is not None), default=-1) :] if x[0] not in INLINE and x[0] != "p"]
+            self.paths.append(">".join(x for x in [above, *between, step] if x))
+        self.stack.append((tag, step, number, boiler))
+
+    def _pop(self, tag: str, stops: set) -> None:
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] == tag:
+                del self.stack[i:]
                 return
-            if stack[i][0] in stops:
+            if self.stack[i][0] in stops:
                 return
 
-    def _close(self, tag: str, stack: list) -> None:
+    def _close(self, tag: str) -> None:
         if tag not in INLINE:
-            self._flush(stack)
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                del stack[i:]
+            self._flush()
+        if tag in ("body", "html"):  # what follows is still of the body
+            return
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] == tag:
+                del self.stack[i:]
                 return
-            if tag in INLINE and stack[i][0] not in INLINE:
+            if (tag in INLINE and self.stack[i][0] not in INLINE) or (tag == "li" and self.stack[i][0] in ("ul", "ol")) or (tag in ("td", "th", "tr") and self.stack[i][0] == "table"):
                 return
 
-    def scores(self) -> list[float]:
-        """Of each container: its blocks' text less links; nearer containers keep more of a block."""
-        out = [0.0] * len(self.paths)
-        for text, links, inside, boiler in self.blocks:
-            if not boiler:
-                value = max(0, len(text) - 2 * links)
-                for depth, c in enumerate(reversed(inside)):
-                    out[c] += value * 0.9**depth
-        for c, path in enumerate(self.paths):
-            last = path.rsplit(">", 1)[-1].split(".")[0]
-            out[c] *= 1.5 if last in ("article", "main") else 1.0
-        return out
-
-    def best(self) -> tuple[str, float] | None:
-        scores = self.scores()
-        top = max(range(len(scores)), key=lambda c: (scores[c], -c), default=None)
-        return (self.paths[top], scores[top]) if top is not None and scores[top] > 0 else None
+    def scores(self) -> list[int]:
+        """Twice the text less links of each container's blocks, three times that of an article or main element."""
+        out = [0] * len(self.paths)
+        for text, links, inside in self.blocks:
+            for c in inside:
+                out[c] += max(0, len(text) - 2 * links)
+        return [x * (3 if re.split(r"[>.]", self.paths[c].rsplit(">", 1)[-1])[0] in ("article", "main") else 2) for c, x in enumerate(out)]
 
-    def text(self, path: str | None) -> str:
-        wanted = {c for c, p in enumerate(self.paths) if p == path}
-        if not any(not b and wanted.intersection(inside) for _, _, inside, b in self.blocks):
-            best = self.best()
-            wanted = {c for c, p in enumerate(self.paths) if best and p == best[0]}
-            if not best:
-                return "\n\n".join(t for t, _, inside, b in self.blocks if not b)
-        return "\n\n".join(t for t, _, inside, b in self.blocks if not b and wanted.intersection(inside))
+    def best(self) -> tuple[str, int] | None:
+        """The path and the score of the page's choice: of equal scores, the innermost container."""
+        scores = self.scores()
+        top = max(range(len(scores)), key=lambda c: (scores[c], c))
+        return (self.paths[top], scores[top]) if scores[top] > 0 else None
 
 
 def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
 
 
-def votes(pages: DataFrame) -> DataFrame:
-    """host, path, votes, score: what the pages of each host vote for."""
+def parse(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, best (path), score, own (best's place in paths), paths, blocks (with places in paths), per row."""
 
     def run(it):
-        for pdf in it:
-            best = [Page(h).best() if h else None for h in pdf.html]
-            yield pd.DataFrame([(h, b[0], b[1]) for h, b in zip(pdf.host, best, strict=True) if b], columns=["host", "path", "score"])
-
-    own = pages.select(host_of(F.col("url")).alias("host"), "html").mapInPandas(run, "host string, path string, score double")
-    return own.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
-
-
-def winners(voted: DataFrame) -> DataFrame:
-    order = Window.partitionBy("host").orderBy(F.desc("votes"), F.desc(F.round("score", 3)), "path")
-    return voted.withColumn("place", F.row_number().over(order)).where("place = 1").select("host", "path")
+        schema = pa.schema([
+            ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("best", pa.string()), ("score", pa.int64()), ("own", pa.int32()),
+            ("paths", pa.list_(pa.string())), ("blocks", pa.list_(pa.struct([("text", pa.string()), ("inside", pa.list_(pa.int32()))]))),
+        ])
+        for batch in batches(it, column="html"):
+            rows = []
+            for page_id, url, host, source in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "html")), strict=True):
+                page = Page(source or "")
+                best = page.best() or (None, 0)
+                paths = list(dict.fromkeys(page.paths[c] for _, _, inside in page.blocks for c in inside))
+                place = {path: i for i, path in enumerate(paths)}
+                blocks = [{"text": text, "inside": sorted({place[page.paths[c]] for c in inside})} for text, _, inside in page.blocks]
+                rows.append((page_id, url, host, best[0], best[1], place.get(best[0]), paths, blocks))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html").mapInArrow(run, _PARSED)
+
+
+def winners(parsed: DataFrame) -> DataFrame:
+    """host, path: the path with the most votes, then the most text, of each host."""
+    voted = parsed.where("best is not null").groupBy("host", "best").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
+    first = F.min(F.struct((-F.col("votes")).alias("v"), (-F.col("score")).alias("s"), "best")).alias("first")
+    return voted.groupBy("host").agg(first).select("host", F.col("first.best").alias("path"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
-    won = materialize(winners(votes(pages)).withColumnRenamed("host", "_host"), "winners")
-    won = F.broadcast(won) if won.count() <= BROADCAST_HOSTS else won
-    own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    own = own.join(won, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "path")
-
-    def run(it):
-        for pdf in it:
-            text = [Page(h).text(p) if h else "" for h, p in zip(pdf.html, pdf.path, strict=True)]
-            yield pd.DataFrame({"page_id": pdf.page_id, "url": pdf.url, "text": text})
-
-    return own.mapInPandas(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    parsed = materialize(parse(pages), "parsed")
+    won = materialize(winners(parsed).withColumnRenamed("host", "_host"), "winners")
+    size = won.agg(F.sum(F.octet_length("_host") + F.octet_length("path") + 32)).first()[0] or 0
+    won = F.broadcast(won) if size <= BROADCAST_BYTES else won
+    rows = parsed.join(won, F.col("host") == F.col("_host"), "left")
+    inside = lambda place: F.transform(F.filter("blocks", lambda b: F.array_contains(b["inside"], place)), lambda b: b["text"])
+    rows = rows.withColumn("winner", F.coalesce(inside((F.array_position("paths", F.col("path")) - 1).cast("int")), F.array().cast("array<string>")))
+    rows = rows.withColumn("choice", F.when(F.col("own").isNull(), F.transform("blocks", lambda b: b["text"])).otherwise(inside(F.col("own"))))
+    chars = lambda texts: F.aggregate(texts, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+    text = F.array_join(F.when(F.size("winner").cast("boolean") & (2 * chars("winner") >= chars("choice")), F.col("winner")).otherwise(F.col("choice")), "\n\n")
+    return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -2,6 +2,7 @@
 
 import os
 import sys
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import brute
 
-from colophon.llm import decontamination, jaccard, likelihood, rules
+from colophon.llm import decontamination, html, jaccard, likelihood, rules
 from colophon.llm.common import SPACE_WORDS, word_hashes
 
 
@@ -210,3 +211,82 @@ def test_jaccard_reaches_every_lower_band(spark, percent):
     got = jaccard.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 1, percent).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components(texts, 1, percent)
     assert {r.doc_id: r.n_links for r in got} == brute.n_links(texts, 1, percent)
+
+
+def pages_of(spark, *given):
+    return spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(given)], "page_id long, url string, html string")
+
+
+def texts_of(spark, *given):
+    return {r.page_id: r.text for r in html.extract(pages_of(spark, *given)).collect()}
+
+
+@pytest.mark.parametrize(("source", "want"), [
+    ("<!doctype html><head><title>T</title><meta charset=utf-8><p>Body text.<p>More.", "Body text.\n\nMore."),
+    ("<head><title>T</title><body><p>One</p></body><p>Two", "One\n\nTwo"),
+    ("<p title=it's>First</p><p>that's all</p>", "First\n\nthat's all"),
+    ('<p title="abc>Kept text</p><p>Next</p>', "Kept text\n\nNext"),
+    ("<p title='a>b' data-x=1/>Sign</p>", "Sign"),
+    ("<body><div class=lead><p>A short lead.</p></div><div class=story><p>" + "long story " * 60 + "</p></div>", "A short lead.\n\n" + ("long story " * 60).strip()),
+    ("<div class='page has-sidebar'><p>Text</p><div class=sidebar>Side</div></div>", "Text"),
+    ("<ul><li>a<li>b<ul><li>c</ul></ul><table><tr><td>1<td>2</table>", "a\n\nb\n\nc\n\n1\n\n2"),
+    ("loose <b>words</b> &amp; <div>a box</div> end", "loose words &\n\na box\n\nend"),
+    ("<div>" * 3000 + "deep" + "</div>" * 3000 + "<script>x", "deep"),
+])
+def test_html_reads_tags_as_browsers_do(spark, source, want):
+    assert texts_of(spark, ("http://h/1", source)) == {0: want}
+
+
+def test_html_host_votes_change_a_page(spark):
+    page = lambda story, box: f"<body><div class='c{len(story)} text'><p>{story}</p></div><div class=zone>{box}</div></body>"
+    same = [("http://a.org/x", f"<body><main><p>{'story ' * 50}</p></main><div class=zone1><a href=/>links only</a></div></body>")] * 4
+    odd = ("http://A.org/y", f"<body><main><p>{'short ' * 20}</p></main><div class=zone1><p>{'unmarked box ' * 8}</p></div></body>")
+    got = texts_of(spark, *same, odd)
+    alone = texts_of(spark, odd)
+    assert got[4] == ("short " * 20).strip() and alone[0] != got[4]
+    # A page that has nearly all its text elsewhere keeps its own.
+    other = ("http://a.org/z", f"<body><main>Menu</main><div class=old><p>{'the whole article ' * 40}</p></div></body>")
+    assert texts_of(spark, *same, other)[4].endswith(("the whole article " * 40).strip())
+
+
+def test_html_rows(spark):
+    given = [("http://h/1", "<p>x")] * 3 + [(None, "<p>y"), (None, None), ("http://h/2", "")]
+    pages = pages_of(spark, *given).selectExpr("if(page_id = 1, null, page_id) page_id", "url", "html", "1 host", "2 path", "3 blocks", "4 best")
+    assert sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html.extract(pages).collect()), key=str) == sorted([(0, "http://h/1", "x", 1), (None, "http://h/1", "x", 1), (2, "http://h/1", "x", 1), (3, None, "y", 1), (4, None, "", 0), (5, "http://h/2", "", 0)], key=str)
+
+
+class Plain(HTMLParser):
+    """The article's blocks of the given pages, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.run, self.inside = [], "", False
+
+    def flush(self):
+        if text := " ".join(self.run.split()):
+            self.out.append(text)
+        self.run = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("article", "p", "h1"):
+            self.flush()
+        self.inside = self.inside or tag == "article"
+        self.run += " " * (tag == "br")
+
+    def handle_endtag(self, tag):
+        if tag in ("article", "p", "h1"):
+            self.flush()
+        self.inside = self.inside and tag != "article"
+
+    def handle_data(self, data):
+        self.run += data if self.inside else ""
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_html_equals_a_plain_extractor(spark, size):
+    pages = spark.read.parquet(f"/root/testdata/{size}/pages.parquet")
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    for r in pages.collect():
+        plain = Plain()
+        plain.feed(r.html or "")
+        assert got[r.page_id] == "\n\n".join(plain.out)
