@@ -2,15 +2,20 @@
 
 Pass 1 tokenises every text once and cuts each document's ids into full windows and one rest; per piece it keeps the
 length and the ids' crc32, per document its term counts.  Terms' document frequencies are counted over all documents.
-Documents are dealt to shards of about SHARD rows; each shard holds a BM25 inverted index over its rests.  The longest
-unused rest seeds a window, the index returns its unused neighbours in order of score, and those that fit go in; what
-room is left then takes the longest unused rests that fit.  Shards grow in number, not in size.
+Documents are dealt to shards by content: each has a few min-hashes of its terms, weighted by their rarity, so that the
+first of them is equal for two documents as often as their weighted Jaccard similarity says.  Rows are ordered by these
+and cut into shards of SHARD rows, so that documents with much in common meet in a shard however many shards there are.
+Each shard holds a BM25 inverted index over its documents.  The longest unused rest seeds a window, the index returns its
+unused neighbours in order of score, and those that fit go in; what room is left then takes the longest unused rests that
+fit.  A neighbour in another shard is not found.
 
 Tokens: a text may be cut at any single space between two visible characters without changing its byte-level BPE, so the
-distinct cuttings of a batch are encoded once and their ids put together again.
+distinct cuttings of a batch are encoded once and their ids put together again.  The vocabulary's special tokens are single
+ids where a text holds them, as in `tokenizers` without further settings.
 
-Edge cases: a null or empty text has the id 0 alone; null doc_ids and repeated rows are packed like others (pieces of
-equal rows are told apart by their places); an empty table gives an empty result; extra columns are ignored.
+Edge cases: a null or empty text has the id 0 alone; very long texts are read whole; null doc_ids and repeated rows are
+packed like others (pieces of equal rows are told apart by their places); an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,18 +24,22 @@ import base64
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _STATE, batches, materialize, span_hashes, text_buffers
 
-WINDOW, SHARD, BUCKETS = 1024, 2048, 1 << 16
+WINDOW, SHARD, BUCKETS = 1024, 2048, 1 << 18
 K1, B = 1.2, 0.75
+#: Min-hashes that order the documents, shards of a task, and terms whose counts travel in one row.
+HASHES, TASK, BLOCK = 3, 4, 4096
+#: Special tokens of the vocabulary.
+SPECIALS = {b"<|endoftext|>": 50256}
 #: Distinct cuttings whose ids a worker keeps.
 CACHE = 600_000
 _TOKENS = "doc_id long, doc_tokens long, crcs array<long>, terms binary, counts binary, salt long"
+_KEYED = _TOKENS + "".join(f", h{j} int" for j in range(HASHES))
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -76,7 +85,8 @@ class Encoder:
             n[joined] = np.diff(np.concatenate([[0], cuts]))
         more, size = [ids.astype(np.uint16)], len(ids)
         for i in set(range(len(pieces))).difference(joined):
-            own = np.array(self.bpe.encode_ordinary(pieces[i].decode()), np.uint16)
+            special = SPECIALS.get(pieces[i])
+            own = np.array(self.bpe.encode_ordinary(pieces[i].decode()) if special is None else [special], np.uint16)
             at[i], n[i] = size, len(own)
             size += len(own)
             more.append(own)
@@ -97,6 +107,15 @@ class Encoder:
             left[1:] |= (data[1:] >= 0x80) & (data[:-1] == 0xC3)
             cut[1 : n - 1] = (data[1:-1] == 0x20) & left[:-2] & self.after[data[2:]]
         cut[offsets] = True
+        raw = None
+        for special in SPECIALS:
+            # Rare: looked for by its first bytes, then cut out where it lies within one text.
+            raw = raw or data.tobytes()
+            at = raw.find(special)
+            while at >= 0:
+                if np.searchsorted(offsets, at, "right") == np.searchsorted(offsets, at + len(special) - 1, "right"):
+                    cut[[at, at + len(special)]] = True
+                at = raw.find(special, at + len(special))
         cut[n] = False
         first = np.flatnonzero(cut[:n])
         last = np.append(first[1:], n)[: len(first)]
@@ -110,7 +129,7 @@ class Encoder:
             else:
                 new, where = new[fresh], where[fresh]
         if len(new):
-            raw = data.tobytes()
+            raw = raw or data.tobytes()
             self._add(new, [raw[first[i] : last[i]] for i in where])
         slot = np.searchsorted(self.keys, hashes)
         sizes = self.n[slot]
@@ -134,9 +153,9 @@ def tokenise(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 own = np.append(ids[starts[k] : starts[k + 1]], 0).astype("<u4")
                 totals.append(len(own))
                 crcs.append([zlib.crc32(own[i : i + WINDOW].tobytes()) for i in range(0, len(own), WINDOW)])
-                term, count = np.unique((hashes[cuts[k] : cuts[k + 1]] % np.uint64(BUCKETS)).astype("<u2"), return_counts=True)
+                term, count = np.unique((hashes[cuts[k] : cuts[k + 1]] % np.uint64(BUCKETS)).astype("<u4"), return_counts=True)
                 terms.append(term.tobytes())
-                counts.append(np.minimum(count, 255).astype("u1").tobytes())
+                counts.append(np.minimum(count, 255).astype("u1").tobytes() + count[count >= 255].astype("<u4").tobytes())
             salt = np.random.default_rng(len(ids)).integers(0, 1 << 40, batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(totals, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(terms, pa.binary()), pa.array(counts, pa.binary()), pa.array(salt)],
@@ -146,23 +165,66 @@ def tokenise(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _TOKENS)
 
 
+def counts_of(raw: bytes, n: int) -> np.ndarray:
+    """Term counts: one byte each, and four more bytes for each one from 255."""
+    out = np.frombuffer(raw, "u1", n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<u4", offset=n)
+    return out
+
+
 def frequencies(tokens: DataFrame) -> np.ndarray:
     """Documents that hold each term, over all documents: BUCKETS numbers, whatever the input."""
 
     def run(it):
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, "<i8")
         for batch in it:
             raw = b"".join(x for x in batch.column("terms").to_pylist() if x)
-            total += np.bincount(np.frombuffer(raw, "<u2"), minlength=BUCKETS)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found])], ["term", "n"])
+            total += np.bincount(np.frombuffer(raw, "<u4"), minlength=BUCKETS)
+        parts = [(a // BLOCK, total[a : a + BLOCK].tobytes()) for a in range(0, BUCKETS, BLOCK) if total[a : a + BLOCK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["block", "n"])
+
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, "<i8") for x in rows.column("n").to_pylist())
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros(BUCKETS)
-    for term, n in tokens.select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
-        out[term] = n
+    for block, n in tokens.select("terms").mapInArrow(run, "block int, n binary").groupBy("block").applyInArrow(add, "block int, n binary").collect():
+        out[BLOCK * block : BLOCK * (block + 1)] = np.frombuffer(n, "<i8")
     return out
 
 
+def orders(idf: np.ndarray) -> list[np.ndarray]:
+    """For each min-hash the terms' ranks: exponential times whose rates are the weights, so rare terms come early."""
+    r = np.random.default_rng(29)
+    out = []
+    for _ in range(HASHES):
+        rank = np.empty(BUCKETS, np.int32)
+        rank[np.argsort(r.exponential(1, BUCKETS) / np.maximum(idf, 1e-6))] = np.arange(BUCKETS)
+        out.append(rank)
+    return out
+
+
+def keyed(tokens: DataFrame, idf: np.ndarray) -> DataFrame:
+    """tokens with the min-hashes of each row's terms in h0, h1, ...; a row without terms has -1."""
+    ranks = orders(idf)
+
+    def run(it):
+        for batch in it:
+            raw = batch.column("terms").to_pylist()
+            terms = np.frombuffer(b"".join(raw), "<u4")
+            ends = np.cumsum([len(x) // 4 for x in raw])
+            some = np.flatnonzero([len(x) > 0 for x in raw])
+            keys = []
+            for rank in ranks:
+                key = np.full(len(raw), -1, np.int32)
+                if len(some):
+                    key[some] = np.minimum.reduceat(rank[terms], np.append(0, ends)[some])
+                keys.append(pa.array(key))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *keys], [*batch.schema.names, *(f"h{j}" for j in range(HASHES))])
+
+    return tokens.mapInArrow(run, _KEYED)
+
+
 def fill(sizes: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray) -> list[list[int]]:
     """Windows of the rests, as lists of their numbers."""
     n = len(sizes)
@@ -226,41 +288,59 @@ def fill(sizes: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], i
     return windows
 
 
+def place(rows: list[tuple], idf: np.ndarray, first: int) -> tuple[list[tuple], int]:
+    """The pieces of one shard's rows (doc_id, doc_tokens, crcs, terms, counts), and the next sequence's number."""
+    lengths = np.array([r[1] for r in rows], np.int64)
+    rest = np.flatnonzero(lengths % WINDOW)
+    terms = [np.frombuffer(rows[i][3], "<u4") for i in rest]
+    counts = [counts_of(rows[i][4], len(t)) for i, t in zip(rest, terms, strict=True)]
+    windows = fill(lengths[rest] % WINDOW, terms, counts, idf)
+    at: dict[int, tuple[int, int]] = {}
+    for number, window in enumerate(windows, first):
+        offset = 0
+        for d in window:
+            at[int(rest[d])] = number, offset
+            offset += int(lengths[rest[d]] % WINDOW)
+    number, out = first + len(windows), []
+    for i, (doc, n, crcs, _, _) in enumerate(rows):
+        for j, crc in enumerate(crcs):
+            size = min(WINDOW, n - j * WINDOW)
+            if size == WINDOW:
+                sequence, offset = number, 0
+                number += 1
+            else:
+                sequence, offset = at[i]
+            out.append((doc, j * WINDOW, size, crc, n, sequence, offset))
+    return out, number
+
+
 def pack(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     tokens = materialize(tokenise(docs, vocabulary), "tokens")
     df = frequencies(tokens)
     total = tokens.count()
     idf = np.log(1 + (total - df + 0.5) / (df + 0.5)).astype(np.float32)
-    shards = max(1, -(-total // SHARD))
-    key = F.pmod(F.xxhash64("doc_id", "salt", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
-
-    def shard(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "salt"], kind="stable").reset_index(drop=True)
-        base, out = int(keys[0]) << 32, []
-        lengths = rows.doc_tokens.to_numpy(np.int64)
-        rest = np.flatnonzero(lengths % WINDOW)
-        place: dict[int, tuple[int, int]] = {}
-        terms = [np.frombuffer(rows.terms[i], "<u2") for i in rest]
-        counts = [np.frombuffer(rows.counts[i], "u1") for i in rest]
-        windows = fill(lengths[rest] % WINDOW, terms, counts, idf)
-        for number, window in enumerate(windows):
-            offset = 0
-            for d in window:
-                place[int(rest[d])] = base + number, offset
-                offset += int(lengths[rest[d]] % WINDOW)
-        number = len(windows)
-        for i, (doc, n, crcs) in enumerate(zip(rows.doc_id, lengths, rows.crcs, strict=True)):
-            doc = None if pd.isna(doc) else int(doc)
-            for j, crc in enumerate(crcs):
-                size = min(WINDOW, int(n) - j * WINDOW)
-                if size == WINDOW:
-                    sequence, offset = base + number, 0
-                    number += 1
-                else:
-                    sequence, offset = place[i]
-                out.append((doc, j * WINDOW, size, int(crc), int(n), sequence, offset))
-        out = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-        return out.astype({"doc_id": "Int64"})
-
-    return tokens.withColumn("shard", key).groupBy("shard").applyInPandas(shard, _PIECES)
+    names = ["doc_id", "doc_tokens", "crcs", "terms", "counts"]
+
+    def shards(it):
+        from pyspark import TaskContext
+
+        number, held = TaskContext.get().partitionId() << 33, []
+
+        def pieces(rows):
+            nonlocal number
+            out, number = place(rows, idf, number)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], [x.split()[0] for x in _PIECES.split(", ")])
+
+        for batch in it:
+            held += zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+            while len(held) >= SHARD:
+                yield pieces(held[:SHARD])
+                held = held[SHARD:]
+        if held:
+            yield pieces(held)
+
+    order = [*(f"h{j}" for j in range(HASHES)), "salt"]
+    tasks = max(1, -(-total // (SHARD * TASK)))
+    ranged = keyed(tokens, idf).repartitionByRange(tasks, *order).sortWithinPartitions(*order, "doc_id")
+    return ranged.select(*names).mapInArrow(shards, _PIECES)
