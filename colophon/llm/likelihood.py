@@ -31,12 +31,16 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_WORDS, batches, materialize, mix, word_hashes
 
-CLASSES, WIDTH, SIDE, STEP, RATE = 96, 16, 2, 8192, 0.02
+CLASSES, WIDTH, SIDE, STEP, RATE = 96, 16, 2, 16384, 0.02
+#: Places whose class distributions are computed at once, so that they stay in the cache.
+CACHED = 2048
 #: Tokens of the corpus for each copy that is trained.
 COPY = 4_000_000
 SLICE = 2 << 20
 #: The square root of all tokens over this is the least count of a named word.
 OWN = 8
+#: Words that a task counts before it sends them.
+HELD = 2_000_000
 #: Weights that travel in one row.
 BLOCK = 4096
 
@@ -52,12 +56,21 @@ def initial(vocabulary: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word (64-bit hash), n over all documents; summed within each slice before the exchange."""
+    """word (64-bit hash), n over all documents; summed within each task before the exchange."""
 
     def run(it):
+        words, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches(it, 4 * SLICE):
-            words, n = np.unique(word_hashes(batch.column("text"), SPACE_WORDS)[0].view(np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], ["word", "n"])
+            found, times = np.unique(word_hashes(batch.column("text"), SPACE_WORDS)[0].view(np.int64), return_counts=True)
+            both = np.concatenate([words, found])
+            order = np.argsort(both, kind="stable")
+            both, times = both[order], np.concatenate([n, times])[order]
+            first = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+            words, n = both[first], np.add.reduceat(times, first) if len(first) else times
+            if len(words) > HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], ["word", "n"])
+                words, n = words[:0], n[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], ["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -96,16 +109,37 @@ class Vocabulary:
         self.spare = np.zeros(self.leaves, bool)
         self.spare[spare] = True
         self.words, self.leaf = words[order := np.argsort(words)], leaf[order]
+        self._index()
 
     def find(self, words: np.ndarray) -> np.ndarray:
-        """The leaf of each word."""
+        """The leaf of each word: the named word in its slot, or one of those that share a slot, or its class's spare leaf."""
         words = words.view(np.int64)
         out = self.first[self.heads + words % self.buckets]
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-            out = np.where(self.words[at] == words, self.leaf[at], out)
+        slot = words & self.mask
+        own = self.slots[slot]
+        hit = self.words[own] == words
+        out[hit] = self.leaf[own[hit]]
+        if len(self.crowded):
+            left = np.flatnonzero(~hit & self.shared[slot])
+            at = np.minimum(np.searchsorted(self.crowded, words[left]), len(self.crowded) - 1)
+            right = self.crowded[at] == words[left]
+            out[left[right]] = self.crowded_leaf[at[right]]
         return out
 
+    def _index(self) -> None:
+        """Slots of the named words by their low bits; words whose slot another one has are kept apart, sorted."""
+        size = 8 << max(4, len(self.words).bit_length())
+        self.mask = size - 1
+        slot = self.words & self.mask
+        self.slots = np.zeros(size, np.int64)
+        self.slots[slot] = np.arange(len(self.words))
+        late = self.slots[slot] != np.arange(len(self.words))
+        self.shared = np.zeros(size, bool)
+        self.shared[slot[late]] = True
+        self.crowded, self.crowded_leaf = self.words[late], self.leaf[late]
+        if not len(self.words):
+            self.words, self.leaf = np.zeros(1, np.int64), np.full(1, self.first[self.heads + 0 % self.buckets])
+
 
 def contexts(leaves: np.ndarray, starts: np.ndarray, beyond: int) -> np.ndarray:
     """The leaves around each place, one row for each side and distance, and a number for what is beyond a text's ends."""
@@ -116,15 +150,26 @@ def contexts(leaves: np.ndarray, starts: np.ndarray, beyond: int) -> np.ndarray:
     return np.stack([padded[at + d] for d in range(-SIDE, SIDE + 1) if d])
 
 
-def forward(w: dict, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hidden_of(w: dict, around: np.ndarray) -> np.ndarray:
     hidden = w["in"][0].take(around[0], 0)
     for j in range(1, 2 * SIDE):
         hidden += w["in"][j].take(around[j], 0)
-    np.tanh(hidden, out=hidden)
-    logits = hidden @ w["out"]
-    logits += w["base"]
-    logits -= logits.max(1, keepdims=True)
-    return hidden, logits
+    return np.tanh(hidden, out=hidden)
+
+
+def class_logits(w: dict, hidden: np.ndarray):
+    """Parts of the places: from, to, and their logits over the classes, each place's less a number so that exp is safe.
+
+    Hidden values are at most 1, so all logits have a bound, and a place's largest is near it while the weights are small.
+    """
+    size = np.abs(w["out"]).sum(0)
+    base = w["base"] - (size + w["base"]).max()
+    for a in range(0, len(hidden), CACHED):
+        logits = hidden[a : a + CACHED] @ w["out"]
+        logits += base
+        if size.max() > 30:
+            logits -= logits.max(1, keepdims=True)
+        yield a, a + len(logits), logits
 
 
 def split(w: dict, hidden: np.ndarray, y: np.ndarray, vocabulary: Vocabulary):
@@ -144,9 +189,10 @@ def split(w: dict, hidden: np.ndarray, y: np.ndarray, vocabulary: Vocabulary):
 
 def log_probabilities(w: dict, around: np.ndarray, y: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     """Of the leaf at each place."""
-    hidden, logits = forward(w, around)
-    out = logits[np.arange(len(y)), vocabulary.of[y]].astype(np.float64)
-    out -= np.log(np.exp(logits, out=logits).sum(1))
+    hidden, out, own = hidden_of(w, around), np.empty(len(y)), vocabulary.of[y]
+    for a, b, logits in class_logits(w, hidden):
+        out[a:b] = logits[np.arange(b - a), own[a:b]]
+        out[a:b] -= np.log(np.exp(logits, out=logits).sum(1))
     for rows, a, _, logits, _ in split(w, hidden, y, vocabulary):
         own = logits[np.arange(len(rows)), y[rows] - a]
         out[rows] += own - np.log(np.exp(logits, out=logits).sum(1))
@@ -156,25 +202,29 @@ def log_probabilities(w: dict, around: np.ndarray, y: np.ndarray, vocabulary: Vo
 def gradient(w: dict, around: np.ndarray, y: np.ndarray, weight: np.ndarray, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     """Of the weighted mean of minus log_probabilities."""
     g = {k: np.zeros_like(v) for k, v in w.items()}
-    hidden, p = forward(w, around)
-    share = (weight / weight.sum()).astype(np.float32)[:, None]
-    np.exp(p, out=p)
-    p *= share / p.sum(1, keepdims=True)
-    p[np.arange(len(y)), vocabulary.of[y]] -= share[:, 0]
-    d = p @ w["out"].T
+    hidden = hidden_of(w, around)
+    share, own = (weight / weight.sum()).astype(hidden.dtype), vocabulary.of[y]
+    d = np.empty_like(hidden)
+    for a, b, p in class_logits(w, hidden):
+        np.exp(p, out=p)
+        p *= (share[a:b] / p.sum(1))[:, None]
+        p[np.arange(b - a), own[a:b]] -= share[a:b]
+        d[a:b] = p @ w["out"].T
+        g["out"] += hidden[a:b].T @ p
+        g["base"] += p.sum(0)
     for rows, low, high, q, own in split(w, hidden, y, vocabulary):
         np.exp(q, out=q)
-        q *= share[rows] / q.sum(1, keepdims=True)
-        q[np.arange(len(rows)), y[rows] - low] -= share[rows, 0]
+        q *= (share[rows] / q.sum(1))[:, None]
+        q[np.arange(len(rows)), y[rows] - low] -= share[rows]
         d[rows] += q @ w["leaf"][low:high]
         g["leaf"][low:high] = q.T @ own
         g["lean"][low:high] = q.sum(0)
     d *= 1 - hidden**2
-    g["out"], g["base"] = hidden.T @ p, p.sum(0)
     for j in range(2 * SIDE):
         order = np.argsort(around[j].astype(np.uint16) if vocabulary.leaves < 1 << 16 else around[j], kind="stable")
-        found, at = np.unique(around[j][order], return_index=True)
-        g["in"][j][found] = np.add.reduceat(d[order], at, axis=0)
+        near = around[j][order]
+        at = np.flatnonzero(np.append(True, near[1:] != near[:-1]))
+        g["in"][j][near[at]] = np.add.reduceat(d[order], at, axis=0)
     return g
 
 
@@ -266,8 +316,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
 
     out = np.concatenate([v.ravel() for v in start.values()])
     dealt = docs.select("text").mapInArrow(deal, "copy long, key long, times long, leaves binary")
-    # One task for each copy: its training takes longer than its bytes tell.
-    trained = dealt.repartition(copies, "copy").groupBy("copy").applyInArrow(fit, "at long, copy long, x binary, n double")
+    # Few copies share a task: training takes longer than its bytes tell.
+    trained = dealt.repartition(4 * copies, "copy").groupBy("copy").applyInArrow(fit, "at long, copy long, x binary, n double")
     for r in trained.groupBy("at").applyInArrow(mean, "at long, x binary").collect():
         own = np.frombuffer(r.x, np.float32)
         out[r.at : r.at + len(own)] = own
