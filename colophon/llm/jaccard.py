@@ -11,15 +11,18 @@ left to find each link.
 
 Candidates come in two rounds.  First each block's classes are paired with the block's least class alone, pairs that pass
 the Hamming test are joined to components, and blocks whose classes are all of one component are done with.  What is left
-are blocks that hold several components; there all pairs of different components are tested.  Components of the candidates
-gather each set once, and all intersections within a component are computed there.  Components come from min-label passes,
-in Spark.
+are blocks that hold several components; there all pairs of different components are tested.  Components come from
+min-label passes, in Spark.
+
+Links are exact.  `deduplicate` verifies the near pairs first; where that leaves a component of candidates in several parts,
+classes outside the largest part are compared with all of the component.  `classes` also counts links, so it computes all
+intersections within each component of candidates.
 
 Skew: equal texts collapse to a class within each task.  A block that many classes of a task share sends one of them to
 the exchange, and the others go around it.  Blocks of several components with more than SMALL classes are cut into chunks
 that are compared in separate tasks, each of which gives a spanning forest of its near pairs and not the pairs.  A large
-component is cut into chunks likewise: a task gives a forest of its links and each class's number of links.  That last
-step is quadratic in the number of different texts of one component.
+component is cut into chunks likewise: a task gives a forest of its links and each class's number of links.  Counting
+links is quadratic in the number of different texts of one component.
 
 Edge cases: null and empty texts have no shingles and link with nothing; fewer words than a shingle are one shingle;
 very long texts are read whole, one at a time; null doc_ids keep rows (with a null component unless an equal or linked
@@ -318,19 +321,11 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _members(groups: DataFrame, of: DataFrame) -> DataFrame:
-    """class, root, doc_id, copies, chunks (of the class's component), total (shingles of the component)."""
-    rows = groups.join(of.select("class", "doc_id", "n", "copies"), "class")
-    chunks = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / BUNDLE)).cast("int")
-    sizes = rows.groupBy("root").agg(chunks.alias("chunks"), F.sum("n").alias("total")).withColumnRenamed("root", "_root")
-    return rows.join(sizes, F.col("root") == F.col("_root")).select("class", "root", "doc_id", "copies", "n", "chunks", "total")
-
-
-def _sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """The rows of members with their sets, read again from the documents that have the classes' doc_ids."""
-    few = members.count() <= BROADCAST_IDS
+def _sets(docs: DataFrame, heads: DataFrame, k: int) -> DataFrame:
+    """_class, set: the sets of the classes in heads (class, doc_id), read again from the documents that have the doc_ids."""
+    few = heads.count() <= BROADCAST_IDS
     small = lambda df: F.broadcast(df) if few else df
-    ids = members.select(F.col("doc_id").alias("head")).distinct()
+    ids = heads.select(F.col("doc_id").alias("head")).distinct()
     own = docs.select("doc_id", "text").join(small(ids), F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
 
     def run(it):
@@ -342,39 +337,101 @@ def _sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
             sets = [shingles[begins[i] : begins[i + 1]].astype("<u8").tobytes() for i in rows]
             yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(sets, pa.binary())], ["_class", "set"])
 
-    found = own.mapInArrow(run, "_class long, set binary")
-    return found.join(small(members.drop("doc_id")), F.col("_class") == F.col("class")).drop("_class")
+    return own.mapInArrow(run, "_class long, set binary")
+
+
+def _with_sets(work: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The rows of work (class, doc_id and others) with their classes' sets; a class may come from two tasks."""
+    few = work.count() <= BROADCAST_IDS
+    found = _sets(docs, work.select("class", "doc_id").distinct(), k)
+    return found.join(F.broadcast(work) if few else work, F.col("_class") == F.col("class")).drop("_class", "doc_id")
+
+
+def _true_pairs(edges: DataFrame, of: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: the pairs among edges that link.  Pairs are gathered by a, in parts of about PACK shingles."""
+    own = of.select("class", "doc_id", "n")
+    right = edges.join(own, F.col("b") == F.col("class")).select("a", "class", "doc_id", "n")
+    parts = right.groupBy("a").agg(F.ceil(F.sum("n") / PACK).cast("int").alias("parts"), F.sum("n").alias("total")).withColumnRenamed("a", "_a")
+    parts = materialize(parts, "parts")
+    bins = int((parts.where("parts = 1").agg(F.sum("total")).first()[0] or 0) // PACK) + 1
+    part = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("a"), F.lit(bins)))
+    right = right.join(parts, F.col("a") == F.col("_a"))
+    right = right.select("a", "class", "doc_id", F.coalesce(part, F.col("a")).alias("place"), F.when(F.col("parts") > 1, F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).otherwise(-1).alias("part"), F.lit(False).alias("center"))
+    left = own.join(parts, F.col("class") == F.col("_a")).select(F.col("class").alias("a"), "class", "doc_id", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
+    left = left.select("a", "class", "doc_id", F.coalesce(part, F.col("a")).alias("place"), F.when(F.col("parts") > 1, F.col("i")).otherwise(-1).alias("part"), F.lit(True).alias("center"))
+    work = materialize(left.union(right), "work")
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        a, ids, center = (rows.column(c).to_numpy() for c in ("a", "class", "center"))
+        sets = [np.frombuffer(x, "<u8") for x in rows.column("set").to_pylist()]
+        at, out = {int(a[i]): sets[i] for i in np.flatnonzero(center)}, []
+        order = np.argsort(a, kind="stable")
+        order = order[~center[order]]
+        for part in np.split(order, np.flatnonzero(np.diff(a[order])) + 1) if len(order) else []:
+            mine, own = at[int(a[part[0]])], [sets[i] for i in part]
+            size = np.array([len(x) for x in own])
+            every = np.concatenate(own)
+            hit = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
+            out += [(int(a[i]), int(ids[i])) for i in part[100 * both >= percent * (size + len(mine) - both)]]
+        return pa.table([pa.array([x[j] for x in out], pa.int64()) for j in (0, 1)], ["a", "b"])
+
+    return _with_sets(work, docs, k).select("place", "part", "a", "class", "center", "set").groupBy("place", "part").applyInArrow(run, "a long, b long")
+
+
+def _members(groups: DataFrame, of: DataFrame, links: DataFrame | None) -> DataFrame:
+    """class, root, doc_id, copies, n, own, chunks, first: who is to be compared within each component.
+
+    links None: all with all, own is the class.  Else own is the class's component by links (class, root); components of one
+    own have nothing left to compare, and in others the classes of the largest own are compared with the others alone: these
+    are in the chunks up to first, the others of the largest one behind them.
+    """
+    rows = groups.join(of.select("class", "doc_id", "n", "copies"), "class")
+    if links is None:
+        rows = rows.withColumns({"own": F.col("class"), "main": F.lit(False)})
+    else:
+        found = links.select(F.col("class").alias("_class"), F.col("root").alias("own"))
+        rows = rows.join(found, F.col("class") == F.col("_class"), "left").withColumn("own", F.coalesce("own", "class")).drop("_class")
+        sizes = rows.groupBy("root", "own").agg(F.sum("n").alias("total"))
+        sizes = sizes.groupBy(F.col("root").alias("_root")).agg(F.count("*").alias("owns"), F.max(F.struct("total", "own"))["own"].alias("_own"))
+        rows = rows.join(sizes.where("owns > 1").select("_root", "_own"), F.col("root") == F.col("_root")).withColumn("main", F.col("own") == F.col("_own")).drop("_root", "_own")
+    parts = lambda which: F.greatest(F.ceil(F.count_if(which) / TILE), F.ceil(F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)) / BUNDLE)).cast("int")
+    sizes = rows.groupBy(F.col("root").alias("_root")).agg(parts(~F.col("main")).alias("first"), parts(F.col("main")).alias("behind"), F.count("*").alias("all"), F.sum("n").alias("total"))
+    rows = rows.join(sizes, F.col("root") == F.col("_root"))
+    whole = (F.col("all") <= TILE) & (F.col("total") <= BUNDLE)
+    at = lambda n: F.pmod(F.xxhash64("class"), n).cast("int")
+    chunk = F.when(whole, 0).when(F.col("main"), F.col("first") + at(F.greatest(F.col("behind"), F.lit(1)))).otherwise(at(F.greatest(F.col("first"), F.lit(1))))
+    return rows.select("class", "root", "doc_id", "copies", "n", "own", whole.alias("whole"), chunk.alias("chunk"), F.when(F.col("main"), F.col("first")).otherwise(F.col("first") + F.col("behind")).alias("others"))
 
 
 def _verify(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The links within each component of candidates, as rows of class, root, others, a, b.
 
     others counts the documents that a class links with.  A component that fits a task gives each linked class's root;
-    of one that is cut into chunks, a task gives (a, b), a spanning forest of its links.
+    of one that is cut into chunks, a task gives (a, b), a spanning forest of its links.  Classes of one own need no test.
     """
-    bins = int((members.where("chunks = 1").agg(F.sum("n")).first()[0] or 0) // PACK) + 1
-    chunk = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
-    rows = _sets(docs, members, k).withColumn("chunk", chunk)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    whole = F.col("chunks") == 1
-    rows = rows.withColumns({
-        "place": F.when(whole, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")),
-        "low": F.when(whole, -1).otherwise(F.least("chunk", "other")), "high": F.when(whole, -1).otherwise(F.greatest("chunk", "other")),
-    })
+    bins = int((members.where("whole").agg(F.sum("n")).first()[0] or 0) // PACK) + 1
+    whole = F.col("whole")
+    rows = members.withColumn("other", F.explode(F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("others") - 1))))
+    rows = materialize(rows.select(
+        "class", "doc_id", "root", "own", "copies", "chunk", F.when(whole, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")).alias("place"),
+        F.when(whole, -1).otherwise(F.least("chunk", "other")).alias("low"), F.when(whole, -1).otherwise(F.greatest("chunk", "other")).alias("high"),
+    ), "work")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         low, high = key[1].as_py(), key[2].as_py()
         # Rows of one class that two tasks have read are one.
         _, once = np.unique(rows.column("class").to_numpy(), return_index=True)
         rows = rows.take(pa.array(once))
-        ids, roots, copies, chunk = (rows.column(c).to_numpy() for c in ("class", "root", "copies", "chunk"))
-        own = [np.frombuffer(x, "<u8") for x in rows.column("set").to_pylist()]
+        ids, roots, own, copies, chunk = (rows.column(c).to_numpy() for c in ("class", "root", "own", "copies", "chunk"))
+        sets = [np.frombuffer(x, "<u8") for x in rows.column("set").to_pylist()]
         order = np.lexsort((ids, roots))
         parts = np.split(order, np.flatnonzero(np.diff(roots[order])) + 1) if len(order) else []
         out = []
         for part in parts:
-            both, size = overlaps([own[i] for i in part]), np.array([len(own[i]) for i in part])
+            both, size = overlaps([sets[i] for i in part]), np.array([len(sets[i]) for i in part])
             link = np.triu(100 * both >= percent * (size[:, None] + size - both), 1)
+            link &= own[part][:, None] != own[part]
             if low != high:
                 link &= chunk[part][:, None] != chunk[part]
             x, y = np.nonzero(link)
@@ -393,7 +450,7 @@ def _verify(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
         of = list(zip(*out, strict=True)) or [[]] * 5
         return pa.table([pa.array(x, pa.int64()) for x in of], ["class", "root", "others", "a", "b"])
 
-    rows = rows.select("place", "low", "high", "root", "class", "set", "copies", "chunk")
+    rows = _with_sets(rows, docs, k).select("place", "low", "high", "root", "own", "class", "set", "copies", "chunk")
     return rows.groupBy("place", "low", "high").applyInArrow(run, "class long, root long, others long, a long, b long")
 
 
@@ -440,23 +497,37 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _candidates(shared: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
-    """class, root: components of near classes, in two rounds."""
+def _candidates(shared: DataFrame, folds: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """class, root: components of near classes, in two rounds; a, b: the near pairs that joined them."""
     star = shared.where("class <> center").select(F.col("center").alias("a"), F.col("class").alias("b")).distinct()
     near = materialize(_near(star, folds, percent), "near")
     labels = components(near)
     rest = _open(shared, labels)
     more = materialize(_near(_small_pairs(rest), folds, percent).union(_hot_near(rest, folds, percent)), "near")
-    discard(near)
     if more.isEmpty():
-        return labels
+        return labels, near
     groups = components(labels.select(F.col("class").alias("a"), F.col("root").alias("b")).where("a <> b").union(more))
-    discard(labels, more)
-    return groups
+    both = materialize(near.union(more).distinct(), "near")
+    discard(labels, near, more)
+    return groups, both
+
 
+def _roots(groups: DataFrame, edges: DataFrame, of: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """class, root of the classes that link, without counts: near pairs are verified first, then what they leave apart."""
+    links = materialize(_true_pairs(edges, of, docs, k, percent), "links")
+    labels = components(links)
+    members = materialize(_members(groups, of, labels), "members")
+    if members.isEmpty():
+        return labels
+    found = materialize(_verify(members, docs, k, percent), "links")
+    more = found.where("root is not null and root <> class").select(F.col("class").alias("a"), F.col("root").alias("b")).union(found.where("a is not null").select("a", "b"))
+    out = components(links.union(more))
+    discard(links, labels, members, found)
+    return out
 
-def _resolve(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id, n, class of each row; class, component_id, n_links, head of each class with shingles.
+
+def _resolve(docs: DataFrame, k: int, percent: int, counts: bool) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n, class of each row; class, component_id, n_links (if counts), head of each class with shingles.
 
     head: whether the class has its component's smallest doc_id; one class of each component has it.
     """
@@ -466,15 +537,20 @@ def _resolve(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     sets_of = materialize(sets_of, "sets")
     keys = (sets_of.agg(F.sum("n")).first()[0] or 0) * 4 * (100 - percent) / (100 + percent)
     shared = materialize(_shared(_packed(docs, k, percent, max(1, int(keys / PART)))), "shared")
-    groups = _candidates(shared, sets_of.select("class", "n", "fold"), percent)
-    members = materialize(_members(groups, sets_of), "members")
-    discard(shared, groups)
-    found = materialize(_verify(members, docs, k, percent), "links")
-    discard(members)
-    roots = found.where("root is not null").select("class", "root").union(components(found.where("a is not null").select("a", "b")))
-    degree = found.where("class is not null").groupBy("class").agg(F.sum("others").alias("others"))
-    of = sets_of.join(roots, "class", "left").join(degree, "class", "left")
-    of = of.select("class", "doc_id", F.coalesce("root", "class").alias("root"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    groups, edges = _candidates(shared, sets_of.select("class", "n", "fold"), percent)
+    discard(shared)
+    others = F.lit(0)
+    if counts:
+        members = materialize(_members(groups, sets_of, None), "members")
+        found = materialize(_verify(members, docs, k, percent), "links")
+        discard(members)
+        roots = found.where("root is not null").select("class", "root").union(components(found.where("a is not null").select("a", "b")))
+        degree = found.where("class is not null").groupBy("class").agg(F.sum("others").alias("others"))
+        of, others = sets_of.join(roots, "class", "left").join(degree, "class", "left"), F.col("others")
+    else:
+        of = sets_of.join(_roots(groups, edges, sets_of, docs, k, percent), "class", "left")
+    discard(groups, edges)
+    of = of.select("class", "doc_id", F.coalesce("root", "class").alias("root"), (F.col("copies") - 1 + F.coalesce(others, F.lit(0))).alias("n_links"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("first")
     least = of.groupBy("root").agg(first).select("root", F.col("first.doc_id").alias("component_id"), F.col("first.class").alias("_first"))
     of = of.join(least, "root").select("class", "component_id", "n_links", (F.col("class") == F.col("_first")).alias("head"))
@@ -483,7 +559,7 @@ def _resolve(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
 
 def classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links per row of docs."""
-    rows, of = _resolve(docs, k, percent)
+    rows, of = _resolve(docs, k, percent, counts=True)
     linked = rows.where("n > 0").join(of, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.union(alone)
@@ -501,7 +577,7 @@ def _with_class(docs: DataFrame, k: int) -> DataFrame:
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component, one of the smallest doc_id; rows without words all stay."""
-    rows, of = _resolve(docs, k, percent)
+    rows, of = _resolve(docs, k, percent, counts=False)
     # A doc_id that one row has names that row; of others, and of null, a row is told by its class too.
     repeats = rows.groupBy("doc_id").agg((F.col("doc_id").isNull() | (F.count("*") > 1)).alias("_again"))
     heads = of.where("head").select(F.col("component_id").alias("_head"), F.col("class").alias("_own"))

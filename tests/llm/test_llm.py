@@ -118,10 +118,15 @@ def test_jaccard_groups(spark, k, percent):
     assert {r.doc_id: r.n_links for r in got} == brute.n_links(texts, k, percent)
 
 
-def test_jaccard_chunks_and_bundles(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "CHUNK", 16)
-    monkeypatch.setattr(jaccard, "PACK", 1500)
+@pytest.mark.parametrize("limits", [{"CHUNK": 16, "PACK": 1500}, {"TILE": 12, "PACK": 700, "HOT": 3, "GATHER": 900, "SMALL": 2, "CHUNK": 5}, {"BUNDLE": 2000, "HOT": 1, "BROADCAST_IDS": 0}])
+def test_jaccard_chunks_and_bundles(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard, name, value)
     texts = dict(enumerate(variants(90, 120, 5, 7) + variants(40, 30, 6, 3)))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for k, percent in ((3, 90), (2, 95)):
+        kept = {r.doc_id for r in jaccard.deduplicate(docs, k, percent).collect()}
+        assert kept == {v[1] for v in brute.components(texts, k, percent).values()}
     got = jaccard.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components(texts, 3, 90)
     assert {r.doc_id: r.n_links for r in got} == brute.n_links(texts, 3, 90)
