@@ -31,11 +31,12 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_WORDS, batches, materialize, mix, word_hashes
 
-CLASSES, WIDTH, SIDE, STEP, RATE = 96, 16, 2, 16384, 0.02
+CLASSES, WIDTH, SIDE, STEP, RATE = 96, 16, 2, 32768, 0.02
+STEPS = 240
 #: Places whose class distributions are computed at once, so that they stay in the cache.
 CACHED = 2048
 #: Tokens of the corpus for each copy that is trained.
-COPY = 4_000_000
+COPY = 8_000_000
 SLICE = 2 << 20
 #: The square root of all tokens over this is the least count of a named word.
 OWN = 8
@@ -58,19 +59,23 @@ def initial(vocabulary: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]:
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (64-bit hash), n over all documents; summed within each task before the exchange."""
 
+    def send(parts: list):
+        words, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(words)
+        words, n = words[order], n[order]
+        first = np.flatnonzero(np.append(len(words) > 0, words[1:] != words[:-1]))
+        return pa.RecordBatch.from_arrays([pa.array(words[first]), pa.array(np.add.reduceat(n, first) if len(first) else n)], ["word", "n"])
+
     def run(it):
-        words, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts, held = [], 0
         for batch in batches(it, 4 * SLICE):
-            found, times = np.unique(word_hashes(batch.column("text"), SPACE_WORDS)[0].view(np.int64), return_counts=True)
-            both = np.concatenate([words, found])
-            order = np.argsort(both, kind="stable")
-            both, times = both[order], np.concatenate([n, times])[order]
-            first = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
-            words, n = both[first], np.add.reduceat(times, first) if len(first) else times
-            if len(words) > HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], ["word", "n"])
-                words, n = words[:0], n[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], ["word", "n"])
+            parts.append(np.unique(word_hashes(batch.column("text"), SPACE_WORDS)[0].view(np.int64), return_counts=True))
+            held += len(parts[-1][0])
+            if held > HELD:
+                yield send(parts)
+                parts, held = [], 0
+        if parts:
+            yield send(parts)
 
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -207,11 +212,17 @@ def gradient(w: dict, around: np.ndarray, y: np.ndarray, weight: np.ndarray, voc
     d = np.empty_like(hidden)
     for a, b, p in class_logits(w, hidden):
         np.exp(p, out=p)
-        p *= (share[a:b] / p.sum(1))[:, None]
-        p[np.arange(b - a), own[a:b]] -= share[a:b]
+        part = share[a:b] / p.sum(1)
         d[a:b] = p @ w["out"].T
-        g["out"] += hidden[a:b].T @ p
-        g["base"] += p.sum(0)
+        d[a:b] *= part[:, None]
+        g["out"] += (hidden[a:b] * part[:, None]).T @ p
+        g["base"] += part @ p
+    # The places' own classes, taken off.
+    d -= w["out"].T.take(own, 0) * share[:, None]
+    order = np.argsort(own.astype(np.uint16) if vocabulary.n < 1 << 16 else own, kind="stable")
+    at = np.flatnonzero(np.append(True, np.diff(own[order]) != 0))
+    g["out"][:, own[order][at]] -= np.add.reduceat((hidden * share[:, None])[order], at, axis=0).T
+    g["base"] -= np.bincount(own, share, vocabulary.n).astype(g["base"].dtype)
     for rows, low, high, q, own in split(w, hidden, y, vocabulary):
         np.exp(q, out=q)
         q *= (share[rows] / q.sum(1))[:, None]
@@ -229,15 +240,17 @@ def gradient(w: dict, around: np.ndarray, y: np.ndarray, weight: np.ndarray, voc
 
 
 class Trainer:
-    """One pass of Adam steps of STEP places each."""
+    """One pass of about STEPS Adam steps, of STEP places at most each."""
 
-    def __init__(self, start: dict, vocabulary: Vocabulary):
+    def __init__(self, start: dict, vocabulary: Vocabulary, places: int):
+        self.size = max(256, min(STEP, places // STEPS))
         self.w, self.vocabulary, self.steps = {k: v.copy() for k, v in start.items()}, vocabulary, 0
         self.mean, self.square = ({k: np.zeros_like(v) for k, v in start.items()} for _ in range(2))
 
     def learn(self, around: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
-        for a in range(0, len(y), STEP):
-            g = gradient(self.w, around[:, a : a + STEP], y[a : a + STEP], weight[a : a + STEP], self.vocabulary)
+        for a in range(0, len(y), self.size):
+            b = a + self.size
+            g = gradient(self.w, around[:, a:b], y[a:b], weight[a:b], self.vocabulary)
             self.steps += 1
             rate = RATE * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps) / (1 + self.steps / 200)
             for k, x in g.items():
@@ -295,9 +308,9 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
         keys, times, found = rows.column("key").to_numpy(), rows.column("times").to_numpy(), rows.column("leaves").combine_chunks()
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         times = np.add.reduceat(times, first)
-        trainer = Trainer(start, vocabulary)
         sizes = np.array([len(found[i].as_buffer()) for i in first.tolist()]) // np.dtype(kind).itemsize
-        part = (np.cumsum(sizes) - sizes) // (16 * STEP)
+        trainer = Trainer(start, vocabulary, int(sizes.sum()))
+        part = (np.cumsum(sizes) - sizes) // (8 * trainer.size)
         for p in np.unique(part):
             own = np.flatnonzero(part == p)
             y = np.concatenate([np.frombuffer(found[i].as_buffer(), kind) for i in first[own].tolist()]).astype(np.int64)
