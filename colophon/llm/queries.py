@@ -54,8 +54,20 @@ _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SPACED = r"[^\x20\x09-\x0D]+"
 _RULES = ", ".join(f"('{r}', '{v}')" for r, v in urls.RULES)
 _SPAM = " OR ".join(f"host = '{h}' OR host LIKE '%.{h}'" for h in urls.SPAM_HOSTS)
-_less = lambda chars: f"(length(x) - length(translate(x, '{chars}', '')))"
+_less = lambda chars: f"(length(x) - length(translate(x, '{chars.replace(chr(39), chr(39) * 2)}', '')))"
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _FURNITURE = " OR ".join(f"contains(lower(x), '{p}')" for p in rules.BOILERPLATE)
+_ENDS = rules.ENDS.replace("'", "''")
+
+
+def _over(chars: str, least: int, words: int) -> str:
+    return f"({_less(chars)} >= {least} AND {_less(chars)} * {words} > {_less(' ')})"
+
+
+#: Whether line x fails, and the words of it that are said most often.
+_FAILS = f"""{_over(rules.BARS, rules.MIN_BARS, rules.BARS_IN)} OR {_over(rules.SHOUTS, rules.MIN_SHOUTS, rules.SHOUTS_IN)} OR {_over(rules.MARKS, rules.MIN_MARKS, rules.MARKS_IN)}
+  OR (length(x) < {rules.SHORT} AND ({_FURNITURE})) OR ({_less(' ')} < {rules.MIN_SENTENCE - 1} AND NOT contains('{_ENDS}', right(trim(x, {_BLANK}), 1)))
+  OR (len(lw) >= {rules.MIN_SAID} AND 2 * list_max(map_values(list_histogram(lw))) >= len(lw))"""
 
 ORACLES: dict[str, str] = {
     "op5_url_filter": rf"""
@@ -68,12 +80,13 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesc
 g AS (SELECT doc_id, i, w[i:i+2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS times FROM g) WHERE times > 1) GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d),
-k AS (SELECT doc_id, count(*) - count(DISTINCT x) AS dup, sum(CASE WHEN ({_less("|>»")} >= 2 AND {_less("|>»")} * 4 > {_less(" ")}) OR ({_less("!?")} >= 4 AND {_less("!?")} * 3 > {_less(" ")})
-  OR (length(x) < 200 AND ({_FURNITURE})) THEN 0 ELSE length(regexp_replace(x, '[ 	-]+', '', 'g')) END) AS clean FROM l WHERE regexp_matches(x, '[^ 	-]') GROUP BY doc_id),
+f AS (SELECT doc_id, x, regexp_extract_all(lower(x), '{_SPACED}') AS lw FROM l WHERE regexp_matches(x, '{_SPACED}')),
+j AS (SELECT doc_id, x, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS n, {_FAILS} AS fails FROM f),
+k AS (SELECT doc_id, count(*) - count(DISTINCT x) AS dup, sum(CASE WHEN fails THEN n ELSE 0 END) AS lost, count(*) FILTER (fails) AS n_failed_lines FROM j GROUP BY doc_id),
 o AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-  CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, coalesce(clean, 0) AS clean FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id))
+  CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, coalesce(lost, 0) AS lost, CAST(coalesce(n_failed_lines, 0) AS BIGINT) AS n_failed_lines FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND clean >= {rules.MIN_KEPT} * word_chars AS kept FROM o""",
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND word_chars - lost >= {rules.MIN_KEPT} * word_chars AS kept, n_failed_lines FROM o""",
     "op8_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') AS w FROM documents),
 b AS (SELECT item_id, w, least(10, len(w)) AS k FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') AS w FROM benchmark)),

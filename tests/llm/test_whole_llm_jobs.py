@@ -149,8 +149,8 @@ def said_over(line):
 
 def test_rules_take_failing_lines_out(spark):
     good = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
-    bad = ["Home | News | Sport | Mail", "BUY NOW !!!!!! ok", "All rights reserved by us", "buy buy Buy cheap buy  buy", "x y a a a b"]
-    plain = ["a a a b c", "to be or not to be", ""]
+    bad = ["Home | News | Sport | Mail", "BUY NOW !!!!!! ok", "All rights reserved by us", "buy buy Buy cheap buy  buy.", "x y a a a b.", "a ### b $$$ c %%% d.", "A heading without an end"]
+    plain = ["a a a b c.", "to be or not to be!", ""]
     texts = ["\n".join([good[0], bad[0], good[1], *bad[1:], "", good[2], *plain]), "\n".join(good), good[0] + "\n" + bad[1], None, "spam " * 80]
     texts.append("\n".join([good[0] + " " + good[1], "", bad[3]]))
     docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int")
@@ -160,6 +160,35 @@ def test_rules_take_failing_lines_out(spark):
     assert {r.doc_id: (r.text, r.n_chars) for r in got.collect()} == {i: (t, len(t)) for i, t in want.items()}
 
 
+def brute_fails(line):
+    count = lambda chars: sum(c in chars for c in line)
+    over = lambda chars, least, words: count(chars) >= least and count(chars) * words > count(" ")
+    return (
+        over("|>»", 2, 4) or over("!?", 4, 3) or over("#*$%&|<>", 6, 2) or (len(line) < 200 and any(p in line.lower() for p in rules.BOILERPLATE))
+        or (count(" ") < 11 and line.strip(" \t\n\x0b\x0c\r")[-1:] not in rules.ENDS) or said_over(line)
+    )
+
+
+def brute_clean(text):
+    """The text that stays, or None."""
+    lines = (text or "").split("\n")
+    failed = [x for x in lines if brute.SPACED.search(x) and brute_fails(x)]
+    total, lost = (sum(len(w) for x in some for w in brute.SPACED.findall(x)) for some in (lines, failed))
+    return None if brute.quality(text)[-1] or 2 * (total - lost) < total else "\n".join(x for x in lines if x not in failed)
+
+
+def test_rules_stage_against_brute_force(spark):
+    clash = "1 n_words, 'k' kept, 2 word_chars, 3 _in, 4 _text, 5 _failed, array(6) _lines, 7 _row, 8 base_failed, 9 _clean"
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("*", *clash.split(", "))
+    none = docs.limit(3).selectExpr("cast(null as long) doc_id", *[c if c != "text" else "text" for c in docs.columns[1:]])
+    docs = docs.union(docs.limit(2)).union(none)
+    got = rules.apply(docs)
+    assert got.schema.simpleString() == docs.schema.simpleString()
+    want = [(r.doc_id, t, r.n_words, r.kept, r.word_chars, r._in) for r in docs.collect() if (t := brute_clean(r.text)) is not None]
+    assert sorted(((r.doc_id, r.text, r.n_words, r.kept, r.word_chars, r._in) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert rules.apply(docs.where("false")).count() == 0 and all(r.n_chars == len(r.text) for r in got.collect())
+
+
 def test_rules_find_words_said_over_and_over(spark):
     r = np.random.default_rng(2)
     lines = ["", " ", "a", *[" ".join(r.choice(["a", "B", "b", "c", "d"], size=int(r.integers(1, 14)), p=[0.4, 0.1, 0.2, 0.2, 0.1])) for _ in range(200)]]
