@@ -5,7 +5,8 @@ sought between classes.  Sizes fall into bands; a pair that links has both sizes
 difference is at most the band's D.  Each shingle flips one bit of a sketch of D + 1 + slack blocks, so sketches' Hamming
 distance is a lower bound of the symmetric difference, and by the pigeonhole principle a pair that links has more than
 slack equal blocks.  A block has 2**64 bits and is kept as the XOR of random words, one for each bit that is set: the
-join's key is that word, and a second sketch of 1,024 bits tests the pairs that it gives.  Blocks without shingles are
+join's key is that word, and a second sketch, folded to about as many bits as the set has shingles, tests the pairs that it
+gives.  Blocks without shingles are
 equal by chance only; a class leaves them out unless it has more than slack of them, so one equal block with shingles is
 left to find each link.
 
@@ -51,7 +52,7 @@ BUNDLE, PACK, WIDE = 4_000_000, 250_000, 4096
 PART, GATHER, HOT = 1_500_000, 2_000_000, 64
 #: Ids of candidates that may be broadcast (32 bytes each at most); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-FOLD = 16  # 64-bit words of a folded sketch
+FOLD = 16  # 64-bit words of a folded sketch, at least
 
 
 def bands(percent: int, largest: int) -> list[tuple[int, int, int]]:
@@ -117,13 +118,45 @@ def block_keys(own: np.ndarray, percent: int, scheme: list[tuple[int, int, int]]
     return np.concatenate(out)
 
 
-def folded(shingles: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """The sketch of 64 * FOLD bits of each set."""
-    out = np.zeros((len(begins) - 1) * FOLD, np.uint64)
-    owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-    word = owner * FOLD + ((shingles >> np.uint64(40)) % np.uint64(FOLD)).astype(np.int64)
-    np.bitwise_xor.at(out, word, np.uint64(1) << ((shingles >> np.uint64(32)) & np.uint64(63)))
-    return out.reshape(-1, FOLD)
+def folded(shingles: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The folded sketch of each set, of a power of two words and as many bits as it has shingles at least; where each begins."""
+    n = np.diff(begins)
+    words = np.maximum(FOLD, 1 << np.ceil(np.log2(np.maximum(n, 1) / 64)).clip(0).astype(np.int64))
+    at = np.append(0, np.cumsum(words))
+    out = np.zeros(at[-1], np.uint64)
+    owner = np.repeat(np.arange(len(n)), n)
+    place = at[owner] + ((shingles >> np.uint64(40)) & (words[owner] - 1).astype(np.uint64)).astype(np.int64)
+    np.bitwise_xor.at(out, place, np.uint64(1) << ((shingles >> np.uint64(32)) & np.uint64(63)))
+    return out.astype("<u8"), at
+
+
+def narrow(folds: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (one a row) folded to fewer words: their Hamming distances stay lower bounds."""
+    while folds.shape[1] > words:
+        half = folds.shape[1] // 2
+        folds = folds[:, :half] ^ folds[:, half:]
+    return folds
+
+
+def stacked(folds: list[bytes]) -> np.ndarray:
+    """Sketches as rows, folded to the narrowest of them."""
+    size = np.array([len(x) // 8 for x in folds])
+    out = np.empty((len(folds), size.min(initial=FOLD if not len(folds) else 1 << 40)), np.uint64)
+    for n in np.unique(size):
+        rows = np.flatnonzero(size == n)
+        out[rows] = narrow(np.frombuffer(b"".join(folds[i] for i in rows), "<u8").reshape(-1, n), out.shape[1])
+    return out
+
+
+def distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Hamming distances of pairs of sketches, each pair folded to its narrower one."""
+    size = np.minimum([len(x) // 8 for x in a], [len(x) // 8 for x in b])
+    out = np.empty(len(a), np.int64)
+    for n in np.unique(size):
+        rows = np.flatnonzero(size == n)
+        x, y = (np.vstack([narrow(np.frombuffer(f[i], "<u8")[None], n) for i in rows]) for f in (a, b))
+        out[rows] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
 
 
 class Seen:
@@ -152,9 +185,9 @@ def _read(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches(it):
             shingles, begins = shingle_sets(batch.column("text"), k)
             sizes, ids = np.diff(begins), set_ids(shingles, begins)
-            sketch, fold = folded(shingles, begins).astype("<u8"), [None] * batch.num_rows
+            (sketch, at), fold = folded(shingles, begins), [None] * batch.num_rows
             for i in seen.fresh(ids, sizes):
-                fold[i] = sketch[i].tobytes()
+                fold[i] = sketch[at[i] : at[i + 1]].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids), pa.array(fold, pa.binary())], ["doc_id", "n", "class", "fold"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, class long, fold binary")
@@ -231,10 +264,9 @@ def _shared(packed: DataFrame) -> DataFrame:
     return packed.groupBy("part", "sub").applyInArrow(run, "block long, class long, center long")
 
 
-def _close(n_a, n_b, fold_a, fold_b, percent: int) -> np.ndarray:
-    """Whether sizes and folded sketches leave a link possible."""
+def _close(n_a, n_b, apart, percent: int) -> np.ndarray:
+    """Whether sizes and the distance of folded sketches leave a link possible."""
     fits = (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (n_a > 0)
-    apart = np.bitwise_count(fold_a ^ fold_b).sum(axis=-1, dtype=np.int64)
     return fits & (apart * (100 + percent) <= (n_a + n_b) * (100 - percent))
 
 
@@ -272,14 +304,15 @@ def _hot_near(rows: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         low, high = key[1].as_py(), key[2].as_py()
         ids, n, chunk, root = (rows.column(c).to_numpy() for c in ("class", "n", "chunk", "root"))
-        fold = np.frombuffer(b"".join(rows.column("fold").to_pylist()), "<u8").reshape(-1, FOLD)
+        fold = stacked(rows.column("fold").to_pylist())
         left, right = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
         label, forest = np.unique(root, return_inverse=True)[1], []
         for at, i in enumerate(left.tolist()):
             # Classes that are already in i's tree need no test.
             js = right[at + 1 :] if low == high else right
             js = js[label[js] != label[i]]
-            for j in js[_close(np.full(len(js), n[i]), n[js], fold[i], fold[js], percent)].tolist():
+            apart = np.bitwise_count(fold[i] ^ fold[js]).sum(axis=1, dtype=np.int64)
+            for j in js[_close(np.full(len(js), n[i]), n[js], apart, percent)].tolist():
                 if label[j] != label[i]:
                     label[label == label[j]] = label[i]
                     forest.append((i, j))
@@ -297,8 +330,7 @@ def _near(pairs: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def close(n_a: pd.Series, n_b: pd.Series, fold_a: pd.Series, fold_b: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(f), "<u8").reshape(-1, FOLD) for f in (fold_a, fold_b))
-        return pd.Series(_close(n_a.to_numpy(), n_b.to_numpy(), x, y, percent))
+        return pd.Series(_close(n_a.to_numpy(), n_b.to_numpy(), distances(fold_a.tolist(), fold_b.tolist()), percent))
 
     return pairs.join(a, "a").join(b, "b").where(close("n_a", "n_b", "fold_a", "fold_b")).select("a", "b")
 
