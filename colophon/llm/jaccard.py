@@ -36,7 +36,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,7 +126,7 @@ def folded(shingles: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.nda
     owner = np.repeat(np.arange(len(n)), n)
     place = at[owner] + ((shingles >> np.uint64(40)) & (words[owner] - 1).astype(np.uint64)).astype(np.int64)
     np.bitwise_xor.at(out, place, np.uint64(1) << ((shingles >> np.uint64(32)) & np.uint64(63)))
-    return out.astype("<u8"), at
+    return out.view(np.int64), at
 
 
 def narrow(folds: np.ndarray, words: int) -> np.ndarray:
@@ -138,24 +137,15 @@ def narrow(folds: np.ndarray, words: int) -> np.ndarray:
     return folds
 
 
-def stacked(folds: list[bytes]) -> np.ndarray:
+def stacked(folds: pa.ChunkedArray) -> np.ndarray:
     """Sketches as rows, folded to the narrowest of them."""
-    size = np.array([len(x) // 8 for x in folds])
-    out = np.empty((len(folds), size.min(initial=FOLD if not len(folds) else 1 << 40)), np.uint64)
+    folds = folds.combine_chunks()
+    flat, at = folds.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(folds.value_lengths().to_numpy()))
+    size = np.diff(at)
+    out = np.empty((len(size), int(size.min()) if len(size) else FOLD), np.uint64)
     for n in np.unique(size):
         rows = np.flatnonzero(size == n)
-        out[rows] = narrow(np.frombuffer(b"".join(folds[i] for i in rows), "<u8").reshape(-1, n), out.shape[1])
-    return out
-
-
-def distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Hamming distances of pairs of sketches, each pair folded to its narrower one."""
-    size = np.minimum([len(x) // 8 for x in a], [len(x) // 8 for x in b])
-    out = np.empty(len(a), np.int64)
-    for n in np.unique(size):
-        rows = np.flatnonzero(size == n)
-        x, y = (np.vstack([narrow(np.frombuffer(f[i], "<u8")[None], n) for i in rows]) for f in (a, b))
-        out[rows] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        out[rows] = narrow(flat[at[rows][:, None] + np.arange(n)], out.shape[1])
     return out
 
 
@@ -185,12 +175,14 @@ def _read(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches(it):
             shingles, begins = shingle_sets(batch.column("text"), k)
             sizes, ids = np.diff(begins), set_ids(shingles, begins)
-            (sketch, at), fold = folded(shingles, begins), [None] * batch.num_rows
-            for i in seen.fresh(ids, sizes):
-                fold[i] = sketch[at[i] : at[i + 1]].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids), pa.array(fold, pa.binary())], ["doc_id", "n", "class", "fold"])
+            (sketch, at), first = folded(shingles, begins), np.zeros(batch.num_rows, bool)
+            first[seen.fresh(ids, sizes)] = True
+            width = np.where(first, np.diff(at), 0)
+            ends = pa.array(np.append(0, np.cumsum(width)), pa.int32(), mask=np.append(~first, False))
+            fold = pa.ListArray.from_arrays(ends, pa.array(sketch[np.repeat(first, np.diff(at))]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids), fold], ["doc_id", "n", "class", "fold"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, class long, fold binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, class long, fold array<long>")
 
 
 def _runs(block: np.ndarray, owners: np.ndarray):
@@ -304,7 +296,7 @@ def _hot_near(rows: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         low, high = key[1].as_py(), key[2].as_py()
         ids, n, chunk, root = (rows.column(c).to_numpy() for c in ("class", "n", "chunk", "root"))
-        fold = stacked(rows.column("fold").to_pylist())
+        fold = stacked(rows.column("fold"))
         left, right = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
         label, forest = np.unique(root, return_inverse=True)[1], []
         for at, i in enumerate(left.tolist()):
@@ -327,12 +319,19 @@ def _near(pairs: DataFrame, folds: DataFrame, percent: int) -> DataFrame:
     """The pairs that sizes and folded sketches leave possible."""
     a = folds.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("fold").alias("fold_a"))
     b = folds.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("fold").alias("fold_b"))
-
-    @F.pandas_udf("boolean")
-    def close(n_a: pd.Series, n_b: pd.Series, fold_a: pd.Series, fold_b: pd.Series) -> pd.Series:
-        return pd.Series(_close(n_a.to_numpy(), n_b.to_numpy(), distances(fold_a.tolist(), fold_b.tolist()), percent))
-
-    return pairs.join(a, "a").join(b, "b").where(close("n_a", "n_b", "fold_a", "fold_b")).select("a", "b")
+    x, y = F.col("fold_a"), F.col("fold_b")
+    words, both = F.least(F.size(x), F.size(y)), F.col("n_a") + F.col("n_b")
+
+    def half(f):
+        w = F.shiftright(F.size(f), 1)
+        return F.when(F.size(f) > words, F.zip_with(F.slice(f, F.lit(1), w), F.slice(f, w + 1, w), lambda p, q: p.bitwiseXOR(q))).otherwise(f)
+
+    # Sizes that fit are at most 100 / percent apart, so are the sketches' widths, but for the step to a power of two.
+    for _ in range(1 + math.ceil(math.log2(100 / percent))):
+        x, y = half(x), half(y)
+    apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return pairs.join(a, "a").join(b, "b").where(F.when(fits, apart * (100 + percent) <= both * (100 - percent)).otherwise(False)).select("a", "b")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
