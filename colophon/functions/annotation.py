@@ -62,7 +62,7 @@ def parse(df: DataFrame, raw: str) -> DataFrame:
         .when(keywords.isNull() | (F.size(keywords) == 0), "keywords empty or not a list").when(score.isNull(), "score is no integer").when(reason.isNotNull() & (reason != "STRING"), "reason is no text")
     )
     return df.withColumns({
-        "parse_error": error, "title": strip(as_text(v, "$.title", "")), "keywords": F.filter(keywords, lambda k: strip(F.coalesce(k, F.lit("None"))) != ""),
+        "parse_error": error, "title": strip(as_text(v, "$.title", "")), "description": strip(as_text(v, "$.description", "")), "keywords": F.filter(keywords, lambda k: strip(F.coalesce(k, F.lit("None"))) != ""),
         "category": strip(as_text(v, "$.category", "")), "category2": strip(as_text(v, "$.category2", "")), "score": score, "risk": strip(as_text(v, "$.rejection_risk", "Medium")),
         "model_reason": strip(F.coalesce(F.try_variant_get(v, "$.rejection_reason", "string"), F.lit(""))), "people_visible": truthy(v, "$.people_visible"),
         "property_or_trademark_visible": truthy(v, "$.property_or_trademark_visible"), "watermark_or_overlay_visible": truthy(v, "$.watermark_or_overlay_visible"),

@@ -10,16 +10,18 @@ from .text import strip
 
 def clean_keywords(keywords: Column, limit: int = 50) -> Column:
     """Keep the first of each keyword, whatever its case or plural s, in order; at most `limit`."""
-    start = F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
 
     def step(kept: Column, word: Column) -> Column:
         low = F.lower(word)
-        known = lambda key: F.exists(kept, lambda k: F.lower(k) == key)
+        known = lambda key: F.array_contains(kept["keys"], key)
         singular = low.endswith("s") & (F.length(low) > 3) & known(F.left(low, F.length(low) - 1))
-        skip = (F.length(word) < 2) | known(low) | singular | known(F.concat(low, F.lit("s")))
-        return F.when(skip, kept).otherwise(F.concat(kept, F.array(word)))
+        # Words behind a full list change nothing.
+        skip = (F.size(kept["keys"]) >= limit) | (F.length(word) < 2) | known(low) | singular | known(F.concat(low, F.lit("s")))
+        more = F.struct(F.concat(kept["keys"], F.array(low)).alias("keys"), F.concat(kept["words"], F.array(word)).alias("words"))
+        return F.when(skip, kept).otherwise(more)
 
-    return F.slice(F.aggregate(F.transform(keywords, strip), start, step), 1, limit)
+    return F.aggregate(F.transform(keywords, strip), F.struct(none.alias("keys"), none.alias("words")), step, lambda kept: kept["words"])
 
 
 def drop_blank(keywords: Column) -> Column:

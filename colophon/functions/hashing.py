@@ -35,6 +35,31 @@ def median_bits(values: Column) -> Column:
     return F.array_join(F.transform(values, lambda v: F.when(v > middle, "1").otherwise("0")), "")
 
 
+def to_grey(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
+    """Grey levels of decoded pixels, whose channels are blue, green, red (and alpha)."""
+    x = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(np.int64)
+    if channels < 3:
+        return x[:, :, 0].astype(np.uint8)
+    # The weights of red, green and blue, in 65,536ths.
+    return ((19595 * x[:, :, 2] + 38470 * x[:, :, 1] + 7471 * x[:, :, 0] + 32768) >> 16).astype(np.uint8)
+
+
+def _lanczos(size: int, out: int) -> np.ndarray:
+    """Weights of each old pixel in each new one: a windowed sinc of three lobes, as wide as the new pixels."""
+    ratio = size / out
+    wide = max(1.0, ratio)
+    x = (np.arange(size)[None, :] + 0.5 - (np.arange(out)[:, None] + 0.5) * ratio) / wide
+    weights = np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0)
+    return weights / weights.sum(1, keepdims=True)
+
+
+def shrink(grey: np.ndarray, side: int) -> np.ndarray:
+    """Grey levels at side x side, rounded after each direction."""
+    level = lambda x: np.clip(np.floor(x + 0.5), 0, 255)
+    across = level(grey.astype(np.float64) @ _lanczos(grey.shape[1], side).T)
+    return level(_lanczos(grey.shape[0], side) @ across)
+
+
 def phash(pixels: np.ndarray) -> str:
     """64-bit perceptual hash of a 32 x 32 grey image: DCT-II, its low 8 x 8 corner against the median."""
     n = np.arange(32)

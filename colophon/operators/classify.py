@@ -43,16 +43,18 @@ def destination(status: Column) -> Column:
     return F.coalesce(F.create_map(*pairs)[status], F.lit(DESTINATIONS["REVIEW"]))
 
 
-def review_lines(name: Column, status: Column, reason: Column, people: Column, prop: Column, watermark: Column, near: Column | None = None, bad_category: Column | None = None) -> Column:
-    """Lines for the review log, in order."""
+def review_lines(name: Column, status: Column, reason: Column, people: Column, prop: Column, watermark: Column, near: Column | None = None, bad_category: Column | None = None, prepared: Column | None = None) -> Column:
+    """Lines for the review log, in order.  Accepted items, exact duplicates and low resolution have no line of their own."""
     line = lambda kind, rest: F.concat(F.lit(kind + " | "), name, F.lit(" | "), rest)
     out = []
     if near is not None:
         out.append(F.when(near.isNotNull(), line("NOTE", F.concat(F.lit("close to "), near))))
+    if prepared is not None:
+        out.append(F.when(prepared, line("NOTE", F.lit("prepared for upload"))))
     if bad_category is not None:
         out.append(F.when(bad_category.isNotNull(), line("BAD CATEGORY", bad_category)))
-    out.append(F.when(status != "READY", F.concat(status, F.lit(" | "), name, F.lit(" | "), reason)))
+    out.append(F.when(~status.isin("READY", "DUPLICATE", "LOW_RESOLUTION"), F.concat(status, F.lit(" | "), name, F.lit(" | "), reason)))
     out.append(F.when((status == "NEEDS_RELEASE") & people, line("FLAG", F.lit("people"))))
     out.append(F.when((status == "NEEDS_RELEASE") & prop, line("FLAG", F.lit("property"))))
-    out.append(F.when(watermark, line("FLAG", F.lit("overlay"))))
+    out.append(F.when(watermark & (status == "LOW_QUALITY"), line("FLAG", F.lit("overlay"))))
     return F.array_compact(F.array(*out))

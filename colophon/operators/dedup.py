@@ -8,37 +8,72 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hamming64, simhash
+from ..functions.hashing import simhash
 
 
 def exact(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
-    """Adds dup_rank and duplicate_of: the first name of equal keys.  Project wide columns away first."""
+    """Adds duplicate_of: the first name of equal keys, null in the first row itself.  Rows without a key are none's duplicates.
+
+    The first rows are found by an aggregation with partial sums and joined back, so that a key of very many rows (all empty
+    files) is in no task as a whole: the join is split where it is skewed.  Project wide columns away first.
+    """
+    first = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(F.col(order).alias("o"), F.col(name).alias("n"))).alias("_first"), F.count("*").alias("_rows"))
+    out = df.join(first.where("_rows > 1"), F.col(key) == F.col("_key"), "left")
+    return out.withColumn("duplicate_of", F.when(F.col("_first.o") < F.col(order), F.col("_first.n"))).drop("_key", "_first", "_rows")
+
+
+def ranked(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """Adds dup_rank, from 1 in each key, and duplicate_of.  A window: all rows of a key are in one task, narrow ones."""
     w = Window.partitionBy(key).orderBy(order)
     rank = F.row_number().over(w)
     return df.withColumn("dup_rank", rank).withColumn("duplicate_of", F.when(F.col("dup_rank") > 1, F.first(name).over(w)))
 
 
-def _bands(bits: Column) -> Column:
-    """Keys of all pairs of eight 8-bit bands: at most six flipped bits leave two bands whole."""
-    band = lambda i: F.shiftrightunsigned(bits, 8 * i).bitwiseAND(255)
-    return F.array(*[F.lit(k << 16) + band(i) * 256 + band(j) for k, (i, j) in enumerate(combinations(range(8), 2))])
+def _parts(threshold: int) -> tuple[list[tuple[int, int]], int]:
+    """(first bit, bits) of the bands that 64 bits are cut into, and how many of them a pair within the threshold shares.
+
+    Up to six flipped bits leave two of eight bands whole; more leave one of threshold + 1.
+    """
+    n, shared = (8, 2) if threshold <= 6 else (min(64, threshold + 1), 1)
+    cuts = [64 * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)], shared
+
+
+def _band(bits: Column, part: tuple[int, int]) -> Column:
+    return F.shiftrightunsigned(bits, part[0]).bitwiseAND((1 << part[1]) - 1)
+
+
+def _bands(bits: Column, threshold: int) -> Column:
+    """(number, key) of each set of bands that two fingerprints may share."""
+    parts, shared = _parts(threshold)
+    key = lambda some: F.concat_ws(".", *[_band(bits, p).cast("string") for p in some])
+    return F.array(*[F.struct(F.lit(k).alias("k"), key(some).alias("key")) for k, some in enumerate(combinations(parts, shared))])
+
+
+def _first_band(bits: Column, threshold: int) -> Column:
+    """Of two fingerprints' XOR: the number of the first set of bands that are whole in it."""
+    parts, shared = _parts(threshold)
+    out = F.lit(None).cast("int")
+    for k, some in reversed(list(enumerate(combinations(parts, shared)))):
+        whole = F.lit(True)
+        for p in some:
+            whole = whole & (_band(bits, p) == 0)
+        out = F.when(whole, k).otherwise(out)
+    return out
 
 
-def near(df: DataFrame, bits: str, order: str, name: str, threshold: int = 6, nested_loop_rows: int = 30_000) -> DataFrame:
-    """order, near_duplicate_of: the earliest name within the threshold.  Equal fingerprints collapse before the join.
+def near(df: DataFrame, bits: str, order: str, name: str, threshold: int = 6) -> DataFrame:
+    """order, near_duplicate_of: the earliest name within the threshold (of 0 to 63 bits).  Equal fingerprints collapse first.
 
-    Few distinct fingerprints are compared in a nested loop over one long; more by band pairs, which are exact for
-    thresholds up to 6; larger thresholds always use the nested loop.
+    Fingerprints meet in the bands that they share, which loses no pair; a pair counts in the first of these only.
     """
     own = df.where(F.col(bits).isNotNull()).select(F.col(bits).alias("bits"), F.col(order).alias("ord"), F.col(name).alias("name"))
     groups = own.groupBy("bits").agg(F.min(F.struct("ord", "name")).alias("first"), F.max("ord").alias("last"))
-    a, b = groups.alias("a"), groups.alias("b")
-    close = (hamming64(F.col("a.bits"), F.col("b.bits")) <= threshold) & (F.col("b.first.ord") < F.col("a.last"))
-    if threshold <= 6 and groups.count() > nested_loop_rows:
-        keyed = groups.withColumn("band", F.explode(_bands(F.col("bits"))))
-        a, b = keyed.alias("a"), keyed.alias("b")
-        close = (F.col("a.band") == F.col("b.band")) & close
-    found = a.join(b, close).select(F.col("a.bits").alias("bits"), F.col("b.first").alias("earlier")).distinct()
+    keyed = groups.select("*", F.explode(_bands(F.col("bits"), threshold)).alias("band"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    apart = F.col("a.bits").bitwiseXOR(F.col("b.bits"))
+    close = (F.col("a.band") == F.col("b.band")) & (F.bit_count(apart) <= threshold) & (F.col("b.first.ord") < F.col("a.last")) & (F.col("a.band.k") == _first_band(apart, threshold))
+    found = a.join(b, close).select(F.col("a.bits").alias("bits"), F.col("b.first").alias("earlier"))
     best = found.groupBy("bits").agg(F.min("earlier").alias("earlier"))
     out = own.join(best, "bits", "left")
     return out.select(F.col("ord").alias(order), F.when(F.col("earlier.ord") < F.col("ord"), F.col("earlier.name")).alias("near_duplicate_of"))

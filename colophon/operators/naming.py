@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import stem, suffix
 
@@ -25,18 +27,19 @@ def unique_exact(df: DataFrame, group: str, name: str, order: str, existing: Dat
     existing: (group, existing_name) of names that are taken.
     """
     root = F.regexp_replace(stem(F.col(name)), r"(-\d+)+$", "")
-    schema = df.schema.add("unique_name", "string")
+    schema = T.StructType([*df.schema.fields, T.StructField("unique_name", T.StringType())])
     rows = df.withColumn("_root", F.concat(root, suffix(F.col(name)))).withColumn("_taken", F.lit(False))
     if existing is not None:
         old = existing.select(F.col(group), F.col("existing_name").alias(name), F.lit(True).alias("_taken"))
         old = old.withColumn("_root", F.concat(F.regexp_replace(stem(F.col(name)), r"(-\d+)+$", ""), suffix(F.col(name))))
         rows = rows.unionByName(old, allowMissingColumns=True)
-    columns = [f.name for f in schema.fields]
+    columns = df.columns
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, next_free, out = set(pdf.loc[pdf._taken, name]), {}, []
-        pdf = pdf[~pdf._taken].sort_values(order, kind="stable")
-        for n in pdf[name]:
+    def fold(rows: pa.Table) -> pa.Table:
+        old = rows.column("_taken")
+        used, next_free, out = set(rows.filter(old).column(name).to_pylist()), {}, []
+        rows = rows.filter(pc.invert(old)).sort_by(order)
+        for n in rows.column(name).to_pylist():
             cut = re.match(r"(?s)^(.+)(\.[^.]+)$", n)
             base, tail = (cut[1], cut[2]) if cut else (n, "")
             pick, k = n, next_free.get(n, 2)
@@ -45,6 +48,6 @@ def unique_exact(df: DataFrame, group: str, name: str, order: str, existing: Dat
             next_free[n] = k
             used.add(pick)
             out.append(pick)
-        return pdf.assign(unique_name=out)[columns]
+        return rows.select(columns).append_column("unique_name", pa.array(out, pa.string()))
 
-    return rows.groupBy(group, "_root").applyInPandas(fold, schema)
+    return rows.groupBy(group, "_root").applyInArrow(fold, schema)

@@ -1,11 +1,11 @@
-"""Counts and the run summary."""
+"""Counts, the run summary and the run document."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import STATUSES
+from ..config import STATUSES, SUMMARY_COLUMNS, Settings
 
 
 def status_counts(records: DataFrame) -> DataFrame:
@@ -32,3 +32,27 @@ def summary(records: DataFrame) -> DataFrame:
 def category_distribution(records: DataFrame) -> DataFrame:
     ready = records.where((F.col("status") == "READY") & (F.col("category") != ""))
     return ready.groupBy("category").agg(F.count("*").alias("n"))
+
+
+def document(records: DataFrame, remaining: DataFrame, settings: Settings, folder: str, duration: float | None = None, stopped: bool = False) -> DataFrame:
+    """One row of SUMMARY_COLUMNS: the summary of a run's records.
+
+    remaining: one row with the number of items that were pending before the run and are so after it.  Averages are null
+    where nothing was scored or accepted.
+    """
+    counted = category_distribution(records).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("category_distribution"))
+    calls = records.agg(F.coalesce(F.sum("retries"), F.lit(0)).cast("long").alias("api_retries"), F.coalesce(F.sum("failures"), F.lit(0)).cast("long").alias("api_hard_failures"))
+    names = {
+        "processed": "processed_this_run", "ready": "ready_to_upload", "average_score": "average_commercial_score", "average_keywords": "average_keyword_count",
+        "low_risk_percent": "low_risk_ready_ratio_percent",
+    }
+    # One row each: nothing but these meets in the joins.
+    whole = summary(records).withColumnsRenamed(names).join(F.broadcast(counted)).join(F.broadcast(calls)).join(F.broadcast(remaining.toDF("remaining")))
+    fixed = {"version": F.lit(settings.version), "model": F.lit(settings.model), "folder": F.lit(folder), "duration_seconds": F.bround(F.lit(duration).cast("double"), 1), "stopped_on_daily_quota": F.lit(stopped)}
+    return whole.withColumns(fixed).select(*SUMMARY_COLUMNS)
+
+
+def console(row: dict) -> str:
+    """A run document as lines for a terminal."""
+    shown = [f"{k.replace('_', ' ')}: {v}" for k, v in row.items() if v is not None and k not in ("category_distribution",)]
+    return "\n".join(["Run finished", *shown, *(f"  {c}: {n}" for c, n in (row.get("category_distribution") or {}).items())])

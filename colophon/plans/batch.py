@@ -2,35 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.annotation import parse
 from ..functions.arrays import clean_keywords
 from ..functions.hashing import from_hex, megapixels
-from ..functions.text import final_name
+from ..functions.text import final_name, suffix
 from ..operators import annotate, classify, dedup, naming, registry as state
 
 
-def records(assets: DataFrame, attempts: DataFrame, registry: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """assets: name, sha256, phash (hex), width, height, length.  One record per processed item, with its ord."""
+def gate(assets: DataFrame, registry: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """The batch: the first pending items with their order, duplicates, size checks, and whether a provider is to be called.
+
+    assets: name, sha256, phash (hex), width, height, length.
+    """
     s = settings or Settings()
     todo = state.batch(state.pending(assets, registry, max_attempts=s.max_attempts), limit=s.batch_limit)
-    hashed = dedup.exact(todo, "sha256", "ord", "name").withColumn("_bits", F.when(F.col("dup_rank") == 1, from_hex(F.col("phash"))))
-    close = dedup.near(hashed, "_bits", "ord", "name", s.hash_threshold, s.nested_loop_rows)
+    hashed = dedup.exact(todo, "sha256", "ord", "name").withColumn("_bits", F.when(F.col("duplicate_of").isNull(), from_hex(F.col("phash"))))
+    close = dedup.near(hashed, "_bits", "ord", "name", s.hash_threshold)
     mp = megapixels(F.col("width"), F.col("height"))
-    gated = hashed.join(close, "ord", "left").withColumns({"megapixels": mp, "low_res": mp < s.min_megapixels})
-    gated = gated.withColumn("needs_convert", F.lower(F.col("name")).endswith(".png") | (F.col("length") > s.max_file_mb * 1048576))
+    gated = hashed.drop("_bits").join(close, "ord", "left").withColumns({"megapixels": mp, "low_res": F.coalesce(mp < s.min_megapixels, F.lit(False))})
+    gated = gated.withColumn("needs_convert", needs_convert(F.col("name"), F.col("length"), s.max_file_mb))
+    return gated.withColumn("called", F.col("duplicate_of").isNull() & ~F.col("low_res"))
+
+
+def needs_convert(name: Column, length: Column, max_file_mb: int = 50) -> Column:
+    """PNG files, and files above the limit, are made JPEG files of at most that size."""
+    return F.lower(suffix(name)).eqNullSafe(".png") | (length / 1048576 > max_file_mb)
+
+
+def records(assets: DataFrame, attempts: DataFrame, registry: DataFrame, settings: Settings | None = None, existing: DataFrame | None = None) -> DataFrame:
+    """One record per processed item, with its ord."""
+    return finish(gate(assets, registry, settings), attempts, settings, existing)
+
+
+def finish(gated: DataFrame, attempts: DataFrame, settings: Settings | None = None, existing: DataFrame | None = None) -> DataFrame:
+    """The records of a gated batch.  attempts: those of the items that are called; existing: (destination, existing_name)."""
+    s = settings or Settings()
     resolved = parse(gated.join(annotate.resolve(attempts, s.call_attempts), "name", "left"), "raw")
-    called = (F.col("dup_rank") == 1) & ~F.col("low_res")
+    called = F.col("called")
     kept = state.before_first(resolved, ["ord"], called & (F.col("outcome") == "QUOTA"))
     failure = F.coalesce(F.when(F.col("outcome").isNull() | (F.col("outcome") == "ERROR"), F.coalesce("error", F.lit("no annotation"))), F.col("parse_error"))
     error_status, tries = state.promote(F.col("attempts_prev"), s.max_attempts)
     flags = [F.col(c) for c in ("people_visible", "property_or_trademark_visible", "watermark_or_overlay_visible")]
     chosen = classify.choose_status(F.col("score"), F.col("risk"), *flags, s.min_score)
     out = kept.withColumn("failure", F.when(called, failure))
-    status = F.when(F.col("dup_rank") > 1, "DUPLICATE").when(F.col("low_res"), "LOW_RESOLUTION").when(F.col("failure").isNotNull(), error_status).otherwise(chosen)
+    status = F.when(F.col("duplicate_of").isNotNull(), "DUPLICATE").when(F.col("low_res"), "LOW_RESOLUTION").when(F.col("failure").isNotNull(), error_status).otherwise(chosen)
     out = out.withColumn("status", status).withColumn("classified", called & F.col("failure").isNull())
     reason = (
         F.when(F.col("status") == "DUPLICATE", F.concat(F.lit("same bytes as "), F.col("duplicate_of")))
@@ -46,12 +65,15 @@ def records(assets: DataFrame, attempts: DataFrame, registry: DataFrame, setting
     })
     titled = F.when(F.col("classified"), F.col("title")).otherwise("")
     out = out.withColumn("base_name", F.when(F.col("destination").isNotNull(), final_name(titled, F.col("name"), F.col("status"))))
-    moved = naming.unique_exact(out.where("destination is not null").select("ord", "destination", "base_name"), "destination", "base_name", "ord").select("ord", "unique_name")
+    moved = naming.unique_exact(out.where("destination is not null").select("ord", "destination", "base_name"), "destination", "base_name", "ord", existing).select("ord", "unique_name")
     out = out.join(moved, "ord", "left").withColumns({"final_name": F.coalesce("unique_name", F.lit("")), "keyword_count": F.size("keywords"), "error": F.left("failure", F.lit(300))})
-    only = ["score", "risk", "category", "category2", "title", "people_visible", "property_or_trademark_visible", "watermark_or_overlay_visible", "keyword_count", "keywords"]
+    prepared = F.col("needs_convert") & F.col("duplicate_of").isNull()
+    lines = classify.review_lines(F.col("name"), F.col("status"), F.col("reason"), *flags, F.col("near_duplicate_of"), F.col("bad_category"), prepared)
+    out = out.withColumn("lines", lines)
+    only = ["score", "risk", "category", "category2", "title", "description", "people_visible", "property_or_trademark_visible", "watermark_or_overlay_visible", "keyword_count", "keywords"]
     return out.select(
         "ord", F.col("name").alias("original_name"), "final_name", "status", "destination", "reason", F.col("sha256").alias("hash"), "duplicate_of", "near_duplicate_of",
-        F.when(F.col("status") == "LOW_RESOLUTION", F.bround("megapixels", 2)).alias("megapixels"), "error", "attempts", "retries", "failures", "bad_category", "needs_convert",
+        F.when(F.col("status") == "LOW_RESOLUTION", F.bround("megapixels", 2)).alias("megapixels"), "error", "attempts", "retries", "failures", "bad_category", prepared.alias("needs_convert"), "lines",
         *[F.when(F.col("classified"), F.col(c)).alias(c) for c in only],
     )
 
@@ -59,5 +81,5 @@ def records(assets: DataFrame, attempts: DataFrame, registry: DataFrame, setting
 def registry_rows(done: DataFrame, seq: int) -> DataFrame:
     return done.select(
         F.col("original_name").alias("name"), "status", "attempts", "destination", "final_name", "score", "risk", "category", "category2", "hash",
-        "duplicate_of", "megapixels", F.col("error").alias("last_error"), F.lit(seq).cast("long").alias("updated_seq"),
+        "duplicate_of", "megapixels", F.col("error").alias("last_error"), "people_visible", "property_or_trademark_visible", "watermark_or_overlay_visible", F.lit(seq).cast("long").alias("updated_seq"),
     )

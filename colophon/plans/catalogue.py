@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import CATEGORIES, STATUSES
+from ..config import CATEGORIES, STATUSES, Settings
 from ..functions import arrays, hashing, text
 from ..operators import classify, dedup, naming, registry, report
 from ..sources import sinks
@@ -49,7 +49,7 @@ def _assets(spark, sf_dir) -> DataFrame:
         "mark": F.coalesce("toxic", F.lit(0)) == 1, "name": F.concat(F.lit("doc"), i.cast("string"), F.when(i % 3 == 0, ".PNG").otherwise(".jpg")),
     })
     chosen = classify.choose_status(F.col("score"), F.col("risk"), F.col("people"), F.col("prop"), F.col("mark"))
-    d = d.withColumn("status", F.when(F.col("dup_rank") > 1, "DUPLICATE").when(F.col("n_chars") < 300, "LOW_RESOLUTION").otherwise(chosen))
+    d = d.withColumn("status", F.when(F.col("duplicate_of").isNotNull(), "DUPLICATE").when(F.col("n_chars") < 300, "LOW_RESOLUTION").otherwise(chosen))
     why = classify.explain_status(F.col("status"), F.col("score"), F.col("risk"), F.lit(""), F.col("mark"))
     own = F.when(F.col("status") == "DUPLICATE", F.concat(F.lit("same text as doc"), F.col("duplicate_of").cast("string"))).when(F.col("status") == "LOW_RESOLUTION", "too small")
     words = F.array_distinct(F.array(F.concat(F.lit("k"), (i % 10).cast("string")), F.concat(F.lit("k"), (i % 4).cast("string")), F.col("source")))
@@ -76,21 +76,7 @@ def query(sql: str | None = None):
 @query("SELECT doc_id, sha256(text) AS sha256, CAST(row_number() OVER w AS INTEGER) AS dup_rank, CASE WHEN row_number() OVER w > 1 THEN first(doc_id) OVER w END AS duplicate_of FROM documents WINDOW w AS (PARTITION BY sha256(text) ORDER BY doc_id)")
 def exact_duplicates(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", hashing.sha256(F.col("text").cast("binary")).alias("sha256"))
-    return dedup.exact(d, "sha256", "doc_id", "doc_id")
-
-
-@query("""WITH f AS (SELECT doc_id, CAST(hash_bits AS BIGINT) AS bits FROM (SELECT doc_id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(16), lambda i: (strpos('0123456789abcdef', substr(h, CAST(i + 1 AS BIGINT), 1)) - 1) % 4 << CAST(2 * i AS INTEGER))), lambda a, b: a + b) AS hash_bits
-  FROM (SELECT doc_id, md5(left(text, 2)) AS h FROM documents)))
-SELECT a.doc_id, arg_min(b.doc_id, b.doc_id) AS near_duplicate_of FROM f a LEFT JOIN f b ON b.doc_id < a.doc_id AND bit_count(xor(a.bits, b.bits)) <= 6 GROUP BY a.doc_id""")
-def near_duplicates(spark, sf_dir):
-    """32-bit fingerprints of the texts' first letters, compared within six bits."""
-    h = F.md5(F.left("text", F.lit(2)).cast("binary"))
-    bits = F.lit(0).cast("long")
-    for i in range(16):
-        digit = F.conv(F.substring(h, i + 1, 1), 16, 10).cast("long")
-        bits = bits + F.shiftleft(digit % 4, 2 * i)
-    d = _t(spark, sf_dir, "documents").select("doc_id", bits.alias("bits"))
-    return dedup.near(d, "bits", "doc_id", "doc_id")
+    return dedup.ranked(d, "sha256", "doc_id", "doc_id")
 
 
 _SIGNS = lambda half: " + ".join(f"CASE WHEN sum(({half} >> {i}) % 2 * 2 - 1) > 0 THEN CAST({1 << i} AS BIGINT) ELSE 0 END" for i in range(32))
@@ -101,7 +87,7 @@ h AS (SELECT doc_id, CAST('0x' || left(md5(w), 8) AS BIGINT) AS a, CAST('0x' ||
 f AS (SELECT doc_id, {_SIGNS('a')} AS a, {_SIGNS('b')} AS b FROM h GROUP BY doc_id)
 SELECT d.doc_id, min(y.doc_id) AS near_duplicate_of FROM documents d LEFT JOIN f x ON x.doc_id = d.doc_id
 LEFT JOIN f y ON y.doc_id < x.doc_id AND bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)) <= 6 GROUP BY d.doc_id""")
-def near_duplicates_simhash(spark, sf_dir):
+def near_duplicates(spark, sf_dir):
     """64-bit SimHash of the whole texts, compared within six bits."""
     f = dedup.fingerprints(_t(spark, sf_dir, "documents"), "text", "doc_id").persist()
     wordless = f.where("bits IS NULL").select("doc_id", F.lit(None).cast("long").alias("near_duplicate_of"))
@@ -114,11 +100,15 @@ def fingerprint_embeddings(spark, sf_dir):
     return _t(spark, sf_dir, "embeddings").select("vec_id", hashing.median_bits(values).alias("bits"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(string_split(text, ' '), lambda w: [w])), lambda acc, t: CASE WHEN length(t[1]) < 2 OR list_contains(list_transform(acc, lambda k: lower(k)), lower(t[1]))
-  OR (lower(t[1])[-1:] = 's' AND length(t[1]) > 3 AND list_contains(list_transform(acc, lambda k: lower(k)), left(lower(t[1]), length(t[1]) - 1))) OR list_contains(list_transform(acc, lambda k: lower(k)), lower(t[1]) || 's') THEN acc ELSE list_concat(acc, t) END)[1:50], ',') AS keywords
-FROM (SELECT doc_id, source || ' ' || lang || ' trees tree Tree ' || source || 's cats Cat gas ga a box boxes' AS text FROM documents)""")
+_STRIPPED = r"regexp_replace(w, '^[\s\p{Z}\x0b\x1c-\x1f\x85]+|[\s\p{Z}\x0b\x1c-\x1f\x85]+$', '', 'g')"
+
+
+@query(rf"""SELECT doc_id, array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(list_filter(list_transform(string_split(coalesce(text, ''), ' '), lambda w: {_STRIPPED}), lambda w: length(w) > 1), lambda w: [w])),
+lambda acc, t: CASE WHEN len(acc) >= 50 OR list_contains(list_transform(acc, lambda k: lower(k)), lower(t[1])) OR (lower(t[1])[-1:] = 's' AND length(t[1]) > 3 AND list_contains(list_transform(acc, lambda k: lower(k)), left(lower(t[1]), length(t[1]) - 1)))
+  OR list_contains(list_transform(acc, lambda k: lower(k)), lower(t[1]) || 's') THEN acc ELSE list_concat(acc, t) END), ',') AS keywords FROM documents""")
 def clean_keywords(spark, sf_dir):
-    words = F.split(F.concat("source", F.lit(" "), "lang", F.lit(" trees tree Tree "), "source", F.lit("s cats Cat gas ga a box boxes")), " ")
+    """The words of each whole text as its keywords."""
+    words = F.split(F.coalesce("text", F.lit("")), " ")
     return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(arrays.clean_keywords(words), ",").alias("keywords"))
 
 
@@ -162,6 +152,23 @@ def repair_categories(spark, sf_dir):
     return p.select("p_partkey", "category", classify.repair_second(F.col("b"), F.col("category")).alias("category2"))
 
 
+_AVERAGE = lambda what, which: f"round_even(avg({what}) FILTER ({which}), 1)"
+
+
+@query(f"""WITH {_ASSETS_SQL}, m AS (SELECT source AS c, count(*) AS n FROM a3 WHERE status = 'READY' GROUP BY source)
+SELECT '1.0' AS version, 'none' AS model, count(*) AS processed_this_run, count(*) FILTER (status = 'READY') AS ready_to_upload, count(*) FILTER (status = 'LOW_RESOLUTION') AS low_res, count(*) FILTER (status = 'LOW_QUALITY') AS low_quality,
+count(*) FILTER (status = 'DUPLICATE') AS duplicates, count(*) FILTER (status = 'NEEDS_RELEASE') AS needs_release, count(*) FILTER (status = 'REVIEW') AS review, CAST(0 AS BIGINT) AS errors, (SELECT count(*) FROM documents WHERE n_chars > 5000) AS remaining, 'documents' AS folder, CAST(1.5 AS DOUBLE) AS duration_seconds,
+{_AVERAGE('score', "status IN ('READY', 'LOW_QUALITY', 'NEEDS_RELEASE', 'REVIEW')")} AS average_commercial_score, {_AVERAGE('len(kw)', "status = 'READY'")} AS average_keyword_count, (SELECT string_agg(c || '=' || n, ',' ORDER BY c) FROM m) AS category_distribution,
+CAST(sum(doc_id % 3) AS BIGINT) AS api_retries, count(*) FILTER (doc_id % 50 = 0) AS api_hard_failures, round_even(100.0 * count(*) FILTER (status = 'READY' AND risk = 'Low') / nullif(count(*) FILTER (status = 'READY'), 0), 1) AS low_risk_ready_ratio_percent, false AS stopped_on_daily_quota FROM a3""")
+def run_document(spark, sf_dir):
+    i = F.col("doc_id")
+    rows = _assets(spark, sf_dir).withColumns({"category": F.col("source"), "retries": i % 3, "failures": (i % 50 == 0).cast("int")})
+    remaining = _t(spark, sf_dir, "documents").where("n_chars > 5000").agg(F.count("*"))
+    out = report.document(rows, remaining, Settings(), "documents", 1.5)
+    pairs = F.transform(F.array_sort(F.map_entries("category_distribution")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return out.withColumn("category_distribution", F.array_join(pairs, ","))
+
+
 _REGISTRY_SQL = """r AS (SELECT 'doc' || doc_id AS name, CASE doc_id % 6 WHEN 0 THEN 'READY' WHEN 1 THEN 'ERROR' WHEN 2 THEN 'error' ELSE 'REVIEW' END AS status, CAST(doc_id % 4 AS INTEGER) AS attempts FROM documents WHERE doc_id % 2 = 0 OR doc_id % 6 = 1)"""
 
 
@@ -179,11 +186,19 @@ def pending_batch(spark, sf_dir):
     return registry.batch(registry.pending(names, _registry(docs)))
 
 
-@query(f"""WITH {_REGISTRY_SQL} SELECT count(*) AS remaining FROM (SELECT 'doc' || doc_id AS name FROM documents) d LEFT JOIN r USING (name) WHERE r.status IS NULL OR r.status = 'error' OR (r.status = 'ERROR' AND r.attempts < 3)""")
+@query(f"""WITH {_REGISTRY_SQL}, p AS (SELECT name, r.attempts FROM (SELECT 'doc' || doc_id AS name FROM documents) d LEFT JOIN r USING (name) WHERE r.status IS NULL OR r.status = 'error' OR (r.status = 'ERROR' AND r.attempts < 3)),
+b AS (SELECT *, row_number() OVER (ORDER BY name) AS ord FROM p ORDER BY name LIMIT 50)
+SELECT count(*) AS remaining FROM p LEFT JOIN b USING (name) WHERE b.ord IS NULL OR (b.ord % 3 = 0 AND coalesce(b.attempts, 0) + 1 < 3)""")
 def remaining_items(spark, sf_dir):
+    """What was pending and still is after a run of one batch in which every third item fails."""
     docs = _t(spark, sf_dir, "documents").select("doc_id")
     names = docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"))
-    return registry.pending(names, _registry(docs)).agg(F.count("*").alias("remaining"))
+    before = _registry(docs).withColumn("updated_seq", F.lit(0))
+    todo = registry.pending(names, before)
+    status, tries = registry.promote(F.col("attempts_prev"))
+    failed = F.col("ord") % 3 == 0
+    done = registry.batch(todo).select("name", F.when(failed, status).otherwise("READY").alias("status"), F.when(failed, tries).otherwise(0).alias("attempts"), F.lit(1).alias("updated_seq"))
+    return registry.pending(todo.select("name"), registry.upsert(before, done)).agg(F.count("*").alias("remaining"))
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
@@ -216,19 +231,21 @@ def json_props(spark, sf_dir):
     return e.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "int").alias("k"), F.array_join(missing, ",").alias("missing"))
 
 
-_MESSAGES = ["RESOURCE_EXHAUSTED: retry in 12.5 s", "RESOURCE_EXHAUSTED 'retryDelay': '7s'", "RESOURCE_EXHAUSTED: Requests Per Day", "503 UNAVAILABLE", "RESOURCE_EXHAUSTED retry in 0s", "bad json", "model overloaded, retry in 2 s"]
+_MESSAGES = ["RESOURCE_EXHAUSTED: retry in 12.5 s", "RESOURCE_EXHAUSTED 'retryDelay': '7s'", "RESOURCE_EXHAUSTED: Requests Per Day", "503 UNAVAILABLE", "RESOURCE_EXHAUSTED retry in 0s", "bad json", "model overloaded, retry in 2 s", "RESOURCE_EXHAUSTED 'retryDelay' : 7 s", "503 retryDelay:'3.5s'", "503 retry in 1.2.3 s, retryDelay: 4s"]
 _M = ", ".join("('" + m.replace("'", "''") + "')" for m in _MESSAGES)
 
 
 @query(rf"""WITH m AS (SELECT item_id, m, CAST(item_id % 4 + 1 AS INTEGER) AS attempt FROM benchmark, (VALUES {_M}) v(m)),
-h AS (SELECT *, nullif(coalesce(TRY_CAST(nullif(regexp_extract(m, '(?i)retry in ([\d.]+)\s*s', 1), '') AS DOUBLE), TRY_CAST(nullif(regexp_extract(m, '(?i)retryDelay[''"]?:\s*[''"]?([\d.]+)s', 1), '') AS DOUBLE)), 0) AS hint,
-CASE WHEN contains(lower(m), 'resource_exhausted') AND contains(replace(lower(m), ' ', ''), 'perday') THEN 'quota' WHEN contains(lower(m), 'resource_exhausted') THEN 'rate_limit' WHEN contains(lower(m), '503') OR contains(lower(m), 'unavailable') OR contains(lower(m), 'overloaded') THEN 'overload' ELSE 'generic' END AS kind FROM m)
-SELECT item_id, m AS message, kind, CASE kind WHEN 'rate_limit' THEN coalesce(hint, 15.0 * attempt) WHEN 'overload' THEN coalesce(hint, least(10.0 * pow(2.0, attempt - 1), 90.0)) WHEN 'generic' THEN CAST(3.0 * attempt AS DOUBLE) END AS wait FROM h""")
+t AS (SELECT *, regexp_replace(replace(replace(lower(m), chr(39), ''), '"', ''), '\s+', '', 'g') AS flat FROM m),
+u AS (SELECT *, regexp_extract(flat, 'retryin([0-9.]+)s', 1) AS plain, regexp_extract(flat, 'retrydelay:([0-9.]+)s', 1) AS keyed FROM t),
+h AS (SELECT item_id, m, attempt, nullif(CASE WHEN plain <> '' THEN TRY_CAST(plain AS DOUBLE) ELSE TRY_CAST(nullif(keyed, '') AS DOUBLE) END, 0) AS hint, plain <> '' AND TRY_CAST(plain AS DOUBLE) IS NULL AS broken,
+CASE WHEN contains(lower(m), 'resource_exhausted') AND contains(replace(lower(m), ' ', ''), 'perday') THEN 'quota' WHEN contains(lower(m), 'resource_exhausted') THEN 'rate_limit' WHEN contains(lower(m), '503') OR contains(lower(m), 'unavailable') OR contains(lower(m), 'overloaded') THEN 'overload' ELSE 'generic' END AS kind FROM u)
+SELECT item_id, m AS message, kind, broken, CASE kind WHEN 'rate_limit' THEN coalesce(hint, 15.0 * attempt) WHEN 'overload' THEN coalesce(hint, least(10.0 * pow(2.0, attempt - 1), 90.0)) WHEN 'generic' THEN CAST(3.0 * attempt AS DOUBLE) END AS wait FROM h""")
 def retry_parse(spark, sf_dir):
     m = F.explode(F.array(*[F.lit(x) for x in _MESSAGES])).alias("message")
     b = _t(spark, sf_dir, "benchmark").select("item_id", m).withColumn("attempt", (F.col("item_id") % 4 + 1).cast("int"))
     b = b.withColumn("kind", text.error_kind(F.col("message")))
-    return b.select("item_id", "message", "kind", text.backoff(F.col("kind"), text.retry_hint(F.col("message")), F.col("attempt").cast("double")).alias("wait"))
+    return b.select("item_id", "message", "kind", text.unreadable_hint(F.col("message")).alias("broken"), text.backoff(F.col("kind"), text.retry_hint(F.col("message")), F.col("attempt").cast("double")).alias("wait"))
 
 
 @query("""SELECT doc_id, CASE WHEN n = 1 THEN b || '.jpg' ELSE b || '-' || n || '.jpg' END AS unique_name FROM (SELECT doc_id, source AS b, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n FROM documents)""")
@@ -237,21 +254,28 @@ def unique_names(spark, sf_dir):
     return naming.unique_fast(d, "lang", "name", "doc_id").select("doc_id", "unique_name")
 
 
-@query("""SELECT doc_id, CASE WHEN n = 1 THEN b || '.jpg' ELSE b || '-' || n || '.jpg' END AS unique_name FROM (SELECT doc_id, source AS b, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n FROM documents)""")
+@query("""WITH n AS (SELECT doc_id, lang, source, source || CASE doc_id % 5 WHEN 0 THEN '-2' WHEN 1 THEN '-3' ELSE '' END AS stem FROM documents),
+g AS (SELECT list(doc_id ORDER BY doc_id) AS ids, list(stem ORDER BY doc_id) AS stems FROM n GROUP BY lang, source),
+f AS (SELECT ids, list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(stems, lambda s: [s])), lambda used, s: list_append(used, CASE WHEN NOT list_contains(used, s[1]) THEN s[1]
+  ELSE s[1] || '-' || list_filter(range(2, len(used) + 3), lambda k: NOT list_contains(used, s[1] || '-' || k))[1] END)) AS names FROM g)
+SELECT unnest(ids) AS doc_id, unnest(names) || '.jpg' AS unique_name FROM f""")
 def unique_names_exact(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", "lang", F.concat("source", F.lit(".jpg")).alias("name"))
+    """Names of which some already look like numbered ones."""
+    i = F.col("doc_id")
+    tail = F.when(i % 5 == 0, "-2.jpg").when(i % 5 == 1, "-3.jpg").otherwise(".jpg")
+    d = _t(spark, sf_dir, "documents").select("doc_id", "lang", F.concat("source", tail).alias("name"))
     return naming.unique_exact(d, "lang", "name", "doc_id").select("doc_id", "unique_name")
 
 
-@query(f"""WITH {_ASSETS_SQL}, l AS (SELECT doc_id, list_filter([CASE WHEN status <> 'READY' THEN status || ' | ' || name || ' | ' || reason END, CASE WHEN status = 'NEEDS_RELEASE' AND people THEN 'FLAG | ' || name || ' | people' END,
-CASE WHEN status = 'NEEDS_RELEASE' AND prop THEN 'FLAG | ' || name || ' | property' END, CASE WHEN mark THEN 'FLAG | ' || name || ' | overlay' END], lambda x: x IS NOT NULL) AS lines FROM a3)
+@query(f"""WITH {_ASSETS_SQL}, l AS (SELECT doc_id, list_filter([CASE WHEN status NOT IN ('READY', 'DUPLICATE', 'LOW_RESOLUTION') THEN status || ' | ' || name || ' | ' || reason END, CASE WHEN status = 'NEEDS_RELEASE' AND people THEN 'FLAG | ' || name || ' | people' END,
+CASE WHEN status = 'NEEDS_RELEASE' AND prop THEN 'FLAG | ' || name || ' | property' END, CASE WHEN mark AND status = 'LOW_QUALITY' THEN 'FLAG | ' || name || ' | overlay' END], lambda x: x IS NOT NULL) AS lines FROM a3)
 SELECT doc_id, CAST(unnest(range(len(lines))) AS INTEGER) AS seq, unnest(lines) AS line FROM l""")
 def review_log(spark, sf_dir):
     lines = classify.review_lines(F.col("name"), F.col("status"), F.col("reason"), F.col("people"), F.col("prop"), F.col("mark"))
     return _assets(spark, sf_dir).select("doc_id", F.posexplode(lines).alias("seq", "line"))
 
 
-@query(f"""WITH {_ASSETS_SQL} SELECT final_name AS "Filename", name AS "Description", CASE WHEN doc_id % 4 < 10 THEN array_to_string(list_filter(['k' || doc_id % 10, CASE WHEN doc_id % 10 <> doc_id % 4 THEN 'k' || doc_id % 4 END, source], lambda x: x IS NOT NULL), ', ') END AS "Keywords", source AS "Categories" FROM a3 WHERE status = 'READY'""")
+@query(f"""WITH {_ASSETS_SQL} SELECT final_name AS "Filename", name AS "Description", array_to_string(list_filter(['k' || doc_id % 10, CASE WHEN doc_id % 10 <> doc_id % 4 THEN 'k' || doc_id % 4 END, source], lambda x: x IS NOT NULL), ', ') AS "Keywords", source AS "Categories" FROM a3 WHERE status = 'READY'""")
 def upload_rows(spark, sf_dir):
     return sinks.upload_rows(_assets(spark, sf_dir).withColumns({"title": F.col("name"), "category": F.col("source"), "category2": F.lit("")}))
 
@@ -286,7 +310,7 @@ def keyword_tags(spark, sf_dir):
     return sinks.tags(_assets(spark, sf_dir).withColumns({"title": F.col("name"), "description": F.col("source")}))
 
 
-@query(f"""WITH {_ASSETS_SQL} SELECT name AS original_name, destination, final_name FROM a3 UNION ALL SELECT name, '00_SOURCE_ORIGINALS', name FROM a3 WHERE doc_id % 3 = 0""")
+@query(f"""WITH {_ASSETS_SQL} SELECT name AS original_name, destination, final_name FROM a3 UNION ALL SELECT name, '00_SOURCE_ORIGINALS', name FROM a3 WHERE doc_id % 3 = 0 AND status IN ('READY', 'LOW_QUALITY', 'NEEDS_RELEASE', 'REVIEW')""")
 def move_plan(spark, sf_dir):
     a = _assets(spark, sf_dir).withColumns({"original_name": F.col("name"), "needs_convert": F.col("doc_id") % 3 == 0})
     return sinks.moves(a)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +23,11 @@ class _Files(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.folder, self.content = options["path"], options.get("content", "true").lower() == "true"
+        self.names = set(json.loads(options["names"])) if "names" in options else None
         self.per_task = int(options.get("filesPerTask", "64"))
 
     def partitions(self):
-        paths = sorted(e.path for e in os.scandir(self.folder) if e.is_file())
+        paths = sorted(e.path for e in os.scandir(self.folder) if e.is_file() and (self.names is None or e.name in self.names))
         return [_Files(paths[i : i + self.per_task]) for i in range(0, len(paths), self.per_task)] or [_Files([])]
 
     def read(self, partition):
@@ -51,10 +53,11 @@ class FolderSource(DataSource):
         return _Reader(self.options)
 
 
-def list_assets(spark: SparkSession, folder: str, content: bool = True) -> DataFrame:
-    """Image files of a folder."""
+def list_assets(spark: SparkSession, folder: str, content: bool = True, names: list[str] | None = None) -> DataFrame:
+    """Image files of a folder; names: a batch of them, so that no other file is read."""
     spark.dataSource.register(FolderSource)
-    files = spark.read.format("colophon_folder").option("content", str(content)).load(folder)
+    files = spark.read.format("colophon_folder").option("content", str(content))
+    files = (files if names is None else files.option("names", json.dumps(names))).load(folder)
     return files.where(F.lower(suffix(F.col("name"))).isin(IMAGE_SUFFIXES))
 
 
@@ -74,5 +77,5 @@ def import_registry(spark: SparkSession, text: str) -> DataFrame:
     text_of = F.try_variant_get("e", "$", "string")
     return keys.select(
         "name", F.when(plain, text_of).otherwise(F.try_variant_get("e", "$.status", "string")).alias("status"),
-        F.when(plain, F.when(F.lower(text_of).contains("error"), 0).otherwise(1)).otherwise(F.try_variant_get("e", "$.attempts", "int")).alias("attempts"),
+        F.when(plain, F.when(text_of == "error", 0).otherwise(1)).otherwise(F.try_variant_get("e", "$.attempts", "int")).alias("attempts"),
     )

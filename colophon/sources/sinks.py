@@ -2,55 +2,113 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import ORIGINALS, REPORT_COLUMNS, UPLOAD_COLUMNS
 from ..functions.arrays import join_nonempty
+from ..functions.text import trim_lines
 
-REPORT_COLUMNS = [
-    "original_name", "final_name", "status", "score", "risk", "category", "category2", "title", "destination", "reason",
-    "people_visible", "property_or_trademark_visible", "watermark_or_overlay_visible", "keyword_count",
-]
 _FLAGS = REPORT_COLUMNS[10:13]
 
 
-def upload_rows(records: DataFrame) -> DataFrame:
-    """Accepted items; the description holds the title."""
+def upload_rows(records: DataFrame, *keep: str) -> DataFrame:
+    """Accepted items; the description holds the title; keep: further columns."""
     ready = records.where(F.col("status") == "READY")
     return ready.select(
-        F.col("final_name").alias("Filename"), F.col("title").alias("Description"),
+        *keep, F.col("final_name").alias("Filename"), F.col("title").alias("Description"),
         F.array_join("keywords", ", ").alias("Keywords"), join_nonempty(F.col("category"), F.col("category2")).alias("Categories"),
     )
 
 
-def report_rows(records: DataFrame) -> DataFrame:
+def report_rows(records: DataFrame, *keep: str) -> DataFrame:
+    """The report's columns as text; keep: further columns."""
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c not in _FLAGS else F.initcap(F.coalesce(F.col(c), F.lit(False)).cast("string")).alias(c) for c in REPORT_COLUMNS]
-    return records.select(*text)
+    return records.select(*keep, *text)
 
 
-def _csv(df: DataFrame, path: str, mode: str) -> None:
-    df.write.mode(mode).option("header", True).option("escape", '"').option("lineSep", "\r\n").option("emptyValue", "").csv(path)
+def _fs(spark: SparkSession, path: str):
+    """The file system of a path, and the class that makes its paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
 
 
-def write_upload(records: DataFrame, path: str) -> None:
-    _csv(upload_rows(records), path, "append")
+def quoted_line(columns: list[str]) -> Column:
+    """A CSV line of text columns without its end, with quotes only where a field needs them."""
 
+    def field(name: str) -> Column:
+        c = F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
+        return F.when(c.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
 
-def write_report(records: DataFrame, path: str) -> None:
-    _csv(report_rows(records), path, "overwrite")
+    return F.concat_ws(",", *[field(c) for c in columns])
 
 
-def write_log(lines: DataFrame, path: str) -> None:
-    """lines: ord, seq, line."""
-    lines.sort("ord", "seq").select(F.rtrim(F.col("line")).alias("value")).write.mode("append").text(path)
+def write_file(parts: list[DataFrame], path: str, end: str = "\n") -> None:
+    """One text file of the parts' rows, each part in its own order, put in place by a rename.
 
+    parts: frames of `at` (something to sort by) and `value`.  One task writes them, sorted with spilling; nothing is collected.
+    """
+    spark = parts[0].sparkSession
+    rows = parts[0].select(F.lit(0).alias("part"), F.col("at").cast("long").alias("at"), "value")
+    for i, df in enumerate(parts[1:], 1):
+        rows = rows.union(df.select(F.lit(i), F.col("at").cast("long"), "value"))
+    work = f"{path}.{uuid.uuid4().hex}"
+    rows.repartition(1).sortWithinPartitions("part", "at").select("value").write.option("lineSep", end).text(work)
+    fs, make = _fs(spark, path)
+    found = fs.globStatus(make(f"{work}/part-*"))
+    if fs.exists(make(path)):
+        fs.delete(make(path), False)
+    fs.rename(found[0].getPath(), make(path))
+    fs.delete(make(work), True)
 
-def write_document(summary: DataFrame, records: DataFrame, path: str) -> None:
-    """Items as JSON lines without nulls, and the summary with them."""
-    records.write.mode("overwrite").json(f"{path}/items")
-    summary.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/summary")
+
+def _one(spark: SparkSession, value: str) -> DataFrame:
+    return spark.range(1).select(F.col("id").alias("at"), F.lit(value).alias("value"))
+
+
+def write_upload(records: DataFrame, path: str, run: int) -> None:
+    """Append a run's accepted items, in order; a repeated run replaces what it wrote."""
+    rows = upload_rows(records, "ord").select(F.col("ord").alias("at"), quoted_line(UPLOAD_COLUMNS).alias("value"))
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def export_upload(spark: SparkSession, path: str, file: str) -> None:
+    """All runs' accepted items as one CSV file with one header."""
+    runs = spark.read.parquet(path).select((F.col("run").cast("long") * F.lit(1 << 40) + F.col("at")).alias("at"), "value")
+    write_file([_one(spark, ",".join(UPLOAD_COLUMNS)), runs], file, "\r\n")
+
+
+def write_report(records: DataFrame, file: str) -> None:
+    """The report's CSV file, overwritten."""
+    rows = report_rows(records, F.col("ord").alias("_at"))
+    lines = rows.select(F.col("_at").alias("at"), quoted_line(REPORT_COLUMNS).alias("value"))
+    write_file([_one(records.sparkSession, ",".join(REPORT_COLUMNS)), lines], file, "\r\n")
+
+
+def write_log(lines: DataFrame, path: str, run: int) -> None:
+    """Append a run's lines (ord, seq, line), in order and without line ends of their own; a repeated run replaces its own."""
+    value = trim_lines(F.col("line")).alias("value")
+    lines.coalesce(1).sortWithinPartitions("ord", "seq").select("ord", "seq", value).write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def export_log(spark: SparkSession, path: str, file: str) -> None:
+    """All runs' lines as one text file."""
+    at = F.col("run").cast("long") * F.lit(1 << 40) + F.col("ord").cast("long") * 1000 + F.col("seq")
+    write_file([spark.read.parquet(path).select(at.alias("at"), "value")], file)
+
+
+def write_document(summary: DataFrame, records: DataFrame, file: str) -> None:
+    """One JSON document: the summary with its nulls, and the items in order (ord) without theirs."""
+    spark = records.sparkSession
+    fields = [c for c in records.columns if c != "ord"]
+    first = records.agg(F.min("ord").alias("_first"))
+    items = records.select(F.col("ord").alias("at"), F.to_json(F.struct(*fields)).alias("item")).join(F.broadcast(first))
+    items = items.select("at", F.concat(F.when(F.col("at") == F.col("_first"), "").otherwise(","), "item").alias("value"))
+    head = summary.select(F.lit(0).alias("at"), F.concat(F.lit('{"summary": '), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), F.lit(', "items": [')).alias("value"))
+    write_file([head, items, _one(spark, "]}")], file)
 
 
 def tags(records: DataFrame) -> DataFrame:
@@ -65,34 +123,55 @@ def tags(records: DataFrame) -> DataFrame:
 
 
 def moves(records: DataFrame) -> DataFrame:
-    """name, destination, final_name for every file that moves; converted files archive their original too."""
+    """name, destination, final_name for every file that moves; files that were converted and used archive their original too."""
     own = F.struct(F.col("destination"), F.col("final_name"))
-    old = F.struct(F.lit("00_SOURCE_ORIGINALS").alias("destination"), F.col("original_name").alias("final_name"))
-    both = F.when(F.col("needs_convert"), F.array(own, old)).otherwise(F.array(own))
+    old = F.struct(F.lit(ORIGINALS).alias("destination"), F.col("original_name").alias("final_name"))
+    used = F.col("status").isin("READY", "LOW_QUALITY", "NEEDS_RELEASE", "REVIEW")
+    both = F.when(F.col("needs_convert") & used, F.array(own, old)).otherwise(F.array(own))
     rows = records.where(~F.col("status").startswith("ERROR")).select("original_name", F.explode(both).alias("m"))
     return rows.select("original_name", "m.destination", "m.final_name")
 
 
-def commit_registry(registry: DataFrame, base: str) -> str:
-    """Write a new version, then point to it in one rename."""
+def _pointers(spark: SparkSession, base: str) -> list[tuple[int, str]]:
+    fs, make = _fs(spark, base)
+    found = fs.globStatus(make(f"{base}/pointer-*")) or []
+    return sorted((int(x.getPath().getName().rpartition("-")[2]), x.getPath().toString()) for x in found)
+
+
+def _pointed(spark: SparkSession, path: str) -> dict:
+    return json.loads("".join(r.value for r in spark.read.text(path, wholetext=True).collect()))  # one small file
+
+
+def commit_registry(registry: DataFrame, base: str, batch: int | None = None) -> str:
+    """Write a new version, then a pointer with the next number, by a rename to a name that nothing has yet.
+
+    Readers take the pointer with the highest number, so a crash at any place leaves the last committed version; of two
+    writers at once, one fails.  batch: the micro-batch that this version holds.
+    """
     spark = registry.sparkSession
     version = f"{base}/v-{uuid.uuid4().hex}"
     registry.write.parquet(version)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = path(base).getFileSystem(conf)
-    out = fs.create(path(f"{base}/NEXT"), True)
-    out.write(bytearray(version.encode()))
+    fs, make = _fs(spark, base)
+    last = _pointers(spark, base)
+    number = last[-1][0] + 1 if last else 0
+    batch = _pointed(spark, last[-1][1])["batch"] if batch is None and last else batch
+    draft = make(f"{base}/draft-{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(json.dumps({"version": version, "batch": batch}).encode()))
     out.close()
-    fs.delete(path(f"{base}/CURRENT"), False)
-    fs.rename(path(f"{base}/NEXT"), path(f"{base}/CURRENT"))
+    target = make(f"{base}/pointer-{number:020d}")
+    if fs.exists(target) or not fs.rename(draft, target):
+        raise RuntimeError(f"another writer has committed {target}")
     return version
 
 
 def current_registry(spark: SparkSession, base: str, schema: str) -> DataFrame:
     """The committed version; an empty registry where there is none."""
-    jvm = spark._jvm
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{base}/CURRENT")
-    if not pointer.getFileSystem(spark._jsc.hadoopConfiguration()).exists(pointer):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(spark.sparkContext.textFile(f"{base}/CURRENT").first())
+    last = _pointers(spark, base)
+    return spark.read.schema(schema).parquet(_pointed(spark, last[-1][1])["version"]) if last else spark.createDataFrame([], schema)
+
+
+def committed_batch(spark: SparkSession, base: str) -> int | None:
+    """The last micro-batch that the registry holds."""
+    last = _pointers(spark, base)
+    return _pointed(spark, last[-1][1])["batch"] if last else None

@@ -8,23 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.registry import is_pending, upsert
-from ..sources.sinks import commit_registry, current_registry
+from ..sources.sinks import commit_registry, committed_batch, current_registry
 
 REGISTRY = "name string, status string, attempts int, updated_seq long"
 
 
 def run_available(spark: SparkSession, folder: str, schema: str, registry: str, checkpoint: str, process: Callable[[DataFrame, DataFrame], DataFrame], files: int = 50) -> None:
-    """Process all files there are, `files` at a time.
+    """Process all files there are, `files` at a time, then retry what failed in earlier runs and was not retried in this one.
 
-    process(new rows, retry entries) gives registry rows (name, status, attempts).  A replayed micro-batch writes the
-    same rows under the same sequence number, so upserting them again changes nothing.
+    process(new rows, retry entries) gives registry rows (name, status, attempts).  A micro-batch that was committed before
+    a crash and is replayed after it is left out.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
+    newest = lambda state: state.agg(F.coalesce(F.max("updated_seq"), F.lit(-1))).first()[0]
+    start = newest(current_registry(spark, registry, REGISTRY))
 
-    def step(batch: DataFrame, number: int) -> None:
+    def step(new: DataFrame, number: int | None) -> None:
+        if number is not None and number == committed_batch(spark, registry):
+            return
         state = current_registry(spark, registry, REGISTRY)
-        again = state.where((F.col("status") == "ERROR") & is_pending(F.col("status"), F.col("attempts")) & (F.col("updated_seq") < number))
-        rows = process(batch, again).withColumn("updated_seq", F.lit(number).cast("long"))
-        commit_registry(upsert(state, rows.select("name", "status", "attempts", "updated_seq")), registry)
+        # Entries of this run wait for the next one.
+        again = state.where((F.col("status") == "ERROR") & is_pending(F.col("status"), F.col("attempts")) & (F.col("updated_seq") <= start))
+        if number is None and again.isEmpty():
+            return
+        rows = process(new, again).withColumn("updated_seq", F.lit(newest(state) + 1).cast("long"))
+        commit_registry(upsert(state, rows.select("name", "status", "attempts", "updated_seq")), registry, number)
 
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    step(spark.createDataFrame([], schema), None)

@@ -33,5 +33,5 @@ def test_near_duplicates_read_whole_texts(spark, tmp_path):
     close = lambda a, b: None not in (a, b) and ((a ^ b) & (1 << 64) - 1).bit_count() <= 6
     want = {i: min((j for j in bits if j < i and close(bits[i], bits[j])), default=None) for i in bits}
     assert want[1] == 0 and want[2] is None
-    got = {r.doc_id: r.near_duplicate_of for r in catalogue.QUERIES["near_duplicates_simhash"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.near_duplicate_of for r in catalogue.QUERIES["near_duplicates"](spark, str(tmp_path)).collect()}
     assert got == want
