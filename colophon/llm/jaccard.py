@@ -44,13 +44,15 @@ from pyspark.sql import types as T
 from .common import SPACE_WORDS, batches, discard, materialize, mix, word_hashes
 
 #: Classes of a block that are paired at once, members of a chunk of larger blocks, and of a large component.
-SMALL, CHUNK, TILE = 6, 384, 1024
+SMALL, CHUNK, TILE = 6, 384, 512
 #: Shingles of the sets in a chunk of a component, those of the components that share a task, and columns of an incidence matrix.
-BUNDLE, PACK, WIDE = 4_000_000, 250_000, 4096
+BUNDLE, PACK, WIDE = 1_000_000, 250_000, 4096
 #: Keys that a task of the exchange handles, those that a task gathers before it sends them, and classes of one block there that go around.
-PART, GATHER, HOT = 1_500_000, 2_000_000, 64
+PART, GATHER, HOT = 600_000, 600_000, 64
 #: Ids of candidates that may be broadcast (32 bytes each at most); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Bytes of text that a task hashes at once.
+SLICE = 3 << 20
 FOLD = 16  # 64-bit words of a folded sketch, at least
 
 
@@ -172,7 +174,7 @@ def _read(docs: DataFrame, k: int) -> DataFrame:
 
     def run(it):
         seen = Seen()
-        for batch in batches(it):
+        for batch in batches(it, SLICE):
             shingles, begins = shingle_sets(batch.column("text"), k)
             sizes, ids = np.diff(begins), set_ids(shingles, begins)
             (sketch, at), first = folded(shingles, begins), np.zeros(batch.num_rows, bool)
@@ -222,7 +224,7 @@ def _packed(docs: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
 
         seen, scheme, keys, owners, held = Seen(), bands(percent, 1 << 10), [], [], 0
         number = TaskContext.get().partitionId() << 20
-        for batch in batches(it):
+        for batch in batches(it, SLICE):
             shingles, begins = shingle_sets(batch.column("text"), k)
             sizes, ids = np.diff(begins), set_ids(shingles, begins)
             for i in seen.fresh(ids, sizes):
@@ -349,7 +351,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
         held = np.zeros((m, min(WIDE, len(found) - a)), np.float32)
         held[owner[low:high], code[low:high] - a] = 1
         total += held @ held.T
-    return total.astype(np.int64)
+    return total.astype(np.int32)
 
 
 def _sets(docs: DataFrame, heads: DataFrame, k: int) -> DataFrame:
@@ -361,7 +363,7 @@ def _sets(docs: DataFrame, heads: DataFrame, k: int) -> DataFrame:
 
     def run(it):
         seen = Seen()
-        for batch in batches(it):
+        for batch in batches(it, SLICE):
             shingles, begins = shingle_sets(batch.column("text"), k)
             ids = set_ids(shingles, begins)
             rows = seen.fresh(ids, np.diff(begins))
@@ -460,7 +462,7 @@ def _verify(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
         parts = np.split(order, np.flatnonzero(np.diff(roots[order])) + 1) if len(order) else []
         out = []
         for part in parts:
-            both, size = overlaps([sets[i] for i in part]), np.array([len(sets[i]) for i in part])
+            both, size = overlaps([sets[i] for i in part]), np.array([len(sets[i]) for i in part], np.int32)
             link = np.triu(100 * both >= percent * (size[:, None] + size - both), 1)
             link &= own[part][:, None] != own[part]
             if low != high:
@@ -600,7 +602,7 @@ def _with_class(docs: DataFrame, k: int) -> DataFrame:
     """docs and the class of each row in _class."""
 
     def run(it):
-        for batch in batches(it):
+        for batch in batches(it, SLICE):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(set_ids(*shingle_sets(batch.column("text"), k)))], [*batch.schema.names, "_class"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_class", T.LongType())]))
