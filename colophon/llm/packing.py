@@ -73,23 +73,28 @@ class Encoder:
         self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint16)
 
-    def _add(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+    def _add(self, keys: np.ndarray, data: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
         """Encode new cuttings: those that start with a space all at once, the rest one by one."""
-        joined = [i for i, p in enumerate(pieces) if p[:1] == b" " and len(p) > 1 and self.after[p[1]] and (self.before[p[-1]] or len(p) > 2 and p[-2] == 0xC3)]
-        ids = np.array(self.bpe.encode_ordinary(b"".join(pieces[i] for i in joined).decode()), np.int64)
-        ends = np.cumsum([len(pieces[i]) for i in joined])
+        size = last - first
+        joined = (data[first] == 0x20) & (size > 1)
+        joined &= self.after[data[np.minimum(first + 1, len(data) - 1)]] & (self.before[data[last - 1]] | (size > 2) & (data[last - 2] == 0xC3))
+        own, n, at = np.flatnonzero(joined), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        ends = np.cumsum(size[own])
+        total = int(ends[-1]) if len(own) else 0
+        raw = data[np.arange(total) + np.repeat(first[own] - (ends - size[own]), size[own])].tobytes()
+        ids = np.array(self.bpe.encode_ordinary(raw.decode()), np.int64)
         cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 1
-        n, at = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
-        if joined:
-            at[joined] = np.concatenate([[0], cuts[:-1]])
-            n[joined] = np.diff(np.concatenate([[0], cuts]))
-        more, size = [ids.astype(np.uint16)], len(ids)
-        for i in set(range(len(pieces))).difference(joined):
-            special = SPECIALS.get(pieces[i])
-            own = np.array(self.bpe.encode_ordinary(pieces[i].decode()) if special is None else [special], np.uint16)
-            at[i], n[i] = size, len(own)
-            size += len(own)
-            more.append(own)
+        if len(own):
+            at[own] = np.concatenate([[0], cuts[:-1]])
+            n[own] = np.diff(np.concatenate([[0], cuts]))
+        more, held = [ids.astype(np.uint16)], len(ids)
+        for i in np.flatnonzero(~joined).tolist():
+            piece = data[first[i] : last[i]].tobytes()
+            special = SPECIALS.get(piece)
+            found = np.array(self.bpe.encode_ordinary(piece.decode()) if special is None else [special], np.uint16)
+            at[i], n[i] = held, len(found)
+            held += len(found)
+            more.append(found)
         at += len(self.flat)
         self.flat = np.concatenate([self.flat, *more])
         keys, at, n = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.n, n])
@@ -107,10 +112,9 @@ class Encoder:
             left[1:] |= (data[1:] >= 0x80) & (data[:-1] == 0xC3)
             cut[1 : n - 1] = (data[1:-1] == 0x20) & left[:-2] & self.after[data[2:]]
         cut[offsets] = True
-        raw = None
+        raw = data.tobytes()
         for special in SPECIALS:
-            # Rare: looked for by its first bytes, then cut out where it lies within one text.
-            raw = raw or data.tobytes()
+            # Rare; cut out where it lies within one text.
             at = raw.find(special)
             while at >= 0:
                 if np.searchsorted(offsets, at, "right") == np.searchsorted(offsets, at + len(special) - 1, "right"):
@@ -120,22 +124,25 @@ class Encoder:
         first = np.flatnonzero(cut[:n])
         last = np.append(first[1:], n)[: len(first)]
         hashes = span_hashes(data, first, last, self.values)
-        new, where = np.unique(hashes, return_index=True)
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        fresh = np.flatnonzero(np.append(len(ranked) > 0, ranked[1:] != ranked[:-1])[: len(ranked)])
+        every, where = ranked[fresh], order[fresh]
+        inverse = np.empty(len(hashes), np.int64)
+        inverse[order] = np.repeat(np.arange(len(fresh)), np.diff(np.append(fresh, len(ranked))))
+        new = np.ones(len(every), bool)
         if len(self.keys):
-            slot = np.minimum(np.searchsorted(self.keys, new), len(self.keys) - 1)
-            fresh = self.keys[slot] != new
-            if fresh.any() and len(self.keys) + fresh.sum() > CACHE:
+            slot = np.minimum(np.searchsorted(self.keys, every), len(self.keys) - 1)
+            new = self.keys[slot] != every
+            if new.any() and len(self.keys) + new.sum() > CACHE:
                 self.clear()
-            else:
-                new, where = new[fresh], where[fresh]
-        if len(new):
-            raw = raw or data.tobytes()
-            self._add(new, [raw[first[i] : last[i]] for i in where])
-        slot = np.searchsorted(self.keys, hashes)
-        sizes = self.n[slot]
-        ends = np.cumsum(sizes)
-        begins = np.append(0, ends)
-        ids = self.flat[np.repeat(self.at[slot] - begins[:-1], sizes) + np.arange(begins[-1])]
+                new[:] = True
+        if new.any():
+            self._add(every[new], data, first[where[new]], last[where[new]])
+        slot = np.searchsorted(self.keys, every)
+        sizes = self.n[slot][inverse]
+        begins = np.append(0, np.cumsum(sizes))
+        ids = self.flat[np.repeat(self.at[slot][inverse] - begins[:-1], sizes) + np.arange(begins[-1])]
         texts = np.searchsorted(first, offsets)
         return ids, begins[texts], hashes, texts
 
@@ -148,14 +155,21 @@ def tokenise(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         encoder = _STATE.get(("encoder", path)) or _STATE.setdefault(("encoder", path), Encoder(path))
         for batch in batches(it):
             ids, starts, hashes, cuts = encoder.encode(batch.column("text"))
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(cuts))
+            ranked = np.sort(owner * BUCKETS + (hashes % np.uint64(BUCKETS)).astype(np.int64))
+            fresh = np.flatnonzero(np.append(len(ranked) > 0, ranked[1:] != ranked[:-1])[: len(ranked)])
+            count, ranked = np.diff(np.append(fresh, len(ranked))), ranked[fresh]
+            ends = np.searchsorted(ranked, np.arange(batch.num_rows + 1) * BUCKETS)
+            term, small = (ranked % BUCKETS).astype("<u4"), np.minimum(count, 255).astype("u1")
             totals, crcs, terms, counts = [], [], [], []
             for k in range(batch.num_rows):
                 own = np.append(ids[starts[k] : starts[k + 1]], 0).astype("<u4")
                 totals.append(len(own))
                 crcs.append([zlib.crc32(own[i : i + WINDOW].tobytes()) for i in range(0, len(own), WINDOW)])
-                term, count = np.unique((hashes[cuts[k] : cuts[k + 1]] % np.uint64(BUCKETS)).astype("<u4"), return_counts=True)
-                terms.append(term.tobytes())
-                counts.append(np.minimum(count, 255).astype("u1").tobytes() + count[count >= 255].astype("<u4").tobytes())
+                a, b = ends[k], ends[k + 1]
+                terms.append(term[a:b].tobytes())
+                large = count[a:b][small[a:b] == 255]
+                counts.append(small[a:b].tobytes() + large.astype("<u4").tobytes())
             salt = np.random.default_rng(len(ids)).integers(0, 1 << 40, batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(totals, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(terms, pa.binary()), pa.array(counts, pa.binary()), pa.array(salt)],
@@ -237,9 +251,11 @@ def fill(sizes: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], i
     growing = np.argsort(sizes, kind="stable")
     small, ordered = np.empty(n, np.int64), sizes[growing]
     small[growing] = np.arange(n)
+    found, term = np.unique(term, return_inverse=True)
     posting = term.astype(np.int64) * (n + 1) + small[owner]
     order = np.argsort(posting)
     posting, docs, weight = posting[order], owner[order], weight[order].astype(np.float32)
+    first, own = np.searchsorted(posting, np.arange(len(found)) * (n + 1)), np.split(term, np.cumsum([len(t) for t in terms])[:-1]) if n else []
     by_size = np.argsort(-sizes, kind="stable")
     rank = np.empty(n, np.int64)
     rank[by_size] = np.arange(n)
@@ -260,9 +276,9 @@ def fill(sizes: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], i
         unused[seed] = False
         free[top] = top + 1
         if room > 0 and len(terms[seed]):
-            t = terms[seed].astype(np.int64) * (n + 1)
-            low = np.searchsorted(posting, t)
-            count = np.searchsorted(posting, t + np.searchsorted(ordered, room, "right")) - low
+            t = own[seed]
+            low = first[t]
+            count = np.searchsorted(posting, t * (n + 1) + np.searchsorted(ordered, room, "right")) - low
             ends = np.cumsum(count)
             at = np.arange(ends[-1]) + np.repeat(low - ends + count, count)
             score = np.bincount(docs[at], weight[at], n) if len(at) else np.zeros(n)

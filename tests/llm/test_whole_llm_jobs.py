@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import brute
 
-from colophon.llm import decontamination, html, jaccard, likelihood, rules
+from colophon.llm import classifier, decontamination, html, jaccard, likelihood, packing, rules
 from colophon.llm.common import SPACE_WORDS, word_hashes
 
 
@@ -319,3 +319,68 @@ def test_html_equals_a_plain_extractor(spark, size):
         plain = Plain()
         plain.feed(r.html or "")
         assert got[r.page_id] == "\n\n".join(plain.out)
+
+
+def brute_windows(sizes, docs, idf):
+    """Greedy filling by BM25 scores over plain dictionaries; docs: {term: count} of each rest."""
+    lengths = [sum(d.values()) for d in docs]
+    mean = sum(lengths) / len(lengths)
+
+    def score(query, d):
+        return sum(idf[t] * docs[d][t] * 2.2 / (docs[d][t] + 1.2 * (0.25 + 0.75 * lengths[d] / mean)) for t in query if t in docs[d])
+
+    left, out = set(range(len(sizes))), []
+    longest = lambda room: min((i for i in left if sizes[i] <= room), key=lambda i: (-sizes[i], i), default=None)
+    while left:
+        seed = longest(packing.WINDOW)
+        window, room = [seed], packing.WINDOW - sizes[seed]
+        left.remove(seed)
+        near = sorted((d for d in left if sizes[d] <= room and score(docs[seed], d) > 0), key=lambda d: -score(docs[seed], d))
+        for d in near:
+            if sizes[d] <= room:
+                window.append(d)
+                left.remove(d)
+                room -= sizes[d]
+        while (i := longest(room)) is not None:
+            window.append(i)
+            left.remove(i)
+            room -= sizes[i]
+        out.append(window)
+    return out
+
+
+def test_packing_fills_windows_with_neighbours():
+    r = np.random.default_rng(6)
+    idf = r.random(packing.BUCKETS).astype(np.float32) + 0.1
+    docs = [{int(t): int(c) for t, c in zip(r.choice(300, int(r.integers(0, 40)), replace=False) * 7, r.integers(1, 400, 40), strict=False)} for _ in range(120)]
+    sizes = np.array([int(x) for x in r.integers(1, 700, 120)])
+    terms = [np.array(sorted(d), "<u4") for d in docs]
+    counts = [np.array([d[t] for t in sorted(d)]) for d in docs]
+    assert packing.fill(sizes, terms, counts, idf) == brute_windows(sizes.tolist(), docs, idf)
+    assert packing.fill(sizes[:0], [], [], idf) == []
+
+
+def test_packing_counts_have_no_cap(spark):
+    docs = spark.createDataFrame([(1, "word " * 70_000 + "once twice twice"), (2, "x"), (3, None)], "doc_id long, text string")
+    for r in packing.tokenise(docs).collect():
+        found = packing.counts_of(bytes(r.counts), len(r.terms) // 4)
+        assert sorted(found) == {1: [1, 1, 2, 69_999], 2: [1], 3: []}[r.doc_id]
+
+
+def test_packing_deals_similar_documents_to_one_shard(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 40)
+    r = np.random.default_rng(8)
+    texts = []
+    for g in range(60):
+        own = [f"topic{g}x{i}" for i in range(30)]
+        texts += [" ".join(r.choice(own, 24, replace=False).tolist() + [f"w{x}" for x in r.integers(0, 50, 30)]) for _ in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokens = packing.tokenise(docs)
+    df = packing.frequencies(tokens)
+    idf = np.log(1 + (len(texts) - df + 0.5) / (df + 0.5)).astype(np.float32)
+    rows = {x.doc_id: (x.h0, x.h1) for x in packing.keyed(tokens, idf).collect()}
+    shard = {i: at // 40 for at, i in enumerate(sorted(rows, key=lambda i: rows[i]))}
+    meet = np.mean([shard[a] == shard[b] for g in range(60) for a in range(8 * g, 8 * g + 8) for b in range(8 * g, a)])
+    assert meet > 0.35  # a twelfth, were documents dealt at random
+    got = packing.pack(docs).collect()
+    assert sorted(x.doc_id for x in got) == sorted(rows)
