@@ -1,15 +1,16 @@
 """Benchmark decontamination by suffix arrays over the training text.
 
-Every Arrow slice of documents becomes one shard: its words are hashed, and a sparse suffix array keeps, in
-lexicographic order of their next words, the positions at which some test suffix can start at all (those whose first
-words start a test window).  Each test suffix is binary-searched in each shard, which gives the range of training
-suffixes that share at least a window with it; matches are extended to their longest verbatim length.  One pass, no
-shuffle: the test suffixes travel to the shards.  A benchmark of more than MAX_CHARS is cut into parts, each with a pass of
-its own: `scan` merges the parts' hits of each row, `remove` hands the rows that are left to the next part.
+Every Arrow slice of documents becomes one shard: its words are hashed, and its suffix array holds all positions in
+lexicographic order of their next words, by prefix doubling up to a window's length.  Every test suffix is binary-searched in
+every shard, which gives the range of training suffixes that share at least a window with it; matches are extended to their
+longest verbatim length.  One pass, no shuffle: the test suffixes travel to the shards.  A benchmark of more than MAX_CHARS is
+cut into parts, each with a pass of its own: `scan` merges the parts' hits of each row, `remove` hands the rows that are left
+to the next part.
 
 Edge cases: a null or empty text has no words and no hits; an item without words is never found; an item of fewer than
-`window` words is one window; repeated rows and repeated doc_ids each keep a row of their own; columns of the input
-other than doc_id and text are ignored by `scan` and kept by `remove`.
+`window` words is one window; very long texts are a shard of their own; repeated rows and repeated or null doc_ids each
+keep a row of their own; an empty table of documents gives an empty result, an empty benchmark no hits; columns of the
+input other than doc_id and text are ignored by `scan` and kept by `remove`, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,19 +50,59 @@ class TestSuffixes:
         for size, found in sorted(groups.items()):
             item = np.array([k for k, _ in found])
             at = np.array([p for _, p in found])
-            keys = hashes[at[:, None] + np.arange(size)]
-            order = np.lexsort(keys.T[::-1])
-            self.groups.append((size, item[order], at[order], keys[order], np.unique(chain(hashes, at, min(size, 3)))))
+            self.groups.append((size, item, at, hashes[at[:, None] + np.arange(size)]))
 
 
-def chain(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """One key for the n words from each position."""
-    out = h[at]
-    for j in range(1, n):
-        out = out * np.uint64(0x9DDFEA08EB382D69) + h[at + j]
+def suffix_array(h: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
+    """All positions, in order of their next words, at least `depth` of them; a text's end comes before any word.
+
+    ends: where the text of each position ends.
+    """
+    n, k = len(h), 1
+    order = np.argsort(h)
+    rank = _ranks(h[order], order)
+    while k < depth:
+        here = np.arange(k, n + k)
+        second = np.where(here < ends, rank[np.minimum(here, n - 1)], 0)
+        key = rank * (n + 1) + second
+        order = np.argsort(key)
+        rank = _ranks(key[order], order)
+        k *= 2
+    return order
+
+
+def _ranks(values: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The rank from 1 of each place, from sorted values and the places in that order; equal values share one."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.append(True, values[1:] != values[:-1])) if len(order) else 0
     return out
 
 
+def ranges(h: np.ndarray, ends: np.ndarray, array: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From where to where the suffix array has suffixes that begin with each row of keys: a binary search of them all at once."""
+    n, first = len(array), h[array]
+    low, high = np.searchsorted(first, keys[:, 0], "left"), np.searchsorted(first, keys[:, 0], "right")
+
+    def bound(some: np.ndarray, j: int, after: bool) -> np.ndarray:
+        a, b, want = low[some], high[some], keys[some, j]
+        while len(live := np.flatnonzero(a < b)):
+            mid = (a[live] + b[live]) >> 1
+            at = array[mid] + j
+            word = h[np.minimum(at, n - 1)]
+            less = (at >= ends[array[mid]]) | (word < want[live]) | (after & (word == want[live]))
+            a[live[less]] = mid[less] + 1
+            b[live[~less]] = mid[~less]
+        return a
+
+    for j in range(1, keys.shape[1]):
+        # Within a range all suffixes begin alike, so they are in order of their next word.
+        some = np.flatnonzero(low < high)
+        if not len(some):
+            break
+        low[some], high[some] = bound(some, j, False), bound(some, j, True)
+    return low, high
+
+
 def search(h: np.ndarray, starts: np.ndarray, suffixes: TestSuffixes, places_too: bool = False):
     """Hit words, items and the longest match of each document of a shard; (document, word, item, item's word, length) of its matches.
 
@@ -72,22 +113,14 @@ def search(h: np.ndarray, starts: np.ndarray, suffixes: TestSuffixes, places_too
     matches = []
     items: list[set] = [set() for _ in range(n_docs)]
     longest = np.zeros(n_docs, np.int64)
+    if not len(h):
+        return np.zeros(n_docs, np.int64), items, longest, matches
     doc_of = np.repeat(np.arange(n_docs), np.diff(starts))
-    room = starts[1:][doc_of] - np.arange(len(h)) if len(h) else np.zeros(0, np.int64)
-    for size, item, at, keys, anchors in suffixes.groups:
-        possible = np.flatnonzero(room >= size)
-        if not len(possible):
-            continue
-        head = chain(h, possible, min(size, 3))
-        slot = np.searchsorted(anchors, head)
-        slot[slot == len(anchors)] = 0
-        possible = possible[anchors[slot] == head]
-        if not len(possible):
-            continue
-        rows = h[possible[:, None] + np.arange(size)]
-        order = np.lexsort(rows.T[::-1])
-        array, rows = possible[order], rows[order]
-        low, high = np.searchsorted(v := _bytes(rows), w := _bytes(keys), "left"), np.searchsorted(v, w, "right")
+    ends = starts[1:][doc_of]
+    room = ends - np.arange(len(h))
+    array = suffix_array(h, ends, max((g[0] for g in suffixes.groups), default=1))
+    for size, item, at, keys in suffixes.groups:
+        low, high = ranges(h, ends, array, keys)
         for i in np.flatnonzero(high > low):
             places = array[low[i] : high[i]]
             np.add.at(hit, places, 1)
@@ -118,11 +151,6 @@ def search(h: np.ndarray, starts: np.ndarray, suffixes: TestSuffixes, places_too
     return total[starts[1:]] - total[starts[:-1]], items, longest, matches
 
 
-def _bytes(rows: np.ndarray) -> np.ndarray:
-    """Rows of words as fixed-length keys whose order is that of the words."""
-    return np.ascontiguousarray(rows.astype(">u8")).view(f"S{8 * rows.shape[1]}").ravel()
-
-
 def _parts(benchmark: DataFrame, window: int):
     """The test suffixes, in parts of items with at most MAX_CHARS together: one part is what every task holds."""
     items, size = [], 0
