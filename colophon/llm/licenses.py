@@ -3,8 +3,9 @@
 Each position of a text gives its two-word gram; the grams' hashes join the positions of the templates' grams (a table
 fixed in this module, so its broadcast has a fixed size), and the join compares the words themselves, with up to two
 words more for long templates.  A hit votes for the diagonal `position - template position`.  Diagonals of a template
-that lie close together are one occurrence with small insertions or losses; their votes are merged, and the span is
-verified by the share of the template's grams that it holds.  Phrases need every gram on one diagonal.
+that lie close together are one occurrence with small insertions or losses; their votes are merged.  The merged span is
+verified: each of the template's grams counts once, however often it occurs, SHARE of them must be there, and the span must
+not be longer than the template by more than half of its words.  Phrases need every gram on one diagonal.
 
 Edge cases: a null or empty text has no words, no places and score 0; texts are read whole; every input row gives a row,
 also repeated ones and those with a null doc_id; an empty table gives an empty result; extra columns are ignored.
@@ -30,7 +31,19 @@ PASSAGES = {
     "licensed under a creative commons attribution": "cc",
     "licensed under cc by": "cc",
     "released under the mit license": "mit",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license": "lgpl",
+    "under the terms of the gnu affero general public license as published by the free software foundation": "agpl",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "has waived all copyright and related or neighboring rights to this work": "cc0",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license": "epl",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": "bsl",
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software": "zlib",
+    "licensed under the european union public licence": "eupl",
+    "this font software is licensed under the sil open font license": "ofl",
+    "this package is free software you may copy and distribute it under the terms of the artistic license": "artistic",
 }
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words that a passage's gram compares, the neighbouring diagonals that merge, and the share of grams that makes an occurrence.
 GRAM, SLACK, SHARE = 4, 3, 0.5
 
@@ -51,7 +64,10 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = [(-1, None, True, 0, 1, "", "", None, None), *templates()]
     grams = spark.createDataFrame(rows, "template int, label string, phrase boolean, tpos int, n_grams int, t1 string, t2 string, t3 string, t4 string")
     grams = grams.withColumn("gram", F.xxhash64("t1", "t2"))
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), SEPARATORS), lambda w: w != "")
+    text = F.coalesce("text", F.lit(""))
+    # Only A-Z become lower case; lower() does that faster where there are no other letters.
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    words = F.filter(F.split(low, SEPARATORS), lambda w: w != "")
     base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words.alias("words")).withColumn("n_words", F.size("words"))
     # The first element stands for the row itself and always joins, so that rows without hits stay.
     end, none = F.greatest(F.size("words"), F.lit(1)), F.array(F.lit(""))
@@ -63,13 +79,16 @@ def scan(docs: DataFrame) -> DataFrame:
         same = same & (F.col(f"t{j}").isNull() | (F.col(f"w{j}") == F.col(f"t{j}")))
     hits = at.join(F.broadcast(grams), same).select("row", "doc_id", "n_words", "template", "label", "phrase", "n_grams", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal"))
     keys = ["row", "doc_id", "n_words", "template", "label", "phrase", "n_grams"]
-    votes = hits.repartition("row").groupBy(*keys, "diagonal").agg(F.count("*").alias("votes"))
+    votes = hits.repartition("row").groupBy(*keys, "diagonal").agg(F.collect_set("tpos").alias("grams"), F.min("tpos").alias("first"), F.max("tpos").alias("last"))
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     fresh = F.when(F.col("phrase") | (F.col("diagonal") - F.lag("diagonal").over(order) > SLACK), 1).otherwise(0)
     merged = votes.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(order))
-    spans = merged.groupBy(*keys, "span").agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("start"))
-    share = F.least(F.col("votes") / F.col("n_grams"), F.lit(1.0))
-    spans = spans.withColumn("share", share).withColumn("place", F.col("phrase") & (F.col("template") >= 0) & (F.col("votes") == F.col("n_grams")))
+    spans = merged.groupBy(*keys, "span").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("grams")))).alias("votes"), F.min("diagonal").alias("start"),
+        (F.max(F.col("diagonal") + F.col("last")) - F.min(F.col("diagonal") + F.col("first")) + 1).alias("length"),
+    )
+    fits = 2 * F.col("length") <= 3 * (F.col("n_grams") + GRAM - 1)
+    spans = spans.withColumn("share", F.when(fits, F.col("votes") / F.col("n_grams")).otherwise(0.0)).withColumn("place", F.col("phrase") & (F.col("template") >= 0) & (F.col("votes") == F.col("n_grams")))
     real, holds = F.col("template") >= 0, F.col("place") | (~F.col("phrase") & (F.col("share") >= SHARE))
     names = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
     start = F.when(F.col("place"), F.col("start"))
