@@ -55,15 +55,13 @@ class Cascade:
     """Exact membership of a universe's keys in a list, as an expression."""
 
     def __init__(self, universe: DataFrame, listed: list[str]):
-        """universe: one column `key`, may hold repeats; listed: the listed keys, whose number is the caller's bound."""
+        """universe: one column `key` without repeats; listed: the listed keys, whose number is the caller's bound."""
         spark = universe.sparkSession
-        keys = spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string")
-        both = universe.select("key", F.lit(False).alias("listed")).union(keys.select("key", F.lit(True)))
-        both = materialize(both.groupBy("key").agg(F.max("listed").alias("listed")), "universe")
-        n_all, n_in = both.agg(F.count("*"), F.count_if("listed")).first()
+        inside = spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string")
+        outside = universe.join(F.broadcast(inside), "key", "left_anti")
+        n = n_in = len(set(listed))
+        n_all = n_in + universe.count()
         self.levels: list[tuple[Column, int]] = []
-        inside, outside = both.where("listed").select("key"), both.where("not listed").select("key")
-        n = n_in
         per_key = 1.44 * max(HASHES, math.log2(max(2.0, n_all / max(1, n_in))))
         while n:
             n_bits = 64 * max(1, math.ceil(n * per_key / 64))
@@ -104,7 +102,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, blocked_
     urls = urls.withColumn("keys", candidates(F.col("host"), F.col("path"), lengths))
     hosts = F.transform(F.filter(candidates(F.col("host"), F.lit(""), [0]), lambda k: k != ""), lambda k: F.concat(F.lit("*."), k))
     urls = urls.withColumn("hosts", hosts)
-    universe = urls.select(F.explode(F.concat("keys", "hosts")).alias("key"))
+    # One universe for all cascades, gathered once.
+    universe = materialize(urls.select(F.explode(F.concat("keys", "hosts")).alias("key")).distinct(), "universe")
     verdicts = {}
     for verdict in ("allow", "block"):
         verdicts[verdict] = Cascade(universe, [r for r, v in rules if v == verdict])

@@ -384,3 +384,29 @@ def test_packing_deals_similar_documents_to_one_shard(spark, monkeypatch):
     assert meet > 0.35  # a twelfth, were documents dealt at random
     got = packing.pack(docs).collect()
     assert sorted(x.doc_id for x in got) == sorted(rows)
+
+
+@pytest.mark.parametrize("depth", [1, 3, 4, 10])
+def test_suffix_arrays_and_their_search(depth):
+    r = np.random.default_rng(depth)
+    lengths = [0, 7, 1, 40, 0, 25, 3]
+    h = r.integers(1, 4, sum(lengths)).astype(np.uint64)
+    starts = np.append(0, np.cumsum(lengths))
+    ends = starts[1:][np.repeat(np.arange(len(lengths)), lengths)]
+    array = decontamination.suffix_array(h, ends, depth)
+    suffix = lambda p, n: tuple(h[p : min(ends[p], p + n)].tolist())
+    found = [suffix(p, depth) for p in array]
+    assert sorted(array.tolist()) == list(range(len(h))) and found == sorted(found)
+    keys = r.integers(1, 5, (60, depth)).astype(np.uint64)
+    low, high = decontamination.ranges(h, ends, array, keys)
+    for key, a, b in zip(keys, low, high, strict=True):
+        assert sorted(array[a:b].tolist()) == [p for p in range(len(h)) if suffix(p, depth) == tuple(key.tolist())]
+
+
+def test_decontamination_of_nothing(spark):
+    docs = spark.createDataFrame([(1, "a b", 5), (None, None, 6)], "doc_id long, text string, n_hit int")
+    bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert decontamination.scan(docs.where("false"), bench).count() == 0 and decontamination.remove(docs.where("false"), bench).count() == 0
+    none = bench.where("false")
+    assert [(r.n_hit, r.longest) for r in decontamination.scan(docs, none).collect()] == [(0, 0), (0, 0)]
+    assert decontamination.remove(docs, none).count() == 2 and [tuple(r) for r in decontamination.remove(docs, bench).collect()] == [(None, None, 6)]
