@@ -141,7 +141,7 @@ def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, values: n
     return mix(hashes)
 
 
-def batches(it, max_bytes: int = 8 << 20, column: str = "text"):
+def batches(it, max_bytes: int = 3 << 20, column: str = "text"):
     """Cut Arrow batches into slices of about max_bytes of text, so that memory stays bounded."""
     for batch in it:
         if not batch.num_rows:

@@ -97,9 +97,8 @@ class Encoder:
             more.append(found)
         at += len(self.flat)
         self.flat = np.concatenate([self.flat, *more])
-        keys, at, n = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.n, n])
-        order = np.argsort(keys)
-        self.keys, self.at, self.n = keys[order], at[order], n[order]
+        place = np.searchsorted(self.keys, keys)  # both are sorted
+        self.keys, self.at, self.n = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.n, place, n)
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All ids, each text's first id; all cuttings' hashes, each text's first cutting."""
