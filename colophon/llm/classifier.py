@@ -32,7 +32,10 @@ def held_out(doc_id):
 
 
 def lay_out(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts one after another, padded so that each begins at a position; positions at which each begins."""
+    """Texts one after another, padded so that each begins at a position; positions at which each begins.
+
+    A text's last position is a gap, so that no filter's bytes are of the next text.
+    """
     sizes = np.diff(offsets)
     begins = np.append(0, np.cumsum(np.maximum(1, -(-sizes // STRIDE)) + 1))
     out = np.full(STRIDE * (begins[-1] + 1) + WIDTH, PAD, np.int64)
@@ -62,12 +65,13 @@ class Network:
 
     def pool(self, laid: np.ndarray, begins: np.ndarray):
         """Max of each chunk, its text, and the first positions of its halves."""
-        sizes = np.diff(begins)
+        sizes = np.diff(begins) - 1
         halves = -(-sizes // HALF)
         ends = np.cumsum(halves)
         owner = np.repeat(np.arange(len(sizes)), halves)
         start = begins[:-1][owner] + HALF * (np.arange(ends[-1]) - (ends - halves)[owner])
         response = self.filters(laid, int(begins[-1]))
+        response[begins[1:] - 1] = -np.inf  # the gaps
         top = np.maximum.reduceat(response, start, axis=0)
         # A text's last half is a chunk of its own only if it is the single one.
         head = np.flatnonzero((np.arange(len(owner)) != (ends - 1)[owner]) | (halves[owner] == 1))

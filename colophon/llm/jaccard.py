@@ -608,6 +608,9 @@ def _with_class(docs: DataFrame, k: int) -> DataFrame:
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component, one of the smallest doc_id; rows without words all stay."""
+    names = docs.columns
+    # Columns of any name may come along: here they have names that nothing else has.
+    docs = docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"_x{i}") for i, c in enumerate(names)])
     rows, of = _resolve(docs, k, percent, counts=False)
     # A doc_id that one row has names that row; of others, and of null, a row is told by its class too.
     repeats = rows.groupBy("doc_id").agg((F.col("doc_id").isNull() | (F.count("*") > 1)).alias("_again"))
@@ -620,8 +623,8 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     kept = docs.join(small(heads.where("not _again").select("_head")), F.col("doc_id") == F.col("_head"), "left_semi").union(bare)
     again = heads.where("_again")
     if again.isEmpty():
-        return kept
+        return kept.toDF(*names)
     # Only rows whose doc_id repeats are gathered, by their class.
     own = docs.join(small(again.select("_head").distinct()), F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
     own = _with_class(own, k).join(small(again), (F.col("_class") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
-    return kept.union(own.dropDuplicates(["_class"]).drop("_class"))
+    return kept.union(own.dropDuplicates(["_class"]).drop("_class")).toDF(*names)
