@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the next
 stage's docs.  All but the last keep the columns of documents.  Every stage calls one operator of colophon.llm.
+
+Edge cases: null, empty and short texts fail the rules and go in the first stage; very long texts are read whole; null
+doc_ids keep their rows as far as their texts do; of repeated rows, and of different rows with one doc_id, each is judged
+by its text, and of equal or near texts one row stays; an empty table gives an empty result; without labelled rows the
+classifier's scores are all 0.5, which passes; extra columns, whatever their names, are kept up to the packing.
 """
 
 from __future__ import annotations
