@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,6 +104,26 @@ def fingerprint_embeddings(spark, sf_dir):
     return _t(spark, sf_dir, "embeddings").select("vec_id", hashing.median_bits(values).alias("bits"))
 
 
+def _cosines() -> str:
+    """The low 64 coefficients of an 8 x 8 grid whose cells are 4 x 4 pixels, as weights of the cells."""
+    along = [[sum(math.cos(math.pi * (2 * (4 * x + k) + 1) * u / 64) for k in range(4)) for x in range(8)] for u in range(8)]
+    return "[" + ", ".join("[" + ", ".join(f"{along[u][x] * along[v][y]!r}::DOUBLE" for x in range(8) for y in range(8)) + "]" for u in range(8) for v in range(8)) + "]"
+
+
+@query(f"""WITH m AS (SELECT {_cosines()} AS w), c AS (SELECT vec_id, list_transform(w, lambda row: list_dot_product(row, CAST(embedding AS DOUBLE[]))) AS c FROM embeddings, m)
+SELECT vec_id, array_to_string(list_transform(c, lambda v: CASE WHEN v > (list_sort(c)[32] + list_sort(c)[33]) / CAST(2.0 AS DOUBLE) THEN '1' ELSE '0' END), '') AS bits FROM c""")
+def phash_grids(spark, sf_dir):
+    """The perceptual hash of each vector as an 8 x 8 grid of cells of 4 x 4 pixels."""
+
+    def run(it):
+        for batch in it:
+            cells = batch.column("embedding").flatten().to_numpy().astype(np.float64).reshape(-1, 8, 8)
+            found = [f"{int(hashing.phash(np.kron(x, np.ones((4, 4)))), 16):064b}" for x in cells]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(found)], ["vec_id", "bits"])
+
+    return _t(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, bits string")
+
+
 _STRIPPED = r"regexp_replace(w, '^[\s\p{Z}\x0b\x1c-\x1f\x85]+|[\s\p{Z}\x0b\x1c-\x1f\x85]+$', '', 'g')"
 
 

@@ -278,3 +278,19 @@ def test_exact_duplicates_of_hot_and_missing_keys(spark):
 def test_legacy_registry_attempts(spark):
     got = files.import_registry(spark, '{"a": "error", "b": "ERROR", "c": "done"}').collect()
     assert {r.name: r.attempts for r in got} == {"a": 0, "b": 1, "c": 1}
+
+
+def test_sql_functions_equal_columns(spark):
+    from colophon.functions import sql
+    from colophon.operators import classify
+
+    sql.register_functions(spark)
+    rows = spark.createDataFrame([(f" Hello, W{i}_x -- Ünï ", i, ["Low", "High", "medium"][i % 3], i % 2 == 0, i % 5 == 0, i % 7 == 0) for i in range(40, 90)], "t string, score int, risk string, people boolean, prop boolean, mark boolean")
+    rows = rows.withColumns({"h": F.md5("t"), "status": F.element_at(F.array(F.lit("ERROR"), F.lit("READY"), F.lit("error")), F.col("score") % 3 + 1), "attempts": F.col("score") % 5})
+    rows = rows.withColumn("h", F.left("h", F.lit(16)))
+    flags = [F.col(c) for c in ("people", "prop", "mark")]
+    want = [text.slugify(F.col("t")), classify.choose_status(F.col("score"), F.col("risk"), *flags), hashing.from_hex(F.col("h")), registry.is_pending(F.col("status"), F.col("attempts")), hashing.megapixels(F.col("score"), F.lit(7))]
+    got = ["slugify(t)", "choose_status(score, risk, people, prop, mark)", "from_hex64(h)", "is_pending(status, attempts)", "megapixels(score, 7)"]
+    for a, b in zip(want, got, strict=True):
+        assert all(r[0] == r[1] for r in rows.select(a, F.expr(b)).collect()), b
+    assert spark.sql("SELECT hamming64(from_hex64('ffffffffffffffff'), 0)").first()[0] == 64
