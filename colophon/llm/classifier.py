@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, text_buffers
+from .common import batches, bound_batches, text_buffers
 
 WIDTH, STRIDE, FILTERS, HIDDEN = 8, 4, 16, 16
 HALF = 128  # positions; a chunk is two halves, and the next chunk shares one
@@ -144,6 +144,7 @@ def _probabilities(network: Network, batch) -> np.ndarray:
 
 def score(docs: DataFrame, network: Network, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted per row."""
+    bound_batches(docs.sparkSession)
 
     def run(it):
         for batch in batches(it, 1 << 20):
@@ -156,6 +157,7 @@ def score(docs: DataFrame, network: Network, threshold: float = THRESHOLD) -> Da
 
 def apply(docs: DataFrame, network: Network, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that the network accepts, whole and unchanged."""
+    bound_batches(docs.sparkSession)
 
     def run(it):
         for batch in batches(it, 1 << 20):

@@ -10,6 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch, about: what the JVM and a Python worker hold of the rows at once.
+BATCH_BYTES = 3 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and all is one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,9 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches hold about BATCH_BYTES and not 10,000 rows, however long; a setting of its own stays."""
+    if spark.conf.get(_BATCH_SETTING) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -39,6 +51,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -141,7 +154,7 @@ def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, values: n
     return mix(hashes)
 
 
-def batches(it, max_bytes: int = 3 << 20, column: str = "text"):
+def batches(it, max_bytes: int = 4 << 20, column: str = "text"):
     """Cut Arrow batches into slices of about max_bytes of text, so that memory stays bounded."""
     for batch in it:
         if not batch.num_rows:

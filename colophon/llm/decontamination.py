@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, batches, materialize, word_hashes
+from .common import ALNUM_WORDS, batches, bound_batches, materialize, word_hashes
 
 #: The most characters of test items that one pass sends to the executors (one item that is longer has a pass alone).
 MAX_CHARS = 20_000_000
@@ -188,6 +188,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
 
         return shard
 
+    bound_batches(docs.sparkSession)
     docs, parts = docs.select("doc_id", "text"), _parts(benchmark, window)
     first, second = next(parts), next(parts, None)
     if second is None:
@@ -229,6 +230,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame
 
         return keep
 
+    bound_batches(docs.sparkSession)
     schema, parts = docs.schema, _parts(benchmark, window)
     suffixes, more = next(parts), next(parts, None)
     while suffixes:
