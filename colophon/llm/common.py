@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,6 +44,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def settle(df: DataFrame, name: str, rows: int = 2_000_000) -> DataFrame:
+    """materialize for what is small next to the corpus: computed once, then written in files of about `rows` rows."""
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = materialize(held.coalesce(1 + held.count() // rows), name)
+    held.unpersist()
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables whose readers have been written to the shared folder themselves."""
     for df in tables:

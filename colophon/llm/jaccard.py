@@ -37,11 +37,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_WORDS, batches, discard, materialize, mix, word_hashes
+from .common import SPACE_WORDS, batches, discard, materialize, mix, settle, word_hashes
 
 #: Classes of a block that are paired at once, members of a chunk of larger blocks, and of a large component.
 SMALL, CHUNK, TILE = 6, 384, 512
@@ -267,7 +268,7 @@ def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     root = labels.select(F.col("class").alias("_class"), "root")
     rows = shared.select("block", "class").join(root, F.col("class") == F.col("_class"), "left").select("block", "class", F.coalesce("root", "class").alias("root"))
     several = rows.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("block").alias("_block"))
-    rows = materialize(rows.join(several, F.col("block") == F.col("_block")).select("block", "class", "root").distinct(), "open")
+    rows = settle(rows.join(several, F.col("block") == F.col("_block")).select("block", "class", "root").distinct(), "open")
     members = rows.groupBy("block").agg(F.count("*").alias("members")).withColumnRenamed("block", "_block")
     return rows.join(members, F.col("block") == F.col("_block")).drop("_block")
 
@@ -383,14 +384,14 @@ def _true_pairs(edges: DataFrame, of: DataFrame, docs: DataFrame, k: int, percen
     own = of.select("class", "doc_id", "n")
     right = edges.join(own, F.col("b") == F.col("class")).select("a", "class", "doc_id", "n")
     parts = right.groupBy("a").agg(F.ceil(F.sum("n") / PACK).cast("int").alias("parts"), F.sum("n").alias("total")).withColumnRenamed("a", "_a")
-    parts = materialize(parts, "parts")
+    parts = settle(parts, "parts")
     bins = int((parts.where("parts = 1").agg(F.sum("total")).first()[0] or 0) // PACK) + 1
     part = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("a"), F.lit(bins)))
     right = right.join(parts, F.col("a") == F.col("_a"))
     right = right.select("a", "class", "doc_id", F.coalesce(part, F.col("a")).alias("place"), F.when(F.col("parts") > 1, F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).otherwise(-1).alias("part"), F.lit(False).alias("center"))
     left = own.join(parts, F.col("class") == F.col("_a")).select(F.col("class").alias("a"), "class", "doc_id", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
     left = left.select("a", "class", "doc_id", F.coalesce(part, F.col("a")).alias("place"), F.when(F.col("parts") > 1, F.col("i")).otherwise(-1).alias("part"), F.lit(True).alias("center"))
-    work = materialize(left.union(right), "work")
+    work = settle(left.union(right), "work")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         a, ids, center = (rows.column(c).to_numpy() for c in ("a", "class", "center"))
@@ -444,7 +445,7 @@ def _verify(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     bins = int((members.where("whole").agg(F.sum("n")).first()[0] or 0) // PACK) + 1
     whole = F.col("whole")
     rows = members.withColumn("other", F.explode(F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("others") - 1))))
-    rows = materialize(rows.select(
+    rows = settle(rows.select(
         "class", "doc_id", "root", "own", "copies", "chunk", F.when(whole, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")).alias("place"),
         F.when(whole, -1).otherwise(F.least("chunk", "other")).alias("low"), F.when(whole, -1).otherwise(F.greatest("chunk", "other")).alias("high"),
     ), "work")
@@ -509,48 +510,55 @@ def forest(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """class, root for every class with a link: min-label passes with jumps, each written to the shared folder."""
-    once = materialize(forest(links), "links")
-    both = materialize(once.union(once.select("b", "a")), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("class")).agg(F.least(F.col("class"), F.min("b")).alias("root")), "labels")
-    discard(once)
+    """class, root for every class with a link: min-label passes with jumps, the last one written to the shared folder.
+
+    The passes between are kept by the executors; what a lost one held is computed again from the written links.
+    """
+    once = forest(links).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"))
+    both = settle(once.select("x.a", "x.b"), "edges")
+    labels = both.groupBy(F.col("a").alias("class")).agg(F.least(F.col("class"), F.min("b")).alias("root"))
+    held = []
     while True:
+        labels = labels.persist(StorageLevel.MEMORY_AND_DISK)
         root = labels.select(F.col("class").alias("b"), F.col("root").alias("near"))
         lower = both.join(root, "b").groupBy(F.col("a").alias("class")).agg(F.min("near").alias("near"))
         stepped = labels.join(lower, "class").select("class", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = stepped.select(F.col("class").alias("root"), F.col("root").alias("next"))
-        moved = materialize(stepped.join(jump, "root", "left").select("class", "old", F.least("root", F.coalesce("next", "root")).alias("root")), "labels")
-        discard(labels)
+        moved = stepped.join(jump, "root", "left").select("class", "old", F.least("root", F.coalesce("next", "root")).alias("root")).persist(StorageLevel.MEMORY_AND_DISK)
+        changed = moved.where("old <> root").count()
+        held += [labels, moved]
         labels = moved.select("class", "root")
-        labels.table = moved.table
-        if moved.where("old <> root").isEmpty():
+        if not changed:
+            out = settle(labels, "labels")
+            for x in held:
+                x.unpersist()
             discard(both)
-            return labels
+            return out
 
 
 def _candidates(shared: DataFrame, folds: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """class, root: components of near classes, in two rounds; a, b: the near pairs that joined them."""
     star = shared.where("class <> center").select(F.col("center").alias("a"), F.col("class").alias("b")).distinct()
-    near = materialize(_near(star, folds, percent), "near")
+    near = settle(_near(star, folds, percent), "near")
     labels = components(near)
     rest = _open(shared, labels)
-    more = materialize(_near(_small_pairs(rest), folds, percent).union(_hot_near(rest, folds, percent)), "near")
+    more = settle(_near(_small_pairs(rest), folds, percent).union(_hot_near(rest, folds, percent)), "near")
     if more.isEmpty():
         return labels, near
     groups = components(labels.select(F.col("class").alias("a"), F.col("root").alias("b")).where("a <> b").union(more))
-    both = materialize(near.union(more).distinct(), "near")
+    both = settle(near.union(more).distinct(), "near")
     discard(labels, near, more)
     return groups, both
 
 
 def _roots(groups: DataFrame, edges: DataFrame, of: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """class, root of the classes that link, without counts: near pairs are verified first, then what they leave apart."""
-    links = materialize(_true_pairs(edges, of, docs, k, percent), "links")
+    links = settle(_true_pairs(edges, of, docs, k, percent), "links")
     labels = components(links)
-    members = materialize(_members(groups, of, labels), "members")
+    members = settle(_members(groups, of, labels), "members")
     if members.isEmpty():
         return labels
-    found = materialize(_verify(members, docs, k, percent), "links")
+    found = settle(_verify(members, docs, k, percent), "links")
     more = found.where("root is not null and root <> class").select(F.col("class").alias("a"), F.col("root").alias("b")).union(found.where("a is not null").select("a", "b"))
     out = components(links.union(more))
     discard(links, labels, members, found)
@@ -572,8 +580,8 @@ def _resolve(docs: DataFrame, k: int, percent: int, counts: bool) -> tuple[DataF
     discard(shared)
     others = F.lit(0)
     if counts:
-        members = materialize(_members(groups, sets_of, None), "members")
-        found = materialize(_verify(members, docs, k, percent), "links")
+        members = settle(_members(groups, sets_of, None), "members")
+        found = settle(_verify(members, docs, k, percent), "links")
         discard(members)
         roots = found.where("root is not null").select("class", "root").union(components(found.where("a is not null").select("a", "b")))
         degree = found.where("class is not null").groupBy("class").agg(F.sum("others").alias("others"))
@@ -615,7 +623,7 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # A doc_id that one row has names that row; of others, and of null, a row is told by its class too.
     repeats = rows.groupBy("doc_id").agg((F.col("doc_id").isNull() | (F.count("*") > 1)).alias("_again"))
     heads = of.where("head").select(F.col("component_id").alias("_head"), F.col("class").alias("_own"))
-    heads = materialize(heads.join(repeats, F.col("_head").eqNullSafe(F.col("doc_id"))).drop("doc_id"), "heads")
+    heads = settle(heads.join(repeats, F.col("_head").eqNullSafe(F.col("doc_id"))).drop("doc_id"), "heads")
     few = heads.count() <= BROADCAST_IDS
     small = lambda df: F.broadcast(df) if few else df
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
