@@ -37,7 +37,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -510,30 +509,22 @@ def forest(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """class, root for every class with a link: min-label passes with jumps, the last one written to the shared folder.
-
-    The passes between are kept by the executors; what a lost one held is computed again from the written links.
-    """
+    """class, root for every class with a link: min-label passes with jumps, each written to the shared folder."""
     once = forest(links).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"))
     both = settle(once.select("x.a", "x.b"), "edges")
-    labels = both.groupBy(F.col("a").alias("class")).agg(F.least(F.col("class"), F.min("b")).alias("root"))
-    held = []
+    labels = settle(both.groupBy(F.col("a").alias("class")).agg(F.least(F.col("class"), F.min("b")).alias("root")), "labels")
     while True:
-        labels = labels.persist(StorageLevel.MEMORY_AND_DISK)
         root = labels.select(F.col("class").alias("b"), F.col("root").alias("near"))
         lower = both.join(root, "b").groupBy(F.col("a").alias("class")).agg(F.min("near").alias("near"))
         stepped = labels.join(lower, "class").select("class", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = stepped.select(F.col("class").alias("root"), F.col("root").alias("next"))
-        moved = stepped.join(jump, "root", "left").select("class", "old", F.least("root", F.coalesce("next", "root")).alias("root")).persist(StorageLevel.MEMORY_AND_DISK)
-        changed = moved.where("old <> root").count()
-        held += [labels, moved]
+        moved = settle(stepped.join(jump, "root", "left").select("class", "old", F.least("root", F.coalesce("next", "root")).alias("root")), "labels")
+        discard(labels)
         labels = moved.select("class", "root")
-        if not changed:
-            out = settle(labels, "labels")
-            for x in held:
-                x.unpersist()
+        labels.table = moved.table
+        if moved.where("old <> root").isEmpty():
             discard(both)
-            return out
+            return labels
 
 
 def _candidates(shared: DataFrame, folds: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
