@@ -77,7 +77,7 @@ SPACE_WORDS = _word_table([(0x20, 0x20), (0x09, 0x0D)])
 
 _RADIX = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_RADIX, -1, 1 << 64)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 16
 _STATE: dict = {}
 
 
@@ -131,12 +131,12 @@ def word_hashes(column, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     base, end = int(offsets[0]), int(offsets[-1])
     data, offsets = data[base:end], offsets - base
     n = end - base
-    lower = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    inside = np.zeros(n + 1, bool)
-    inside[:n] = words[lower]
-    begin = inside[:n].copy()
-    begin[1:] &= ~inside[: n - 1] if n else True
-    stops = ~inside[1:] & inside[:n]
+    table = words.copy()
+    table[65:91] = words[97:123]  # A-Z as a-z
+    inside = table[data]
+    begin, stops = inside.copy(), inside.copy()
+    np.greater(inside[1:], inside[:-1], out=begin[1:])
+    np.greater(inside[:-1], inside[1:], out=stops[:-1])
     edges = offsets[1:-1]
     edges = edges[(edges > 0) & (edges < n)]
     begin[edges] = inside[edges]
@@ -155,10 +155,12 @@ def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, values: n
         j = max(i + 1, int(np.searchsorted(last, start + _CHUNK, "right")))
         stop = int(last[j - 1])
         up, down = _powers(max(stop - start, _CHUNK))
-        total = np.zeros(stop - start + 1, np.uint64)
-        np.cumsum(values[data[start:stop]] * up[: stop - start], out=total[1:])
+        total = np.empty(stop - start + 1, np.uint64)
+        total[0] = 0
+        np.multiply(values.take(data[start:stop]), up[: stop - start], out=total[1:])
+        np.cumsum(total, out=total)
         a, b = first[i:j] - start, last[i:j] - start
-        hashes[i:j] = (total[b] - total[a]) * down[a]
+        hashes[i:j] = (total.take(b) - total.take(a)) * down.take(a)
         i = j
     return mix(hashes)
 

@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_WORDS, batches, materialize, mix, word_hashes
 
-CLASSES, WIDTH, SIDE, STEP, RATE = 96, 16, 2, 32768, 0.02
+CLASSES, WIDTH, SIDE, STEP, RATE = 64, 16, 2, 32768, 0.02
 STEPS = 240
 #: Places whose class distributions are computed at once, so that they stay in the cache.
-CACHED = 2048
+CACHED = 1024
 #: Tokens of the corpus for each copy that is trained.
 COPY = 8_000_000
 SLICE = 2 << 20
