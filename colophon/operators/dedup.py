@@ -65,15 +65,24 @@ def _first_band(bits: Column, threshold: int) -> Column:
 def near(df: DataFrame, bits: str, order: str, name: str, threshold: int = 6) -> DataFrame:
     """order, near_duplicate_of: the earliest name within the threshold (of 0 to 63 bits).  Equal fingerprints collapse first.
 
-    Fingerprints meet in the bands that they share, which loses no pair; a pair counts in the first of these only.
+    Fingerprints meet in the bands that they share, which loses no pair.  First each is compared with the earliest one of each
+    of its bands alone; then only with those that are earlier than what that found, so that a large group of near copies
+    costs no pairs within it.
     """
     own = df.where(F.col(bits).isNotNull()).select(F.col(bits).alias("bits"), F.col(order).alias("ord"), F.col(name).alias("name"))
     groups = own.groupBy("bits").agg(F.min(F.struct("ord", "name")).alias("first"), F.max("ord").alias("last"))
     keyed = groups.select("*", F.explode(_bands(F.col("bits"), threshold)).alias("band"))
-    a, b = keyed.alias("a"), keyed.alias("b")
+    heads = keyed.groupBy(F.col("band").alias("_band")).agg(F.min(F.struct("first", F.col("bits").alias("head_bits"))).alias("head"))
+    near_head = F.bit_count(F.col("bits").bitwiseXOR(F.col("head.head_bits"))) <= threshold
+    star = keyed.join(heads, F.col("band") == F.col("_band")).where(near_head & (F.col("head.first.ord") < F.col("last")))
+    star = star.groupBy("bits").agg(F.min("head.first").alias("found")).withColumnRenamed("bits", "_bits")
+    bound = groups.join(star, F.col("bits") == F.col("_bits"), "left").select("bits", "found", F.coalesce("found.ord", "last").alias("bound"))
+    a, b = bound.select("bits", "bound", F.explode(_bands(F.col("bits"), threshold)).alias("band")).alias("a"), keyed.alias("b")
     apart = F.col("a.bits").bitwiseXOR(F.col("b.bits"))
-    close = (F.col("a.band") == F.col("b.band")) & (F.bit_count(apart) <= threshold) & (F.col("b.first.ord") < F.col("a.last")) & (F.col("a.band.k") == _first_band(apart, threshold))
+    # A pair meets in all bands that it shares; it counts in the first of them.
+    close = (F.col("a.band") == F.col("b.band")) & (F.col("b.first.ord") < F.col("a.bound")) & (F.bit_count(apart) <= threshold) & (F.col("a.band.k") == _first_band(apart, threshold))
     found = a.join(b, close).select(F.col("a.bits").alias("bits"), F.col("b.first").alias("earlier"))
+    found = found.union(bound.where("found is not null").select("bits", F.col("found").alias("earlier")))
     best = found.groupBy("bits").agg(F.min("earlier").alias("earlier"))
     out = own.join(best, "bits", "left")
     return out.select(F.col("ord").alias(order), F.when(F.col("earlier.ord") < F.col("ord"), F.col("earlier.name")).alias("near_duplicate_of"))
