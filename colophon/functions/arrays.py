@@ -12,16 +12,20 @@ def clean_keywords(keywords: Column, limit: int = 50) -> Column:
     """Keep the first of each keyword, whatever its case or plural s, in order; at most `limit`."""
     none = F.array().cast("array<string>")
 
-    def step(kept: Column, word: Column) -> Column:
+    def add(kept: Column, word: Column) -> Column:
         low = F.lower(word)
         known = lambda key: F.array_contains(kept["keys"], key)
         singular = low.endswith("s") & (F.length(low) > 3) & known(F.left(low, F.length(low) - 1))
-        # Words behind a full list change nothing.
-        skip = (F.size(kept["keys"]) >= limit) | (F.length(word) < 2) | known(low) | singular | known(F.concat(low, F.lit("s")))
+        skip = (F.length(word) < 2) | known(low) | singular | known(F.concat(low, F.lit("s")))
         more = F.struct(F.concat(kept["keys"], F.array(low)).alias("keys"), F.concat(kept["words"], F.array(word)).alias("words"))
         return F.when(skip, kept).otherwise(more)
 
-    return F.aggregate(F.transform(keywords, strip), F.struct(none.alias("keys"), none.alias("words")), step, lambda kept: kept["words"])
+    def step(kept: Column, word: Column) -> Column:
+        # Words behind a full list change nothing and are not even stripped; the transform computes a stripped word once.
+        stripped = F.get(F.transform(F.array(strip(word)), lambda w: add(kept, w)), F.lit(0))
+        return F.when(F.size(kept["keys"]) >= limit, kept).otherwise(stripped)
+
+    return F.aggregate(keywords, F.struct(none.alias("keys"), none.alias("words")), step, lambda kept: kept["words"])
 
 
 def drop_blank(keywords: Column) -> Column:
