@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import classifier, decontamination, html, jaccard, licenses, likelihood, packing, rules, sharding, urls
+from itertools import permutations
+
+from . import ann, classifier, decontamination, filter_audit, html, infill, jaccard, licenses, likelihood, packing, rules, sharding, urls
 from .common import read_table as _t
 
 
@@ -47,6 +49,18 @@ def op10_retrieval_packing(spark, sf_dir):
     return packing.pack(_t(spark, sf_dir, "documents"))
 
 
+def op11_multi_index_hashing(spark, sf_dir):
+    return ann.search(_t(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark, sf_dir):
+    return infill.digest(infill.transform(_t(spark, sf_dir, "documents")))
+
+
 QUERIES = {k: v for k, v in globals().items() if k.startswith("op")}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -98,4 +112,28 @@ n AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op12_filter_audit": rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{_SPACED}') AS w, min(doc_id) OVER (PARTITION BY text) AS earliest FROM d),
+f AS (SELECT doc_id, part, len(w) < 200 AS A, 100 * len(list_distinct(w)) < 50 * len(w) AS B, 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS C,
+  regexp_matches(text, '[#$%&*|]') AS D, earliest < doc_id AS E FROM w),
+l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, [A, B, C, D, coalesce(E, false)] AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM f LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+o AS (SELECT [{", ".join(f"['{''.join(p)}']" for p in permutations("ABCDE"))}] AS o),
+p AS (SELECT x[1] AS filter_order FROM (SELECT unnest(o) AS x FROM o)),
+s AS (SELECT part, filter_order, n, good, toxic, list_transform([1, 2, 3, 4, 5], lambda i: fails[ascii(filter_order[i]) - 64]) AS q, len(list_filter(fails, lambda x: x)) AS n_fails FROM c, p),
+r AS (SELECT *, coalesce(list_position(q, true), 6) AS hit, unnest([1, 2, 3, 4, 5]) AS step FROM s),
+g AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS letter, CAST(coalesce(sum(n) FILTER (hit > step), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (hit = step), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (q[step] AND hit < step), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (q[step] AND n_fails = 1), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(n) FILTER (hit = step AND good), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(n) FILTER (hit = step AND toxic), 0) AS BIGINT) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM g""",
+    "op13_fill_in_middle": r"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+n AS (SELECT *, len(t) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(x, i, 8) AS BIGINT)) AS h FROM h),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS i, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS j,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, array_to_string(t[1:i], '') AS prefix, array_to_string(t[i+1:j], '') AS middle, array_to_string(t[j+1:], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
 }
