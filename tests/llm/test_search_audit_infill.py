@@ -21,7 +21,7 @@ def same_as_sql(spark, name):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     ours, theirs = queries.QUERIES[name](spark, SF).toPandas(), con.sql(queries.ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns) and len(ours) > 0
-    plain = lambda x: None if pd.isna(x) else int(x) if isinstance(x, float) else x
+    plain = lambda x: None if pd.isna(x) else int(x) if isinstance(x, float | np.integer) else x
     rows = lambda df: sorted(str([plain(x) for x in r]) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
     assert rows(ours) == rows(theirs)
 
