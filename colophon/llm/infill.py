@@ -3,11 +3,12 @@
 Texts are grouped by their SHA-256; a second hash and the length of all texts of a group are compared, and a difference is
 an error.  Each distinct text's boundaries (the places, in code points, at which its tokens end) are found once and kept as
 Elias-Fano lists: about two bits and log2 of the mean token length for each token, from which any boundary is read without
-unpacking the others.  Documents join their text's list by the digest, each selects its two cuts, and the output is put
-together by expressions.  Only digests and ids of documents are exchanged, and each distinct text once.
+unpacking the others.  The index row of a text also holds the ids of its documents, so that texts and documents meet in the
+exchange that groups them: a text travels at most once from each task that reads it, and no second time to be joined.  Each
+document then selects its two cuts, and the output is put together by expressions.
 
 A text with very many copies (HOT_ROWS and 1 / HOT_TEXTS of all rows or more) is in the index once for each so many of its
-rows, so that no task holds all of them.
+rows, so that no task and no list holds all of them.
 
 Edge cases: a null text is empty; an empty text has no tokens and stays plain, as does a text that holds a mark; a null
 doc_id is hashed as no digits and stays null; equal rows each give a row, equal ones; very long texts are read whole; an
@@ -105,12 +106,13 @@ def _hot(keyed: DataFrame, rows: int) -> DataFrame:
 
 
 def index(keyed: DataFrame) -> DataFrame:
-    """digest, part, text, n, ends, one row per distinct text (and part of a hot one's).  keyed: digest, part, text."""
+    """digest, text, n, ends, docs, one row per distinct text (and part of a hot one's).  keyed: digest, part, text, doc_id."""
     hashed = F.struct(F.xxhash64("text").alias("hash"), F.length("text").alias("length"))
-    grouped = keyed.groupBy("digest", "part").agg(F.first("text").alias("text"), F.min(hashed).alias("least"), F.max(hashed).alias("most"))
+    docs = F.collect_list(F.struct("doc_id")).alias("docs")  # a struct, as lists leave nulls out
+    grouped = keyed.groupBy("digest", "part").agg(F.first("text").alias("text"), F.min(hashed).alias("least"), F.max(hashed).alias("most"), docs)
     verified = F.when(F.col("least") == F.col("most"), F.col("text")).otherwise(F.raise_error(F.lit("two texts have one SHA-256")).cast("string"))
-    listed = grouped.select("digest", "part", verified.alias("text")).withColumn("list", _listed("text"))
-    return listed.select("digest", "part", "text", "list.n", "list.ends")
+    listed = grouped.select("digest", "docs", verified.alias("text")).withColumn("list", _listed("text"))
+    return listed.select("digest", "text", "list.n", "list.ends", "docs")
 
 
 def _draw(seed: int, number: int) -> Column:
@@ -127,9 +129,8 @@ def transform(docs: DataFrame, seed: int = SEED, fim_percent: int = FIM_PERCENT,
     hot = _hot(keyed, docs.count())
     dealt = keyed.join(F.broadcast(hot), F.col("digest") == F.col("_digest"), "left")
     dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("_groups")), F.lit(0)).cast("int"))
-    texts = index(dealt.select("digest", "part", "text"))
-    rows = dealt.select("doc_id", "digest", "part").join(texts, ["digest", "part"])
-    return cut(rows, seed, fim_percent, spm_percent)
+    rows = index(dealt.select("digest", "part", "text", "doc_id")).select(F.explode("docs").alias("doc"), "text", "n", "ends")
+    return cut(rows.select("doc.doc_id", "text", "n", "ends"), seed, fim_percent, spm_percent)
 
 
 def cut(rows: DataFrame, seed: int, fim_percent: int, spm_percent: int) -> DataFrame:
