@@ -1,8 +1,7 @@
-"""Writers: upload and report tables, review log, report document, registry versions, tags, moves."""
+"""Writers: upload and report tables, review log, report document, tags, and the files that a run moves."""
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +10,11 @@ from pyspark.sql import functions as F
 from ..config import ORIGINALS, REPORT_COLUMNS, UPLOAD_COLUMNS
 from ..functions.arrays import join_nonempty
 from ..functions.text import trim_lines
+from .store import file_system
 
 _FLAGS = REPORT_COLUMNS[10:13]
+#: Statuses whose prepared file is used, and so their original archived.
+USED = ["READY", "LOW_QUALITY", "NEEDS_RELEASE", "REVIEW"]
 
 
 def upload_rows(records: DataFrame, *keep: str) -> DataFrame:
@@ -30,12 +32,6 @@ def report_rows(records: DataFrame, *keep: str) -> DataFrame:
     return records.select(*keep, *text)
 
 
-def _fs(spark: SparkSession, path: str):
-    """The file system of a path, and the class that makes its paths."""
-    make = spark._jvm.org.apache.hadoop.fs.Path
-    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
-
-
 def quoted_line(columns: list[str]) -> Column:
     """A CSV line of text columns without its end, with quotes only where a field needs them."""
 
@@ -57,7 +53,7 @@ def write_file(parts: list[DataFrame], path: str, end: str = "\n") -> None:
         rows = rows.union(df.select(F.lit(i), F.col("at").cast("long"), "value"))
     work = f"{path}.{uuid.uuid4().hex}"
     rows.repartition(1).sortWithinPartitions("part", "at").select("value").write.option("lineSep", end).text(work)
-    fs, make = _fs(spark, path)
+    fs, make = file_system(spark, path)
     found = fs.globStatus(make(f"{work}/part-*"))
     if fs.exists(make(path)):
         fs.delete(make(path), False)
@@ -126,52 +122,25 @@ def moves(records: DataFrame) -> DataFrame:
     """name, destination, final_name for every file that moves; files that were converted and used archive their original too."""
     own = F.struct(F.col("destination"), F.col("final_name"))
     old = F.struct(F.lit(ORIGINALS).alias("destination"), F.col("original_name").alias("final_name"))
-    used = F.col("status").isin("READY", "LOW_QUALITY", "NEEDS_RELEASE", "REVIEW")
-    both = F.when(F.col("needs_convert") & used, F.array(own, old)).otherwise(F.array(own))
+    both = F.when(F.col("needs_convert") & F.col("status").isin(USED), F.array(own, old)).otherwise(F.array(own))
     rows = records.where(~F.col("status").startswith("ERROR")).select("original_name", F.explode(both).alias("m"))
     return rows.select("original_name", "m.destination", "m.final_name")
 
 
-def _pointers(spark: SparkSession, base: str) -> list[tuple[int, str]]:
-    fs, make = _fs(spark, base)
-    found = fs.globStatus(make(f"{base}/pointer-*")) or []
-    return sorted((int(x.getPath().getName().rpartition("-")[2]), x.getPath().toString()) for x in found)
-
-
-def _pointed(spark: SparkSession, path: str) -> dict:
-    return json.loads("".join(r.value for r in spark.read.text(path, wholetext=True).collect()))  # one small file
+def file_effects(records: DataFrame, work: str) -> DataFrame:
+    """ord, seq, kind, source, target: what happens to each record's files, in order, as paths below the run's folder.
 
-
-def commit_registry(registry: DataFrame, base: str, batch: int | None = None) -> str:
-    """Write a new version, then a pointer with the next number, by a rename to a name that nothing has yet.
-
-    Readers take the pointer with the highest number, so a crash at any place leaves the last committed version; of two
-    writers at once, one fails.  batch: the micro-batch that this version holds.
+    A prepared or tagged copy (`staged`, below the work folder) takes the planned name, and then its original is archived if it was
+    converted, and dropped otherwise; a file without a copy moves itself.
     """
-    spark = registry.sparkSession
-    version = f"{base}/v-{uuid.uuid4().hex}"
-    registry.write.parquet(version)
-    fs, make = _fs(spark, base)
-    last = _pointers(spark, base)
-    number = last[-1][0] + 1 if last else 0
-    batch = _pointed(spark, last[-1][1])["batch"] if batch is None and last else batch
-    draft = make(f"{base}/draft-{uuid.uuid4().hex}")
-    out = fs.create(draft, False)
-    out.write(bytearray(json.dumps({"version": version, "batch": batch}).encode()))
-    out.close()
-    target = make(f"{base}/pointer-{number:020d}")
-    if fs.exists(target) or not fs.rename(draft, target):
-        raise RuntimeError(f"another writer has committed {target}")
-    return version
-
-
-def current_registry(spark: SparkSession, base: str, schema: str) -> DataFrame:
-    """The committed version; an empty registry where there is none."""
-    last = _pointers(spark, base)
-    return spark.read.schema(schema).parquet(_pointed(spark, last[-1][1])["version"]) if last else spark.createDataFrame([], schema)
-
-
-def committed_batch(spark: SparkSession, base: str) -> int | None:
-    """The last micro-batch that the registry holds."""
-    last = _pointers(spark, base)
-    return _pointed(spark, last[-1][1])["batch"] if last else None
+    target = F.concat_ws("/", "destination", "final_name")
+    step = lambda seq, kind, source, to: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), source.alias("source"), to.alias("target"))
+    copy = F.concat(F.lit(f"{work}/"), F.col("staged"))
+    archive = step(1, "move", F.col("original_name"), F.concat(F.lit(ORIGINALS + "/"), F.coalesce("archive_name", "original_name")))
+    used = F.col("needs_convert") & F.col("status").isin(USED)
+    steps = (
+        F.when(F.col("staged").isNotNull() & used, F.array(step(0, "move", copy, target), archive))
+        .when(F.col("staged").isNotNull(), F.array(step(0, "move", copy, target), step(1, "drop", F.col("original_name"), target)))
+        .otherwise(F.array(step(0, "move", F.col("original_name"), target)))
+    )
+    return records.where("destination is not null").select("ord", F.explode(steps).alias("s")).select("ord", "s.*")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.registry import is_pending, upsert
-from ..sources.sinks import commit_registry, committed_batch, current_registry
+from ..operators.registry import is_pending
+from ..sources import ledger
 
 REGISTRY = "name string, status string, attempts int, updated_seq long"
 
@@ -21,18 +21,19 @@ def run_available(spark: SparkSession, folder: str, schema: str, registry: str,
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
     newest = lambda state: state.agg(F.coalesce(F.max("updated_seq"), F.lit(-1))).first()[0]
-    start = newest(current_registry(spark, registry, REGISTRY))
+    start = newest(ledger.read(spark, registry, REGISTRY))
 
     def step(new: DataFrame, number: int | None) -> None:
-        if number is not None and number == committed_batch(spark, registry):
+        if number is not None and number == ledger.committed_batch(spark, registry):
             return
-        state = current_registry(spark, registry, REGISTRY)
+        state = ledger.read(spark, registry, REGISTRY)
         # Entries of this run wait for the next one.
         again = state.where((F.col("status") == "ERROR") & is_pending(F.col("status"), F.col("attempts")) & (F.col("updated_seq") <= start))
         if number is None and again.isEmpty():
             return
         rows = process(new, again).withColumn("updated_seq", F.lit(newest(state) + 1).cast("long"))
-        commit_registry(upsert(state, rows.select("name", "status", "attempts", "updated_seq")), registry, number)
+        ledger.commit(rows.select("name", "status", "attempts", "updated_seq"), registry, batch=number)
+        ledger.compact(spark, registry, REGISTRY)
 
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     step(spark.createDataFrame([], schema), None)

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from colophon.plans import batch, catalogue
-from colophon.sources import files, sinks
+from colophon.sources import files
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["customer", "documents", "embeddings", "events", "pages", "benchmark", "labels", "part"]
@@ -48,12 +48,7 @@ def test_folder_source(spark, tmp_path):
     assert sorted(r.name for r in files.list_assets(spark, str(tmp_path)).collect()) == ["_D.JPG", "b.png", "sp ace#1.tif"]
 
 
-def test_registry_round_trip(spark, tmp_path):
-    base, schema = f"file://{tmp_path}", "name string, status string, attempts int"
-    assert sinks.current_registry(spark, base, schema).count() == 0
-    for status in ("ERROR", "READY"):
-        sinks.commit_registry(spark.createDataFrame([("a", status, 1)], schema), base)
-    assert sinks.current_registry(spark, base, schema).first().status == "READY"
+def test_legacy_registry(spark):
     old = files.import_registry(spark, '{"a": "error", "b": {"status": "READY", "attempts": 2}}').orderBy("name").collect()
     assert [(r.name, r.status, r.attempts) for r in old] == [("a", "error", 0), ("b", "READY", 2)]
     assert files.import_registry(spark, "junk").count() == 0

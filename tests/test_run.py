@@ -15,7 +15,7 @@ from colophon.config import SUMMARY_COLUMNS, Settings
 from colophon.functions import hashing, text
 from colophon.operators import annotate, dedup, provider, registry, report
 from colophon.plans.run import FOLDERS, run
-from colophon.sources import effects, files, images, sinks
+from colophon.sources import effects, files, images, ledger, sinks
 from colophon.streaming import incremental
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import this file
@@ -192,18 +192,6 @@ def test_log_and_upload_append(spark, tmp_path):
     assert sorted(x for x in os.listdir(tmp_path) if not x.startswith(".")) == ["log", "log.txt", "up", "up.csv"]
 
 
-def test_registry_survives_a_crash(spark, tmp_path):
-    base, schema = f"file://{tmp_path}", "name string, status string, attempts int"
-    frame = lambda status: spark.createDataFrame([("a", status, 1)], schema)
-    sinks.commit_registry(frame("ERROR"), base, 7)
-    # What a crash between any two steps of a commit leaves: a version without a pointer, and a draft.
-    frame("READY").write.parquet(f"{base}/v-lost")
-    (tmp_path / "draft-x").write_text(json.dumps({"version": f"{base}/v-lost", "batch": 8}))
-    assert sinks.current_registry(spark, base, schema).first().status == "ERROR" and sinks.committed_batch(spark, base) == 7
-    sinks.commit_registry(frame("REVIEW"), base)
-    assert sinks.current_registry(spark, base, schema).first().status == "REVIEW" and sinks.committed_batch(spark, base) == 7
-
-
 def test_failed_items_are_retried_without_new_files(spark, tmp_path):
     folder, base = f"{tmp_path}/in", f"file://{tmp_path}/registry"
     spark.createDataFrame([("a",), ("b",)], "name string").write.parquet(folder)
@@ -220,7 +208,7 @@ def test_failed_items_are_retried_without_new_files(spark, tmp_path):
         incremental.run_available(spark, folder, "name string", base, f"{tmp_path}/check", process)
     # Retried twice, then given up; nothing is processed after that.
     assert seen == [(["a", "b"], []), ([], ["a"]), ([], ["a"])]
-    state = {r.name: (r.status, r.attempts) for r in sinks.current_registry(spark, base, incremental.REGISTRY).collect()}
+    state = {r.name: (r.status, r.attempts) for r in ledger.read(spark, base, incremental.REGISTRY).collect()}
     assert state == {"a": ("ERROR_PERMANENT", 3), "b": ("READY", 0)}
 
 
