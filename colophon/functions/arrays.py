@@ -25,7 +25,8 @@ def clean_keywords(keywords: Column, limit: int = 50) -> Column:
         stripped = F.get(F.transform(F.array(strip(word)), lambda w: add(kept, w)), F.lit(0))
         return F.when(F.size(kept["keys"]) >= limit, kept).otherwise(stripped)
 
-    return F.aggregate(keywords, F.struct(none.alias("keys"), none.alias("words")), step, lambda kept: kept["words"])
+    # A word that stands there again would be refused: only the first of each is looked at.
+    return F.aggregate(F.array_distinct(keywords), F.struct(none.alias("keys"), none.alias("words")), step, lambda kept: kept["words"])
 
 
 def drop_blank(keywords: Column) -> Column:

@@ -29,10 +29,13 @@ def megapixels(width: Column, height: Column) -> Column:
 
 def median_bits(values: Column) -> Column:
     """Bits of an array against its median, as a string of 0 and 1."""
-    ordered = F.array_sort(values)
-    n = F.size(values)
-    middle = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / F.lit(2.0)
-    return F.array_join(F.transform(values, lambda v: F.when(v > middle, "1").otherwise("0")), "")
+    def against_middle(ordered: Column) -> Column:
+        n = F.size(ordered)
+        return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / F.lit(2.0)
+
+    # The transforms over one element sort the array, and take its middle, once and not for each value.
+    middle = F.transform(F.array(F.sort_array(values)), against_middle)
+    return F.get(F.transform(middle, lambda m: F.array_join(F.transform(values, lambda v: F.when(v > m, "1").otherwise("0")), "")), F.lit(0))
 
 
 def to_grey(data: bytes, width: int, height: int, channels: int) -> np.ndarray:

@@ -39,27 +39,37 @@ def _parts(threshold: int) -> tuple[list[tuple[int, int]], int]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)], shared
 
 
-def _band(bits: Column, part: tuple[int, int]) -> Column:
-    return F.shiftrightunsigned(bits, part[0]).bitwiseAND((1 << part[1]) - 1)
+def _band(bits: str, part: tuple[int, int]) -> str:
+    return f"(shiftrightunsigned({bits}, {part[0]}) & {(1 << part[1]) - 1 if part[1] < 64 else -1}L)"
 
 
-def _bands(bits: Column, threshold: int) -> Column:
-    """(number, key) of each set of bands that two fingerprints may share."""
+def _bands(bits: str, threshold: int) -> Column:
+    """(number, key) of each set of bands that two fingerprints may share; the keys of different sets differ.
+
+    As one text: a plan of thousands of Column calls takes seconds to build.
+    """
     parts, shared = _parts(threshold)
-    key = lambda some: F.concat_ws(".", *[_band(bits, p).cast("string") for p in some])
-    return F.array(*[F.struct(F.lit(k).alias("k"), key(some).alias("key")) for k, some in enumerate(combinations(parts, shared))])
+    narrow = all(shared * size < 48 for _, size in parts)
+    keys = []
+    for k, some in enumerate(combinations(parts, shared)):
+        key = f"{k}L"
+        for p in some:
+            key = f"(shiftleft({key}, {p[1]}) | {_band(bits, p)})"
+        wide = f"xxhash64({k}, {', '.join(_band(bits, p) for p in some)})"
+        keys.append(f"named_struct('k', {k}, 'key', {key if narrow else wide})")
+    return F.expr(f"array({', '.join(keys)})")
 
 
-def _first_band(bits: Column, threshold: int) -> Column:
-    """Of two fingerprints' XOR: the number of the first set of bands that are whole in it."""
+def _is_first_band(apart: str, k: str, threshold: int) -> Column:
+    """Of two fingerprints' XOR: whether the k-th set of bands is the first that is whole in it."""
     parts, shared = _parts(threshold)
-    out = F.lit(None).cast("int")
-    for k, some in reversed(list(enumerate(combinations(parts, shared)))):
-        whole = F.lit(True)
-        for p in some:
-            whole = whole & (_band(bits, p) == 0)
-        out = F.when(whole, k).otherwise(out)
-    return out
+    signed = lambda v: f"{v - (1 << 64) if v >> 63 else v}L"
+    whole = " | ".join(f"CASE WHEN {_band(apart, p)} = 0 THEN {signed(1 << i)} ELSE 0L END" for i, p in enumerate(parts))
+    sets = list(combinations(range(len(parts)), shared))
+    # Of the bands up to the set's last one, its own are whole and no others.
+    numbers = lambda values: f"get(array({', '.join(map(signed, values))}), {k})"
+    upto, own = numbers((2 << s[-1]) - 1 for s in sets), numbers(sum(1 << i for i in s) for s in sets)
+    return F.expr(f"(({whole}) & {upto}) = {own}")
 
 
 def near(df: DataFrame, bits: str, order: str, name: str, threshold: int = 6) -> DataFrame:
@@ -71,16 +81,17 @@ def near(df: DataFrame, bits: str, order: str, name: str, threshold: int = 6) ->
     """
     own = df.where(F.col(bits).isNotNull()).select(F.col(bits).alias("bits"), F.col(order).alias("ord"), F.col(name).alias("name"))
     groups = own.groupBy("bits").agg(F.min(F.struct("ord", "name")).alias("first"), F.max("ord").alias("last"))
-    keyed = groups.select("*", F.explode(_bands(F.col("bits"), threshold)).alias("band"))
+    keyed = groups.select("*", F.explode(_bands("bits", threshold)).alias("b")).select("bits", "first", "last", "b.k", F.col("b.key").alias("band"))
     heads = keyed.groupBy(F.col("band").alias("_band")).agg(F.min(F.struct("first", F.col("bits").alias("head_bits"))).alias("head"))
     near_head = F.bit_count(F.col("bits").bitwiseXOR(F.col("head.head_bits"))) <= threshold
     star = keyed.join(heads, F.col("band") == F.col("_band")).where(near_head & (F.col("head.first.ord") < F.col("last")))
     star = star.groupBy("bits").agg(F.min("head.first").alias("found")).withColumnRenamed("bits", "_bits")
     bound = groups.join(star, F.col("bits") == F.col("_bits"), "left").select("bits", "found", F.coalesce("found.ord", "last").alias("bound"))
-    a, b = bound.select("bits", "bound", F.explode(_bands(F.col("bits"), threshold)).alias("band")).alias("a"), keyed.alias("b")
+    a = bound.select("bits", "bound", F.explode(_bands("bits", threshold)).alias("b")).select("bits", "bound", "b.k", F.col("b.key").alias("band"))
+    a, b = a.alias("a"), keyed.alias("b")
     apart = F.col("a.bits").bitwiseXOR(F.col("b.bits"))
     # A pair meets in all bands that it shares; it counts in the first of them.
-    close = (F.col("a.band") == F.col("b.band")) & (F.col("b.first.ord") < F.col("a.bound")) & (F.bit_count(apart) <= threshold) & (F.col("a.band.k") == _first_band(apart, threshold))
+    close = (F.col("a.band") == F.col("b.band")) & (F.col("b.first.ord") < F.col("a.bound")) & (F.bit_count(apart) <= threshold) & _is_first_band("(a.bits ^ b.bits)", "a.k", threshold)
     found = a.join(b, close).select(F.col("a.bits").alias("bits"), F.col("b.first").alias("earlier"))
     found = found.union(bound.where("found is not null").select("bits", F.col("found").alias("earlier")))
     best = found.groupBy("bits").agg(F.min("earlier").alias("earlier"))

@@ -13,6 +13,7 @@ from ..config import CATEGORIES, STATUSES, Settings
 from ..functions import arrays, hashing, text
 from ..operators import classify, dedup, naming, registry, report
 from ..sources import sinks
+from ..sources.store import shared, spread, written
 
 _CATS = ", ".join(f"'{c}'" for c in CATEGORIES)
 
@@ -93,7 +94,8 @@ SELECT d.doc_id, min(y.doc_id) AS near_duplicate_of FROM documents d LEFT JOIN f
 LEFT JOIN f y ON y.doc_id < x.doc_id AND bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)) <= 6 GROUP BY d.doc_id""")
 def near_duplicates(spark, sf_dir):
     """64-bit SimHash of the whole texts, compared within six bits."""
-    f = dedup.fingerprints(_t(spark, sf_dir, "documents"), "text", "doc_id").persist()
+    f = dedup.fingerprints(spread(_t(spark, sf_dir, "documents").select("doc_id", "text")), "text", "doc_id")
+    f = written(f, shared(spark, "fingerprints"))
     wordless = f.where("bits IS NULL").select("doc_id", F.lit(None).cast("long").alias("near_duplicate_of"))
     return dedup.near(f, "bits", "doc_id", "doc_id").union(wordless)
 
@@ -101,7 +103,7 @@ def near_duplicates(spark, sf_dir):
 @query("SELECT vec_id, array_to_string(list_transform(embedding, lambda v: CASE WHEN v > (list_sort(embedding)[32] + list_sort(embedding)[33]) / CAST(2.0 AS DOUBLE) THEN '1' ELSE '0' END), '') AS bits FROM embeddings")
 def fingerprint_embeddings(spark, sf_dir):
     values = F.transform("embedding", lambda v: v.cast("double"))
-    return _t(spark, sf_dir, "embeddings").select("vec_id", hashing.median_bits(values).alias("bits"))
+    return spread(_t(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select("vec_id", hashing.median_bits(values).alias("bits"))
 
 
 def _cosines() -> str:
@@ -133,7 +135,8 @@ lambda acc, t: CASE WHEN len(acc) >= 50 OR list_contains(list_transform(acc, lam
 def clean_keywords(spark, sf_dir):
     """The words of each whole text as its keywords."""
     words = F.split(F.coalesce("text", F.lit("")), " ")
-    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(arrays.clean_keywords(words), ",").alias("keywords"))
+    docs = spread(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.array_join(arrays.clean_keywords(words), ",").alias("keywords"))
 
 
 @query(r"""WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages),

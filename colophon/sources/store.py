@@ -35,3 +35,9 @@ def delete(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         fs, make = file_system(spark, path)
         fs.delete(make(path), True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files make fewer tasks than there are cores; as it is anywhere else, without an exchange."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
