@@ -39,6 +39,13 @@ RESPONSE = (
     "title string, description string, keywords array<string>, category string, commercial_score int, rejection_risk string, "
     "category2 string, rejection_reason string, people_visible boolean, property_or_trademark_visible boolean, watermark_or_overlay_visible boolean"
 )
+# What a server's message says, in lower case, of the kind of its error, the first kind first; a limit that names the day is a quota.
+ERROR_MARKS = {"rate_limit": ["resource_exhausted", " 429"], "overload": ["503", "unavailable", "overloaded"]}
+QUOTA_MARK = "perday"
+# Seconds before the next call: the first wait, whether later ones add it or double, the longest, and what chance adds at most.
+WAITS = {"rate_limit": (15.0, "add", None, 3.0), "overload": (10.0, "double", 90.0, 5.0), "generic": (3.0, "add", None, 0.0)}
+# Where a message names a delay in seconds: behind which word, what may stand between, and the form of the number.
+DELAYS = [("retry in ", "", "[0-9.]+"), ("retrydelay", "['\"]?\\s*:\\s*['\"]?", "[0-9]+(?:[.][0-9]+)?")]
 # End of the fixed values.
 
 #: What a provider is asked for, in our words; a provider may use another text that asks for the same fields.
