@@ -1,14 +1,19 @@
 """Main text of web pages by host consensus.
 
 Each page is parsed once into blocks and containers.  A container's score is the text of the blocks in it, less their link
-text, half as much again for an article or main element; among equal scores the innermost one is the page's choice, so it
-holds all of the page's running text.  Its generalised path of tags and classes is the page's vote; Spark counts the votes
+text; among equal scores the innermost one is the page's choice, so it holds all of the page's running text, parts beside an
+article included.  Its generalised path of tags and classes is the page's vote; Spark counts the votes
 per host, and pages are extracted again from their parsed blocks by their host's winning path.  A page whose containers on
 that path hold less than half the text of its own choice keeps its own.
 
 A block is a run of text between block-level tags; character references are decoded, white space in it becomes one
 space, and blocks are joined by two line ends.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are known by their tags, roles, classes and ids, and never give text.
+styles and reader comments are known by their tags, roles, classes and ids, and give no text, but for elements that hold the
+page itself: where no article or main element with running text stands outside of all furniture, an element that only has such
+a word within a longer name (`sidebar-right`), or is a form or header, is none if it holds more than half of the page's running
+text, and one that is marked by the word itself is none if it holds ten times what stands outside of all furniture.  Scripts,
+controls, hidden elements, reader comments and consent notices are furniture always.  Headings in an article's own header are
+of the article.
 
 Tags are read as HTML5 reads them: end tags of head, p, li and table cells may be left out, quotes count only where a
 value begins, and a quote that nothing closes ends with its word.
@@ -39,7 +44,8 @@ DEEPEST, LONGEST = 256, 1000
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp", "noembed", "noframes"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-BOILER = {"nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "head"} | RAW
+CONTROLS = {"button", "select", "menu", "dialog", "head"} | RAW
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CONTAINERS = {"article", "main", "section", "div", "td", "body"}
 #: Tags that a head may hold; any other one ends it.
 IN_HEAD = {"head", "html", "title", "meta", "link", "base", "basefont", "bgsound", "script", "style", "noscript", "template"}
@@ -51,6 +57,10 @@ FURNITURE = re.compile(
     r"cookies?|consent|gdpr|notice|notices|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|search|pagination|pager|widget|toolbar|hidden|complementary|contentinfo|navigation)(?:$|[\s_-])",
     re.I,
 )
+#: Words of those that mark furniture wherever it is and whatever it holds.
+ALWAYS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|reply|respond|cookies?|consent|gdpr)(?:$|[\s_-])", re.I)
+#: What an element is marked as: furniture always, by a word or tag of its own, by part of a name, or an article's own header.
+NEVER, STRONG, WEAK, HEADER = range(4)
 _VALUE = r"""(?:"[^"]*"|'[^']*'|(?!["'])[^\s>]*+|["'][^\s>]*+)"""
 _NAME = r"[^\s/>][^\s/>=]*+"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:\s*+=\s*+{_VALUE})?+)*+)(?:>|\Z)", re.S)
@@ -65,6 +75,20 @@ def generalise(tag: str, attrs: dict) -> str:
     return tag + ("." + re.sub(r"\d+", "0", names[0].lower()) if names else "")
 
 
+def mark_of(tag: str, attrs: dict, inside: bool) -> int | None:
+    """What marks an element as furniture, if anything; inside: an article or main element."""
+    if tag in CONTROLS or "hidden" in attrs:
+        return NEVER
+    names = " ".join(attrs.get(k) or "" for k in ("class", "id", "role")) if tag not in ("body", "html", "article", "main") else ""
+    if ALWAYS.search(names):
+        return NEVER
+    if tag in ("nav", "footer", "aside") or any(FURNITURE.fullmatch(x) for x in names.split()):
+        return STRONG
+    if tag == "header" and inside:
+        return HEADER
+    return WEAK if tag in ("header", "form") or FURNITURE.search(names) else None
+
+
 def attributes(rest: str) -> dict:
     found: dict = {}
     for name, value in _ATTR.findall(rest):
@@ -77,13 +101,15 @@ def attributes(rest: str) -> dict:
 class Page:
     """Blocks of a page: (text, link text length, numbers of the containers around); container 0 is the page itself.
 
-    Blocks of furniture are left out.  stack: (tag, step, container, furniture) of the open elements.
+    Blocks of furniture are left out.  stack: (tag, step, container, mark) of the open elements; marks: what each mark is.
     """
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
         self.paths: list[str] = [""]
-        self.stack: list[tuple[str, str, int | None, bool]] = []
+        self.stack: list[tuple[str, str, int | None, int | None]] = []
+        self.marks: list[int] = []
+        self._found: list[tuple] = []
         self._run: list[str] = []
         self._links = 0
         at, n = 0, len(source)
@@ -107,6 +133,26 @@ class Page:
                 continue
             self._open(tag, found[3])
         self._flush()
+        self._judge()
+
+    def _judge(self) -> None:
+        """Keep the blocks that are in no furniture, which rests on what all of it holds."""
+        running = [max(0, len(text) - 2 * links) for text, links, *_ in self._found]
+        held, outside, article = [0] * len(self.marks), 0, False
+        for n, (_, _, _, marks, _, in_article) in zip(running, self._found, strict=True):
+            for m in marks:
+                held[m] += n
+            if not marks:
+                outside += n
+                article = article or (in_article and n > 0)
+        whole = sum(running)
+        pardoned = [
+            not article and (kind == WEAK and 2 * n > whole or kind == STRONG and 2 * n > whole and n >= 10 * outside)
+            for kind, n in zip(self.marks, held, strict=True)
+        ]
+        for text, links, inside, marks, heading, _ in self._found:
+            if all(pardoned[m] or (heading and self.marks[m] == HEADER) for m in marks):
+                self.blocks.append((text, links, inside))
 
     def _text(self, raw: str) -> None:
         if self.stack and self.stack[-1][0] == "head" and raw.strip():
@@ -117,8 +163,11 @@ class Page:
 
     def _flush(self) -> None:
         text = _SPACE.sub(" ", html.unescape("".join(self._run))).strip() if self._run else ""
-        if text and not any(x[3] for x in self.stack):
-            self.blocks.append((text, min(self._links, len(text)), (0, *(x[2] for x in self.stack if x[2] is not None))))
+        marks = [x[3] for x in self.stack if x[3] is not None]
+        if text and not any(self.marks[m] == NEVER for m in marks):
+            tags = {x[0] for x in self.stack}
+            inside = (0, *(x[2] for x in self.stack if x[2] is not None))
+            self._found.append((text, min(self._links, len(text)), inside, marks, bool(tags & HEADINGS), bool(tags & {"article", "main"})))
         self._run, self._links = [], 0
 
     def _open(self, tag: str, rest: str) -> None:
@@ -142,9 +191,10 @@ class Page:
                 self._pop("p", {"article", "main", "section", "div", "td", "body", "blockquote", "li"})
             elif tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
                 self._pop(tag, {"ul", "ol", "table", "dl", "div", "article"})
-        marks = " ".join(attrs.get(k) or "" for k in ("class", "id", "role"))
-        boiler = tag in BOILER or "hidden" in attrs or (tag not in ("body", "html", "article", "main") and bool(FURNITURE.search(marks)))
-        step, number = generalise(tag, attrs), None
+        step, number, kind = generalise(tag, attrs), None, mark_of(tag, attrs, any(x[0] in ("article", "main") for x in self.stack))
+        mark = None if kind is None else len(self.marks)
+        if kind is not None:
+            self.marks.append(kind)
         held = [x[2] for x in self.stack if x[2] is not None]
         if tag in CONTAINERS and len(held) < DEEPEST:
             number = len(self.paths)
@@ -153,7 +203,7 @@ class Page:
                 above = "#" + hashlib.sha256(above.encode("utf-8", "replace")).hexdigest()
             between = [x[1] for x in self.stack[1 + max((i for i, x in enumerate(self.stack) if x[2] is not None), default=-1) :] if x[0] not in INLINE and x[0] != "p"]
             self.paths.append(">".join(x for x in [above, *between, step] if x))
-        self.stack.append((tag, step, number, boiler))
+        self.stack.append((tag, step, number, mark))
 
     def _pop(self, tag: str, stops: set) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
@@ -176,12 +226,12 @@ class Page:
                 return
 
     def scores(self) -> list[int]:
-        """Twice the text less links of each container's blocks, three times that of an article or main element."""
+        """The text less links of each container's blocks."""
         out = [0] * len(self.paths)
         for text, links, inside in self.blocks:
             for c in inside:
                 out[c] += max(0, len(text) - 2 * links)
-        return [x * (3 if re.split(r"[>.]", self.paths[c].rsplit(">", 1)[-1])[0] in ("article", "main") else 2) for c, x in enumerate(out)]
+        return out
 
     def best(self) -> tuple[str, int] | None:
         """The path and the score of the page's choice: of equal scores, the innermost container."""

@@ -261,6 +261,13 @@ def texts_of(spark, *given):
     ("<ul><li>a<li>b<ul><li>c</ul></ul><table><tr><td>1<td>2</table>", "a\n\nb\n\nc\n\n1\n\n2"),
     ("loose <b>words</b> &amp; <div>a box</div> end", "loose words &\n\na box\n\nend"),
     ("<div>" * 3000 + "deep" + "</div>" * 3000 + "<script>x", "deep"),
+    ("<div class='layout sidebar-right'><article><h1>Head</h1><p>" + "a story " * 40 + "</article><div class=sidebar>Side text</div></div>", "Head\n\n" + ("a story " * 40).strip()),
+    ("<body><form id=aspnet><nav>Menu</nav><p>" + "in a form " * 30 + "</p><div class=comments><p>" + "a comment " * 50 + "</div></form>", ("in a form " * 30).strip()),
+    ("<body><div class='post related-content'><p>" + "the story " * 30 + "</p></div><div>x</div>", ("the story " * 30).strip() + "\n\nx"),
+    ("<div class=wrap><article><p>" + "first part " * 49 + "</article><div class=story><p>" + "second part " * 17 + "</div></div>", ("first part " * 49).strip() + "\n\n" + ("second part " * 17).strip()),
+    ("<body><header>Site</header><article><header><h1>Title</h1><span>by A</span></header><p>" + "body text " * 20 + "</article>", "Title\n\n" + ("body text " * 20).strip()),
+    ("<body><article><p>Short.</article><div class=related-content><p>" + "elsewhere " * 60 + "</div><div class=sidebar><p>" + "aside " * 90 + "</div>", "Short."),
+    ("<body><div class=sidebar><p>" + "all there is " * 30 + "</div>", ("all there is " * 30).strip()),
 ])
 def test_html_reads_tags_as_browsers_do(spark, source, want):
     assert texts_of(spark, ("http://h/1", source)) == {0: want}
