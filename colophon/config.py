@@ -73,5 +73,7 @@ class Settings:
     slug_length: int = 80
     pause_seconds: float = 4.0
     max_side: int = 1024
+    #: Near duplicates are looked for in this run (as existing users know it) or in all runs so far: run or all.
+    near_scope: str = "run"
     version: str = "1.0"
     model: str = "none"

@@ -43,21 +43,21 @@ def _band(bits: str, part: tuple[int, int]) -> str:
     return f"(shiftrightunsigned({bits}, {part[0]}) & {(1 << part[1]) - 1 if part[1] < 64 else -1}L)"
 
 
-def _bands(bits: str, threshold: int) -> Column:
-    """(number, key) of each set of bands that two fingerprints may share; the keys of different sets differ.
+def _keyed(df: DataFrame, threshold: int) -> DataFrame:
+    """df once for each set of bands that its bits may share with others: k (the set's number) and band (its key, with k in it).
 
-    As one text: a plan of thousands of Column calls takes seconds to build.
+    A set's place and size are looked up by k, so that the generated code holds one set and not all of them.
     """
     parts, shared = _parts(threshold)
+    sets = list(combinations(parts, shared))
+    of = lambda i, j: f"get(array({', '.join(str(s[i][j]) for s in sets)}), k)"
+    values = [f"(shiftrightunsigned(bits, {of(i, 0)}) & {f'(shiftleft(1L, {of(i, 1)}) - 1L)' if max(s[i][1] for s in sets) < 64 else '-1L'})" for i in range(shared)]
+    key = "CAST(k AS BIGINT)"
+    for i, value in enumerate(values):
+        key = f"(shiftleft({key}, {of(i, 1)}) | {value})"
     narrow = all(shared * size < 48 for _, size in parts)
-    keys = []
-    for k, some in enumerate(combinations(parts, shared)):
-        key = f"{k}L"
-        for p in some:
-            key = f"(shiftleft({key}, {p[1]}) | {_band(bits, p)})"
-        wide = f"xxhash64({k}, {', '.join(_band(bits, p) for p in some)})"
-        keys.append(f"named_struct('k', {k}, 'key', {key if narrow else wide})")
-    return F.expr(f"array({', '.join(keys)})")
+    keyed = df.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(sets) - 1))))
+    return keyed.withColumn("band", F.expr(key if narrow else f"xxhash64(k, {', '.join(values)})"))
 
 
 def _is_first_band(apart: str, k: str, threshold: int) -> Column:
@@ -72,22 +72,25 @@ def _is_first_band(apart: str, k: str, threshold: int) -> Column:
     return F.expr(f"(({whole}) & {upto}) = {own}")
 
 
-def near(df: DataFrame, bits: str, order: str, name: str, threshold: int = 6) -> DataFrame:
+def near(df: DataFrame, bits: str, order: str, name: str, threshold: int = 6, asks: str | None = None) -> DataFrame:
     """order, near_duplicate_of: the earliest name within the threshold (of 0 to 63 bits).  Equal fingerprints collapse first.
 
+    asks: a column that tells which rows want an answer; the others are only compared with.
+
     Fingerprints meet in the bands that they share, which loses no pair.  First each is compared with the earliest one of each
     of its bands alone; then only with those that are earlier than what that found, so that a large group of near copies
     costs no pairs within it.
     """
-    own = df.where(F.col(bits).isNotNull()).select(F.col(bits).alias("bits"), F.col(order).alias("ord"), F.col(name).alias("name"))
-    groups = own.groupBy("bits").agg(F.min(F.struct("ord", "name")).alias("first"), F.max("ord").alias("last"))
-    keyed = groups.select("*", F.explode(_bands("bits", threshold)).alias("b")).select("bits", "first", "last", "b.k", F.col("b.key").alias("band"))
+    own = df.where(F.col(bits).isNotNull()).select(F.col(bits).alias("bits"), F.col(order).alias("ord"), F.col(name).alias("name"), (F.col(asks) if asks else F.lit(True)).alias("asks"))
+    groups = own.groupBy("bits").agg(F.min(F.struct("ord", "name")).alias("first"), F.max(F.when(F.col("asks"), F.col("ord"))).alias("last"))
+    keyed = _keyed(groups, threshold)
+    asked = keyed.where(F.col("last").isNotNull())
     heads = keyed.groupBy(F.col("band").alias("_band")).agg(F.min(F.struct("first", F.col("bits").alias("head_bits"))).alias("head"))
     near_head = F.bit_count(F.col("bits").bitwiseXOR(F.col("head.head_bits"))) <= threshold
-    star = keyed.join(heads, F.col("band") == F.col("_band")).where(near_head & (F.col("head.first.ord") < F.col("last")))
+    star = asked.join(heads, F.col("band") == F.col("_band")).where(near_head & (F.col("head.first.ord") < F.col("last")))
     star = star.groupBy("bits").agg(F.min("head.first").alias("found")).withColumnRenamed("bits", "_bits")
-    bound = groups.join(star, F.col("bits") == F.col("_bits"), "left").select("bits", "found", F.coalesce("found.ord", "last").alias("bound"))
-    a = bound.select("bits", "bound", F.explode(_bands("bits", threshold)).alias("b")).select("bits", "bound", "b.k", F.col("b.key").alias("band"))
+    bound = groups.where(F.col("last").isNotNull()).join(star, F.col("bits") == F.col("_bits"), "left").select("bits", "found", F.coalesce("found.ord", "last").alias("bound"))
+    a = _keyed(bound.select("bits", "bound"), threshold)
     a, b = a.alias("a"), keyed.alias("b")
     apart = F.col("a.bits").bitwiseXOR(F.col("b.bits"))
     # A pair meets in all bands that it shares; it counts in the first of them.
@@ -95,10 +98,31 @@ def near(df: DataFrame, bits: str, order: str, name: str, threshold: int = 6) ->
     found = a.join(b, close).select(F.col("a.bits").alias("bits"), F.col("b.first").alias("earlier"))
     found = found.union(bound.where("found is not null").select("bits", F.col("found").alias("earlier")))
     best = found.groupBy("bits").agg(F.min("earlier").alias("earlier"))
-    out = own.join(best, "bits", "left")
+    out = own.where("asks").join(best, "bits", "left")
     return out.select(F.col("ord").alias(order), F.when(F.col("earlier.ord") < F.col("ord"), F.col("earlier.name")).alias("near_duplicate_of"))
 
 
+#: An index of fingerprints: each in all its sets of bands, under the earliest name that had it.
+INDEX = "band long, bits long, ord long, name string"
+
+
+def near_all(df: DataFrame, index: DataFrame, bits: str, order: str, name: str, threshold: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(order, near_duplicate_of as in `near` over all rows so far; the rows to add to the index).
+
+    index: INDEX of the earlier rows, whose order is below that of all rows here.  Of the index only what shares a set of bands
+    with a row here is looked at, found by a join on the bands in which the index is not exchanged while the rows here are few.
+    """
+    rows = df.where(F.col(bits).isNotNull()).select(F.col(bits).alias("bits"), F.col(order).cast("long").alias("ord"), F.col(name).alias("name"))
+    groups = rows.groupBy("bits").agg(F.min(F.struct("ord", "name")).alias("first"))
+    keyed = _keyed(groups, threshold)
+    touched = index.join(keyed.select("band").distinct(), "band", "left_semi").groupBy("bits").agg(F.min(F.struct("ord", "name")).alias("first"))
+    touched = touched.select("bits", "first.ord", "first.name", F.lit(False).alias("asks"))
+    answers = near(rows.withColumn("asks", F.lit(True)).unionByName(touched), "bits", "ord", "name", threshold, "asks").withColumnRenamed("ord", "_ord")
+    own = df.select(F.col(order), F.col(order).cast("long").alias("_ord")).join(answers, "_ord", "left").drop("_ord")
+    new = keyed.join(touched.select("bits"), "bits", "left_anti").select("band", "bits", "first.ord", "first.name")
+    return own, new
+
+
 def fingerprints(df: DataFrame, text: str, name: str) -> DataFrame:
     """name, bits: the 64-bit SimHash of each whole text, over its distinct lower-case words; null without words."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)")))

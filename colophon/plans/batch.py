@@ -13,21 +13,39 @@ from ..functions.text import final_name, suffix
 from ..operators import annotate, classify, dedup, naming, registry as state
 
 
-def gate(assets: DataFrame, registry: DataFrame, settings: Settings | None = None) -> DataFrame:
+def gate(assets: DataFrame, registry: DataFrame, settings: Settings | None = None, index: DataFrame | None = None, number: int = 0) -> DataFrame:
     """The batch: the first pending items with their order, duplicates, size checks, and whether a provider is to be called.
 
-    assets: name, sha256, phash (hex), width, height, length.
+    assets: name, sha256, phash (hex), width, height, length.  index: fingerprints of the runs before this one, which has this number;
+    near duplicates are then looked for among those too.
     """
     s = settings or Settings()
     todo = state.batch(state.pending(assets, registry, max_attempts=s.max_attempts), limit=s.batch_limit)
     hashed = dedup.exact(todo, "sha256", "ord", "name").withColumn("_bits", F.when(F.col("duplicate_of").isNull(), from_hex(F.col("phash"))))
-    close = dedup.near(hashed, "_bits", "ord", "name", s.hash_threshold)
+    if index is None:
+        close = dedup.near(hashed, "_bits", "ord", "name", s.hash_threshold)
+    else:
+        placed = hashed.withColumn("_at", place(number))
+        close = dedup.near_all(placed, index, "_bits", "_at", "name", s.hash_threshold)[0]
+        close = placed.select("ord", "_at").join(close, "_at").drop("_at")
     mp = megapixels(F.col("width"), F.col("height"))
     gated = hashed.drop("_bits").join(close, "ord", "left").withColumns({"megapixels": mp, "low_res": F.coalesce(mp < s.min_megapixels, F.lit(False))})
     gated = gated.withColumn("needs_convert", needs_convert(F.col("name"), F.col("length"), s.max_file_mb))
     return gated.withColumn("called", F.col("duplicate_of").isNull() & ~F.col("low_res"))
 
 
+def place(number: int) -> Column:
+    """An item's place among those of all runs."""
+    return F.lit(number << 32) + F.col("ord")
+
+
+def indexed(gated: DataFrame, records: DataFrame, index: DataFrame, number: int, settings: Settings) -> DataFrame:
+    """What a run adds to the index: fingerprints of the items that it is done with; failed ones come again."""
+    done = records.where(~F.col("status").startswith("ERROR")).select("ord")
+    rows = gated.where(F.col("duplicate_of").isNull()).join(done, "ord", "left_semi")
+    return dedup.near_all(rows.withColumns({"_bits": from_hex(F.col("phash")), "_at": place(number)}), index, "_bits", "_at", "name", settings.hash_threshold)[1]
+
+
 def needs_convert(name: Column, length: Column, max_file_mb: int = 50) -> Column:
     """PNG files, and files above the limit, are made JPEG files of at most that size."""
     return F.lower(suffix(name)).eqNullSafe(".png") | (length / 1048576 > max_file_mb)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import CATEGORIES, STATUSES, Settings
 from ..functions import arrays, hashing, text
 from ..operators import classify, dedup, naming, registry, report
-from ..sources import sinks
+from ..sources import ledger, sinks
 from ..sources.store import shared, spread, written
 
 _CATS = ", ".join(f"'{c}'" for c in CATEGORIES)
@@ -87,11 +87,14 @@ def exact_duplicates(spark, sf_dir):
 _SIGNS = lambda half: " + ".join(f"CASE WHEN sum(({half} >> {i}) % 2 * 2 - 1) > 0 THEN CAST({1 << i} AS BIGINT) ELSE 0 END" for i in range(32))
 
 
-@query(f"""WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS w FROM documents),
+_NEAR = f"""WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS w FROM documents),
 h AS (SELECT doc_id, CAST('0x' || left(md5(w), 8) AS BIGINT) AS a, CAST('0x' || substr(md5(w), 9, 8) AS BIGINT) AS b FROM t),
 f AS (SELECT doc_id, {_SIGNS('a')} AS a, {_SIGNS('b')} AS b FROM h GROUP BY doc_id)
 SELECT d.doc_id, min(y.doc_id) AS near_duplicate_of FROM documents d LEFT JOIN f x ON x.doc_id = d.doc_id
-LEFT JOIN f y ON y.doc_id < x.doc_id AND bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)) <= 6 GROUP BY d.doc_id""")
+LEFT JOIN f y ON y.doc_id < x.doc_id AND bit_count(xor(x.a, y.a)) + bit_count(xor(x.b, y.b)) <= 6 GROUP BY d.doc_id"""
+
+
+@query(_NEAR)
 def near_duplicates(spark, sf_dir):
     """64-bit SimHash of the whole texts, compared within six bits."""
     f = dedup.fingerprints(spread(_t(spark, sf_dir, "documents").select("doc_id", "text")), "text", "doc_id")
@@ -100,6 +103,40 @@ def near_duplicates(spark, sf_dir):
     return dedup.near(f, "bits", "doc_id", "doc_id").union(wordless)
 
 
+@query(_NEAR)
+def near_duplicates_by_batch(spark, sf_dir):
+    """The same over four batches, in order of doc_id: each is compared with itself and with a kept index of the earlier ones."""
+    docs = spread(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+    f = written(dedup.fingerprints(docs, "text", "doc_id"), shared(spark, "fingerprints"))
+    low, high = f.agg(F.min("doc_id"), F.max("doc_id")).first()
+    base, out = shared(spark, "index"), f.where("bits IS NULL").select("doc_id", F.lit(None).cast("long").alias("near_duplicate_of"))
+    for number in range(4 if low is not None else 0):
+        place = F.floor((F.col("doc_id") - low) * 4 / (high - low + 1))
+        batch = f.where((place == number) & F.col("bits").isNotNull()).withColumn("name", F.col("doc_id").cast("string"))
+        found, new = dedup.near_all(batch, ledger.read(spark, base, dedup.INDEX, key=None), "bits", "doc_id", "name")
+        found = written(found, f"{base}-found/{number}")
+        ledger.commit(new, base, batch=number)
+        ledger.compact(spark, base, dedup.INDEX, key=None, every=2)
+        out = out.union(found.select("doc_id", F.col("near_duplicate_of").cast("long")))
+    return out
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
+def registry_log(spark, sf_dir):
+    """The latest event of each user, from a registry that is committed in six parts by time and compacted on the way."""
+    e = _t(spark, sf_dir, "events").select("user_id", "event_type", "value", "ts", "event_id")
+    base, schema = shared(spark, "registry"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in e.schema)
+    low, high = e.agg(F.min("ts"), F.max("ts")).first()
+    seconds = F.col("ts").cast("timestamp").cast("double")
+    part = F.floor((seconds - F.lit(low).cast("timestamp").cast("double")) * 6 / (F.lit(high).cast("timestamp").cast("double") - F.lit(low).cast("timestamp").cast("double") + 1))
+    for number in range(6 if low is not None else 0):
+        own = e.where(part == number)
+        delta = own.groupBy("user_id").agg(F.max_by(F.struct(*e.columns), F.struct("ts", "event_id")).alias("r")).select("r.*")
+        ledger.commit(delta, base, batch=number)
+        ledger.compact(spark, base, schema, "user_id", every=4)
+    return ledger.read(spark, base, schema, "user_id").select("user_id", "event_type", "value")
+
+
 @query("SELECT vec_id, array_to_string(list_transform(embedding, lambda v: CASE WHEN v > (list_sort(embedding)[32] + list_sort(embedding)[33]) / CAST(2.0 AS DOUBLE) THEN '1' ELSE '0' END), '') AS bits FROM embeddings")
 def fingerprint_embeddings(spark, sf_dir):
     values = F.transform("embedding", lambda v: v.cast("double"))

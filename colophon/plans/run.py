@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..config import DESTINATIONS, ORIGINALS, REPORTS, UPLOAD_COLUMNS, Settings
 from ..functions.hashing import sha256
 from ..functions.text import error_kind, trim_lines
-from ..operators import naming, provider as calls, registry as state, report
+from ..operators import dedup, naming, provider as calls, registry as state, report
 from ..sources import effects, files, images, ledger, sinks
 from ..sources.store import written
 from . import batch
@@ -73,7 +73,8 @@ def run(spark: SparkSession, folder: str, make: Callable[[], calls.Provider], se
         assets = table(hashed.join(seen, "name", "left"), "assets")
     finally:
         shutil.rmtree(work)
-    gated = table(batch.gate(assets, before, s), "gated")
+    index = _index(spark, folder) if s.near_scope == "all" else None
+    gated = table(batch.gate(assets, before, s, index, number), "gated")
     items, refused, prepared = _prepare(spark, folder, number, gated, s)
     after("prepared")
     tried = table(calls.attempts(items, make, s).union(refused), "attempts")
@@ -93,7 +94,7 @@ def run(spark: SparkSession, folder: str, make: Callable[[], calls.Provider], se
     delta = batch.registry_rows(done, number)
     remaining = state.pending(pending.select("name"), state.upsert(before, delta), max_attempts=s.max_attempts).agg(F.count("*"))
     summary = table(report.document(done, remaining, s, folder, time.time() - start, said is not None), "document")
-    _commit(spark, folder, number, delta, quota=said and f"QUOTA | {said.name} | {said.error_text}")
+    _commit(spark, folder, number, delta, quota=said and f"QUOTA | {said.name} | {said.error_text}", threshold=s.hash_threshold if s.near_scope == "all" else None)
     after("committed")
     out = summary.first().asDict()
     publish(spark, folder, after)
@@ -155,10 +156,17 @@ def _tag_plan(judged: DataFrame, number: int) -> DataFrame:
     return rows.join(lists, "name")
 
 
-def _commit(spark: SparkSession, folder: str, number: int, delta: DataFrame, quota: str | None = None) -> None:
-    """The registry's new entries, and with them the plan: the run's records, and where the files that grow end now."""
+def _index(spark: SparkSession, folder: str) -> DataFrame:
+    return ledger.read(spark, f"{_registry(folder)}-fingerprints", dedup.INDEX, key=None)
+
+
+def _commit(spark: SparkSession, folder: str, number: int, delta: DataFrame, quota: str | None, threshold: int | None) -> None:
+    """The registry's new entries, and with them the plan: the run's records, and where the files that grow end now.
+
+    threshold: of the near duplicates of all runs, where the run adds to their index.
+    """
     sizes = {name: effects.size_of(os.path.join(folder, REPORTS, name)) for name in ("upload.csv", "needs_review.txt")}
-    ledger.commit(delta, _registry(folder), outbox={"quota": quota, "sizes": sizes}, number=number)
+    ledger.commit(delta, _registry(folder), outbox={"quota": quota, "sizes": sizes, "threshold": threshold}, number=number)
 
 
 def _publish(spark: SparkSession, folder: str, commit: ledger.Commit, after: Callable[[str], None]) -> None:
@@ -181,10 +189,16 @@ def _publish(spark: SparkSession, folder: str, commit: ledger.Commit, after: Cal
         return _finish(spark, folder, number, after)
     everything = spark.read.parquet(f"{own}/records")
     lines = everything.select("ord", F.posexplode("lines").alias("seq", "line")).orderBy("ord", "seq").select(F.concat(trim_lines(F.col("line")), F.lit("\n")).alias("value"))
-    quota = commit.outbox["quota"]
+    quota, threshold = commit.outbox["quota"], commit.outbox["threshold"]
     if log := text(lines) + (f"{quota.rstrip(chr(10))}\n".encode() if quota else b""):
         effects.append(os.path.join(reports, "needs_review.txt"), sizes["needs_review.txt"], b"", log)
     after("logged")
+    kept = f"{_registry(folder)}-fingerprints"
+    if threshold is not None and (ledger.committed_batch(spark, kept) or 0) < number:
+        new = batch.indexed(spark.read.parquet(f"{own}/gated"), everything, _index(spark, folder), number, Settings(hash_threshold=threshold))
+        ledger.commit(new, kept, batch=number)
+        ledger.compact(spark, kept, dedup.INDEX, key=None)
+    after("indexed")
     sinks.write_report(everything, f"file://{reports}/report.csv")
     sinks.write_document(spark.read.parquet(f"{own}/document"), everything.drop(*_HIDDEN), f"file://{reports}/report.json")
     after("reported")

@@ -84,8 +84,8 @@ def commit(delta: DataFrame, base: str, outbox: dict | None = None, batch: int |
     return number
 
 
-def read(spark: SparkSession, base: str, schema: str, key: str = "name") -> DataFrame:
-    """The latest entry of each key; an empty table where nothing was committed."""
+def read(spark: SparkSession, base: str, schema: str, key: str | None = "name") -> DataFrame:
+    """The latest entry of each key, or all rows of a log without keys; an empty table where nothing was committed."""
     through, snapshot = _snapshot(spark, base)
     old = spark.read.schema(schema).parquet(snapshot["table"]) if snapshot else spark.createDataFrame([], schema)
     new = None
@@ -94,6 +94,8 @@ def read(spark: SparkSession, base: str, schema: str, key: str = "name") -> Data
         new = rows if new is None else new.union(rows)
     if new is None:
         return old
+    if key is None:
+        return old.union(new.drop("_number"))
     latest = new.groupBy(key).agg(F.max_by(F.struct(*old.columns), "_number").alias("_row")).select("_row.*")
     return old.join(latest.select(key), key, "left_anti").unionByName(latest) if snapshot else latest
 
@@ -117,7 +119,7 @@ def finish(spark: SparkSession, base: str, number: int) -> None:
     fs.create(make(f"{base}/done-{number:020d}"), True).close()
 
 
-def compact(spark: SparkSession, base: str, schema: str, key: str = "name", every: int = 32) -> bool:
+def compact(spark: SparkSession, base: str, schema: str, key: str | None = "name", every: int = 32) -> bool:
     """Write a snapshot if it is behind by `every` commits, and delete what nobody reads any more."""
     before, snapshot = _snapshot(spark, base)
     behind = commits(spark, base, before)

@@ -72,7 +72,7 @@ def test_lines_are_appended_once(tmp_path):
     assert read() == b"edited by hand\none\ntwo\n"
 
 
-STEPS = ["pending", "assets", "gated", "prepared", "attempts", "tagged", "records", "document", "committed", "moved", "uploaded", "logged", "reported", "finished"]
+STEPS = ["pending", "assets", "gated", "prepared", "attempts", "tagged", "records", "document", "committed", "moved", "uploaded", "logged", "indexed", "reported", "finished"]
 ANSWERS = {
     "a.jpg": GOOD, "b.png": GOOD | {"title": "Owl", "people_visible": True, "category": "Bogus"}, "c.jpg": GOOD | {"title": "Bad tags", "rejection_risk": "High"},
     "d.png": GOOD | {"commercial_score": 10}, "e.jpg": "!bad luck",
@@ -103,7 +103,7 @@ def outcome(folder):
     return found
 
 
-SETTINGS = Settings(pause_seconds=0, call_attempts=1, min_megapixels=0.01)
+SETTINGS = Settings(pause_seconds=0, call_attempts=1, min_megapixels=0.01, near_scope="all")
 
 
 @pytest.fixture(scope="module")
@@ -164,3 +164,18 @@ def test_a_name_that_is_taken_meanwhile(spark, given, tmp_path):
     assert [r[0] for r in csv.reader((folder / "Reports/upload.csv").open(newline=""))] == ["Filename", "red-fox-at-dawn-2.jpg"]
     entry = ledger.read(spark, f"file://{folder}/Reports/registry", runs.REGISTRY).where("name = 'a.jpg'").first()
     assert (entry.status, entry.final_name) == ("READY", "red-fox-at-dawn-2.jpg") and not (folder / "a.jpg").exists()
+
+
+def test_near_duplicates_of_earlier_runs(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, seed, side in (("a.jpg", 1, 400), ("b.jpg", 2, 300), ("c.jpg", 1, 300), ("d.jpg", 2, 420)):
+        picture(spark, folder / name, seed, side, side, "jpg")
+    settings = Settings(pause_seconds=0, call_attempts=1, min_megapixels=0.01, near_scope="all", batch_limit=2)
+    answers = dict.fromkeys(("a.jpg", "c.jpg", "d.jpg"), GOOD) | {"b.jpg": "!bad luck"}
+    for _ in range(2):  # a.jpg and b.jpg, which fails; then b.jpg again and c.jpg
+        runs.run(spark, str(folder), lambda: Answers(answers), settings)
+        answers["b.jpg"] = GOOD
+    runs.run(spark, str(folder), lambda: Answers(answers), settings)
+    log = (folder / "Reports/needs_review.txt").read_text().split("\n")
+    assert [x for x in log if x.startswith("NOTE")] == ["NOTE | c.jpg | close to a.jpg", "NOTE | d.jpg | close to b.jpg"]
