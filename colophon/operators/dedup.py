@@ -5,17 +5,18 @@ from __future__ import annotations
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import simhash
+from .ranges import running_sum
 
 
 def exact(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
     """Adds duplicate_of: the first name of equal keys, null in the first row itself.  Rows without a key are none's duplicates.
 
     The first rows are found by an aggregation with partial sums and joined back, so that a key of very many rows (all empty
-    files) is in no task as a whole: the join is split where it is skewed.  Project wide columns away first.
+    files) is in no task as a whole while the heads of repeated keys are few enough to broadcast.  Project wide columns away first.
     """
     first = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(F.col(order).alias("o"), F.col(name).alias("n"))).alias("_first"), F.count("*").alias("_rows"))
     out = df.join(first.where("_rows > 1"), F.col(key) == F.col("_key"), "left")
@@ -23,10 +24,9 @@ def exact(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
 
 
 def ranked(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
-    """Adds dup_rank, from 1 in each key, and duplicate_of.  A window: all rows of a key are in one task, narrow ones."""
-    w = Window.partitionBy(key).orderBy(order)
-    rank = F.row_number().over(w)
-    return df.withColumn("dup_rank", rank).withColumn("duplicate_of", F.when(F.col("dup_rank") > 1, F.first(name).over(w)))
+    """Adds dup_rank, from 1 in each key, and duplicate_of.  Ranks are counted over ranges: a hot key is in many tasks."""
+    out = running_sum(df, [key], [order], F.lit(1), "dup_rank", name)
+    return out.select(*df.columns, F.col("dup_rank").cast("int").alias("dup_rank"), F.when(F.col("dup_rank") > 1, F.col("_first")).alias("duplicate_of"))
 
 
 def _parts(threshold: int) -> tuple[list[tuple[int, int]], int]:

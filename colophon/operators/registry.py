@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import failures_in_a_row
+
 TERMINAL = ["READY", "LOW_RESOLUTION", "LOW_QUALITY", "DUPLICATE", "NEEDS_RELEASE", "REVIEW", "ERROR_PERMANENT"]
 
 
@@ -40,11 +42,8 @@ def promote(attempts_prev: Column, max_attempts: int = 3) -> tuple[Column, Colum
 
 
 def consecutive_failures(log: DataFrame, key: str, order: list[str], failed: Column) -> DataFrame:
-    """Adds attempts: failures in a row up to each event; a success resets them."""
-    w = Window.partitionBy(key).orderBy(*order)
-    isle = log.withColumn("_f", failed.cast("int")).withColumn("_isle", F.sum(1 - F.col("_f")).over(w))
-    own = Window.partitionBy(key, "_isle").orderBy(*order)
-    return isle.withColumn("attempts", F.sum("_f").over(own)).drop("_f", "_isle")
+    """Adds attempts: failures in a row up to each event; a success resets them.  A hot key is in many tasks."""
+    return failures_in_a_row(log, [key], order, failed, "attempts")
 
 
 def before_first(df: DataFrame, order: list[str], stop: Column, key: str | None = None) -> DataFrame:

@@ -97,7 +97,7 @@ def finish(gated: DataFrame, attempts: DataFrame, settings: Settings | None = No
     # Each file's own name, and that of its original in the archive.
     wanted = F.array(F.struct("destination", F.col("base_name")), F.when(prepared & F.col("classified"), F.struct(F.lit(ORIGINALS).alias("destination"), F.col("name").alias("base_name"))))
     names = out.where("destination is not null").select("ord", F.explode(F.array_compact(wanted)).alias("w")).select("ord", "w.destination", "w.base_name")
-    moved = naming.unique_exact(names, "destination", "base_name", "ord", existing)
+    moved = naming.unique_fold(names, "destination", "base_name", "ord", existing)
     chosen_name = lambda archive: F.max(F.when((F.col("destination") == ORIGINALS) == archive, F.col("unique_name")))
     moved = moved.groupBy("ord").agg(chosen_name(F.lit(False)).alias("unique_name"), chosen_name(F.lit(True)).alias("archive_name"))
     out = out.join(moved, "ord", "left").withColumns({"final_name": F.coalesce("unique_name", F.lit("")), "keyword_count": F.size("keywords"), "error": F.left("failure", F.lit(300))})

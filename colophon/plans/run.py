@@ -219,7 +219,7 @@ def _rename(spark: SparkSession, folder: str, number: int, taken: DataFrame) ->
     shutil.rmtree(_own(folder, new), ignore_errors=True)
     names = F.array(F.struct("destination", F.col("final_name").alias("base")), F.struct(F.lit(ORIGINALS).alias("destination"), F.col("archive_name").alias("base")))
     wanted = taken.select("ord", F.explode(F.filter(names, lambda x: x["base"].isNotNull())).alias("w")).select("ord", "w.*")
-    free = naming.unique_exact(wanted, "destination", "base", "ord", _existing(spark, folder)).select("ord", F.col("destination").alias("_to"), "unique_name")
+    free = naming.unique_fold(wanted, "destination", "base", "ord", _existing(spark, folder)).select("ord", F.col("destination").alias("_to"), "unique_name")
     pick = lambda archive: F.max(F.when((F.col("_to") == ORIGINALS) == archive, F.col("unique_name")))
     free = free.groupBy("ord").agg(pick(F.lit(False)).alias("_final"), pick(F.lit(True)).alias("_archive"))
     staged = F.when(F.col("staged").isNotNull(), F.concat(F.lit(f"../{number}/"), F.col("staged")))
