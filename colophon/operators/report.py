@@ -29,18 +29,21 @@ def summary(records: DataFrame) -> DataFrame:
     )
 
 
-def category_distribution(records: DataFrame) -> DataFrame:
+def category_distribution(records: DataFrame, order: str | None = None) -> DataFrame:
+    """category, n, and with an order the first place at which a category was seen."""
     ready = records.where((F.col("status") == "READY") & (F.col("category") != ""))
-    return ready.groupBy("category").agg(F.count("*").alias("n"))
+    return ready.groupBy("category").agg(F.count("*").alias("n"), *([F.min(order).alias("first")] if order else []))
 
 
-def document(records: DataFrame, remaining: DataFrame, settings: Settings, folder: str, duration: float | None = None, stopped: bool = False) -> DataFrame:
-    """One row of SUMMARY_COLUMNS: the summary of a run's records.
+def document(records: DataFrame, remaining: DataFrame, settings: Settings, folder: str, duration: float | None = None, stopped: bool = False, order: str = "ord") -> DataFrame:
+    """One row of SUMMARY_COLUMNS: the summary of a run's records; categories stand in the order in which they were first seen.
 
     remaining: one row with the number of items that were pending before the run and are so after it.  Averages are null
     where nothing was scored or accepted.
     """
-    counted = category_distribution(records).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("category_distribution"))
+    seen = F.sort_array(F.collect_list(F.struct("first", "category", "n")))
+    entries = F.transform(seen, lambda x: F.struct(x["category"].alias("key"), x["n"].alias("value")))
+    counted = category_distribution(records, order).agg(F.map_from_entries(entries).alias("category_distribution"))
     calls = records.agg(F.coalesce(F.sum("retries"), F.lit(0)).cast("long").alias("api_retries"), F.coalesce(F.sum("failures"), F.lit(0)).cast("long").alias("api_hard_failures"))
     names = {
         "processed": "processed_this_run", "ready": "ready_to_upload", "average_score": "average_commercial_score", "average_keywords": "average_keyword_count",

@@ -14,6 +14,7 @@ from ..functions import arrays, hashing, text
 from ..operators import classify, dedup, naming, registry, report
 from ..sources import ledger, sinks
 from ..sources.store import shared, spread, written
+from . import batch
 
 _CATS = ", ".join(f"'{c}'" for c in CATEGORIES)
 
@@ -32,10 +33,10 @@ a1 AS (SELECT *, CAST(doc_id * 37 % 101 AS INTEGER) AS score,
   CASE doc_id % 5 WHEN 0 THEN 'Medium' WHEN 1 THEN 'High' ELSE 'Low' END AS risk,
   doc_id % 7 = 0 AS people, doc_id % 11 = 0 AS prop, coalesce(toxic, 0) = 1 AS mark,
   'doc' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.PNG' ELSE '.jpg' END AS name FROM a0),
-a2 AS (SELECT *, CASE WHEN dup_rank > 1 THEN 'DUPLICATE' WHEN n_chars < 300 THEN 'LOW_RESOLUTION' WHEN mark OR score < 60 THEN 'LOW_QUALITY'
+a2 AS (SELECT *, CASE WHEN dup_rank > 1 THEN 'DUPLICATE' WHEN n_chars < 300 THEN 'LOW_RESOLUTION' WHEN n_chars % 13 = 0 THEN CASE WHEN doc_id % 3 = 2 THEN 'ERROR_PERMANENT' ELSE 'ERROR' END WHEN mark OR score < 60 THEN 'LOW_QUALITY'
   WHEN people OR prop THEN 'NEEDS_RELEASE' WHEN risk IN ('Medium', 'High') THEN 'REVIEW' ELSE 'READY' END AS status FROM a1),
 a3 AS (SELECT *, CASE WHEN status = 'DUPLICATE' THEN 'same text as doc' || head WHEN status = 'LOW_RESOLUTION' THEN 'too small'
-  WHEN mark THEN 'carries a visible overlay' WHEN status = 'READY' THEN 'accepted with score ' || score || ' and risk ' || risk
+  WHEN status LIKE 'ERROR%' THEN 'attempt ' || (doc_id % 3 + 1) WHEN mark THEN 'carries a visible overlay' WHEN status = 'READY' THEN 'accepted with score ' || score || ' and risk ' || risk
   WHEN status = 'LOW_QUALITY' THEN 'score ' || score || ' under 60' WHEN status = 'NEEDS_RELEASE' THEN 'shows people or property without a release'
   ELSE 'needs a look: risk ' || risk END AS reason,
   CASE status WHEN 'READY' THEN '01_READY_UPLOAD' WHEN 'LOW_RESOLUTION' THEN '02_SKIPPED_LOWRES' WHEN 'LOW_QUALITY' THEN '03_SKIPPED_LOWQUALITY'
@@ -54,9 +55,10 @@ def _assets(spark, sf_dir) -> DataFrame:
         "mark": F.coalesce("toxic", F.lit(0)) == 1, "name": F.concat(F.lit("doc"), i.cast("string"), F.when(i % 3 == 0, ".PNG").otherwise(".jpg")),
     })
     chosen = classify.choose_status(F.col("score"), F.col("risk"), F.col("people"), F.col("prop"), F.col("mark"))
-    d = d.withColumn("status", F.when(F.col("duplicate_of").isNotNull(), "DUPLICATE").when(F.col("n_chars") < 300, "LOW_RESOLUTION").otherwise(chosen))
+    failed, tries = registry.promote(i % 3)
+    d = d.withColumn("status", F.when(F.col("duplicate_of").isNotNull(), "DUPLICATE").when(F.col("n_chars") < 300, "LOW_RESOLUTION").when(F.col("n_chars") % 13 == 0, failed).otherwise(chosen))
     why = classify.explain_status(F.col("status"), F.col("score"), F.col("risk"), F.lit(""), F.col("mark"))
-    own = F.when(F.col("status") == "DUPLICATE", F.concat(F.lit("same text as doc"), F.col("duplicate_of").cast("string"))).when(F.col("status") == "LOW_RESOLUTION", "too small")
+    own = F.when(F.col("status") == "DUPLICATE", F.concat(F.lit("same text as doc"), F.col("duplicate_of").cast("string"))).when(F.col("status") == "LOW_RESOLUTION", "too small").when(F.col("status").startswith("ERROR"), F.concat(F.lit("attempt "), tries.cast("string")))
     words = F.array_distinct(F.array(F.concat(F.lit("k"), (i % 10).cast("string")), F.concat(F.lit("k"), (i % 4).cast("string")), F.col("source")))
     return d.withColumns({
         "reason": F.coalesce(own, why), "destination": classify.destination(F.col("status")),
@@ -112,8 +114,8 @@ def near_duplicates_by_batch(spark, sf_dir):
     base, out = shared(spark, "index"), f.where("bits IS NULL").select("doc_id", F.lit(None).cast("long").alias("near_duplicate_of"))
     for number in range(4 if low is not None else 0):
         place = F.floor((F.col("doc_id") - low) * 4 / (high - low + 1))
-        batch = f.where((place == number) & F.col("bits").isNotNull()).withColumn("name", F.col("doc_id").cast("string"))
-        found, new = dedup.near_all(batch, ledger.read(spark, base, dedup.INDEX, key=None), "bits", "doc_id", "name")
+        part = f.where((place == number) & F.col("bits").isNotNull()).withColumn("name", F.col("doc_id").cast("string"))
+        found, new = dedup.near_all(part, ledger.read(spark, base, dedup.INDEX, key=None), "bits", "doc_id", "name")
         found = written(found, f"{base}-found/{number}")
         ledger.commit(new, base, batch=number)
         ledger.compact(spark, base, dedup.INDEX, key=None, every=2)
@@ -219,17 +221,17 @@ def repair_categories(spark, sf_dir):
 _AVERAGE = lambda what, which: f"round_even(avg({what}) FILTER ({which}), 1)"
 
 
-@query(f"""WITH {_ASSETS_SQL}, m AS (SELECT source AS c, count(*) AS n FROM a3 WHERE status = 'READY' GROUP BY source)
+@query(f"""WITH {_ASSETS_SQL}, m AS (SELECT source AS c, count(*) AS n, min(doc_id) AS seen FROM a3 WHERE status = 'READY' AND source <> '' GROUP BY source)
 SELECT '1.0' AS version, 'none' AS model, count(*) AS processed_this_run, count(*) FILTER (status = 'READY') AS ready_to_upload, count(*) FILTER (status = 'LOW_RESOLUTION') AS low_res, count(*) FILTER (status = 'LOW_QUALITY') AS low_quality,
-count(*) FILTER (status = 'DUPLICATE') AS duplicates, count(*) FILTER (status = 'NEEDS_RELEASE') AS needs_release, count(*) FILTER (status = 'REVIEW') AS review, CAST(0 AS BIGINT) AS errors, (SELECT count(*) FROM documents WHERE n_chars > 5000) AS remaining, 'documents' AS folder, CAST(1.5 AS DOUBLE) AS duration_seconds,
-{_AVERAGE('score', "status IN ('READY', 'LOW_QUALITY', 'NEEDS_RELEASE', 'REVIEW')")} AS average_commercial_score, {_AVERAGE('len(kw)', "status = 'READY'")} AS average_keyword_count, (SELECT string_agg(c || '=' || n, ',' ORDER BY c) FROM m) AS category_distribution,
+count(*) FILTER (status = 'DUPLICATE') AS duplicates, count(*) FILTER (status = 'NEEDS_RELEASE') AS needs_release, count(*) FILTER (status = 'REVIEW') AS review, count(*) FILTER (status LIKE 'ERROR%') AS errors, (SELECT count(*) FROM documents WHERE n_chars > 5000) AS remaining, 'documents' AS folder, CAST(1.5 AS DOUBLE) AS duration_seconds,
+{_AVERAGE('score', "status IN ('READY', 'LOW_QUALITY', 'NEEDS_RELEASE', 'REVIEW')")} AS average_commercial_score, {_AVERAGE('len(kw)', "status = 'READY'")} AS average_keyword_count, (SELECT string_agg(c || '=' || n, ',' ORDER BY seen) FROM m) AS category_distribution,
 CAST(sum(doc_id % 3) AS BIGINT) AS api_retries, count(*) FILTER (doc_id % 50 = 0) AS api_hard_failures, round_even(100.0 * count(*) FILTER (status = 'READY' AND risk = 'Low') / nullif(count(*) FILTER (status = 'READY'), 0), 1) AS low_risk_ready_ratio_percent, false AS stopped_on_daily_quota FROM a3""")
 def run_document(spark, sf_dir):
     i = F.col("doc_id")
     rows = _assets(spark, sf_dir).withColumns({"category": F.col("source"), "retries": i % 3, "failures": (i % 50 == 0).cast("int")})
     remaining = _t(spark, sf_dir, "documents").where("n_chars > 5000").agg(F.count("*"))
-    out = report.document(rows, remaining, Settings(), "documents", 1.5)
-    pairs = F.transform(F.array_sort(F.map_entries("category_distribution")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    out = report.document(rows, remaining, Settings(), "documents", 1.5, order="doc_id")
+    pairs = F.transform(F.map_entries("category_distribution"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
     return out.withColumn("category_distribution", F.array_join(pairs, ","))
 
 
@@ -356,11 +358,12 @@ def report_rows(spark, sf_dir):
     return sinks.report_rows(a)
 
 
-@query("SELECT doc_id, CAST(n_chars AS DOUBLE) * 2000 / 1e6 AS megapixels, CAST(n_chars AS DOUBLE) * 2000 / 1e6 < 4.0 AS low_res, doc_id % 3 = 0 OR n_chars > 50 * 100 AS needs_convert FROM documents")
+@query("SELECT doc_id, CAST(n_chars AS DOUBLE) * 2000 / 1e6 AS megapixels, CAST(n_chars AS DOUBLE) * 2000 / 1e6 < 4.0 AS low_res, doc_id % 3 = 0 OR n_chars * 10000 > 50 * 1048576 AS needs_convert FROM documents")
 def low_res_gate(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
     mp = hashing.megapixels(F.col("n_chars").cast("double"), F.lit(2000))
-    return d.select("doc_id", mp.alias("megapixels"), (mp < 4.0).alias("low_res"), ((F.col("doc_id") % 3 == 0) | (F.col("n_chars") > 5000)).alias("needs_convert"))
+    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".PNG").otherwise(".jpg"))
+    return d.select("doc_id", mp.alias("megapixels"), (mp < 4.0).alias("low_res"), batch.needs_convert(name, F.col("n_chars") * 10_000, 50).alias("needs_convert"))
 
 
 @query(f"WITH {_ASSETS_SQL} SELECT name, destination, final_name FROM a3")
@@ -374,7 +377,7 @@ def keyword_tags(spark, sf_dir):
     return sinks.tags(_assets(spark, sf_dir).withColumns({"title": F.col("name"), "description": F.col("source")}))
 
 
-@query(f"""WITH {_ASSETS_SQL} SELECT name AS original_name, destination, final_name FROM a3 UNION ALL SELECT name, '00_SOURCE_ORIGINALS', name FROM a3 WHERE doc_id % 3 = 0 AND status IN ('READY', 'LOW_QUALITY', 'NEEDS_RELEASE', 'REVIEW')""")
+@query(f"""WITH {_ASSETS_SQL} SELECT name AS original_name, destination, final_name FROM a3 WHERE status NOT LIKE 'ERROR%' UNION ALL SELECT name, '00_SOURCE_ORIGINALS', name FROM a3 WHERE doc_id % 3 = 0 AND status IN ('READY', 'LOW_QUALITY', 'NEEDS_RELEASE', 'REVIEW')""")
 def move_plan(spark, sf_dir):
     a = _assets(spark, sf_dir).withColumns({"original_name": F.col("name"), "needs_convert": F.col("doc_id") % 3 == 0})
     return sinks.moves(a)
