@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from colophon.llm import classifier, decontamination, jaccard, packing, rules
-from colophon.llm.common import materialize, read_table
+from colophon.llm.common import discard, materialize, read_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The stages one after another; each one's table is deleted when the next one's is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             docs = materialize(docs, f"stage{number}")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
