@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CATEGORIES, STATUSES, Settings
-from ..functions import arrays, hashing, text
+from ..functions import annotation, arrays, hashing, text
 from ..operators import classify, dedup, naming, registry, report
 from ..sources import ledger, sinks
 from ..sources.store import shared, spread, written
@@ -293,8 +293,36 @@ def quota_prefix(spark, sf_dir):
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, array_to_string(list_filter(['k', 'other'], lambda x: NOT list_contains(json_keys(props), x)), ',') AS missing FROM events")
 def json_props(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
-    missing = F.array_except(F.array(F.lit("k"), F.lit("other")), F.json_object_keys("props"))
-    return e.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "int").alias("k"), F.array_join(missing, ",").alias("missing"))
+    found = annotation.strict_object(F.col("props"), ["k", "other"])
+    e = e.select("event_id", found.alias("v"))
+    return e.select("event_id", F.try_variant_get(F.col("v.k"), "$", "int").alias("k"), F.array_join(annotation.missing_keys(F.col("v"), ["k", "other"]), ",").alias("missing"))
+
+
+_STRIP = r"regexp_replace({}, '^[\s\p{{Z}}\x0b\x1c-\x1f\x85]+|[\s\p{{Z}}\x0b\x1c-\x1f\x85]+$', '', 'g')".format
+
+
+@query(f"""WITH r AS (SELECT *, doc_id % 8 AS shape, doc_id % 8 IN (2, 4, 7) AS bad FROM documents),
+t AS (SELECT *, CASE WHEN shape = 3 THEN coalesce(text, 'earlier') ELSE text END AS given,
+  CASE WHEN shape = 6 THEN CAST([] AS VARCHAR[]) ELSE list_filter([coalesce(source, ''), coalesce(lang, '')], lambda x: {_STRIP("x")} <> '') END AS kept FROM r)
+SELECT doc_id, CASE WHEN bad THEN 'not a JSON object' WHEN given IS NULL THEN 'missing title' WHEN shape = 6 THEN 'keywords empty or not a list' WHEN shape = 5 THEN 'score is no integer' END AS parse_error,
+CASE WHEN bad THEN '' ELSE {_STRIP("coalesce(given, '')")} END AS title, CASE WHEN NOT bad THEN array_to_string(kept, '|') END AS keywords,
+CASE WHEN NOT bad AND shape <> 5 THEN CAST(doc_id % 101 AS INTEGER) END AS score, CASE WHEN bad THEN 'Medium' ELSE 'None' END AS risk, NOT bad AND doc_id % 3 = 0 AS people_visible FROM t""")
+def parse_annotations(spark, sf_dir):
+    """Answers made of whole texts: plain, fenced, followed by text, with a repeated key, in a list, without a number, without keywords, with single quotes."""
+    d = _t(spark, sf_dir, "documents")
+    shape, blank = F.col("doc_id") % 8, F.coalesce("source", F.lit(""))
+    words = F.when(shape == 6, F.array().cast("array<string>")).otherwise(F.array(blank, F.coalesce("lang", F.lit(""))))
+    score = F.when(shape != 5, F.col("doc_id") % 101 + F.lit(0.75))
+    people = F.when(F.col("doc_id") % 3 == 0, "false").when(F.col("doc_id") % 3 == 1, "")
+    body = F.to_json(F.struct(F.col("text").alias("title"), blank.alias("description"), words.alias("keywords"), blank.alias("category"), score.alias("commercial_score"), people.alias("people_visible")))
+    inner = F.concat(F.lit('"rejection_risk":null,'), F.expr("substring(body, 2)"))
+    raw = (
+        F.when(shape == 1, F.concat(F.lit("```json\n{"), inner, F.lit("\n```"))).when(shape == 2, F.concat(F.lit("{"), inner, F.lit(" x"))).when(shape == 3, F.concat(F.lit('{"title":"earlier",'), inner))
+        .when(shape == 4, F.concat(F.lit("[{"), inner, F.lit("]"))).when(shape == 5, F.concat(F.lit('{"commercial_score":NaN,'), inner)).when(shape == 7, F.concat(F.lit("{'x':1,"), inner))
+        .otherwise(F.concat(F.lit("{"), inner))
+    )
+    d = annotation.parse(d.select("doc_id", body.alias("body")).select("doc_id", raw.alias("raw")), "raw")
+    return d.select("doc_id", "parse_error", "title", F.array_join("keywords", "|").alias("keywords"), "score", "risk", "people_visible")
 
 
 _MESSAGES = ["RESOURCE_EXHAUSTED: retry in 12.5 s", "RESOURCE_EXHAUSTED 'retryDelay': '7s'", "RESOURCE_EXHAUSTED: Requests Per Day", "503 UNAVAILABLE", "RESOURCE_EXHAUSTED retry in 0s", "bad json", "model overloaded, retry in 2 s", "RESOURCE_EXHAUSTED 'retryDelay' : 7 s", "503 retryDelay:'3.5s'", "503 retry in 1.2.3 s, retryDelay: 4s"]

@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +97,38 @@ def test_annotation_rejects(spark):
     assert [r.parse_error[:7] for r in out] == ["not a J", "missing", "not a J", "not a J"]
 
 
+_VALUES = ["1", "-0", "1.50", "01", "1.", "1E2", "NaN", "Infinity", "-Infinity", "+Infinity", "INF", "tru", "true", "null", '"a"', '"INF +I"', '"a\\u00e9\\"b"', '"\\x"', '"a\tb"', "'a'", "[]", "[1, {}]", "[1,]", "{}", '{"a": 1}', '{"a" 1}', ""]
+_BEFORE = ["", " \n", "\ufeff", "\x0c", "x", "[", "//\n"]
+_AFTER = ["", "\n ", " x", "}", "}} x", "]", "] x", ', {"k": 1}', ', "value": {"k": 1}', '}, "value": {"k": 1}', '], "value": [{"k": 1}]} x', '], "value": [{}', "/**/", "\x00", ","]
+
+
+def test_strict_object_as_a_strict_parser(spark):
+    """Every value, also under an unread key and repeated, with every beginning and end, is taken or refused as json.loads does it."""
+    bodies = [f'{{"k": {v}}}' for v in _VALUES] + [f'{{"z": {v}, "k": 1}}' for v in _VALUES] + [f'{{"k": 0, "k": {v}}}' for v in _VALUES] + ['{"z": {"a": 1, "a": 2}}', "{k: 1}", '{"K": 1}', "1", '""', "", "{", "}"]
+    given = [None, *dict.fromkeys(b + x + a for x in bodies for b in _BEFORE for a in _AFTER)]
+    rows = spark.createDataFrame(list(enumerate(given)), "i int, t string").withColumn("v", annotation.strict_object(F.col("t"), ["k", "absent"]))
+    number = F.try_variant_get(F.col("v.k"), "$", "double")
+    got = rows.select("i", F.col("v").isNotNull(), F.col("v.k").isNotNull(), annotation.truthy(F.col("v.k")), number.cast("string"), annotation.missing_keys(F.col("v"), ["k", "absent"])).collect()
+    assert len(got) == len(given) and sum(r[1] for r in got) > 100
+    for i, held, there, true, number, missing in got:
+        try:
+            value = json.loads(given[i])
+        except (TypeError, ValueError):
+            value = None
+        assert held == isinstance(value, dict), given[i]
+        if held:
+            k = value.get("k")
+            assert (there, true, missing) == ("k" in value, bool(k), [x for x in ("k", "absent") if x not in value]), given[i]
+            if isinstance(k, int | float) and not isinstance(k, bool):
+                assert float(number) == k or k != k and number == "NaN", given[i]
+
+
+def test_strict_object_bounds(spark):
+    texts = ['{"k": {"a": 1, "a": 2}}', '{"k": ' + "[" * 1500 + "]" * 1500 + "}", '{"k": ' + "9" * 1200 + "}", '{"k": "' + "é\\n" * 300_000 + '"}']
+    v = spark.createDataFrame([(t,) for t in texts], "t string").select(annotation.strict_object(F.col("t"), ["k"]).alias("v"))
+    assert [n for (n,) in v.select(F.length(F.try_variant_get(F.col("v.k"), "$", "string"))).collect()] == [None, None, None, 600_000]
+
+
 def test_attempts(spark):
     good = '{"title":"t","description":"","keywords":["k"],"category":"Nature","commercial_score":90,"rejection_risk":"Low"}'
     rows = [("a", 1, None, "503"), ("a", 2, good, None), ("b", 1, None, "RESOURCE_EXHAUSTED per day"), ("b", 2, good, None), ("c", 1, "{", None)]
