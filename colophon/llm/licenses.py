@@ -5,7 +5,9 @@ fixed in this module, so its broadcast has a fixed size), and the join compares
 words more for long templates.  A hit votes for the diagonal `position - template position`.  Diagonals of a template
 that lie close together are one occurrence with small insertions or losses; their votes are merged.  The merged span is
 verified: each of the template's grams counts once, however often it occurs, SHARE of them must be there, and the span must
-not be longer than the template by more than half of its words.  Phrases need every gram on one diagonal.
+not be longer than the template by more than half of its words.  Passages of at most SHORT grams need all of them, phrases
+need every gram on one diagonal.  The templates are the openings of licences, which a notice cites, and the paragraphs of
+their bodies, by which a licence without its opening is found.
 
 Edge cases: a null or empty text has no words, no places and score 0; texts are read whole; every input row gives a row,
 also repeated ones and those with a null doc_id; an empty table gives an empty result; extra columns are ignored.
@@ -42,10 +44,23 @@ PASSAGES = {
     "licensed under the european union public licence": "eupl",
     "this font software is licensed under the sil open font license": "ofl",
     "this package is free software you may copy and distribute it under the terms of the artistic license": "artistic",
+    # Paragraphs of whole licences.
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license": "apache",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details": "gpl",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc",
+    "the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required": "zlib",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl",
 }
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words that a passage's gram compares, the neighbouring diagonals that merge, and the share of grams that makes an occurrence.
 GRAM, SLACK, SHARE = 4, 3, 0.5
+#: Passages of so few grams hold only with all of them: a few words alike are no licence.
+SHORT = 8
 
 
 def templates() -> list[tuple]:
@@ -89,7 +104,8 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     fits = 2 * F.col("length") <= 3 * (F.col("n_grams") + GRAM - 1)
     spans = spans.withColumn("share", F.when(fits, F.col("votes") / F.col("n_grams")).otherwise(0.0)).withColumn("place", F.col("phrase") & (F.col("template") >= 0) & (F.col("votes") == F.col("n_grams")))
-    real, holds = F.col("template") >= 0, F.col("place") | (~F.col("phrase") & (F.col("share") >= SHARE))
+    needed = F.when(F.col("n_grams") <= SHORT, F.lit(1.0)).otherwise(SHARE)
+    real, holds = F.col("template") >= 0, F.col("place") | (~F.col("phrase") & (F.col("share") >= needed))
     names = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
     start = F.when(F.col("place"), F.col("start"))
     return spans.groupBy("row", "doc_id", "n_words").agg(

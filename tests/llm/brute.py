@@ -28,6 +28,27 @@ def license_base(text):
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+def license_verdict(text, phrases, passages, gram=4, slack=3, share=0.5, short=8):
+    """Labels and score: every occurrence of every template, word by word, one diagonal after another."""
+    words, shares = alnum(text), [(1.0, label) for phrase, label in phrases.items() if f" {phrase} " in f" {' '.join(alnum(text))} "]
+    for passage, label in passages.items():
+        p = passage.split()
+        n = len(p) - gram + 1
+        # (position - template position, template position) of every place where a whole gram stands
+        hits = sorted((i - j, j) for j in range(n) for i in range(len(words) - gram + 1) if words[i : i + gram] == p[j : j + gram])
+        spans = []
+        for d, j in hits:
+            if not spans or d - spans[-1][-1][0] > slack:
+                spans.append([])
+            spans[-1].append((d, j))
+        for span in spans:
+            length = max(d + j for d, j in span) - min(d + j for d, j in span) + 1
+            part = len({j for _, j in span}) / n
+            if 2 * length <= 3 * len(p) and part >= (1.0 if n <= short else share):
+                shares.append((part, label))
+    return ",".join(sorted({label for _, label in shares})), max((part for part, _ in shares), default=0.0)
+
+
 def size_and_crc(text):
     raw = (text or "").encode()
     return len(raw) + 16, zlib.crc32(raw)

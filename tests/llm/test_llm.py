@@ -47,6 +47,32 @@ def test_license_with_small_changes(spark):
     assert row.labels == "apache" and 0 < row.score <= 1
 
 
+def _near_licenses():
+    """Passages whole, cut, stretched, thinned out, repeated, and among each other."""
+    rng, out = np.random.default_rng(5), ["released under the mit media lab banner", "we released under the mit roof", "Released under the MIT License.", "licensed under the apache license of 2004 version 2 0"]
+    for passage in licenses.PASSAGES:
+        w = passage.split()
+        for _ in range(4):
+            kept = [x for x in w if rng.random() < rng.choice([0.8, 0.95, 1.0])]
+            at = int(rng.integers(0, len(kept) + 1))
+            kept[at:at] = ["really"] * int(rng.integers(0, 6))
+            cut = int(rng.integers(0, len(kept)))
+            out.append(" ".join(["so", *kept[int(rng.integers(0, 3)) * cut // 3 :], *(kept if rng.random() < 0.3 else []), "it", "ends"]))
+    return out + [" ".join(rng.permutation(out)[:3]) for _ in range(20)]
+
+
+def test_license_labels_and_score(spark):
+    texts = [*EDGE, *_near_licenses(), *licenses.PASSAGES]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        labels, score = brute.license_verdict(texts[r.doc_id], licenses.PHRASES, licenses.PASSAGES)
+        assert (r.labels, r.score) == (labels, pytest.approx(score)), texts[r.doc_id]
+    by_text = {texts[r.doc_id]: r for r in got}
+    assert not by_text["released under the mit media lab banner"].labels and not by_text["we released under the mit roof"].labels
+    assert all(by_text[t].labels and by_text[t].score == 1 for t in licenses.PASSAGES)
+
+
 def test_sharding(edge):
     got = sharding.assign(edge, 4).collect()
     same(sorted(((r.doc_id, r.size, r.text_crc32) for r in got), key=str), [(i, *brute.size_and_crc(t)) for i, t in zip(ids(), EDGE, strict=True)])
