@@ -24,33 +24,47 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM_WORDS, batches, bound_batches, materialize, word_hashes
 
-#: The most characters of test items that one pass sends to the executors (one item that is longer has a pass alone).
-MAX_CHARS = 20_000_000
+#: The most characters of test items that one pass sends to the executors, at most four bytes for each (one item that is longer
+#: has a pass alone).
+MAX_CHARS = 10_000_000
+#: Windows whose words are searched for at once.
+BLOCK = 100_000
 _MATCHES = "array<struct<start:long,item_id:string,item_start:long,length:long>>"
 _SCHEMA = f"doc_id long, n_words long, n_hit long, items array<string>, longest long, matches {_MATCHES}"
 
 
 class TestSuffixes:
-    """All windows of the items, in groups of equal length, sorted, each with the items that hold it."""
+    """All windows of the items, in groups of equal length, each with the item that holds it.
+
+    Only the items' word hashes travel to the tasks (eight bytes a word); the windows are places among them, and their words are
+    laid out BLOCK windows at a time.
+    """
 
     __test__ = False
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        self.window = window
         hashes, starts = word_hashes(pa.array([t or "" for _, t in items], pa.string()), ALNUM_WORDS)
-        self.names = [str(i) for i, _ in items]
-        groups: dict[int, list[tuple[int, int]]] = {}
-        for k in range(len(items)):
-            n = int(starts[k + 1] - starts[k])
-            size = min(window, n)
-            if size:
-                groups.setdefault(size, []).extend((k, int(starts[k]) + j) for j in range(n - size + 1))
-        self.tokens, self.begins, self.ends = hashes, starts[:-1], starts[1:]
-        self.groups = []
-        for size, found in sorted(groups.items()):
-            item = np.array([k for k, _ in found])
-            at = np.array([p for _, p in found])
-            self.groups.append((size, item, at, hashes[at[:, None] + np.arange(size)]))
+        self.__setstate__((window, [str(i) for i, _ in items], hashes, np.asarray(starts)))
+
+    def __getstate__(self):
+        return self.window, self.names, self.tokens, self.starts
+
+    def __setstate__(self, state):
+        self.window, self.names, self.tokens, self.starts = state
+        self.begins, self.ends = self.starts[:-1], self.starts[1:]
+        own = np.repeat(np.arange(len(self.names), dtype=np.int32), self.ends - self.begins)
+        sizes = np.minimum(self.window, self.ends - self.begins)
+        whole = np.flatnonzero(np.arange(len(own)) + sizes[own] <= self.ends[own])
+        size_of = sizes[own[whole]]
+        self.groups = [(int(size), whole[size_of == size]) for size in np.unique(size_of)]
+        self.item_of = own
+
+    def blocks(self):
+        """(size, item, place, words) of all windows."""
+        for size, places in self.groups:
+            for k in range(0, len(places), BLOCK):
+                at = places[k : k + BLOCK]
+                yield size, self.item_of[at], at, self.tokens[at[:, None] + np.arange(size)]
 
 
 def suffix_array(h: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
@@ -119,7 +133,7 @@ def search(h: np.ndarray, starts: np.ndarray, suffixes: TestSuffixes, places_too
     ends = starts[1:][doc_of]
     room = ends - np.arange(len(h))
     array = suffix_array(h, ends, max((g[0] for g in suffixes.groups), default=1))
-    for size, item, at, keys in suffixes.groups:
+    for size, item, at, keys in suffixes.blocks():
         low, high = ranges(h, ends, array, keys)
         for i in np.flatnonzero(high > low):
             places = array[low[i] : high[i]]
@@ -212,9 +226,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
+    """The query's columns; with the longest match, the number of matches, and where the longest stands (the first of equals)."""
+    best = F.get(F.filter("matches", lambda m: m["length"] == F.col("longest")), F.lit(0))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        "longest", F.size("matches").cast("long").alias("n_matches"), best["start"].alias("longest_start"), best["item_id"].alias("longest_item"), best["item_start"].alias("longest_item_start"),
     )
 
 

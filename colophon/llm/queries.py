@@ -104,14 +104,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
     "op8_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') AS w FROM documents),
 b AS (SELECT item_id, w, least(10, len(w)) AS k FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') AS w FROM benchmark)),
-v AS (SELECT DISTINCT item_id, k, w[i:i+k-1] AS g FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b WHERE k > 0)),
+v AS (SELECT item_id, i AS j, k, w[i:i+k-1] AS g FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b WHERE k > 0)),
 s AS (SELECT DISTINCT k FROM v),
 p AS (SELECT doc_id, i, k, w[i:i+k-1] AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, s)),
-h AS (SELECT doc_id, i, p.k, item_id FROM p JOIN v ON p.k = v.k AND p.g = v.g),
+h AS (SELECT doc_id, i, j, p.k, CAST(item_id AS VARCHAR) AS item FROM p JOIN v ON p.k = v.k AND p.g = v.g),
 n AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS place FROM h) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, item, min(i) - 1 AS s, min(j) - 1 AS js, count(*) + k - 1 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item, i - j ORDER BY i) AS run FROM h) GROUP BY doc_id, item, k, i - j, run),
+x AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n_matches FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, s, item, js) = 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  CAST(coalesce(x.n, 0) AS BIGINT) AS longest, CAST(coalesce(n_matches, 0) AS BIGINT) AS n_matches, CAST(s AS BIGINT) AS longest_start, x.item AS longest_item, CAST(js AS BIGINT) AS longest_item_start
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN x USING (doc_id)""",
     "op12_filter_audit": rf"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '{_SPACED}') AS w, min(doc_id) OVER (PARTITION BY text) AS earliest FROM d),

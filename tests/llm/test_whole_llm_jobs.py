@@ -1,6 +1,7 @@
 """Training-data operators on tables where a part of the job would show."""
 
 import os
+import pickle
 import sys
 from html.parser import HTMLParser
 
@@ -230,6 +231,39 @@ def test_decontamination_places_and_parts(spark, monkeypatch, limit):
     assert {r.doc_id for r in decontamination.remove(docs, bench, 4).collect()} == {2, 3, None}
 
 
+def test_decontamination_searches_in_blocks(monkeypatch):
+    items = [(k, " ".join(f"w{(k + i) % 50}" for i in range(k))) for k in range(30)]
+    text = " ".join(f"w{i % 50}" for i in range(120))
+    h, starts = decontamination.word_hashes(pa.array([text, "", "w1 x"], pa.string()), decontamination.ALNUM_WORDS)
+    found = []
+    for block in (10**6, 7):
+        monkeypatch.setattr(decontamination, "BLOCK", block)
+        n_hit, names, longest, places = decontamination.search(h, starts, decontamination.TestSuffixes(items, 10), places_too=True)
+        found.append((list(n_hit), names, list(longest), sorted(places)))
+    assert found[0] == found[1] and found[0][3]
+
+
+def test_decontamination_sends_the_words_only():
+    items = [(k, " ".join(f"w{(k * 7 + i * i) % 5000}" for i in range(k % 40))) for k in range(3000)]
+    made = decontamination.TestSuffixes(items, 10)
+    sent = pickle.dumps(made)
+    assert len(sent) < 4 * sum(len(t) for _, t in items) + 100_000
+    again = pickle.loads(sent)
+    assert [(s, list(p)) for s, p in again.groups] == [(s, list(p)) for s, p in made.groups]
+    assert sum(len(p) for _, p in made.groups) == sum(max(n - 9, 1) for n in (k % 40 for k in range(3000)) if n)
+
+
+def test_decontamination_digest_names_the_longest(spark):
+    items = [(2, "a b c d e f g"), (10, "b c d e x"), (3, "q")]
+    docs = spark.createDataFrame([(1, "q z b c d e z a b c d e f q"), (2, "nothing"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontamination.digest(decontamination.scan(docs, spark.createDataFrame(items, "item_id long, text string"), 4)).collect()}
+    for k, text in ((1, "q z b c d e z a b c d e f q"), (2, "nothing"), (3, None)):
+        want = brute_matches(text, items, 4)
+        best = min(want, key=lambda m: (-m[3], *m[:3]), default=(None, None, None, 0))
+        r = got[k]
+        assert (r.n_matches, r.longest_start, r.longest_item, r.longest_item_start, r.longest) == (len(want), *best)
+
+
 @pytest.mark.parametrize("percent", [70, 50])
 def test_jaccard_reaches_every_lower_band(spark, percent):
     texts = {}
