@@ -3,10 +3,14 @@
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from colophon.functions import hashing
+from colophon.operators import dedup
 from colophon.plans import catalogue
 
 
@@ -35,3 +39,30 @@ def test_near_duplicates_read_whole_texts(spark, tmp_path):
     assert want[1] == 0 and want[2] is None
     got = {r.doc_id: r.near_duplicate_of for r in catalogue.QUERIES["near_duplicates"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_near_broadcasts_no_table_of_keys(spark, tmp_path):
+    """A table under the threshold for broadcasts, whose rows in all their bands are far over it (before: 168,000 keys went through the driver)."""
+    r = np.random.default_rng(3)
+    bits = r.integers(-(1 << 63), 1 << 63, 6000)
+    bits[3000:3500] = bits[:500] ^ (1 << r.integers(0, 63, 500))
+    table = pa.table({"ord": range(6000), "bits": bits})
+    pq.write_table(table, tmp_path / "f.parquet")
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "400k", "spark.sql.maxBroadcastTableSize": "4m"}
+    old = {k: spark.conf.get(k) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        assert (tmp_path / "f.parquet").stat().st_size < 400_000
+        got = {x.ord: x.near_duplicate_of for x in dedup.near(spark.read.parquet(f"{tmp_path}/f.parquet"), "bits", "ord", "ord").collect()}
+        f = spark.read.parquet(f"{tmp_path}/f.parquet").withColumn("name", F.col("ord").cast("string"))
+        late = f.where("ord >= 3000")
+        index = dedup.near_all(f.where("ord < 3000"), spark.createDataFrame([], dedup.INDEX), "bits", "ord", "name")[1]
+        later = {x.ord: x.near_duplicate_of for x in dedup.near_all(late, index, "bits", "ord", "name")[0].collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    apart = lambda i: np.bitwise_count((bits[:i] ^ bits[i]).view(np.uint64))
+    want = {i: int(near[0]) if len(near := np.flatnonzero(apart(i) <= 6)) else None for i in range(6000)}
+    assert got == want and sum(x is not None for x in want.values()) == 500
+    assert later == {i: None if want[i] is None else str(want[i]) for i in range(3000, 6000)}
